@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roamgrid.llm import bpe
+from roamgrid.llm import bpe, exact_dedup, simhash
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -21,9 +21,35 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), codec)
 
 
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents; see simhash.near_duplicates."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates among all documents; see exact_dedup.exact_duplicates."""
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_bpe_round_trip": op1_bpe_round_trip}
+    return {
+        "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op6_simhash_groups": op6_simhash_groups,
+        "op7_exact_dedup": op7_exact_dedup,
+    }
+
+
+OP7_SQL = r"""
+WITH n AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     d AS (SELECT doc_id, length(t) AS n, sha256(translate(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS h FROM n)
+SELECT doc_id,
+       first_value(doc_id) OVER w AS keep_id,
+       count(*) OVER (PARTITION BY h) AS group_size,
+       row_number() OVER w = 1 AS kept,
+       h AS text_sha256
+FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_dedup": OP7_SQL}
