@@ -20,8 +20,11 @@ from roamgrid.plans.storage import delete_path, new_path
 
 #: Fixed value: characters that don't count when texts are compared.
 BLANKS = " \t\n\x0b\f\r"
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state lives in RocksDB, which must not reserve disk ahead: there is one for each partition.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Keys up to this number are broadcast when rows are looked up, more are shuffled.
 BROADCAST_KEYS = 1_000_000
 
@@ -76,7 +79,8 @@ class ExactDedup:
 
     def absorb(self, rows_path: str, schema) -> None:
         """Streams a folder of digest rows through the state and appends the changed keys."""
-        spark, before = self.spark, self.spark.conf.get(STATE_STORE)
+        spark = self.spark
+        before = {k: spark.conf.get(k, None) for k in STATE_STORE}
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(rows_path)
         # the largest of: length, smallest identifier, earliest locator
         rank = F.struct("n_points", F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("at_row").alias("not_row"), "at_file")
@@ -86,7 +90,8 @@ class ExactDedup:
             changed.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch}")
 
         try:
-            spark.conf.set(STATE_STORE, ROCKS_DB)
+            for k, v in STATE_STORE.items():
+                spark.conf.set(k, v)
             stream = (
                 state.writeStream.outputMode("update")
                 .foreachBatch(put)
@@ -95,7 +100,8 @@ class ExactDedup:
                 .start()
             )
         finally:
-            spark.conf.set(STATE_STORE, before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         stream.awaitTermination()
 
     def groups(self, schema) -> DataFrame:

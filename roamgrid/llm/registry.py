@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roamgrid.llm import bpe, exact_dedup, simhash
+from roamgrid.llm import bpe, exact_dedup, simhash, toxicity
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -31,11 +31,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents with a model fitted on the labelled ones; see toxicity.score."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op6_simhash_groups": op6_simhash_groups,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_toxicity": op9_toxicity,
     }
 
 
