@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of ordinary texts, one on what recurs in
-toxic texts and the ordinary ones lack.  A window of a text is compressed twice, with the ordinary
+Two zstandard dictionaries are made, one trained on windows of ordinary texts, one of the word
+beginnings that recur in toxic texts and that ordinary ones lack, the most frequent last.  A window of a text is compressed twice, with the ordinary
 dictionary alone and with the toxic one before it; the bytes that the toxic one saves are the
 window's gain.  A text's gains (their mean, their largest ones, the share of windows over the
 window thresholds) are calibrated to a probability by logistic regression on labelled texts that
@@ -24,10 +24,10 @@ LABELLED_ROWS = 9_000
 ORDINARY_TEXTS = 5_000
 WINDOW_BYTES = 128
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 1_024
-#: Share of the toxic training texts that a piece of a word must recur in to train the toxic
-#: dictionary, and the bytes of a piece.
-RECURS_IN = 0.02
-PIECE = 5
+#: Share of the toxic training texts in which a word's beginning must recur to be in the toxic
+#: dictionary, its share of ordinary texts to that at most, and its length with blanks.
+RECURS_IN, RARE, STEM = 0.02, 0.02, (6, 12)
+MARKS = b".,;:!?|*#$%&"
 FOLDS = 3
 #: Bytes saved from which a window counts as toxic, mildly and clearly.
 MILD, CLEAR = 2, 3
@@ -65,30 +65,38 @@ def _dictionary(samples: list[bytes], size: int, **how) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _toxic_dictionary(texts: list[bytes], known: set[bytes]) -> bytes:
-    """The pieces of toxic texts' words that recur in toxic texts and are in no known word, by count."""
-    new = [[b" %b " % w for w in t.lower().split() if w not in known] for t in texts]
-    times = Counter(g for words in new for g in {w[i : i + PIECE] for w in words for i in range(len(w) - PIECE + 1)})
-    recurring = {g for g, n in times.items() if n >= max(2, RECURS_IN * len(texts))}
-    for w in known:
-        if not recurring:
-            break
-        w = b" %b " % w
-        recurring.difference_update([w[i : i + PIECE] for i in range(len(w) - PIECE + 1)])
+def _stems(word: bytes):
+    """The word's beginnings and the whole word, with the blanks around it."""
+    text = b" %b " % word
+    return [text[:i] for i in range(STEM[0], min(STEM[1], len(text)) + 1)]
+
+
+def _toxic_dictionary(texts: list[bytes], ordinary: Counter, n_ordinary: int) -> bytes:
+    """Beginnings of words that recur in toxic texts and are rare in ordinary ones, by count; of a
+    word the shortest and the longest such beginning count.
+
+    ``ordinary``: number of ordinary texts with each word.
+    """
+    words = [{w.strip(MARKS) for w in t.lower().split()} for t in texts]
+    times = Counter(s for some in words for s in {s for w in some for s in _stems(w)})
+    least = max(3, RECURS_IN * len(texts))
+    times = Counter({s: n for s, n in times.items() if n >= least})
+    usual: Counter[bytes] = Counter()
+    for w, n in ordinary.items():
+        for s in _stems(w):
+            if s in times:
+                usual[s] += n
+    telling = {s for s, n in times.items() if usual[s] / n_ordinary <= RARE * n / len(texts)}
     pieces: Counter[bytes] = Counter()
-    for words in new:
-        for w in words:
-            i = 0
-            while i <= len(w) - PIECE:
-                j = i
-                while w[j : j + PIECE] in recurring:
-                    j += 1
-                if j > i:
-                    pieces[w[i : j + PIECE - 1]] += 1
-                i = j + 1
-    chosen, room = b"", TOXIC_BYTES
+    for some in words:
+        for w in some:
+            found = [s for s in _stems(w) if s in telling]
+            if found:
+                pieces[found[0]] += 1
+                pieces[found[-1]] += 1
+    chosen = b""
     for piece, _ in sorted(pieces.items(), key=lambda x: (-x[1], x[0])):  # zstandard wants the most frequent last
-        if piece not in chosen and len(chosen) + len(piece) <= room:
+        if piece not in chosen and len(chosen) + len(piece) <= TOXIC_BYTES:
             chosen = piece + chosen
     return chosen
 
@@ -116,19 +124,19 @@ class ToxicityModel:
         if len(ordinary) < 2 or not toxic:
             return cls(None, None)
         own, others = ordinary[::2][:ORDINARY_TEXTS], ordinary[1::2]
-        known = {w for t in own for w in t.lower().split()}
+        known = Counter(w for t in own for w in {w.strip(MARKS) for w in t.lower().split()})
         base = _dictionary([w for t in own for w in windows(t)], ORDINARY_BYTES)
         x, y = [], []
         for fold in range(FOLDS):
             out = toxic[fold::FOLDS]
-            part = cls(base, _toxic_dictionary([t for i, t in enumerate(toxic) if i % FOLDS != fold] or toxic, known))
+            part = cls(base, _toxic_dictionary([t for i, t in enumerate(toxic) if i % FOLDS != fold] or toxic, known, len(own)))
             for label, some in ((0, others[fold::FOLDS]), (1, out)):
                 x += [part.features(t) for t in some]
                 y += [label] * len(some)
         x, y = np.array(x), np.array(y, float)
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         weight = np.where(y == 1, 1.0, len(ordinary) / max(1, len(others)))
-        return cls(base, _toxic_dictionary(toxic, known), mean, scale, _logistic((x - mean) / scale, y, weight))
+        return cls(base, _toxic_dictionary(toxic, known, len(own)), mean, scale, _logistic((x - mean) / scale, y, weight))
 
     def features(self, text: bytes) -> list[float]:
         if self._ready is None:
