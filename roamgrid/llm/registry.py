@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roamgrid.llm import bpe, exact_dedup, simhash, toxicity
+from roamgrid.llm import bpe, exact_dedup, language_id, simhash, toxicity
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -37,12 +37,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by a model fitted on those not held out; see language_id.predict."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op6_simhash_groups": op6_simhash_groups,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_toxicity": op9_toxicity,
+        "op10_language_id": op10_language_id,
     }
 
 
