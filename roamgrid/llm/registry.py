@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roamgrid.llm import bpe, exact_dedup, language_id, simhash, toxicity
+import corpus_pipeline
+from roamgrid.llm import bpe, exact_dedup, language_id, packing, simhash, toxicity
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -31,6 +32,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents by their number of words; see packing.pack."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all documents with a model fitted on the labelled ones; see toxicity.score."""
     docs = table(spark, sf_dir, "documents")
@@ -48,8 +54,10 @@ def queries() -> dict:
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op6_simhash_groups": op6_simhash_groups,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_length_buckets": op8_length_buckets,
         "op9_toxicity": op9_toxicity,
         "op10_language_id": op10_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -66,4 +74,5 @@ FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    found = {"op7_exact_dedup": OP7_SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
