@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from roamgrid.llm import bpe, exact_dedup, language_id, packing, simhash, toxicity
+from roamgrid.llm import bpe, exact_dedup, html_text, language_id, packing, simhash, toxicity
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -22,6 +22,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), codec)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by their hosts' winning paths; see html_text.extract."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents; see simhash.near_duplicates."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -52,6 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op4_html_text": op4_html_text,
         "op6_simhash_groups": op6_simhash_groups,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_length_buckets": op8_length_buckets,
