@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from roamgrid.llm import bpe, exact_dedup, html_text, language_id, packing, simhash, toxicity
+from roamgrid.llm import bpe, exact_dedup, html_text, language_id, packing, sharding, simhash, toxicity, vector_search
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -22,11 +22,22 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), codec)
 
 
+def op2_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors of each query, every fiftieth id, among all others; see vector_search.top_k."""
+    vectors = vector_search.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return vector_search.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages by their hosts' winning paths; see html_text.extract."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents of up to a mebibyte of text; see sharding.shard_documents."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents; see simhash.near_duplicates."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -57,7 +68,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op2_vector_top_k": op2_vector_top_k,
         "op4_html_text": op4_html_text,
+        "op5_extendible_shards": op5_extendible_shards,
         "op6_simhash_groups": op6_simhash_groups,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_length_buckets": op8_length_buckets,
@@ -67,6 +80,25 @@ def queries() -> dict:
     }
 
 
+OP2_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+           FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+_BITS = "translate(left(md5({}), 16), '0123456789abcdef', 'ghijklmnopqrstuv')"
+for _digit in range(16):
+    _BITS = f"replace({_BITS}, '{'ghijklmnopqrstuv'[_digit]}', '{_digit:04b}')"
+OP5_SQL = f"""
+WITH r AS (SELECT doc_id, strlen(coalesce(text, '')) AS bytes,
+                  {_BITS.format("coalesce(CAST(doc_id AS VARCHAR), '')")} || {_BITS.format("coalesce(text, '')")} AS bits FROM documents),
+     d AS (SELECT r.*, depth, left(bits, depth) AS prefix FROM r, (SELECT unnest(range(0, 129)) AS depth)),
+     s AS (SELECT *, sum(bytes) OVER (PARTITION BY prefix) AS total FROM d),
+     f AS (SELECT doc_id, bytes, bits, min(depth) AS depth, min_by(total, depth) AS shard_bytes FROM s WHERE total <= {sharding.LIMIT_BYTES} OR depth = 128 GROUP BY ALL)
+SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '~' ELSE left(bits, depth) END AS shard, CAST(shard_bytes AS BIGINT) AS shard_bytes FROM f
+"""
 OP7_SQL = r"""
 WITH n AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
      d AS (SELECT doc_id, length(t) AS n, sha256(translate(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS h FROM n)
@@ -80,5 +112,5 @@ FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op7_exact_dedup": OP7_SQL}
+    found = {"op2_vector_top_k": OP2_SQL, "op5_extendible_shards": OP5_SQL, "op7_exact_dedup": OP7_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
