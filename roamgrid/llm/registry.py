@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from roamgrid.llm import bpe, exact_dedup, html_text, language_id, packing, sharding, simhash, toxicity, vector_search
+from roamgrid.llm import bpe, exact_dedup, html_text, language_id, licenses, packing, sharding, simhash, toxicity, vector_search
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -28,6 +28,11 @@ def op2_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences stated in all documents; see licenses.scan."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages by their hosts' winning paths; see html_text.extract."""
     return html_text.extract(table(spark, sf_dir, "pages"))
@@ -69,6 +74,7 @@ def queries() -> dict:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op2_vector_top_k": op2_vector_top_k,
+        "op3_license_scan": op3_license_scan,
         "op4_html_text": op4_html_text,
         "op5_extendible_shards": op5_extendible_shards,
         "op6_simhash_groups": op6_simhash_groups,
@@ -88,6 +94,29 @@ WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * C
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
+def _license_sql() -> str:
+    """The scan in DuckDB's SQL: sentences by marks, a table of the known ones, and the rules in turn."""
+    known = ", ".join(f"('{sentence}', '{name}')" for name, sentences in licenses.SENTENCES.items() for sentence in sentences)
+    rules, names, last = "", {}, "joined"
+    for number, (name, sequence) in enumerate(licenses.RULES):
+        pattern = "".join(f",{x}," for x in sequence)
+        rules += f", s{number} AS (SELECT *, contains(rest, '{pattern}') AS rule_{number} FROM (SELECT * FROM {last})), t{number} AS (SELECT * REPLACE (replace(rest, '{pattern}', '|') AS rest) FROM s{number})"
+        names.setdefault(name, []).append(f"rule_{number}")
+        last = f"t{number}"
+    found = ", ".join(f"CASE WHEN {' OR '.join(columns)} THEN '{name}' END" for name, columns in names.items())
+    return rf"""
+WITH known(sentence, id) AS (VALUES {known}),
+pieces AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.;:!?](\s|$)', E'\n\\1', 'g'), '[\n\r]+')) AS piece,
+                  generate_subscripts(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.;:!?](\s|$)', E'\n\\1', 'g'), '[\n\r]+'), 1) AS place FROM documents),
+plain AS (SELECT doc_id, place, trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM pieces),
+hits AS (SELECT doc_id, list(id ORDER BY place) AS ids FROM plain JOIN known USING (sentence) GROUP BY doc_id),
+joined AS (SELECT doc_id, coalesce(ids, []) AS ids, coalesce(',' || array_to_string(ids, ',,') || ',', '') AS rest FROM documents LEFT JOIN hits USING (doc_id)){rules}
+SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, concat_ws(',', {found}) AS licenses,
+       CAST(len(list_filter(regexp_split_to_array(rest, '[,|]+'), lambda x: x <> '')) AS BIGINT) AS unmatched
+FROM {last}
+"""
+
+
 _BITS = "translate(left(md5({}), 16), '0123456789abcdef', 'ghijklmnopqrstuv')"
 for _digit in range(16):
     _BITS = f"replace({_BITS}, '{'ghijklmnopqrstuv'[_digit]}', '{_digit:04b}')"
@@ -112,5 +141,5 @@ FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_vector_top_k": OP2_SQL, "op5_extendible_shards": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+    found = {"op2_vector_top_k": OP2_SQL, "op3_license_scan": _license_sql(), "op5_extendible_shards": OP5_SQL, "op7_exact_dedup": OP7_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
