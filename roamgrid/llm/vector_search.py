@@ -127,8 +127,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, data_rows: int = D
     pairs = held.drop("data_blocks", "query_blocks").join(posed.drop("data_blocks", "query_blocks"), ["dim", "data_block", "query_block"])
 
     def flat(column, dim):
-        rows = column.values.field("vec_id").to_numpy(), column.values.field("v").values.to_numpy()
-        return rows[0], rows[1].reshape(-1, dim)
+        ids, vectors = column.values.flatten()  # unlike field() and values, flatten() keeps to the slice
+        return ids.to_numpy(), vectors.flatten().to_numpy().reshape(-1, dim)
 
     def run(batches):
         for b in batches:
