@@ -108,7 +108,7 @@ _queries["rect_to_grids"] = rect_to_grids
 
 @_on_points
 def haversine_steps(p):
-    w = trajectory._ORDER
+    w = trips.in_time()
     before = p.withColumn("lon0", F.lag("lon").over(w)).withColumn("lat0", F.lag("lat").over(w)).where("lon0 is not null")
     return before.select("event_id", F.round(haversine(F.col("lon0"), F.col("lat0"), F.col("lon"), F.col("lat")), 3).alias("meters"))
 
@@ -165,7 +165,7 @@ def density_intensity(p):
 
 @_on_points
 def density_colors(p):
-    c = intensity_color(F.col("intensity"))
+    c = intensity_color(F.round("intensity", 9))  # engines' logarithms differ in the last digit
     shades = density.intensity(density.density(p)).select("period", "n", F.round(c[0], 3).alias("r"), F.round(c[1], 3).alias("g"), F.round(c[2], 3).alias("b"))
     return shades.distinct()
 

@@ -89,12 +89,13 @@ def balance(paths: DataFrame) -> DataFrame:
     return one.select("paths", "flow", ratio.alias("dominant_ratio"), F.greatest(F.lit(0.0), (ratio - 1 / 8) / (1 - 1 / 8)).alias("imbalance"))
 
 
-_ORDER = [F.desc("count"), "start_grid", "end_grid", "period", "direction"]
+def _order() -> list:
+    return [F.desc("count"), "start_grid", "end_grid", "period", "direction"]
 
 
 def top_arcs(paths: DataFrame, cap: int = ARC_CAP) -> DataFrame:
     """The ``cap`` rows of most trips."""
-    return paths.orderBy(*_ORDER).limit(cap)
+    return paths.orderBy(*_order()).limit(cap)
 
 
 def quota_arcs(paths: DataFrame, cap: int = ARC_CAP) -> DataFrame:
@@ -104,7 +105,7 @@ def quota_arcs(paths: DataFrame, cap: int = ARC_CAP) -> DataFrame:
     remainders first (the lower sector on a tie), and what sectors can't fill goes to the rows of most
     trips.  With ``cap`` rows or fewer all stay.
     """
-    rank = F.row_number().over(Window.partitionBy("sector").orderBy(*_ORDER))
+    rank = F.row_number().over(Window.partitionBy("sector").orderBy(*_order()))
     rows = with_centers(paths).withColumn("rank", rank)
     flows = rows.groupBy("sector").agg(F.sum(F.greatest(F.lit(1), F.col("count"))).alias("flow"))  # eight rows
     everything = Window.partitionBy(F.lit(0))
@@ -116,7 +117,7 @@ def quota_arcs(paths: DataFrame, cap: int = ARC_CAP) -> DataFrame:
     shares = shares.withColumn("left", left).withColumn("nth", by_rest)
     shares = shares.select("sector", (F.lit(1) + F.col("base") + F.when(F.col("nth") <= F.col("left"), 1).otherwise(0)).alias("quota"))
     late = (F.col("rank") > F.col("quota")).cast("int")
-    return rows.join(F.broadcast(shares), "sector").orderBy(late, *_ORDER).limit(cap).drop("quota", "rank")
+    return rows.join(F.broadcast(shares), "sector").orderBy(late, *_order()).limit(cap).drop("quota", "rank")
 
 
 def arc_style(arcs: DataFrame, mode: str = "between", balanced: bool = False) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roamgrid.config import BOUNDS, DEFAULT_SPEEDS, GRID_SIZE, NODE_STRIDE, SAMPLE_CAP_SECONDS, SAMPLE_SECONDS, SAMPLES_NEEDED
 from roamgrid.functions.grid import cell_x, cell_y, haversine, in_rect, period_of, steps
+from roamgrid.operators.trips import in_time
 
-_ORDER = Window.partitionBy("taxi_id").orderBy("ts", "event_id")
 #: Fixed value: the eight neighbours of a cell.
 NEIGHBOURS = [(1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1)]
 
@@ -23,7 +23,7 @@ def nodes(points: DataFrame, size: int = GRID_SIZE, stride: int = NODE_STRIDE) -
     A node's number is ``gy * size + gx``; points on the bounds' edge belong to them.
     """
     dx, dy = steps(size)
-    some = points.withColumn("rn", F.row_number().over(_ORDER) - 1).where(F.col("rn") % stride == 0)
+    some = points.withColumn("rn", F.row_number().over(in_time()) - 1).where(F.col("rn") % stride == 0)
     cells = some.where(in_rect(F.col("lon"), F.col("lat"), BOUNDS)).select(cell_x(F.col("lon"), size).alias("gx"), cell_y(F.col("lat"), size).alias("gy")).distinct()
     lon, lat = F.lit(BOUNDS.x_min) + (F.col("gx") + 0.5) * dx, F.lit(BOUNDS.y_min) + (F.col("gy") + 0.5) * dy
     return cells.select((F.col("gy") * size + F.col("gx")).cast("long").alias("node"), "gx", "gy", lon.alias("lon"), lat.alias("lat"))
@@ -53,7 +53,7 @@ def travel_samples(points: DataFrame, node_table: DataFrame | None = None, size:
     if node_table is not None:
         here = here.join(node_table.select(F.col("node").alias("u")), "u", "left_semi")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    moves = here.withColumn("v", F.lead("u").over(_ORDER)).withColumn("seconds", (F.lead(micros).over(_ORDER) - micros) / 1_000_000)
+    moves = here.withColumn("v", F.lead("u").over(in_time())).withColumn("seconds", (F.lead(micros).over(in_time()) - micros) / 1_000_000)
     kept = moves.where((F.col("u") != F.col("v")) & F.col("seconds").between(*SAMPLE_SECONDS))
     return kept.select("u", "v", period_of(F.col("ts")).alias("period"), "seconds", "taxi_id", F.col("event_id").alias("first_id"))
 

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from roamgrid.config import SNAP_KEYFRAME, SNAP_SEGMENTS, TRAJECTORY_POINTS, TRAJECTORY_STRIDE, TRAJECTORY_VEHICLES
 from roamgrid.operators.polyline import simplify
 from roamgrid.operators.routing import fastest_routes, nearest_node, route_coords
-
-_ORDER = Window.partitionBy("taxi_id").orderBy("ts", "event_id")
+from roamgrid.operators.trips import in_time
 
 
 def of_vehicle(points: DataFrame, taxi_id: int) -> DataFrame:
     """A vehicle's points with ``seq`` in order of time."""
-    return points.where(F.col("taxi_id") == taxi_id).withColumn("seq", F.row_number().over(_ORDER) - 1)
+    return points.where(F.col("taxi_id") == taxi_id).withColumn("seq", F.row_number().over(in_time()) - 1)
 
 
 def first_vehicles(points: DataFrame, most: int = TRAJECTORY_VEHICLES) -> DataFrame:
@@ -25,13 +24,13 @@ def first_vehicles(points: DataFrame, most: int = TRAJECTORY_VEHICLES) -> DataFr
 
 def strided(points: DataFrame, stride: int = TRAJECTORY_STRIDE) -> DataFrame:
     """Every ``stride``-th point of each vehicle in order of time, with its number ``rn``."""
-    return points.withColumn("rn", F.row_number().over(_ORDER) - 1).where(F.col("rn") % max(1, stride) == 0)
+    return points.withColumn("rn", F.row_number().over(in_time()) - 1).where(F.col("rn") % max(1, stride) == 0)
 
 
 def capped(points: DataFrame, stride: int = TRAJECTORY_STRIDE, most: int = TRAJECTORY_POINTS) -> DataFrame:
     """``strided``, and of vehicles with more than ``most`` points every (n // most)-th, ``most`` in all."""
     some = strided(points, stride).withColumn("total", F.count("*").over(Window.partitionBy("taxi_id")))
-    some = some.withColumn("k", F.row_number().over(_ORDER) - 1).withColumn("every", F.greatest(F.lit(1), F.floor(F.col("total") / most)))
+    some = some.withColumn("k", F.row_number().over(in_time()) - 1).withColumn("every", F.greatest(F.lit(1), F.floor(F.col("total") / most)))
     kept = (F.col("total") <= most) | ((F.col("k") % F.col("every") == 0) & (F.floor(F.col("k") / F.col("every")) < most))
     return some.where(kept).drop("k", "every", "total")
 

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from roamgrid.config import TRIP_GAP_US
 from roamgrid.functions.grid import grid_id, period_of
 
 
+def in_time() -> WindowSpec:
+    """A vehicle's points in order of time, those of one time in file order."""
+    return Window.partitionBy("taxi_id").orderBy("ts", "event_id")
+
+
 def split(points: DataFrame, least: int = 2) -> DataFrame:
     """Points with ``trip_id`` (a number in the vehicle) and ``n``, the points of the trip.
 
     A trip ends before a gap of over 300 seconds; trips of fewer than ``least`` points are dropped.
     Points of one time keep their file order.  One shuffle by vehicle serves all windows.
     """
-    order = Window.partitionBy("taxi_id").orderBy("ts", "event_id")
+    order = in_time()
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     gap = micros - F.lag(micros).over(order) > TRIP_GAP_US
     upto = order.rowsBetween(Window.unboundedPreceding, 0)

@@ -209,7 +209,7 @@ sampled AS (SELECT * FROM inside JOIN offs USING (taxi_id) WHERE rn >= off AND (
     edge_a, edge_b = edge_cells_sql(A, B), edge_cells_sql(B, A)
     dens = density_sql([0.10])
     day = "SELECT -1 AS period, gx, gy, CAST(sum(n) AS BIGINT) AS n FROM dens GROUP BY gx, gy"
-    shades = f"{dens}, v AS (SELECT DISTINCT period, n, ln(1 + n) / ln(1 + max(n) OVER (PARTITION BY period)) AS v FROM dens)"
+    shades = f"{dens}, v AS (SELECT DISTINCT period, n, round(ln(1 + n) / ln(1 + max(n) OVER (PARTITION BY period)), 9) AS v FROM dens)"
     pair_sql = lambda k: near_sql("ea", "eb", k)
     routed = lambda k, periods: spread(f"SELECT DISTINCT node AS start, period FROM near_a, (SELECT unnest({periods}) AS period)").replace(
         ", sources AS", f", ea AS {edge_a}, eb AS {edge_b}, near_a AS {nearest_sql('(SELECT gid AS place, lon, lat FROM ea)')}, near_b AS {nearest_sql('(SELECT gid AS place, lon, lat FROM eb)')}, pair AS {pair_sql(k)}, sources AS", 1
