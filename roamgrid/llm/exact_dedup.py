@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +40,23 @@ def sha256(content: Column) -> Column:
     return F.unhex(F.sha2(content, 256))
 
 
+def is_scan(docs: DataFrame) -> bool:
+    """Whether the rows come straight from one scan of Parquet files, so that a file's row is met once."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.nodeName().startswith("LogicalRelation") and "parquet" in node.toString().lower() and "_metadata" not in docs.columns
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``at_file`` and ``at_row``; what doesn't come from Parquet files is written first."""
-    try:
-        return docs.select("*", F.col("_metadata.file_path").alias("at_file"), F.col("_metadata.row_index").alias("at_row"))
-    except AnalysisException:
-        spark = docs.sparkSession
-        path = new_path(spark, "located")
-        docs.write.parquet(path)
-        return located(spark.read.schema(docs.schema).parquet(path))
+    """``row`` (a struct of all columns), ``at_file`` and ``at_row``; what isn't a scan is written first."""
+    rows = docs.select(F.struct("*").alias("row")) if not is_scan(docs) else None
+    if rows is not None:
+        path = new_path(docs.sparkSession, "located")
+        rows.write.parquet(path)
+        docs = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    row = F.struct("*") if rows is None else F.col("row")
+    return docs.select(row.alias("row"), F.col("_metadata.file_path").alias("at_file"), F.col("_metadata.row_index").alias("at_row"))
 
 
 def semi_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
@@ -125,8 +132,12 @@ class ExactDedup:
         A null text counts as empty.  Repeated rows form a group like any other and one stays.
         Other columns are left out; an empty table gives an empty table.
         """
+        return self.run_located(located(docs))
+
+    def run_located(self, rows: DataFrame) -> DataFrame:
+        """``run`` on rows that have their locators."""
         spark = self.spark
-        docs = located(docs)
+        docs = rows.select("row.doc_id", "row.text", "at_file", "at_row")
         path = f"{self.folder}/digests/{uuid.uuid4().hex}"
         narrow = self.digests(docs)
         narrow.write.mode("overwrite").parquet(path)
@@ -181,5 +192,5 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     rows = located(docs)
-    gone = ExactDedup(docs.sparkSession).run(docs).where("not kept").select("at_file", "at_row")
-    return semi_join(rows, gone, ["at_file", "at_row"], "left_anti").drop("at_file", "at_row")
+    gone = ExactDedup(docs.sparkSession).run_located(rows).where("not kept").select("at_file", "at_row")
+    return semi_join(rows, gone, ["at_file", "at_row"], "left_anti").select("row.*")

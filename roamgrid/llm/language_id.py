@@ -34,7 +34,8 @@ UNDETERMINED = "und"
 #: Mean probability below which the pipeline takes a text to have no certain language.
 LEAST_SCORE = 0.4
 
-find_words = re.compile(r"[^\W\d_]+").findall
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+find_words = re.compile(rf"[^\W\d_{_NUMERALS}]+").findall  # runs of letters
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -305,12 +306,15 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, rows: int = TRAINING_ROWS) -> LanguageModel:
     """Fits on at most ``rows`` documents with a language that are not held out.
 
-    The documents are chosen by their identifiers alone; only their texts come to the driver.
+    The documents are chosen by their identifiers alone; only their texts come to the driver, and of
+    identifiers with several texts or languages no more than ``rows`` in all.
     """
     usable = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
-    found = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").collect()
-    found = sorted({(r["doc_id"], r["text"], r["lang"]) for r in found})
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = usable.select("doc_id").distinct().orderBy(*order).limit(rows)
+    found = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
+    found = found.distinct().orderBy(*order, "lang", "text").limit(rows).collect()
+    found = sorted((r["doc_id"], r["text"], r["lang"]) for r in found)
     return LanguageModel.fit([r[1] for r in found], [r[2] for r in found])
 
 

@@ -175,7 +175,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> ToxicityModel:
     """Fits on at most ``rows`` labelled documents that are not held out.
 
-    Only the chosen documents' texts come to the driver.  Labels that are null or differ for one
+    Only the chosen documents' texts come to the driver, and of identifiers with several texts no
+    more than ``rows`` in all.  Labels that are null or differ for one
     document are left out, as are labels without a document.
     """
     chosen = (
@@ -188,8 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Toxici
         .limit(rows)
         .select("doc_id", "toxic")
     )
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    found = sorted({(r["doc_id"], r["text"] or "", r["toxic"]) for r in found}, key=lambda r: (hash(r[0]) * 2654435761 % 2**32, r))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = found.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
+    found = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in found), key=lambda r: (hash(r[0]) * 2654435761 % 2**32, r))
     return ToxicityModel.fit([r[1] for r in found], [r[2] for r in found])
 
 
