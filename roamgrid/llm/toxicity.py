@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are made, one trained on windows of ordinary texts, one of the word
-beginnings that recur in toxic texts and that ordinary ones lack, the most frequent last.  A window of a text is compressed twice, with the ordinary
-dictionary alone and with the toxic one before it; the bytes that the toxic one saves are the
-window's gain.  A text's gains (their mean, their largest ones, the share of windows over the
+beginnings that recur in toxic texts and that ordinary ones lack, the most frequent last.  A window
+of a few words is compressed twice, with the ordinary dictionary alone and with the toxic one before
+it; the bytes that the toxic one saves are the window's gain.  Each window ends in a constant that
+both dictionaries know, so that no window is too short for zstandard to compress.  A text's gains (their mean, their largest ones, the share of windows over the
 window thresholds) are calibrated to a probability by logistic regression on labelled texts that
 the dictionaries were not trained on.
 """
@@ -22,12 +23,14 @@ from pyspark.sql import functions as F
 LABELLED_ROWS = 9_000
 #: Ordinary texts among them that the ordinary dictionary and vocabulary are taken from, at most.
 ORDINARY_TEXTS = 5_000
-WINDOW_BYTES = 128
-ORDINARY_BYTES, TOXIC_BYTES = 16_384, 1_024
+WINDOW_BYTES = 32
+ORDINARY_BYTES, TOXIC_BYTES = 32_768, 1_024
 #: Share of the toxic training texts in which a word's beginning must recur to be in the toxic
 #: dictionary, its share of ordinary texts to that at most, and its length with blanks.
-RECURS_IN, RARE, STEM = 0.02, 0.02, (6, 12)
+RECURS_IN, RARE, STEM = 0.02, 0.05, (5, 10)
 MARKS = b".,;:!?|*#$%&"
+#: What ends every window and both dictionaries; of it a frame holds one reference.
+TAIL = b" 0123456789abcdef0123456789"
 FOLDS = 3
 #: Bytes saved from which a window counts as toxic, mildly and clearly.
 MILD, CLEAR = 2, 3
@@ -51,7 +54,7 @@ def windows(text: bytes, size: int = WINDOW_BYTES) -> list[bytes]:
 def _compressor(content: bytes) -> zstd.ZstdCompressor:
     """Short matches are sought, and frames hold nothing but the content."""
     parameters = zstd.ZstdCompressionParameters.from_level(
-        9, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, strategy=zstd.STRATEGY_LAZY2, window_log=15, format=zstd.FORMAT_ZSTD1_MAGICLESS
+        9, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, strategy=zstd.STRATEGY_LAZY2, window_log=17, format=zstd.FORMAT_ZSTD1_MAGICLESS
     )
     trained = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
     return zstd.ZstdCompressor(dict_data=trained, compression_params=parameters)
@@ -140,9 +143,9 @@ class ToxicityModel:
 
     def features(self, text: bytes) -> list[float]:
         if self._ready is None:
-            self._ready = _compressor(self.parts[0]).compress, _compressor(self.parts[1] + self.parts[0]).compress
+            self._ready = _compressor(self.parts[0] + TAIL).compress, _compressor(self.parts[1] + self.parts[0] + TAIL).compress
         without, with_toxic = self._ready
-        gain = np.array([len(without(w)) - len(with_toxic(w)) for w in windows(text)])
+        gain = np.array([len(without(w)) - len(with_toxic(w)) for w in (w + TAIL for w in windows(text))])
         top = np.sort(gain)[::-1]
         mild = gain >= MILD
         return [top[0], top[:3].mean(), gain.mean(), mild.mean(), (gain >= CLEAR).mean(), np.log1p(mild.sum()), np.log1p(np.maximum(gain - 1, 0).sum())]
