@@ -53,7 +53,7 @@ ENOUGH = 0.25
 BROADCAST_HOSTS = 200_000
 
 _tag = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)()[^>]*>|<[!?/][^>]*>", re.S
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)()[^>]*>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z", re.S
 )
 _attribute = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _words = re.compile(r"[a-z]+")
@@ -267,7 +267,7 @@ def votes(pages: DataFrame) -> DataFrame:
 
 def winning_paths(voted: DataFrame) -> DataFrame:
     """``host`` and its winning ``paths``, most votes first, then most text, then alphabetically."""
-    counted = voted.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    counted = written(voted.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score")), "votes")
     totals = counted.groupBy("host").agg(F.sum("n").alias("pages"))
     winners = counted.join(totals, "host").where(F.col("n") >= WINS * F.col("pages"))
     order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), (-F.col("score")).alias("score"), "path")))
