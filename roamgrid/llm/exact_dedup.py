@@ -14,6 +14,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from roamgrid.plans.storage import delete_path, new_path
 
@@ -84,11 +85,12 @@ class ExactDedup:
             *more,
         )
 
-    def absorb(self, rows_path: str, schema) -> None:
-        """Streams a folder of digest rows through the state and appends the changed keys."""
+    def absorb(self, schema: StructType) -> None:
+        """Streams the digest rows of all runs that it hasn't met yet through the state and appends the changed keys."""
         spark = self.spark
         before = {k: spark.conf.get(k, None) for k in STATE_STORE}
-        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(rows_path)
+        schema = StructType([*schema.fields, StructField("run", StringType())])
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(f"{self.folder}/digests")
         # the largest of: length, smallest identifier, earliest locator
         rank = F.struct("n_points", F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("at_row").alias("not_row"), "at_file")
         state = rows.groupBy("digest").agg(F.count("*").alias("group_size"), F.max(rank).alias("keeper"))
@@ -138,11 +140,11 @@ class ExactDedup:
         """``run`` on rows that have their locators."""
         spark = self.spark
         docs = rows.select("row.doc_id", "row.text", "at_file", "at_row")
-        path = f"{self.folder}/digests/{uuid.uuid4().hex}"
+        path = f"{self.folder}/digests/run={uuid.uuid4().hex}"
         narrow = self.digests(docs)
         narrow.write.mode("overwrite").parquet(path)
         rows = spark.read.schema(narrow.schema).parquet(path)
-        self.absorb(path, narrow.schema)
+        self.absorb(narrow.schema)
         groups = self.groups(
             "digest binary, group_size bigint, keeper struct<n_points: int, not_id: bigint, not_row: bigint, at_file: string>, batch int"
         )
