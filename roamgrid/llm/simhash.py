@@ -117,8 +117,8 @@ class VantageTree:
 def links(distinct: DataFrame, reach: int = 2, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints of column ``fp`` that span each component.
 
-    Every returned pair differs in ``reach`` bits or fewer, and any such pair of fingerprints is
-    joined by returned pairs; only pairs that other returned pairs imply are left out.
+    Two fingerprints are joined by returned pairs if and only if they are by pairs that differ in
+    ``reach`` bits or fewer.  A returned pair may stand for two such pairs that share a fingerprint.
     """
     spark = distinct.sparkSession
     n = distinct.count()
