@@ -34,11 +34,18 @@ UNDETERMINED = "und"
 #: Mean probability below which the pipeline takes a text to have no certain language.
 LEAST_SCORE = 0.4
 
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-find_words = re.compile(rf"[^\W\d_{_NUMERALS}]+").findall  # runs of letters
+_runs = re.compile(r"[^\W\d_]+").findall
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
+def find_words(text: str) -> list[str]:
+    """Runs of letters; numerals such as superscripts, which re takes for word characters, end one."""
+    words = _runs(text)
+    if not words or "".join(words).isalpha():
+        return words
+    return [w for run in words for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     h = (h ^ np.uint64(salt * 0x1000193)) * _M
     return (h ^ (h >> np.uint64(29))) * _M
