@@ -29,7 +29,8 @@ BLOCK = set(
     "tfoot th thead tr ul br".split()
 )
 CONTAINERS = set("article body center div html main section table tbody td tr form fieldset".split())
-ASIDE = set("nav footer aside form fieldset button select option menu dialog svg math canvas object audio video map label".split())
+ASIDE = set("nav footer aside button select option menu dialog svg math canvas object audio video map label".split())
+FORMS = {"form", "fieldset"}
 ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 #: Words in a class or id that mark what isn't the article.
 MARKS = set(
@@ -43,6 +44,8 @@ MARKS = set(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}}
 SCOPES = set("ul ol dl table td th div article section main aside body".split())
 
+#: Share of a page's running text from which a marked element or a form wraps the article.
+WRAPS, FORM_WRAPS = 0.5, 0.8
 #: Share of a page's running text that its container must hold.
 HOLDS = 0.8
 #: Share of a host's pages that must name a path for it to win; so a host has at most ten.
@@ -64,11 +67,13 @@ _number = re.compile(r"\d+")
 class Page:
     """A parsed page: elements and text blocks in page order.
 
-    An element is (parent, tag, key, aside); a block is [element, raw text pieces, link letters].
+    An element is (parent, tag, key, aside, marked); a block is [element, raw text pieces, link
+    letters].  What is marked only by a class, an id or as a form counts as aside unless it wraps the
+    article.
     """
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.key, self.aside = [-1], ["#root"], [""], [False]
+        self.parent, self.tag, self.key, self.aside, self.marked = [-1], ["#root"], [""], [False], [False]
         self.blocks: list[list] = []
         self._parse(source)
 
@@ -129,36 +134,38 @@ class Page:
         while ends and self.tag[stack[-1]] in ends:
             stack.pop()
         parent = stack[-1]
-        key, aside = name, self.aside[parent] or name in ASIDE
+        key, aside, marked = name, name in ASIDE, name in FORMS
         if name == "header":
             aside = aside or not any(self.tag[i] in ("article", "main") for i in stack)
         if attributes.strip(" /"):
-            named, marked = self._read(attributes)
+            named, away, word = self._read(attributes)
             key += named
-            aside = aside or marked and name not in ("html", "body", "article", "main")
+            if name not in ("html", "body", "article", "main"):
+                aside, marked = aside or away, marked or word
         self.parent.append(parent)
         self.tag.append(name)
         self.key.append(key)
         self.aside.append(aside)
+        self.marked.append(marked)
         stack.append(len(self.tag) - 1)
 
     @staticmethod
     def _read(attributes):
-        """Generalised classes, and whether the attributes mark what isn't the article."""
-        named, marked = "", False
+        """Generalised classes, and whether role or style, or a word of MARKS, tell what isn't the article."""
+        named, away, word = "", False, False
         for m in _attribute.finditer(attributes):
             what, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if what == "role":
-                marked |= value.lower() in ROLES
+                away |= value.lower() in ROLES
             elif what == "hidden":
-                marked |= not value or value.lower() == "hidden"
+                away |= not value or value.lower() == "hidden"
             elif what == "style":
-                marked |= "display:none" in value.replace(" ", "").lower()
+                away |= "display:none" in value.replace(" ", "").lower()
             else:
                 if what == "class" and value:
                     named = "." + ".".join(sorted({_number.sub("#", c) for c in value.lower().split()}))
-                marked |= not MARKS.isdisjoint(_words.findall(_camel.sub(r"\1 \2", value).lower()))
-        return named, marked
+                word |= not MARKS.isdisjoint(_words.findall(_camel.sub(r"\1 \2", value).lower()))
+        return named, away, word
 
     def _close(self, stack, name):
         for i in range(len(stack) - 1, 0, -1):
@@ -187,15 +194,40 @@ class Page:
             p = self.parent[i]
             menu = self.tag[i] in ("ul", "ol", "dl") and many[i] >= 3 and linked[i] >= 0.9 * letters[i]
             self.aside[i] = self.aside[i] or self.aside[p] or menu
-        self.score = [0.0] * n
-        for at, pieces, link in self.blocks:
-            if not self.aside[at]:
-                size = sum(map(len, pieces))
-                self.score[at] += max(0, size - link)
-        for i in range(n - 1, 0, -1):
-            self.score[self.parent[i]] += self.score[i]
+        running = self._running(self.aside)
+        wraps = self._wraps(running)
+        aside = list(self.aside)
+        for i in range(1, n):
+            aside[i] = aside[i] or aside[self.parent[i]] or self.marked[i] and not wraps[i]
+        self.score = self._running(aside)
+        if self.score[0]:
+            self.aside = aside
+        else:  # without marks rather than empty
+            self.score = running
         return self
 
+    def _running(self, aside) -> list[float]:
+        """Letters of running text in and below each element."""
+        score = [0.0] * len(self.tag)
+        for at, pieces, link in self.blocks:
+            if not aside[at]:
+                score[at] += max(0, sum(map(len, pieces)) - link)
+        for i in range(len(self.tag) - 1, 0, -1):
+            score[self.parent[i]] += score[i]
+        return score
+
+    def _wraps(self, running) -> list[bool]:
+        """Elements that hold main, the longest article, or most of the page's running text."""
+        n = len(self.tag)
+        wraps = [running[i] > (FORM_WRAPS if self.tag[i] in FORMS else WRAPS) * running[0] for i in range(n)]
+        articles = [i for i in range(n) if self.tag[i] == "article" and running[i]]
+        holds = [i for i in range(n) if self.tag[i] == "main" and running[i]] + ([max(articles, key=lambda i: running[i])] if articles else [])
+        for i in holds:
+            while i > 0:
+                i = self.parent[i]
+                wraps[i] = True
+        return wraps
+
     def container(self) -> int:
         """The innermost container that holds nearly all running text."""
         best = {}

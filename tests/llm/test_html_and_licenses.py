@@ -111,3 +111,19 @@ def test_every_sentence_and_rule_is_reachable():
     known = licenses._known()
     assert all(s == re.sub("[^a-z0-9]+", " ", s).strip() and re.search(licenses.HINT, s) for s in known)
     assert {x for _, sequence in licenses.RULES for x in sequence} <= set(licenses.SENTENCES)
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ["div class='content-sidebar-wrap'", "div class='no-sidebar'", "div class='container side'", "div class='social-science'", "section class='discussion'", "div id='print-area'", "form action='/x'"],
+)
+@pytest.mark.parametrize("inner", ["article", "div class='text'"])
+def test_marked_wrappers_hold_the_article(wrapper, inner):
+    tag = wrapper.split()[0]
+    source = f"<body>{BOILER}<{wrapper}><{inner}>{BODY}</{inner.split()[0]}>{CLOSING}</{tag}><div><p>Made here.</p></div></body>"
+    got = html_text.parse(source).text().split("\n")
+    assert all(line in got for line in TEXT.split("\n")) and not any("reader says" in line or "friends" in line for line in got)
+
+
+def test_a_marked_page_is_not_empty():
+    assert html_text.parse("<div class='widget'><p>One half of it.</p></div><div class='popup'><p>The other half.</p></div>").text() == "One half of it.\nThe other half."
