@@ -1,12 +1,14 @@
 """Main text of web pages by consensus of each host's pages.
 
 1. Every page is parsed and its containers are scored by the running text in them; the page names
-   the innermost container that holds nearly all of it, as a path of tags with their classes in
-   which numbers are generalised.
+   the innermost container that holds all of it, as a path of tags with their classes in which
+   numbers are generalised.
 2. Spark counts these votes for each host and path; a host's winning paths are those that enough
    of its pages name.
-3. Every page is extracted again from the containers on its host's winning paths.  A page that has
-   none of them, or whose host is unknown, is extracted from its own container.
+3. A page whose path another page of its host names too is extracted from its own container.  One
+   that stands alone takes the first winning path that holds nearly all of its text, or the path
+   that most pages of its host name if that holds enough: what only this page has outside counts as
+   beside the article.  Else, and if its host is unknown, it keeps its own container.
 """
 
 from __future__ import annotations
@@ -46,14 +48,13 @@ SCOPES = set("ul ol dl table td th div article section main aside body".split())
 
 #: Share of a page's running text from which a marked element or a form wraps the article.
 WRAPS, FORM_WRAPS = 0.5, 0.8
-#: Share of a page's running text that its container must hold.
-HOLDS = 0.8
 #: Share of a host's pages that must name a path for it to win; so a host has at most ten.
 WINS = 0.1
-#: Share of the page's own container's text that a winning path's containers must hold to be used.
-ENOUGH = 0.25
-#: Winning hosts up to this number are broadcast, more are joined by a shuffle.
-BROADCAST_HOSTS = 200_000
+#: Share of the page's running text that a winning path's containers must hold to be used, and what
+#: that of the path which most pages of the host name must hold; both for pages that stand alone.
+NEARLY, ENOUGH = 0.95, 0.25
+#: Hosts' paths up to this number are broadcast, more are joined by a shuffle.
+BROADCAST_PATHS = 200_000
 
 _tag = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)()[^>]*>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z", re.S
@@ -229,17 +230,28 @@ class Page:
         return wraps
 
     def container(self) -> int:
-        """The innermost container that holds nearly all running text."""
+        """The innermost container that holds all running text."""
         best = {}
         for i in range(1, len(self.tag)):
             p = self.parent[i]
             if self.tag[i] in CONTAINERS and self.score[i] > self.score[best.get(p, 0)] * (p in best):
                 best[p] = i
         at = 0
-        while at in best and self.score[best[at]] >= HOLDS * self.score[at]:
+        while at in best and self.score[best[at]] == self.score[0]:
             at = best[at]
         return at
 
+    def _outermost(self, found: set[int]) -> list[int]:
+        """Elements of ``found`` that stand in no other one of it."""
+        out = []
+        for i in found:
+            p = self.parent[i]
+            while p >= 0 and p not in found:
+                p = self.parent[p]
+            if p < 0:
+                out.append(i)
+        return out
+
     def path(self, i: int) -> str:
         keys = []
         while i > 0:
@@ -248,20 +260,25 @@ class Page:
             i = self.parent[i]
         return ">".join(reversed(keys))
 
-    def text(self, paths: list[str] | None = None) -> str:
-        """Text of the containers on the first of ``paths`` that has enough, or of the page's own."""
+    def text(self, paths: list[str] | None = None, named: list[str] | None = None, outvotes: bool = False) -> str:
+        """Text of the page's own container, or of those on one of the host's winning ``paths``.
+
+        ``named``: the paths that several pages of the host name; ``outvotes``: whether most of its
+        pages name the first of ``paths``.
+        """
         own = self.container()
         chosen = {own}
-        if paths:
+        if paths and self.path(own) not in (named or ()):
             at = {}
             for i in range(len(self.tag)):
                 if i == 0 or self.tag[i] in CONTAINERS:
                     at.setdefault(self.path(i), set()).add(i)
-            for path in paths:
-                found = at.get(path, set())
-                if found and sum(self.score[i] for i in found) >= ENOUGH * self.score[own]:
-                    chosen = found
-                    break
+            held = [sum(self.score[i] for i in self._outermost(at.get(path, set()))) for path in paths]
+            enough = [k for k, x in enumerate(held) if x and x >= NEARLY * self.score[0]]
+            if not enough and outvotes and held[0] and held[0] >= ENOUGH * self.score[0]:
+                enough = [0]
+            if enough:
+                chosen = at[paths[enough[0]]]
         inside = [False] * len(self.tag)
         for i in range(len(self.tag)):
             inside[i] = i in chosen or i > 0 and inside[self.parent[i]]
@@ -298,12 +315,16 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def winning_paths(voted: DataFrame) -> DataFrame:
-    """``host`` and its winning ``paths``, most votes first, then most text, then alphabetically."""
+    """``host``, its winning ``paths``, most votes first, then most text, then alphabetically, the
+    paths ``named`` by several pages, and whether most pages name the first path (``outvotes``)."""
     counted = written(voted.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score")), "votes")
     totals = counted.groupBy("host").agg(F.sum("n").alias("pages"))
-    winners = counted.join(totals, "host").where(F.col("n") >= WINS * F.col("pages"))
-    order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), (-F.col("score")).alias("score"), "path")))
-    return winners.groupBy("host").agg(order["path"].alias("paths"))
+    wins = F.when(F.col("n") >= WINS * F.col("pages"), F.struct((-F.col("n")).alias("n"), (-F.col("score")).alias("score"), "path"))
+    several = F.when(F.col("n") > 1, F.col("path"))
+    found = counted.join(totals, "host").groupBy("host").agg(
+        F.sort_array(F.collect_list(wins))["path"].alias("paths"), F.collect_list(several).alias("named"), F.coalesce(F.max(F.col("n") * 2 > F.col("pages")), F.lit(False)).alias("outvotes")
+    )
+    return found.where((F.size("paths") > 0) | (F.size("named") > 0))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -314,14 +335,14 @@ def extract(pages: DataFrame) -> DataFrame:
     are left out.
     """
     winners = written(winning_paths(votes(pages)), "host_paths")
-    few = winners.count() <= BROADCAST_HOSTS
+    few = (winners.agg(F.sum(F.size("paths") + F.size("named"))).head()[0] or 0) <= BROADCAST_PATHS
 
     def run(batches):
         for b in batches:
-            texts = [parse(source).text(paths) for source, paths in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = [parse(source).text(*host) for source, *host in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
             sizes = [len(t) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url"))).join(F.broadcast(winners) if few else winners, "host", "left")
-    return rows.select("page_id", "url", "html", "paths").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "paths", "named", "outvotes").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -127,3 +127,22 @@ def test_marked_wrappers_hold_the_article(wrapper, inner):
 
 def test_a_marked_page_is_not_empty():
     assert html_text.parse("<div class='widget'><p>One half of it.</p></div><div class='popup'><p>The other half.</p></div>").text() == "One half of it.\nThe other half."
+
+
+def test_no_share_of_the_article_is_cut(spark):
+    """A lead, a small second section and prose beside a table stay, though all pages of the host vote alike."""
+    say = lambda n, what: "<p>" + f"{what} words go on. " * n + "</p>"
+    bodies = [
+        f"<article><h1>Title</h1><p class=lead>The lead.</p>{say(1, 'Lead')}<div class=body>{say(9, 'Body')}</div></article>",
+        f"<main><section class=a>{say(9, 'First')}</section><section class=b>{say(2, 'Second')}</section></main>",
+        f"<div class=text>{say(2, 'Prose')}<table><tr><td>{say(9, 'Table')}</td></tr></table></div>",
+    ]
+    wants = [["Title", "The lead.", "Lead", "Body"], ["First", "Second"], ["Prose", "Table"]]
+    rows = [(10 * k + i, f"https://h{k}.org/{i}", f"<html><body>{BOILER}{body}{CLOSING}</body></html>", None, None, None) for k, body in enumerate(bodies) for i in range(4)]
+    # a host's minority layout, in which the path of most pages holds a third of the article
+    major, minor = f"<div class=main>{say(6, 'Major')}</div>", f"<div class=main>{say(3, 'Part')}</div><div class=more>{say(6, 'Rest')}</div>"
+    rows += [(100 + i, f"https://z.org/{i}", f"<body>{minor if i < 2 else major}</body>", None, None, None) for i in range(40)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for k, want in enumerate(wants):
+        assert all(w in got[10 * k + i] for w in want for i in range(4))
+    assert all(w in got[100 + i] for w in ("Part", "Rest") for i in range(2)) and "Major" in got[139]
