@@ -33,6 +33,9 @@ BATCH_WORDS, CACHED_WORDS = 200_000, 800_000
 UNDETERMINED = "und"
 #: Mean probability below which the pipeline takes a text to have no certain language.
 LEAST_SCORE = 0.4
+#: Mean over a text's words of their own largest probability from which the pipeline takes even a
+#: mixed text to be of certain languages.
+LEAST_CERTAINTY = 0.6
 
 _runs = re.compile(r"[^\W\d_]+").findall
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -104,13 +107,20 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; ``und`` and 0 for null and for texts without letters."""
-        langs, scores = [], []
+        langs, scores, _ = self.predict_certainty(texts)
+        return langs, scores
+
+    def predict_certainty(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """As predict, and the mean over each text's words of the word's largest label probability."""
+        langs, scores, certain = [], [], []
         for ids, lengths in self._numbered(texts):
-            mean = _label_means(self._scores[ids], lengths, np.exp(self.transitions))
+            p = _marginals(self._scores[ids].astype(float), lengths, np.exp(self.transitions))
+            mean = _means(p, lengths)
             best = mean.argmax(axis=1)
             langs += [self.labels[k] if n else UNDETERMINED for k, n in zip(best, lengths)]
             scores.append(np.where(lengths > 0, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0))
-        return langs, np.concatenate([*scores, np.zeros(0)])
+            certain.append(np.clip(_means(p.max(axis=1, keepdims=True), lengths)[:, 0], 0, 1))
+        return langs, np.concatenate([*scores, np.zeros(0)]), np.concatenate([*certain, np.zeros(0)])
 
     def label_words(self, text: str | None) -> list[tuple[str, str]]:
         """Each word of a text and its most probable label."""
@@ -299,8 +309,7 @@ def _marginals(x: np.ndarray, lengths: np.ndarray, a: np.ndarray) -> np.ndarray:
     return _unit(out)
 
 
-def _label_means(x: np.ndarray, lengths: np.ndarray, a: np.ndarray) -> np.ndarray:
-    p = _marginals(x.astype(float), lengths, a)
+def _means(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
     ends = np.cumsum(lengths)
     return (total[ends] - total[ends - lengths]) / np.maximum(lengths, 1)[:, None]
@@ -359,13 +368,14 @@ def label_words(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_determined(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with at least this score."""
+    """The rows of ``docs``, all columns, whose text has a language with at least this score, or
+    whose words have certain languages, however these are mixed."""
     there = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            langs, scores = there.value.predict(b.column(at).to_pylist())
-            yield b.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(langs, scores)], pa.bool_()))
+            langs, scores, certain = there.value.predict_certainty(b.column(at).to_pylist())
+            yield b.filter(pa.array([x != UNDETERMINED and (s >= least or c >= LEAST_CERTAINTY) for x, s, c in zip(langs, scores, certain)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -96,6 +96,17 @@ def test_language_of_odd_rows(spark, language_model):
     assert {2, 3, 4, 9}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_the_stage_keeps_mixed_texts_and_drops_noise(spark, docs, language_model):
+    """Four languages in like shares: no label has 0.4 of the words, but every word's label is sure."""
+    texts = {r.lang: r.text for r in docs.where("lang IS NOT NULL AND n_chars BETWEEN 400 AND 2000").collect()}
+    mixed = " ".join(" ".join(language_id.find_words(texts[x])[:40]) for x in ("de", "en", "es", "fr"))
+    random = np.random.default_rng(3)
+    noise = " ".join("".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), random.integers(2, 10))) for _ in range(300))
+    assert max(language_model.predict([mixed, noise])[1]) < language_id.LEAST_SCORE
+    df = spark.createDataFrame([(1, mixed, None, None, None), (2, noise, None, None, None), (3, "漢字 " * 50, None, None, None)], DOCUMENTS)
+    assert [r.doc_id for r in language_id.keep_determined(df, language_model).collect()] == [1]
+
+
 def test_language_does_not_depend_on_the_batch(docs, language_model):
     texts = [r.text for r in docs.limit(60).collect()]
     fresh = pickle.loads(pickle.dumps(language_model))
