@@ -17,8 +17,6 @@ from roamgrid.plans.storage import shuffle_width, written
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
-#: Distinct lengths that the dynamic program takes; with more, lengths are rounded up to a step.
-LENGTHS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -31,7 +29,7 @@ def choose_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKET
 
     ``lengths`` ascending and distinct.  The cost of a bucket from i to j is
     ``lengths[j] * count(i..j) - tokens(i..j)``, which has monotone best splits, so each row of the
-    program is solved by halving.  Ties go to the earliest split.
+    program is solved by halving, a level at a time in O(n).  Ties go to the earliest split.
     """
     n = len(lengths)
     if not n:
@@ -42,22 +40,23 @@ def choose_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKET
     splits = []
     for _ in range(min(buckets, n) - 1):
         best, split = np.empty(n), np.zeros(n, np.int64)
-        # level by level: the middle of each range is solved between its neighbours' splits
-        ranges = [(0, n - 1, 0, n - 1)]
-        while ranges:
-            following = []
-            for lo, hi, s_lo, s_hi in ranges:
-                j = (lo + hi) // 2
-                i = np.arange(s_lo, min(j, s_hi) + 1)  # the last bucket begins at i
-                before = np.where(i > 0, upto[i - 1], 0.0)
-                cost = before + lengths[j] * (number[j + 1] - number[i]) - (tokens[j + 1] - tokens[i])
-                k = int(cost.argmin())
-                best[j], split[j] = cost[k], i[k]
-                if lo < j:
-                    following.append((lo, j - 1, s_lo, split[j]))
-                if j < hi:
-                    following.append((j + 1, hi, split[j], s_hi))
-            ranges = following
+        # level by level: the middles of all ranges are solved between their neighbours' splits
+        lo, hi, s_lo, s_hi = (np.array([x]) for x in (0, n - 1, 0, n - 1))
+        while len(lo):
+            j = (lo + hi) // 2
+            size = np.minimum(j, s_hi) - s_lo + 1
+            start = np.cumsum(size) - size
+            i = np.arange(size.sum()) - np.repeat(start - s_lo, size)  # the last bucket begins at i
+            to = np.repeat(j, size)
+            before = np.where(i > 0, upto[i - 1], 0.0)
+            cost = before + lengths[to] * (number[to + 1] - number[i]) - (tokens[to + 1] - tokens[i])
+            least = np.minimum.reduceat(cost, start)
+            at = np.flatnonzero(cost == np.repeat(least, size))
+            best[j], split[j] = least, i[at[np.searchsorted(at, start)]]
+            left, right = lo < j, j < hi
+            lo, hi, s_lo, s_hi = (
+                np.concatenate(x) for x in ((lo[left], j[right] + 1), (j[left] - 1, hi[right]), (s_lo[left], split[j][right]), (split[j][left], s_hi[right]))
+            )
         splits.append(split)
         upto = best
     bounds, j = [], n - 1
@@ -71,14 +70,15 @@ def choose_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKET
     return sorted(bounds)
 
 
-def histogram(rows: DataFrame, most: int = LENGTHS) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and their counts over all rows; lengths are rounded up to the least step that leaves ``most``."""
-    counted = rows.groupBy("n_tokens").agg(F.count("*").alias("n"))
-    counted = written(counted, "length_histogram")
-    distinct, longest = counted.agg(F.count("*"), F.max("n_tokens")).head()
-    step = 1 if distinct <= most else -(-longest // most)
-    found = counted.groupBy((F.ceil(F.col("n_tokens") / step) * step).alias("length")).agg(F.sum("n").alias("n")).orderBy("length").collect()
-    return np.array([r["length"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64)
+def histogram(rows: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and their counts over all rows, exact; only with ``most`` are they rounded up, to the least step that leaves so many."""
+    counted = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow()
+    lengths, counts = (counted.column(i).to_numpy().astype(np.int64) for i in range(2))
+    if most and len(lengths) > most:
+        step = -(-lengths.max() // most)
+        lengths = -(-lengths // step) * step
+    found, at = np.unique(lengths, return_inverse=True)
+    return found, np.bincount(at, counts, len(found)).astype(np.int64)
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, length: Column | None = None) -> DataFrame:

@@ -61,6 +61,23 @@ def test_packing_all_documents(spark):
     check_packed(rows, registry.op8_length_buckets(spark, SF).collect())
 
 
+def test_no_length_is_rounded(spark):
+    """More than 20,000 distinct lengths of which one is very long; the short ones keep their own bounds."""
+    lengths = [2_000_000, *range(2, 20_010), *[3] * 5_000, *[7] * 5_000]
+    rows = spark.createDataFrame([(i, "", n) for i, n in enumerate(lengths)], "doc_id long, text string, n long")
+    found, counts = packing.histogram(rows.select(F.col("n").alias("n_tokens")))
+    want = Counter(lengths)
+    assert dict(zip(found.tolist(), counts.tolist())) == want and list(found) == sorted(want)
+    got = packing.pack(rows, length=F.col("n")).select("n_tokens", "bucket_bound").distinct().collect()
+    bounds = packing.choose_bounds(found, counts)
+    assert all(r.bucket_bound == min(b for b in bounds if b >= r.n_tokens) for r in got) and len(bounds) == packing.BUCKETS
+    step = 100  # what a step of longest / 20,000 would give
+    rounded = Counter(-(-x // step) * step for x in lengths)
+    coarse = packing.choose_bounds(np.array(sorted(rounded)), np.array([rounded[x] for x in sorted(rounded)]))
+    exact = padding(list(want), list(want.values()), bounds)
+    assert exact < padding(list(want), list(want.values()), coarse)
+
+
 def test_packing_odd_rows(spark):
     check_packed(ODD, packing.pack(odd_documents(spark)).collect())
     check_packed(ODD, packing.pack(odd_documents(spark), 2, 64).collect(), 2, 64)
