@@ -1,7 +1,7 @@
 """Licence scans by sentence rules.
 
-A text is split into sentences, each is normalised and looked up among known licence sentences,
-and the identifiers found, in order, are matched against licence rules.  A rule is a sequence of
+A text is normalised, with its lines' and sentences' ends kept, and known licence sentences are
+looked up in it, wrapped or not; the identifiers found, in order, are matched against licence rules.  A rule is a sequence of
 identifiers; rules are tried in their order, and what one matches is taken out before the next.
 Known sentences that no rule takes are reported as they are.  DataFrame functions alone do the work.
 """
@@ -72,22 +72,63 @@ RULES = [
     ("CC-BY-ND-4.0", ["CcByNdUnder"]),
     ("Proprietary", ["AllRights"]),
 ]
+_FREE = "is free software you can redistribute it and or modify it under the terms of the gnu {} general public license as published by the free software foundation either version {} of the license or at your option any later version"
+# As above, what the SQL of op3 doesn't know; no given table has them.
+MORE_SENTENCES = {
+    "BsdEndorse": [
+        f"neither the name of {x} may be used to endorse or promote products derived from this software without specific prior written permission"
+        for x in ("the copyright holder nor the names of its contributors", "copyright holder nor the names of its contributors", "the copyright holders nor the names of its contributors", "the university nor the names of its contributors")
+    ],
+    "IscGrant": [
+        f"permission to use copy modify {x}distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+        for x in ("and or ", "and ")
+    ],
+    "Mpl2Subject": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "Gpl2Free": ["this program " + _FREE.format("", 2).replace("  ", " ")],
+    "Lgpl21Free": [f"this {x} " + _FREE.format("lesser", "2 1") for x in ("library", "program")],
+    "Lgpl3Free": [f"this {x} " + _FREE.format("lesser", 3) for x in ("library", "program")],
+    "AgplFree": ["this program " + _FREE.format("affero", 3)],
+    "UnlicenseFree": ["this is free and unencumbered software released into the public domain"],
+}
+MORE_RULES = [
+    ("BSD-3-Clause", ["BsdRedistribution", "BsdSource", "BsdBinary", "BsdEndorse"]),
+    ("ISC", ["IscGrant"]),
+    ("MPL-2.0", ["Mpl2Subject"]),
+    ("GPL-2.0-or-later", ["Gpl2Free", "GplHope", "GplReceived"]),
+    ("GPL-2.0-or-later", ["Gpl2Free"]),
+    ("LGPL-2.1-or-later", ["Lgpl21Free"]),
+    ("LGPL-3.0-or-later", ["Lgpl3Free"]),
+    ("AGPL-3.0-or-later", ["AgplFree"]),
+    ("Unlicense", ["UnlicenseFree"]),
+]
 #: Fixed value: a text that has none of these words in any case has no known sentence.
-HINT = r"(?i)licen[cs]e|permi|redistribut|warrant|reserved"
-#: Fixed value: where a sentence ends: a line's end, or a mark before white space or the text's end.
-SENTENCE_END = r"[\n\r]+|[.;:!?](?=\s|$)"
+HINT = r"(?i)licen[cs]e|permi|redistribut|warrant|reserved|unencumbered"
+#: What begins a line of a comment, an empty line, a line's end, and a mark before white space or the text's end.
+COMMENT, EMPTY_LINE, LINE_END, MARK = r"(?m)^[ \t]*(?:<!--|/?\*+/?|//+|#+|;+|--+|%+)[ \t]*", r"(?:\r?\n[ \t]*){2,}|\r{2,}", r"[\n\r]+", r"[.;:!?](?=\s|$)"
 
 
 def _known() -> dict[str, str]:
-    return {sentence: name for name, sentences in SENTENCES.items() for sentence in sentences}
+    return {sentence: name for some in (SENTENCES, MORE_SENTENCES) for name, sentences in some.items() for sentence in sentences}
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences of a text, in order.
+
+    A known sentence begins and ends where a line or a sentence does; inside it may be wrapped or
+    have marks, but no empty line.
+    """
     known = _known()
     of = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    plain = F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " ")))
-    return F.transform(F.filter(plain, lambda s: s.isin(*known)), lambda s: F.element_at(of, s))
+    # \u0002, then |, ends a paragraph; \u0001, then /, a line or a sentence
+    plain = F.regexp_replace(F.lower(text), COMMENT, "")
+    plain = F.regexp_replace(F.translate(plain, "\u0001\u0002", "  "), EMPTY_LINE, "\u0002")
+    plain = F.regexp_replace(F.regexp_replace(plain, MARK, "\u0001"), LINE_END, "\u0001")
+    plain = F.regexp_replace(plain, "[^a-z0-9\u0001\u0002]+", " ")
+    plain = F.regexp_replace(F.regexp_replace(plain, " *\u0002[ \u0001\u0002]*| *\u0001[ \u0001]*\u0002[ \u0001\u0002]*", "|"), " *\u0001[ \u0001]*", "/")
+    plain = F.concat(F.lit("|"), F.trim(plain), F.lit("|"))
+    any_of = "|".join(s.replace(" ", "[ /]") for s in sorted(known, key=lambda s: (-len(s), s)))
+    found = F.regexp_extract_all(plain, F.lit(rf"(?<=[|/])(?:{any_of})(?=[|/])"), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(of, F.translate(s, "/", " ")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -103,7 +144,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ids.alias("ids"))
     rows = rows.withColumn("left", F.concat_ws("", F.transform("ids", lambda x: F.concat(F.lit(","), x, F.lit(",")))))
     names: dict[str, list[str]] = {}
-    for number, (name, sequence) in enumerate(RULES):
+    for number, (name, sequence) in enumerate(MORE_RULES + RULES):
         pattern = F.lit("".join(f",{x}," for x in sequence))
         rows = rows.withColumn(f"rule_{number}", F.contains("left", pattern)).withColumn("left", F.replace("left", pattern, F.lit("|")))
         names.setdefault(name, []).append(f"rule_{number}")

@@ -146,3 +146,74 @@ def test_no_share_of_the_article_is_cut(spark):
     for k, want in enumerate(wants):
         assert all(w in got[10 * k + i] for w in want for i in range(4))
     assert all(w in got[100 + i] for w in ("Part", "Rest") for i in range(2)) and "Major" in got[139]
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it."
+
+
+def test_wrapped_licences(spark):
+    lesser = GPL.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+    affero = GPL.replace("GNU General", "GNU Affero General")
+    texts = [APACHE, MIT, BSD, BSD + ENDORSE, GPL, ISC, MPL, lesser, affero, UNLICENSE, GPL.replace("version 3", "version 2")]
+    want = ["Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0-or-later", "ISC", "MPL-2.0", "LGPL-2.1-or-later", "AGPL-3.0-or-later", "Unlicense", "GPL-2.0-or-later"]
+    for mark in ("", " * ", "# ", "// ", ";; ", "-- "):
+        got = scan(spark, *("\r\n".join(mark + line for line in t.split("\n")) for t in texts))
+        assert [r[1] for r in got] == want, mark
