@@ -6,20 +6,29 @@ executors (``spark.checkpoint.dir``); a folder of our own is used only where non
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session, or one temporary folder per application."""
+    """The shared folder named by the session; in local mode without one, a temporary folder per application.
+
+    On a cluster a folder of the driver's machine would be another folder on each executor, so there
+    the setting is needed.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if sc.applicationId not in _own:
         _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="roamgrid-")
         sc.setCheckpointDir(_own[sc.applicationId])
@@ -28,7 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the paths that were made inside, but for those added to the set that it gives.
+
+    What is computed from them must be written by then.
+    """
+    start, kept = len(_made), set()
+    try:
+        yield kept
+    finally:
+        for path in _made[start:]:
+            if path not in kept:
+                delete_path(spark, path)
+        _made[start:] = [p for p in _made[start:] if p in kept]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
