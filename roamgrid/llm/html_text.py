@@ -2,13 +2,19 @@
 
 1. Every page is parsed and its containers are scored by the running text in them; the page names
    the innermost container that holds all of it, as a path of tags with their classes in which
-   numbers are generalised.
-2. Spark counts these votes for each host and path; a host's winning paths are those that enough
-   of its pages name.
-3. A page whose path another page of its host names too is extracted from its own container.  One
-   that stands alone takes the first winning path that holds nearly all of its text, or the path
-   that most pages of its host name if that holds enough: what only this page has outside counts as
-   beside the article.  Else, and if its host is unknown, it keeps its own container.
+   numbers are generalised.  It also names, by hash, its blocks that stand in no article or main.
+2. Spark counts these votes for each host; a host's winning paths are those that enough of its pages
+   name, and its recurring blocks those that stand at one path on most of its different pages.
+3. Every page is extracted again.  Recurring blocks go.  A page whose path other pages of its host
+   name too is extracted from its own container.  One that stands alone takes the first winning path
+   that holds nearly all of its text, or the path that most pages of its host name if that holds
+   enough: what only this page has outside counts as beside the article.  Else, and if its host is
+   unknown, it keeps its own container.
+
+A class or id is weak evidence: it tells only if all its words are ones of MARKS or say nothing, never
+of a heading, and never of what wraps the article.
+
+Reading a page takes time in proportion to its length, whatever is in it: nothing is searched twice.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import html
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,59 +38,128 @@ BLOCK = set(
     "tfoot th thead tr ul br".split()
 )
 CONTAINERS = set("article body center div html main section table tbody td tr form fieldset".split())
-ASIDE = set("nav footer aside button select option menu dialog svg math canvas object audio video map label".split())
+ASIDE = set("nav footer aside button select option menu dialog svg canvas object audio video map".split())
 FORMS = {"form", "fieldset"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup caption figcaption".split())
+ARTICLES = {"article", "main"}
 ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 #: Words in a class or id that mark what isn't the article.
 MARKS = set(
-    "nav navbar navigation menu menus sidebar sidebars side footer foot header masthead topbar ad ads adv advert adverts advertisement "
+    "nav navbar navigation menu menus sidebar sidebars footer foot header masthead topbar ad ads adv advert adverts advertisement "
     "advertisements advertising adsense promo promos promotion sponsor sponsored sponsors banner banners cookie cookies consent gdpr notice "
     "notices notification alert popup modal overlay newsletter subscribe subscription signup signin login register share sharing social "
     "comment comments commentlist respond replies reply disqus discussion related recommended recommendations breadcrumb breadcrumbs crumbs "
-    "pagination pager paging widget widgets toolbar search form hidden copyright legal disclaimer paywall tags tagcloud skip print".split()
+    "pagination pager paging widget widgets toolbar search form hidden copyright legal disclaimer paywall tagcloud skip".split()
+)
+#: Words that say nothing beside one of MARKS, as in ``site-footer`` or ``share-buttons``.
+QUALIFIERS = set(
+    "site page main top bottom left right upper lower side box boxes bar bars list lists area areas block blocks wrap wrapper container "
+    "section inner outer link links button buttons icon icons item items post posts article articles content global primary secondary "
+    "group panel row col column js id the my wp more tag tags print text".split()
 )
 #: What an opened element closes when it stands directly inside it.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}}
+#: End tags of these don't reach out of what is in SCOPES.
+INSIDE = {"p", "li", "dt", "dd"}
 SCOPES = set("ul ol dl table td th div article section main aside body".split())
 
 #: Share of a page's running text from which a marked element or a form wraps the article.
 WRAPS, FORM_WRAPS = 0.5, 0.8
-#: Share of a host's pages that must name a path for it to win; so a host has at most ten.
-WINS = 0.1
+#: Links, and share of a list's letters in them, from which a list outside of articles is a menu.
+MENU_LINKS, MENU_SHARE = 3, 0.9
+#: Share of a host's pages that must name a path for it to win, so a host has at most ten; and to be
+#: named by several, beside two pages at least, so it has at most a thousand of these.
+WINS, SEVERAL = 0.1, 0.001
 #: Share of the page's running text that a winning path's containers must hold to be used, and what
 #: that of the path which most pages of the host name must hold; both for pages that stand alone.
 NEARLY, ENOUGH = 0.95, 0.25
-#: Hosts' paths up to this number are broadcast, more are joined by a shuffle.
+#: Different pages of a host, and share of its pages, from which a block outside of articles recurs.
+RECURS_ON, RECURS = 5, 0.5
+#: Hosts' paths and blocks up to this number are broadcast, more are joined by a shuffle.
 BROADCAST_PATHS = 200_000
 
-_tag = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)()[^>]*>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z", re.S
-)
-_attribute = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_begin = re.compile(r"<(?=[a-zA-Z!?/])")
+_tag = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)(\s*+>)?")
+_attribute = re.compile(r"[\s/]*+(=?+[^\s/>=]*+)\s*+(=\s*+)?+")
+_bare = re.compile(r"[^\s>]*+")
 _words = re.compile(r"[a-z]+")
 _camel = re.compile(r"([a-z])([A-Z])")
 _number = re.compile(r"\d+")
+_long_reference = re.compile(r"&#[0-9]{8,};?")
+_blank = re.compile(r"\s")
+_ROOT = 0
+
+
+def unescaped(text: str) -> str:
+    """Character references decoded; a number of too many digits for Python's int() is no character."""
+    if "&#" in text:
+        text = _long_reference.sub(lambda m: f"&#{int(d) if len(d := m[0][2:].rstrip(';').lstrip('0')) < 9 and d else 0x110000};", text)
+    return html.unescape(text)
+
+
+def tag_end(source: str, at: int, last: dict[str, int], attributes: list) -> int:
+    """Where the tag ends whose attributes begin at ``at``; -1 if the page ends in it.
+
+    Appends (name, value) of each attribute.  ``last``: place of the page's last quote of each kind;
+    a value whose quote isn't closed ends with the tag.
+    """
+    end = len(source)
+    while at < end:
+        m = _attribute.match(source, at)
+        at, value = m.end(), ""
+        if m[2]:
+            quote = source[at : at + 1]
+            if quote in last and at < last[quote]:
+                close = source.index(quote, at + 1)
+                value, at = source[at + 1 : close], close + 1
+            elif quote in last:
+                at = source.find(">", at)
+                if at < 0:
+                    return -1
+            else:
+                v = _bare.match(source, at)
+                value, at = v[0], v.end()
+        if m[1]:
+            attributes.append((m[1].lower(), value))
+        if source[at : at + 1] == ">":
+            return at + 1
+    return -1
+
+
+def marks(value: str) -> bool:
+    """Whether a class or id tells of what isn't the article: all words of one of its names do, or say nothing."""
+    for name in value.split():
+        words = _words.findall(_camel.sub(r"\1 \2", name).lower())
+        if not MARKS.isdisjoint(words) and all(w in MARKS or w in QUALIFIERS for w in words):
+            return True
+    return False
 
 
 class Page:
     """A parsed page: elements and text blocks in page order.
 
-    An element is (parent, tag, key, aside, marked); a block is [element, raw text pieces, link
-    letters].  What is marked only by a class, an id or as a form counts as aside unless it wraps the
-    article.
+    An element is (parent, tag, key, path, aside, marked, within); ``path`` is a hash of the keys from
+    the root, ``within`` whether it stands in an article or main.  A block is [element, raw text
+    pieces, link letters].  What is marked only by a class, an id or as a form counts as aside unless
+    it wraps the article.
     """
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.key, self.aside, self.marked = [-1], ["#root"], [""], [False], [False]
+        self.parent, self.tag, self.key, self.path_id = [-1], ["#root"], [""], [_ROOT]
+        self.aside, self.marked, self.within = [False], [False], [False]
         self.blocks: list[list] = []
+        self._stack = [0]
+        self._heights: dict[str, list[int]] = {}  # of the open elements of each tag
+        self._scopes, self._open_blocks = [0], [0]
         self._parse(source)
 
     def _parse(self, source: str):
-        stack, at, links = [0], 0, 0
+        stack, at, links = self._stack, 0, 0
         block = None
         end = len(source)
+        last = {q: source.rfind(q) for q in "\"'"}
         while at < end:
-            m = _tag.search(source, at)
+            m = _begin.search(source, at)
             stop = m.start() if m else end
             if stop > at:
                 text = source[at:stop]
@@ -97,93 +173,108 @@ class Page:
                         block[2] += len(text)
             if m is None:
                 break
-            at = m.end()
-            name = m[2] or m[5]
-            if name is None:
+            m = _tag.match(source, stop)
+            if m is None:  # a comment, a declaration or an odd end tag
+                comment = source.startswith("<!--", stop)
+                at = source.find("-->" if comment else ">", stop + 2)
+                if at < 0:
+                    break
+                at += 3 if comment else 1
                 continue
-            name = name.lower()
+            name, attributes = m[2].lower(), []
+            at = m.end() if m[3] else tag_end(source, m.end(), last, attributes)
+            if at < 0:
+                break  # the page ends inside a tag
             if name in BLOCK:
                 block = None
-            if m[1] or m[4]:
+            if m[1]:
                 if name == "a":
                     links = 0
-                self._close(stack, name)
-                continue
-            if name == "a":
+                self._close(name)
+            elif name == "a":
                 links = 1
-                continue
-            if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                at = close.end() if close else end
-                continue
-            if name in VOID:
-                continue
-            if name in BLOCK or name in ASIDE:
+            elif name in RAW:
+                close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
+                at = source.find(">", close.end()) + 1 if close else 0
+                if not at:
+                    break
+            elif name not in VOID and (name in BLOCK or name in ASIDE):
                 links = 0
-                self._open(stack, name, (m[3] or "") if m[2] else "")
+                self._open(name, attributes)
 
-    def _open(self, stack, name, attributes):
-        if name in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                tag = self.tag[stack[i]]
-                if tag == "p":
-                    del stack[i:]
-                    break
-                if tag in BLOCK:
-                    break
+    def _open(self, name, attributes):
+        stack, heights = self._stack, self._heights
+        if name in BLOCK and self.tag[stack[-1]] == "p":
+            self._pop(len(stack) - 1)  # a block ends an open paragraph
         ends = CLOSES.get(name)
         while ends and self.tag[stack[-1]] in ends:
-            stack.pop()
+            self._pop(len(stack) - 1)
         parent = stack[-1]
         key, aside, marked = name, name in ASIDE, name in FORMS
         if name == "header":
-            aside = aside or not any(self.tag[i] in ("article", "main") for i in stack)
-        if attributes.strip(" /"):
+            aside = not (heights.get("article") or heights.get("main"))
+        if attributes:
             named, away, word = self._read(attributes)
             key += named
             if name not in ("html", "body", "article", "main"):
-                aside, marked = aside or away, marked or word
+                aside, marked = aside or away, marked or word and name not in HEADINGS
         self.parent.append(parent)
         self.tag.append(name)
         self.key.append(key)
+        above = self.path_id[parent]
+        self.path_id.append(above if name in ("html", "body") else xxhash.xxh64_intdigest(key, above))
         self.aside.append(aside)
         self.marked.append(marked)
+        self.within.append(self.within[parent] or name in ARTICLES)
+        heights.setdefault(name, []).append(len(stack))
+        if name in SCOPES:
+            self._scopes.append(len(stack))
+        if name in BLOCK:
+            self._open_blocks.append(len(stack))
         stack.append(len(self.tag) - 1)
 
     @staticmethod
     def _read(attributes):
-        """Generalised classes, and whether role or style, or a word of MARKS, tell what isn't the article."""
+        """Generalised classes, and whether role or style, or a name of MARKS, tell what isn't the article."""
         named, away, word = "", False, False
-        for m in _attribute.finditer(attributes):
-            what, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        for what, value in attributes:
             if what == "role":
                 away |= value.lower() in ROLES
             elif what == "hidden":
                 away |= not value or value.lower() == "hidden"
             elif what == "style":
-                away |= "display:none" in value.replace(" ", "").lower()
-            else:
+                away |= "display:none" in _blank.sub("", value).lower()
+            elif what in ("class", "id"):
                 if what == "class" and value:
-                    named = "." + ".".join(sorted({_number.sub("#", c) for c in value.lower().split()}))
-                word |= not MARKS.isdisjoint(_words.findall(_camel.sub(r"\1 \2", value).lower()))
+                    named = "." + ".".join(sorted({_number.sub("#", c).replace(">", "_") for c in value.lower().split()}))
+                word |= marks(value)
         return named, away, word
 
-    def _close(self, stack, name):
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[i]]
-            if tag == name:
-                del stack[i:]
-                return
-            if name not in BLOCK and tag in BLOCK or tag in SCOPES and name in ("p", "li", "dt", "dd"):
-                return
+    def _close(self, name):
+        heights = self._heights.get(name)
+        if not heights:
+            return
+        limit = self._scopes[-1] if name in INSIDE else self._open_blocks[-1] if name not in BLOCK else 0
+        if heights[-1] > limit:
+            self._pop(heights[-1])
+
+    def _pop(self, height):
+        """Closes the open elements from a height of the stack on."""
+        stack = self._stack
+        while len(stack) > height:
+            name = self.tag[stack.pop()]
+            self._heights[name].pop()
+            if name in SCOPES:
+                self._scopes.pop()
+            if name in BLOCK:
+                self._open_blocks.pop()
 
     def finish(self):
         """Menus made of links become asides; letters of running text are summed up the elements."""
         n = len(self.tag)
         letters, linked, many = [0] * n, [0] * n, [0] * n
         for at, pieces, link in self.blocks:
-            size = sum(map(len, pieces))
-            letters[at] += size
+            letters[at] += sum(map(len, pieces))
             linked[at] += link
             many[at] += link > 0
         for i in range(n - 1, 0, -1):
@@ -192,9 +283,8 @@ class Page:
             linked[p] += linked[i]
             many[p] += many[i]
         for i in range(1, n):
-            p = self.parent[i]
-            menu = self.tag[i] in ("ul", "ol", "dl") and many[i] >= 3 and linked[i] >= 0.9 * letters[i]
-            self.aside[i] = self.aside[i] or self.aside[p] or menu
+            menu = self.tag[i] in ("ul", "ol", "dl") and not self.within[i] and many[i] >= MENU_LINKS and linked[i] >= MENU_SHARE * letters[i]
+            self.aside[i] = self.aside[i] or self.aside[self.parent[i]] or menu
         running = self._running(self.aside)
         wraps = self._wraps(running)
         aside = list(self.aside)
@@ -223,9 +313,10 @@ class Page:
         wraps = [running[i] > (FORM_WRAPS if self.tag[i] in FORMS else WRAPS) * running[0] for i in range(n)]
         articles = [i for i in range(n) if self.tag[i] == "article" and running[i]]
         holds = [i for i in range(n) if self.tag[i] == "main" and running[i]] + ([max(articles, key=lambda i: running[i])] if articles else [])
+        above = set()
         for i in holds:
-            while i > 0:
-                i = self.parent[i]
+            while i > 0 and (i := self.parent[i]) not in above:
+                above.add(i)
                 wraps[i] = True
         return wraps
 
@@ -241,17 +332,6 @@ class Page:
             at = best[at]
         return at
 
-    def _outermost(self, found: set[int]) -> list[int]:
-        """Elements of ``found`` that stand in no other one of it."""
-        out = []
-        for i in found:
-            p = self.parent[i]
-            while p >= 0 and p not in found:
-                p = self.parent[p]
-            if p < 0:
-                out.append(i)
-        return out
-
     def path(self, i: int) -> str:
         keys = []
         while i > 0:
@@ -260,30 +340,61 @@ class Page:
             i = self.parent[i]
         return ">".join(reversed(keys))
 
-    def text(self, paths: list[str] | None = None, named: list[str] | None = None, outvotes: bool = False) -> str:
+    def shown(self):
+        """(element, text, hash) of the blocks that aren't aside; the hash is of text and path, 0 in articles."""
+        for at, pieces, _ in self.blocks:
+            if not self.aside[at]:
+                text = " ".join(unescaped("".join(pieces)).split())
+                if text:
+                    yield at, text, 0 if self.within[at] else xxhash.xxh64_intdigest(text, self.path_id[at]) or 1
+
+    def _on(self, paths: set[int]) -> dict[int, list[int]]:
+        """Containers on each of these paths that stand in no other one on it."""
+        found = {p: [] for p in paths}
+        if not paths:
+            return found
+        inside: dict[int, set[int]] = {p: set() for p in paths}
+        for i, p in enumerate(self.path_id):
+            for q in paths:
+                if i and self.parent[i] in inside[q]:
+                    inside[q].add(i)
+                elif p == q and (i == 0 or self.tag[i] in CONTAINERS):
+                    inside[q].add(i)
+                    found[q].append(i)
+        return found
+
+    def text(self, paths: list[str] | None = None, named: list[str] | None = None, outvotes: bool = False, recurring: list[int] | None = None) -> str:
         """Text of the page's own container, or of those on one of the host's winning ``paths``.
 
         ``named``: the paths that several pages of the host name; ``outvotes``: whether most of its
-        pages name the first of ``paths``.
+        pages name the first of ``paths``; ``recurring``: hashes of the host's recurring blocks, as
+        signed 64-bit numbers, which go unless nothing else is left.
         """
         own = self.container()
         chosen = {own}
-        if paths and self.path(own) not in (named or ()):
-            at = {}
-            for i in range(len(self.tag)):
-                if i == 0 or self.tag[i] in CONTAINERS:
-                    at.setdefault(self.path(i), set()).add(i)
-            held = [sum(self.score[i] for i in self._outermost(at.get(path, set()))) for path in paths]
+        ids = {path: path_id(path) for path in paths or ()}
+        if paths and self.path_id[own] not in set(map(path_id, named or ())):
+            on = self._on(set(ids.values()))
+            held = [sum(self.score[i] for i in on[ids[path]]) for path in paths]
             enough = [k for k, x in enumerate(held) if x and x >= NEARLY * self.score[0]]
             if not enough and outvotes and held[0] and held[0] >= ENOUGH * self.score[0]:
                 enough = [0]
             if enough:
-                chosen = at[paths[enough[0]]]
+                chosen = set(on[ids[paths[enough[0]]]])
         inside = [False] * len(self.tag)
         for i in range(len(self.tag)):
             inside[i] = i in chosen or i > 0 and inside[self.parent[i]]
-        lines = (" ".join(html.unescape("".join(pieces)).split()) for at, pieces, _ in self.blocks if inside[at] and not self.aside[at])
-        return "\n".join(x for x in lines if x)
+        lines = [(text, h) for at, text, h in self.shown() if inside[at]]
+        gone = {h % 2**64 for h in recurring or ()}
+        return "\n".join([text for text, h in lines if h not in gone] or [text for text, _ in lines])
+
+
+def path_id(path: str) -> int:
+    """The hash of a path as Page holds it."""
+    found = _ROOT
+    for key in path.split(">") if path else ():
+        found = xxhash.xxh64_intdigest(key, found)
+    return found
 
 
 def parse(source: str | None) -> Page:
@@ -296,35 +407,47 @@ def host_of(url):
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """``host``, ``path``, ``score`` for each page that has a host and running text."""
+    """For each page with a host and running text one row of ``host``, ``path`` and ``score``, and one
+    of ``host``, ``block`` and ``page``, a hash of its text, for each different block outside of articles."""
 
     def run(batches):
         for b in batches:
-            hosts, paths, scores = [], [], []
+            rows = []
             for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 page = parse(source)
                 at = page.container()
                 if page.score[at]:
-                    hosts.append(host)
-                    paths.append(page.path(at))
-                    scores.append(page.score[at])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"])
+                    rows.append((host, page.path(at), page.score[at], None, None))
+                    shown = list(page.shown())
+                    whole = xxhash.xxh64_intdigest("\n".join(text for _, text, _ in shown)) - 2**63
+                    rows += [(host, None, None, h - 2**64 if h >= 2**63 else h, whole) for h in {h for _, _, h in shown if h}]
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64())
+            columns = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "path", "score", "block", "page"])
 
     named = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("host IS NOT NULL")
-    return named.mapInArrow(run, "host string, path string, score double")
+    return named.mapInArrow(run, "host string, path string, score double, block long, page long")
 
 
-def winning_paths(voted: DataFrame) -> DataFrame:
+def consensus(voted: DataFrame) -> DataFrame:
     """``host``, its winning ``paths``, most votes first, then most text, then alphabetically, the
-    paths ``named`` by several pages, and whether most pages name the first path (``outvotes``)."""
-    counted = written(voted.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score")), "votes")
-    totals = counted.groupBy("host").agg(F.sum("n").alias("pages"))
-    wins = F.when(F.col("n") >= WINS * F.col("pages"), F.struct((-F.col("n")).alias("n"), (-F.col("score")).alias("score"), "path"))
-    several = F.when(F.col("n") > 1, F.col("path"))
+    paths ``named`` by several pages, whether most pages name the first path (``outvotes``), and the
+    hashes of its ``recurring`` blocks."""
+    # one pass: a row for each path, and one for each block of so many different pages
+    counted = voted.groupBy("host", "path", "block").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.count_distinct("page").alias("pages"))
+    counted = written(counted.where(F.col("path").isNotNull() | (F.col("pages") >= RECURS_ON)), "votes")
+    totals = counted.where("path IS NOT NULL").groupBy("host").agg(F.sum("n").alias("all"))
+    is_path = F.col("path").isNotNull()
+    wins = F.when(is_path & (F.col("n") >= WINS * F.col("all")), F.struct((-F.col("n")).alias("n"), (-F.col("score")).alias("score"), "path"))
+    several = F.when(is_path & (F.col("n") > 1) & (F.col("n") >= SEVERAL * F.col("all")), F.col("path"))
+    recurs = F.when(~is_path & (F.col("n") >= RECURS * F.col("all")), F.col("block"))
     found = counted.join(totals, "host").groupBy("host").agg(
-        F.sort_array(F.collect_list(wins))["path"].alias("paths"), F.collect_list(several).alias("named"), F.coalesce(F.max(F.col("n") * 2 > F.col("pages")), F.lit(False)).alias("outvotes")
+        F.sort_array(F.collect_list(wins))["path"].alias("paths"),
+        F.collect_list(several).alias("named"),
+        F.coalesce(F.max(is_path & (F.col("n") * 2 > F.col("all"))), F.lit(False)).alias("outvotes"),
+        F.collect_list(recurs).alias("recurring"),
     )
-    return found.where((F.size("paths") > 0) | (F.size("named") > 0))
+    return found.where((F.size("paths") > 0) | (F.size("named") > 0) | (F.size("recurring") > 0))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -332,17 +455,17 @@ def extract(pages: DataFrame) -> DataFrame:
 
     The whole html is read; a null one is empty and gives an empty text.  A null or hostless url
     leaves the page to its own container.  Repeated rows stay repeated and vote each; other columns
-    are left out.
+    are left out; an empty table gives an empty table.
     """
-    winners = written(winning_paths(votes(pages)), "host_paths")
-    few = (winners.agg(F.sum(F.size("paths") + F.size("named"))).head()[0] or 0) <= BROADCAST_PATHS
+    agreed = written(consensus(votes(pages)), "host_consensus")
+    few = (agreed.agg(F.sum(F.size("paths") + F.size("named") + F.size("recurring"))).head()[0] or 0) <= BROADCAST_PATHS
 
     def run(batches):
         for b in batches:
-            texts = [parse(source).text(*host) for source, *host in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
+            texts = [parse(source).text(*host) for source, *host in zip(*(b.column(i).to_pylist() for i in range(2, 7)))]
             sizes = [len(t) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.withColumn("host", host_of(F.col("url"))).join(F.broadcast(winners) if few else winners, "host", "left")
-    return rows.select("page_id", "url", "html", "paths", "named", "outvotes").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    rows = rows.withColumn("host", host_of(F.col("url"))).join(F.broadcast(agreed) if few else agreed, "host", "left")
+    return rows.select("page_id", "url", "html", "paths", "named", "outvotes", "recurring").mapInArrow(run, "page_id long, url string, text string, n_chars long")
