@@ -3,20 +3,24 @@
 The rows' digests stream through one keyed, disk-backed state (RocksDB) that never expires.  For
 each digest it retains how many rows had it and, of the row that stays so far, the length and
 identifier that rank it and the locator of its content (file and row number).  Later batches, or
-later runs on the same checkpoint, meet the state of all earlier ones.  Only digests and locators
-go through the state; a digest that is hit has its rows' whole contents compared, and rows that
-differ are told apart by content.
+later runs on the same folder, meet the state of all earlier ones.
+
+A digest that is hit, by rows of one run or of an earlier one, has whole contents compared before it
+goes to the state: those of the run's rows, and the earlier keepers', which are read by their
+locators.  Different contents of one digest get state rows of their own, told apart by ``variant``.
 """
 
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from roamgrid.plans.storage import delete_path, new_path
+from roamgrid.llm.rows import located, semi_join
+from roamgrid.plans.storage import delete_path, new_path, written
 
 #: Fixed value: characters that don't count when texts are compared.
 BLANKS = " \t\n\x0b\f\r"
@@ -25,8 +29,10 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Keys up to this number are broadcast when rows are looked up, more are shuffled.
-BROADCAST_KEYS = 1_000_000
+#: Rows of a group from which it is looked up by a broadcast, at least, and groups that are, at most:
+#: groups of more than ``rows / HOT_GROUPS`` rows are that few.
+HOT_ROWS, HOT_GROUPS = 100, 100_000
+STATE = "digest binary, variant int, group_size bigint, keeper struct<n_points: int, not_id: bigint, not_row: bigint, at_file: string>, batch int"
 
 
 def normalised(text: Column) -> Column:
@@ -41,48 +47,28 @@ def sha256(content: Column) -> Column:
     return F.unhex(F.sha2(content, 256))
 
 
-def is_scan(docs: DataFrame) -> bool:
-    """Whether the rows come straight from one scan of Parquet files, so that a file's row is met once."""
-    node = docs._jdf.queryExecution().analyzed()
-    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
-        node = node.children().apply(0)
-    return node.nodeName().startswith("LogicalRelation") and "parquet" in node.toString().lower() and "_metadata" not in docs.columns
-
-
-def located(docs: DataFrame) -> DataFrame:
-    """``row`` (a struct of all columns), ``at_file`` and ``at_row``; what isn't a scan is written first."""
-    rows = docs.select(F.struct("*").alias("row")) if not is_scan(docs) else None
-    if rows is not None:
-        path = new_path(docs.sparkSession, "located")
-        rows.write.parquet(path)
-        docs = docs.sparkSession.read.schema(rows.schema).parquet(path)
-    row = F.struct("*") if rows is None else F.col("row")
-    return docs.select(row.alias("row"), F.col("_metadata.file_path").alias("at_file"), F.col("_metadata.row_index").alias("at_row"))
-
-
-def semi_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
-    """Rows whose key is in ``keys``; these are broadcast only if they are few."""
-    few = keys.count() <= BROADCAST_KEYS
-    return rows.join(F.broadcast(keys) if few else keys, on, how)
-
-
 class ExactDedup:
-    """Deduplicates by content, with state kept under ``folder`` so that later runs go on from it."""
+    """Deduplicates by content, with state kept under ``folder`` so that later runs go on from it.
+
+    The files of earlier runs must still be there: their keepers' contents are read again.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, digest=sha256, files_per_batch: int = 1000):
         self.spark, self.digest, self.files_per_batch = spark, digest, files_per_batch
         self.folder = folder or new_path(spark, "exact_dedup")
 
-    def digests(self, docs: DataFrame, *more: Column) -> DataFrame:
+    def _exists(self, path: str) -> bool:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def digests(self, docs: DataFrame) -> DataFrame:
         """``digest``, ``doc_id``, ``n_points`` and the locator of each row."""
-        content = normalised(F.col("text"))
         return docs.select(
-            self.digest(content).alias("digest"),
+            self.digest(normalised(F.col("text"))).alias("digest"),
             F.col("doc_id").cast("long").alias("doc_id"),
             F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("n_points"),
             "at_file",
             "at_row",
-            *more,
         )
 
     def absorb(self, schema: StructType) -> None:
@@ -93,7 +79,7 @@ class ExactDedup:
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(f"{self.folder}/digests")
         # the largest of: length, smallest identifier, earliest locator
         rank = F.struct("n_points", F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("at_row").alias("not_row"), "at_file")
-        state = rows.groupBy("digest").agg(F.count("*").alias("group_size"), F.max(rank).alias("keeper"))
+        state = rows.groupBy("digest", "variant").agg(F.count("*").alias("group_size"), F.max(rank).alias("keeper"))
 
         def put(changed: DataFrame, batch: int) -> None:
             changed.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch}")
@@ -113,12 +99,13 @@ class ExactDedup:
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         stream.awaitTermination()
 
-    def groups(self, schema) -> DataFrame:
-        """The state of every digest: what its last change left."""
-        kept = self.spark.read.schema(schema).parquet(f"{self.folder}/changes")
-        last = kept.groupBy("digest").agg(F.max_by(F.struct("group_size", "keeper"), "batch").alias("s"))
+    def groups(self) -> DataFrame:
+        """The state of every digest and variant: what its last change left."""
+        kept = self.spark.read.schema(STATE).parquet(f"{self.folder}/changes")
+        last = kept.groupBy("digest", "variant").agg(F.max_by(F.struct("group_size", "keeper"), "batch").alias("s"))
         return last.select(
             "digest",
+            "variant",
             "s.group_size",
             F.bitwise_not("s.keeper.not_id").alias("keep_id"),
             F.col("s.keeper.at_file").alias("keep_file"),
@@ -131,68 +118,124 @@ class ExactDedup:
 
         Equal texts are those that are identical without blanks; of them the row with the most code
         points stays, then the smallest doc_id (a null one last), then the earliest row of a file.
-        A null text counts as empty.  Repeated rows form a group like any other and one stays.
-        Other columns are left out; an empty table gives an empty table.
+        A null text counts as empty, texts of any length are compared whole.  Repeated rows form a
+        group like any other and one stays.  Other columns are left out; an empty table gives an
+        empty table.
         """
-        return self.run_located(located(docs))
+        return self.run_located(located(docs, self.folder))
 
     def run_located(self, rows: DataFrame) -> DataFrame:
         """``run`` on rows that have their locators."""
         spark = self.spark
         docs = rows.select("row.doc_id", "row.text", "at_file", "at_row")
+        narrow = written(self.digests(docs), "digests")
+        counted = narrow.groupBy("digest").agg(F.count("*").alias("n"))
+        known = None
+        if self._exists(f"{self.folder}/changes"):
+            again = semi_join(self.groups(), narrow.select("digest").distinct(), ["digest"])
+            known = self.earlier_contents(written(again.select("digest", "variant", "keep_file", "keep_row"), "known"))
+        keyed = self.keyed(docs, narrow, counted, known)
         path = f"{self.folder}/digests/run={uuid.uuid4().hex}"
-        narrow = self.digests(docs)
-        narrow.write.mode("overwrite").parquet(path)
-        rows = spark.read.schema(narrow.schema).parquet(path)
-        self.absorb(narrow.schema)
-        groups = self.groups(
-            "digest binary, group_size bigint, keeper struct<n_points: int, not_id: bigint, not_row: bigint, at_file: string>, batch int"
-        )
-        clashing = self.clashes(docs, groups)
-        if clashing.isEmpty():
-            found = rows.join(groups, "digest")
-        else:
-            found = rows.join(groups, "digest").join(clashing, "digest", "left_anti")
-            found = found.unionByName(self.by_content(docs, clashing), allowMissingColumns=True)
-        text_sha = F.hex("digest") if self.digest is sha256 else F.hex("content_sha")
+        keyed.write.parquet(path)
+        self.absorb(keyed.schema)
+        found = self.looked_up(spark.read.schema(keyed.schema).parquet(path))
         same_row = F.col("at_file").eqNullSafe(F.col("keep_file")) & F.col("at_row").eqNullSafe(F.col("keep_row"))
-        if self.digest is not sha256:
-            shas = docs.select("at_file", "at_row", sha256(normalised(F.col("text"))).alias("content_sha"))
-            found = found.drop("content_sha").join(shas, ["at_file", "at_row"])
-        return found.select("doc_id", "keep_id", "group_size", same_row.alias("kept"), F.lower(text_sha).alias("text_sha256"), "at_file", "at_row")
+        if self.digest is sha256:
+            found = found.withColumn("text_sha256", F.lower(F.hex("digest")))
+        else:
+            shas = docs.select("at_file", "at_row", F.lower(F.hex(sha256(normalised(F.col("text"))))).alias("text_sha256"))
+            found = found.join(shas, ["at_file", "at_row"])
+        return found.select("doc_id", "keep_id", "group_size", same_row.alias("kept"), "text_sha256", "at_file", "at_row")
+
+    def looked_up(self, keyed: DataFrame) -> DataFrame:
+        """Rows with their group's state.
+
+        A large group's rows don't meet in one task: the few large groups are broadcast.
+        """
+        groups = written(self.groups(), "groups")
+        hot = max(HOT_ROWS, keyed.count() // HOT_GROUPS)
+        large, rest = groups.where(F.col("group_size") > hot), groups.where(F.col("group_size") <= hot)
+        keys = ["digest", "variant"]
+        return keyed.join(F.broadcast(large), keys).unionByName(keyed.join(F.broadcast(large.select(keys)), keys, "left_anti").join(rest, keys))
+
+    def earlier_contents(self, known: DataFrame) -> DataFrame:
+        """``digest``, ``variant`` and ``content`` of earlier keepers, read by their locators."""
+        files = [r[0] for r in known.select("keep_file").distinct().collect()]
+        own = f"/{self.folder.rstrip('/').rpartition('/')[2]}/located-"
+        copies = [f for f in files if own in f]
+        parts = []
+        for some, text, schema in ((copies, "row.text", "row struct<text: string>"), ([f for f in files if f not in set(copies)], "text", "text string")):
+            if some:
+                read = self.spark.read.schema(schema).parquet(*map(unquote, some))
+                parts.append(read.select(F.col(text).alias("text"), F.col("_metadata.file_path").alias("keep_file"), F.col("_metadata.row_index").alias("keep_row")))
+        if not parts:
+            return known.select("digest", "variant", F.lit("").alias("content"))
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return rows.join(known, ["keep_file", "keep_row"]).select("digest", "variant", normalised(F.col("text")).alias("content"))
+
+    def keyed(self, docs: DataFrame, narrow: DataFrame, counted: DataFrame, known: DataFrame | None) -> DataFrame:
+        """``narrow`` with the ``variant`` of each row: 0 unless its digest has several contents."""
+        hit = counted.where("n > 1").select("digest")
+        if known is not None:
+            hit = hit.unionByName(known.select("digest")).distinct()
+        clashing = written(self.clashes(docs, hit, known), "clashes")
+        plain = narrow.withColumn("variant", F.lit(0))
+        if clashing.isEmpty():
+            return plain
+        return plain.join(clashing, "digest", "left_anti").unionByName(self.by_content(docs, clashing, known))
 
-    def clashes(self, docs: DataFrame, groups: DataFrame) -> DataFrame:
-        """Digests of which two rows' contents differ, by comparing all bytes of every hit.
+    def clashes(self, docs: DataFrame, hit: DataFrame, known: DataFrame | None) -> DataFrame:
+        """Digests of which two contents differ, or that have had several, by comparing all bytes of every hit.
 
         The smallest and the largest content of a digest are taken before the shuffle, so a large
         group sends two contents a task.
         """
-        hit = groups.where("group_size > 1").select("digest")
         contents = docs.select(normalised(F.col("text")).alias("content")).withColumn("digest", self.digest(F.col("content")))
-        ends = semi_join(contents, hit, ["digest"]).groupBy("digest").agg(F.min("content").alias("a"), F.max("content").alias("b"))
+        contents = semi_join(contents, written(hit, "hits"), ["digest"]).select("digest", "content")
+        if known is not None:
+            contents = contents.unionByName(known.select("digest", "content"))
+        ends = contents.groupBy("digest").agg(F.min("content").alias("a"), F.max("content").alias("b"))
         return ends.where("a <> b").select("digest")
 
-    def by_content(self, docs: DataFrame, clashing: DataFrame) -> DataFrame:
-        """Groups of the rows of clashing digests, by their whole content."""
-        rows = self.digests(docs, normalised(F.col("text")).alias("content")).join(clashing, "digest", "left_semi")
-        rank = F.struct("n_points", F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("at_row").alias("not_row"), "at_file")
-        of = rows.groupBy("content").agg(F.count("*").alias("group_size"), F.max(rank).alias("keeper"))
-        of = of.select(
-            "content", "group_size", F.bitwise_not("keeper.not_id").alias("keep_id"), F.col("keeper.at_file").alias("keep_file"), F.bitwise_not("keeper.not_row").alias("keep_row")
-        )
-        return rows.join(of, "content").drop("content")
+    def by_content(self, docs: DataFrame, clashing: DataFrame, known: DataFrame | None) -> DataFrame:
+        """The rows of clashing digests, their variant by their whole content: an earlier one or the next number."""
+        rows = self.digests(docs).join(clashing, "digest", "left_semi")
+        texts = docs.select(normalised(F.col("text")).alias("content"), "at_file", "at_row")
+        rows = rows.join(texts, ["at_file", "at_row"])
+        contents = rows.select("digest", "content").distinct()
+        if known is None:
+            known = contents.limit(0).withColumn("variant", F.lit(0))
+        known = known.join(clashing, "digest", "left_semi")
+        last = known.groupBy("digest").agg(F.max("variant").alias("last"))
+        contents = contents.join(known, ["digest", "content"], "left").join(last, "digest", "left")
+        next_one = F.row_number().over(Window.partitionBy("digest", F.col("variant").isNull()).orderBy("content"))
+        contents = contents.withColumn("variant", F.coalesce(F.col("variant"), F.coalesce("last", F.lit(-1)) + next_one).cast("int"))
+        return rows.join(contents.select("digest", "content", "variant"), ["digest", "content"]).drop("content")
 
     def forget(self) -> None:
         delete_path(self.spark, self.folder)
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """ExactDedup.run on fresh state, without the locators."""
-    return ExactDedup(docs.sparkSession).run(docs).drop("at_file", "at_row")
+    """``ExactDedup.run`` on fresh state, without the locators; the state is deleted again.
+
+    Null texts are empty, texts are compared whole however long, repeated rows form groups, and an
+    empty table gives an empty table.
+    """
+    dedup = ExactDedup(docs.sparkSession)
+    out = written(dedup.run(docs).drop("at_file", "at_row"), "exact_duplicates")
+    dedup.forget()
+    return out
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    One row of each group of equal texts stays, chosen as ``ExactDedup.run`` says; rows alike in
+    every column are told apart by where they stand.  An empty table gives an empty table.
+    """
     rows = located(docs)
-    gone = ExactDedup(docs.sparkSession).run_located(rows).where("not kept").select("at_file", "at_row")
+    dedup = ExactDedup(docs.sparkSession)
+    gone = written(dedup.run_located(rows).where("not kept").select("at_file", "at_row"), "exact_gone")
+    dedup.forget()
     return semi_join(rows, gone, ["at_file", "at_row"], "left_anti").select("row.*")

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from roamgrid.llm import exact_dedup
+from roamgrid.llm import exact_dedup, rows as places
 from roamgrid.llm.exact_dedup import ExactDedup
 from tests.llm.samples import DOCUMENTS, ODD, no_documents, odd_documents
 
@@ -38,9 +38,9 @@ def test_odd_rows_that_are_no_scan(spark):
 def test_scans_unions_and_joins(spark, tmp_path):
     odd_documents(spark).write.parquet(f"{tmp_path}/d")
     docs = spark.read.parquet(f"{tmp_path}/d")
-    assert exact_dedup.is_scan(docs) and exact_dedup.is_scan(docs.where("doc_id > 1").select("doc_id", "text"))
+    assert places.is_scan(docs) and places.is_scan(docs.where("doc_id > 1").select("doc_id", "text"))
     twice = docs.join(spark.range(2).withColumnRenamed("id", "other"))
-    assert not exact_dedup.is_scan(docs.union(docs)) and not exact_dedup.is_scan(twice)
+    assert not places.is_scan(docs.union(docs)) and not places.is_scan(twice)
     check(ODD, exact_dedup.exact_duplicates(docs))
     check(ODD * 2, exact_dedup.exact_duplicates(docs.union(docs)))
     check(ODD * 2, exact_dedup.exact_duplicates(twice))
@@ -74,6 +74,28 @@ def test_later_runs_meet_the_state_of_earlier_ones(spark):
     again.forget()
 
 
+def test_contents_are_compared_across_runs(spark, tmp_path):
+    """A digest without any use still keeps different texts apart, whichever runs they come in."""
+    make = lambda rows: spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCUMENTS)
+    make([(5, "a  c"), (6, "ad")]).write.parquet(f"{tmp_path}/with space")
+    dedup = ExactDedup(spark, digest=lambda c: F.lit(b"x"))
+    for docs, want in (
+        (make([(1, "ab")]), {1: (1, True, 1)}),
+        (make([(2, "ac"), (3, "a b ")]), {2: (2, True, 1), 3: (3, True, 2)}),
+        (make([(4, "ab")]), {4: (3, False, 3)}),
+        (spark.read.parquet(f"{tmp_path}/with space"), {5: (5, True, 2), 6: (6, True, 1)}),
+        (make([(7, "ac"), (8, "ad"), (9, "ae")]), {7: (5, False, 3), 8: (6, False, 2), 9: (9, True, 1)}),
+        (make([]), {}),
+    ):
+        assert {r.doc_id: (r.keep_id, r.kept, r.group_size) for r in dedup.run(docs).collect()} == want
+    dedup.forget()
+
+
+def test_large_groups(spark):
+    rows = [(i, "the same") for i in range(400)] + [(1000 + i, f"text {i // 2}") for i in range(60)]
+    check(rows, exact_dedup.exact_duplicates(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCUMENTS)))
+
+
 def test_settings_are_put_back(spark):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     exact_dedup.exact_duplicates(no_documents(spark)).count()
