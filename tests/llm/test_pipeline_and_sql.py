@@ -7,8 +7,8 @@ import pytest
 import corpus_pipeline
 from roamgrid.llm import language_id, registry, toxicity
 from tests.compare import same_rows
+from tests.llm.test_near_texts import expected
 from tests.llm.test_packing_and_sharding import check_packed
-from tests.llm.test_simhash import groups, near, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,8 +19,8 @@ def test_rows_equal_those_of_the_sql(spark, name):
 
 
 def stage_by_stage(docs, language_model, toxicity_model_of):
-    langs, scores = language_model.predict([r.text for r in docs])
-    docs = [r for r, lang, s in zip(docs, langs, scores) if lang != "und" and s >= language_id.LEAST_SCORE]
+    langs, scores, certain = language_model.predict_certainty([r.text for r in docs])
+    docs = [r for r, lang, s, c in zip(docs, langs, scores, certain) if lang != "und" and (s >= language_id.LEAST_SCORE or c >= language_id.LEAST_CERTAINTY)]
     yield docs
     scores = toxicity_model_of(docs).scores([r.text for r in docs])
     docs = [r for r, s in zip(docs, scores) if s < toxicity.THRESHOLD]
@@ -30,12 +30,8 @@ def stage_by_stage(docs, language_model, toxicity_model_of):
         kept.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r.text), r)
     docs = sorted(kept.values(), key=lambda r: r.doc_id)
     yield docs
-    fps = {r.doc_id: plain_fingerprint(r.text) for r in docs}
-    component = groups(near(sorted(set(fps.values()))), set(fps.values()))
-    first = {}
-    for r in docs:
-        first.setdefault(component[fps[r.doc_id]], r)
-    yield list(first.values())
+    stay = set(expected([(r.doc_id, r.text) for r in docs]))
+    yield [r for r in docs if r.doc_id in stay]
 
 
 def test_stages(spark, tmp_path):
