@@ -1,12 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made, one trained on windows of ordinary texts, one of the word
-beginnings that recur in toxic texts and that ordinary ones lack, the most frequent last.  A window
-of a few words is compressed twice, with the ordinary dictionary alone and with the toxic one before
-it; the bytes that the toxic one saves are the window's gain.  Each window ends in a constant that
-both dictionaries know, so that no window is too short for zstandard to compress.  A text's gains (their mean, their largest ones, the share of windows over the
-window thresholds) are calibrated to a probability by logistic regression on labelled texts that
-the dictionaries were not trained on.
+Two zstandard dictionaries are trained, one on windows of ordinary texts, one on windows of toxic
+texts.  A window is a word between blanks; it is compressed once with each dictionary, and the bytes
+that the toxic one saves are its gain.  Each window ends in a constant that both dictionaries know, so
+that none is too short for zstandard to compress.
+
+Most windows of a toxic text are ordinary words.  So the toxic dictionary is trained twice over: a
+first one on all windows of some toxic texts tells which windows of other toxic texts it compresses
+better than the ordinary dictionary does; the last one is trained on these windows alone.
+
+A text's largest gains and its gains beyond a window threshold are calibrated to a probability by
+logistic regression on texts that the dictionaries which scored them were not trained on; the window
+threshold is the one of a few under which these texts are most likely.
 """
 
 from __future__ import annotations
@@ -21,141 +26,158 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hashes of doc_id.
 LABELLED_ROWS = 9_000
-#: Ordinary texts among them that the ordinary dictionary and vocabulary are taken from, at most.
-ORDINARY_TEXTS = 5_000
-WINDOW_BYTES = 32
-ORDINARY_BYTES, TOXIC_BYTES = 32_768, 1_024
-#: Share of the toxic training texts in which a word's beginning must recur to be in the toxic
-#: dictionary, its share of ordinary texts to that at most, and its length with blanks.
-RECURS_IN, RARE, STEM = 0.02, 0.05, (5, 10)
-MARKS = b".,;:!?|*#$%&"
+#: Longest window; longer words are cut.
+WINDOW_BYTES = 64
+#: Sizes of the ordinary, the first toxic and the last toxic dictionary, and the trainer's segment
+#: sizes for the first two and for the last; words to a training sample.
+ORDINARY_BYTES, FIRST_BYTES, TOXIC_BYTES = 16_384, 16_384, 640
+SEGMENT, LAST_SEGMENT, MATCH, SAMPLE_WORDS = 16, 24, 8, 4
+#: Times that windows are chosen by dictionaries of other toxic texts, the gain for it, and the share of
+#: the toxic texts in which it must show.
+ROUNDS, CHOSEN_GAIN, RECURS = 2, 3, 0.02
 #: What ends every window and both dictionaries; of it a frame holds one reference.
 TAIL = b" 0123456789abcdef0123456789"
 FOLDS = 3
-#: Bytes saved from which a window counts as toxic, mildly and clearly.
-MILD, CLEAR = 2, 3
+#: Window thresholds, in bytes of gain, among which calibration chooses.
+WINDOW_THRESHOLDS = (1, 2, 3, 4)
+#: Windows of which a worker keeps the gain.
+CACHED_WINDOWS = 300_000
 THRESHOLD = 0.3
-FEATURES = 7
-
-
-def windows(text: bytes, size: int = WINDOW_BYTES) -> list[bytes]:
-    """The whole text in windows of up to ``size`` bytes that end before a blank where there is one."""
-    out, i, n = [], 0, len(text)
-    while n - i > size:
-        j = text.rfind(b" ", i + size // 2, i + size)
-        if j < 0:
-            j = i + size
-        out.append(text[i:j])
-        i = j
-    out.append(text[i:])
-    return out
-
-
-def _compressor(content: bytes) -> zstd.ZstdCompressor:
-    """Short matches are sought, and frames hold nothing but the content."""
-    parameters = zstd.ZstdCompressionParameters.from_level(
-        9, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, strategy=zstd.STRATEGY_LAZY2, window_log=17, format=zstd.FORMAT_ZSTD1_MAGICLESS
-    )
-    trained = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-    return zstd.ZstdCompressor(dict_data=trained, compression_params=parameters)
+
+#: Marks count as blanks, and capitals of ASCII as small letters.
+_PLAIN = bytes.maketrans(b".,;:!?|*#$%&\"'()[]{}<>=+~^_/\\ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" " * 29 + b"abcdefghijklmnopqrstuvwxyz")
+
+
+def windows(text: bytes) -> list[bytes]:
+    """The words of the whole text, long ones in pieces."""
+    words = text.translate(_PLAIN).split()
+    if len(text) > WINDOW_BYTES and max(map(len, words), default=0) > WINDOW_BYTES:
+        words = [w[i : i + WINDOW_BYTES] for w in words for i in range(0, len(w), WINDOW_BYTES)]
+    return words
 
 
-def _dictionary(samples: list[bytes], size: int, **how) -> bytes:
-    """A dictionary trained by zstandard; of too few samples, their end itself."""
+def _trained(words: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary that zstandard trains on samples of a few windows; of too few samples, their end itself."""
+    samples = [b"  " + b"  ".join(words[i : i + SAMPLE_WORDS]) + b"  " for i in range(0, len(words), SAMPLE_WORDS)]
     try:
-        return zstd.train_dictionary(size, samples, **how).as_bytes()
+        return zstd.train_dictionary(size, samples, k=segment, d=MATCH).as_bytes()
     except (zstd.ZstdError, ValueError):
         return b"".join(samples)[-size:]
 
 
-def _stems(word: bytes):
-    """The word's beginnings and the whole word, with the blanks around it."""
-    text = b" %b " % word
-    return [text[:i] for i in range(STEM[0], min(STEM[1], len(text)) + 1)]
+class _Compressed(dict):
+    """Compressed length of each window; short matches are sought, and frames hold nothing but the content.
 
-
-def _toxic_dictionary(texts: list[bytes], ordinary: Counter, n_ordinary: int) -> bytes:
-    """Beginnings of words that recur in toxic texts and are rare in ordinary ones, by count; of a
-    word the shortest and the longest such beginning count.
-
-    ``ordinary``: number of ordinary texts with each word.
+    The dictionaries' content is used without their tables of literals, so that two lengths differ by
+    what is known of the window alone.
     """
-    words = [{w.strip(MARKS) for w in t.lower().split()} for t in texts]
-    times = Counter(s for some in words for s in {s for w in some for s in _stems(w)})
-    least = max(3, RECURS_IN * len(texts))
-    times = Counter({s: n for s, n in times.items() if n >= least})
-    usual: Counter[bytes] = Counter()
-    for w, n in ordinary.items():
-        for s in _stems(w):
-            if s in times:
-                usual[s] += n
-    telling = {s for s, n in times.items() if usual[s] / n_ordinary <= RARE * n / len(texts)}
-    pieces: Counter[bytes] = Counter()
-    for some in words:
-        for w in some:
-            found = [s for s in _stems(w) if s in telling]
-            if found:
-                pieces[found[0]] += 1
-                pieces[found[-1]] += 1
-    chosen = b""
-    for piece, _ in sorted(pieces.items(), key=lambda x: (-x[1], x[0])):  # zstandard wants the most frequent last
-        if piece not in chosen and len(chosen) + len(piece) <= TOXIC_BYTES:
-            chosen = piece + chosen
-    return chosen
+
+    def __init__(self, content: bytes):
+        super().__init__()
+        parameters = zstd.ZstdCompressionParameters.from_level(
+            9, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, strategy=zstd.STRATEGY_LAZY2, window_log=20, format=zstd.FORMAT_ZSTD1_MAGICLESS
+        )
+        trained = zstd.ZstdCompressionDict(content + TAIL, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        self.compress = zstd.ZstdCompressor(dict_data=trained, compression_params=parameters).compress
+
+    def __missing__(self, window: bytes) -> int:
+        self[window] = n = len(self.compress(b"  " + window + b"  " + TAIL))
+        return n
+
+
+class _Gains(dict):
+    """Bytes that the toxic dictionary saves on a window."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        super().__init__()
+        self.ordinary, self.toxic = _Compressed(ordinary), _Compressed(toxic)
+
+    def __missing__(self, window: bytes) -> int:
+        self[window] = gain = self.ordinary.__missing__(window) - self.toxic.__missing__(window)
+        self.ordinary.clear(), self.toxic.clear()
+        return gain
+
+
+def train(ordinary: list[list[bytes]], toxic: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary, from the windows of each training text."""
+    base = _trained([w for text in ordinary for w in text], ORDINARY_BYTES, SEGMENT)
+    parts = [toxic[i::FOLDS] for i in range(FOLDS)]
+    chosen = parts
+    for k in range(ROUNDS):
+        found = []
+        for i in range(FOLDS):
+            others = [w for j in range(FOLDS) if j != i or len(toxic) == 1 for text in chosen[j] for w in text]
+            gains = _Gains(base, _trained(others, TOXIC_BYTES if k else FIRST_BYTES, LAST_SEGMENT if k else SEGMENT))
+            # a window that a text repeats counts once
+            found.append([[w for w in dict.fromkeys(text) if gains[w] >= CHOSEN_GAIN] for text in parts[i]])
+        times = Counter(w for part in found for text in part for w in text)
+        least = RECURS * len(toxic)
+        chosen = [[[w for w in text if times[w] >= least] for text in part] for part in found]
+    last = [w for i in range(len(toxic)) for w in chosen[i % FOLDS][i // FOLDS]]
+    return base, _trained(last, TOXIC_BYTES, LAST_SEGMENT)
+
+
+def measures(gains: np.ndarray, threshold: int) -> list[float]:
+    """The largest gain, the mean of the three largest, and how far the windows' gains are beyond the
+    threshold, on average and in all."""
+    over = np.maximum(gains - threshold, 0).sum()
+    top = -np.sort(-gains)[:3] if len(gains) else np.array([-8.0])
+    return [top[0], top.mean(), np.log1p(100 * over / max(1, len(gains))), np.log1p(over)]
 
 
 class ToxicityModel:
     """Dictionaries and calibration; ``None`` dictionaries score everything 0."""
 
-    def __init__(self, ordinary: bytes | None, toxic: bytes | None, mean=None, scale=None, weights=None):
-        self.parts = ordinary, toxic, mean, scale, weights
-        self._ready = None
+    def __init__(self, ordinary: bytes | None, toxic: bytes | None, threshold=None, mean=None, scale=None, weights=None):
+        self.parts = ordinary, toxic, threshold, mean, scale, weights
+        self._gains = None
 
     def __getstate__(self):
-        return {"parts": self.parts, "_ready": None}
+        return {"parts": self.parts, "_gains": None}
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[int]) -> ToxicityModel:
         """Fits on texts and their labels; repeated texts count once.
 
-        The ordinary dictionary comes from half of the ordinary texts, at most ORDINARY_TEXTS.  The
-        others calibrate, as do the toxic texts, each with a toxic dictionary that other toxic texts
-        trained.  Without rows of both labels the model scores every text 0.
+        Each text is scored for calibration with dictionaries trained on the other folds' texts; the
+        model's own are trained on all.  Without rows of both labels the model scores every text 0.
         """
         rows = list(dict.fromkeys(((t or "").encode(), int(y)) for t, y in zip(texts, labels)))
-        ordinary, toxic = ([t for t, y in rows if y == k] for k in (0, 1))
+        cut = [(windows(t), y) for t, y in rows]
+        ordinary, toxic = ([t for t, y in cut if y == k] for k in (0, 1))
         if len(ordinary) < 2 or not toxic:
             return cls(None, None)
-        own, others = ordinary[::2][:ORDINARY_TEXTS], ordinary[1::2]
-        known = Counter(w for t in own for w in {w.strip(MARKS) for w in t.lower().split()})
-        base = _dictionary([w for t in own for w in windows(t)], ORDINARY_BYTES)
-        x, y = [], []
+        found, y = [], []
         for fold in range(FOLDS):
-            out = toxic[fold::FOLDS]
-            part = cls(base, _toxic_dictionary([t for i, t in enumerate(toxic) if i % FOLDS != fold] or toxic, known, len(own)))
-            for label, some in ((0, others[fold::FOLDS]), (1, out)):
-                x += [part.features(t) for t in some]
-                y += [label] * len(some)
-        x, y = np.array(x), np.array(y, float)
-        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        weight = np.where(y == 1, 1.0, len(ordinary) / max(1, len(others)))
-        return cls(base, _toxic_dictionary(toxic, known, len(own)), mean, scale, _logistic((x - mean) / scale, y, weight))
-
-    def features(self, text: bytes) -> list[float]:
-        if self._ready is None:
-            self._ready = _compressor(self.parts[0] + TAIL).compress, _compressor(self.parts[1] + self.parts[0] + TAIL).compress
-        without, with_toxic = self._ready
-        gain = np.array([len(without(w)) - len(with_toxic(w)) for w in (w + TAIL for w in windows(text))])
-        top = np.sort(gain)[::-1]
-        mild = gain >= MILD
-        return [top[0], top[:3].mean(), gain.mean(), mild.mean(), (gain >= CLEAR).mean(), np.log1p(mild.sum()), np.log1p(np.maximum(gain - 1, 0).sum())]
+            rest = [[t for i, t in enumerate(some) if i % FOLDS != fold] or some for some in (ordinary, toxic)]
+            gains = _Gains(*train(*rest))
+            for label, some in enumerate((ordinary, toxic)):
+                found += [np.array([gains[w] for w in t], float) for t in some[fold::FOLDS]]
+                y += [label] * len(some[fold::FOLDS])
+        y, best = np.array(y, float), None
+        for threshold in WINDOW_THRESHOLDS:
+            x = np.array([measures(g, threshold) for g in found])
+            mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+            weights = _logistic((x - mean) / scale, y)
+            p = np.clip(_sigmoid(np.c_[(x - mean) / scale, np.ones(len(x))] @ weights), 1e-9, 1 - 1e-9)
+            likely = np.log(np.where(y == 1, p, 1 - p)).sum()
+            if best is None or likely > best[0]:
+                best = likely, (threshold, mean, scale, weights)
+        return cls(*train(ordinary, toxic), *best[1])
+
+    def gains(self, text: bytes) -> np.ndarray:
+        """The gain of each window of a whole text."""
+        if self._gains is None or len(self._gains) > CACHED_WINDOWS:
+            self._gains = _Gains(*self.parts[:2])
+        words = windows(text)
+        return np.fromiter(map(self._gains.__getitem__, words), float, len(words))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probability of label 1 for each text."""
-        _, _, mean, scale, weights = self.parts
+        _, _, threshold, mean, scale, weights = self.parts
         if weights is None:
             return np.zeros(len(texts))
-        x = np.array([self.features((t or "").encode()) for t in texts]).reshape(-1, FEATURES)
+        x = np.array([measures(self.gains((t or "").encode()), threshold) for t in texts]).reshape(-1, len(mean))
         return _sigmoid(np.c_[(x - mean) / scale, np.ones(len(x))] @ weights)
 
 
@@ -163,11 +185,11 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 3000, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
+def _logistic(z: np.ndarray, y: np.ndarray, steps: int = 2000, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
     z = np.c_[z, np.ones(len(z))]
     w = np.zeros(z.shape[1])
     for _ in range(steps):
-        w -= rate * (z.T @ (weight * (_sigmoid(z @ w) - y)) / weight.sum() + decay * w)
+        w -= rate * (z.T @ (_sigmoid(z @ w) - y) / len(y) + decay * w)
     return w
 
 

@@ -1,11 +1,14 @@
 """The trained models: exact inference, held-out accuracy, odd rows."""
 
 import itertools
+import math
 import pickle
+import re
 import zlib
 
 import numpy as np
 import pytest
+import zstandard as zstd
 
 from roamgrid.llm import language_id, registry, toxicity
 from tests.llm.samples import DOCUMENTS, ODD, no_documents, odd_documents
@@ -135,11 +138,55 @@ def test_held_out_toxicity(spark):
 
 
 def test_windows_are_the_whole_text():
-    for text in (b"", b"a", b"word " * 500, b"x" * 1000, "é漢 ".encode() * 99):
-        assert b"".join(toxicity.windows(text)) == text
+    for text in (b"", b"a", b"word " * 500, b"x" * 1000, "é漢 ".encode() * 99, b"One, two! (three)", b"a" * 64 + b" " + b"b" * 65):
+        plain = re.sub(rb"[\x20\x09-\x0D.,;:!?|*#$%&\"'()\[\]{}<>=+~^_/\\]+", b"", text).lower()
+        assert b"".join(toxicity.windows(text)) == plain
         assert all(len(w) <= toxicity.WINDOW_BYTES for w in toxicity.windows(text))
 
 
+def test_scores_equal_a_plain_recount(toxicity_model):
+    """Every window of whole texts compressed again by two compressors made from the model's dictionaries."""
+    ordinary, toxic, threshold, mean, scale, weights = toxicity_model.parts
+    level = zstd.ZstdCompressionParameters.from_level(9, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, strategy=zstd.STRATEGY_LAZY2, window_log=20, format=zstd.FORMAT_ZSTD1_MAGICLESS)
+    size = lambda d, w: len(zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(d + toxicity.TAIL, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=level).compress(b"  " + w + b"  " + toxicity.TAIL))
+    texts = ["w1y w2z Dreadful, w4y; ghastly " * 30, "w1y", "", "x" * 300 + " dreadful"]
+    want = []
+    for text in texts:
+        gains = [size(ordinary, w) - size(toxic, w) for w in toxicity.windows(text.encode())]
+        over = sum(max(g - threshold, 0) for g in gains)
+        top = sorted(gains, reverse=True)[:3] or [-8.0]
+        n = len(gains)
+        x = [top[0], sum(top) / len(top), math.log1p(100 * over / max(1, n)), math.log1p(over)]
+        z = sum(w * (v - m) / s for w, v, m, s in zip(weights, x, mean, scale)) + weights[-1]
+        want.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    assert np.allclose(toxicity_model.scores(texts), want, atol=1e-9)
+
+
+def test_the_dictionaries_are_apart(toxicity_model):
+    ordinary, toxic = toxicity_model.parts[:2]
+    assert b"dreadful" in toxic and b"ghastly" in toxic and b"dreadful" not in ordinary and b"w1y" in ordinary
+
+
+def test_features_are_those_of_whole_words():
+    """Long words are no prefixes: what differs far behind tells, and both ways of making features agree."""
+    a, b = "a" * 40 + "xyz", "a" * 40 + "uvw"
+    (fa, _), (fb, _) = (language_id.word_features([w]) for w in (a, b))
+    assert sorted(fa) != sorted(fb) and len(set(language_id.word_hashes([a, b]))) == 2
+    for word in ("a", "ab", "straße", "x" * 24, "漢字かな"):
+        assert sorted(language_id.word_features([word])[0]) == sorted(language_id._long_features(word)) if len(word) > 4 else True
+    words = ["short", a, "x", b, "漢" * 3000, "end"]
+    flat, counts = language_id.word_features(words)
+    at = np.cumsum(counts) - counts
+    for w, i, n in zip(words, at, counts):
+        assert (flat[i : i + n] == language_id.word_features([w])[0]).all()
+
+
+def test_no_language_learned_rejects_nothing_with_letters(spark):
+    docs = spark.createDataFrame([(1, "Some words", None, None, None), (2, "12 --", None, None, None), (3, None, None, None, None)], DOCUMENTS)
+    kept = language_id.keep_determined(docs, language_id.fit(docs)).collect()
+    assert [r.doc_id for r in kept] == [1]
+
+
 @pytest.fixture(scope="module")
 def toxicity_model():
     random = np.random.default_rng(0)
