@@ -1,7 +1,7 @@
 """Language identification with a linear-chain conditional random field over words.
 
-Every word has hashed features: its first and last one to four letters, its letter pairs and
-triples, and, if the lexicon of frequent training words has it, the word itself.  Labels are
+Every word, of any length, has hashed features: its first and last one to four letters, all its letter
+pairs and triples, and, if the lexicon of frequent training words has it, the word itself.  Labels are
 languages; transitions between the labels of neighbouring words are learned with the features'
 weights by maximising the conditional likelihood of sequences that switch between documents of
 different languages.  Forward-backward gives each word's label probabilities; a text's language is
@@ -18,18 +18,20 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Documents that a model is fitted on, at most: those with the smallest hashes of doc_id.
 TRAINING_ROWS = 3_000
 BUCKETS = 1 << 18
-LETTERS = 24
+#: Letters of words whose features are made together; longer words are taken one by one.
+SHORT = 24
 #: Times a word must occur in the training documents to be in the lexicon.
 LEXICON_COUNT = 5
 SEGMENT = 64
 #: Words labelled together, and words whose scores a Python worker keeps.
-BATCH_WORDS, CACHED_WORDS = 200_000, 800_000
+BATCH_WORDS, CACHED_WORDS = 200_000, 300_000
 UNDETERMINED = "und"
 #: Mean probability below which the pipeline takes a text to have no certain language.
 LEAST_SCORE = 0.4
@@ -39,6 +41,7 @@ LEAST_CERTAINTY = 0.6
 
 _runs = re.compile(r"[^\W\d_]+").findall
 _M = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(1_000_003)
 
 
 def find_words(text: str) -> list[str]:
@@ -54,12 +57,11 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * _M
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each feature but the lexicon's (BUCKETS where a word has none), and the words' hashes."""
+def _short_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
-    fore = np.array(words, f"U{LETTERS}").view(np.uint32).reshape(n, LETTERS).astype(np.uint64)
+    fore = np.array(words, f"U{SHORT}").view(np.uint32).reshape(n, SHORT).astype(np.uint64)
     back = np.array([w[:-5:-1] for w in words], "U4").view(np.uint32).reshape(n, 4).astype(np.uint64)
-    size = np.minimum(np.array([len(w) for w in words]), LETTERS)
+    size = np.array([len(w) for w in words])
     none = np.uint64(BUCKETS)
     columns = []
 
@@ -69,20 +71,49 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for letters, salt in ((fore, 1), (back, 11)):
         h = np.zeros(n, np.uint64)
         for k in range(4):
-            h = h * np.uint64(1_000_003) + letters[:, k]
+            h = h * _STEP + letters[:, k]
             add(h, size > k, salt + k)
-    with np.errstate(over="ignore"):
-        whole = np.zeros(n, np.uint64)
-        for k in range(LETTERS):
-            whole = np.where(k < size, (whole + fore[:, k] + np.uint64(1)) * _M, whole)
-    for k in range(LETTERS - 1):
-        if not (size > k + 1).any():
-            break
-        pair = fore[:, k] * np.uint64(1_000_003) + fore[:, k + 1]
+    for k in range(int(size.max(initial=0)) - 1):
+        pair = fore[:, k] * _STEP + fore[:, k + 1]
         add(pair, size > k + 1, 21)
-        if k + 2 < LETTERS:
-            add(pair * np.uint64(1_000_003) + fore[:, k + 2], size > k + 2, 22)
-    return np.stack(columns, axis=1).astype(np.int32), whole
+        if k + 2 < SHORT:
+            add(pair * _STEP + fore[:, k + 2], size > k + 2, 22)
+    found = np.stack(columns, axis=1).astype(np.int32)
+    there = found < BUCKETS
+    return found[there], there.sum(axis=1)
+
+
+def _long_features(word: str) -> np.ndarray:
+    letters = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    found = []
+    for ends, salt in ((letters[:4], 1), (letters[:-5:-1], 11)):
+        h = np.zeros(1, np.uint64)
+        for k in range(4):
+            h = h * _STEP + ends[k]
+            found.append(_mix(h, salt + k))
+    pairs = letters[:-1] * _STEP + letters[1:]
+    found += [_mix(pairs, 21), _mix(pairs[:-1] * _STEP + letters[2:], 22)]
+    return (np.concatenate(found) >> np.uint64(46)).astype(np.int32)
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all features but the lexicon's, one word after the other, and how many each word has."""
+    short = [w for w in words if len(w) <= SHORT]
+    flat, counts = _short_features(short) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    if len(short) == len(words):
+        return flat, counts
+    parts = iter(np.split(flat, np.cumsum(counts)[:-1]))
+    found = [next(parts) if len(w) <= SHORT else _long_features(w) for w in words]
+    return np.concatenate(found), np.array([len(f) for f in found])
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A hash of each whole word."""
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
+def _starts(counts: np.ndarray) -> np.ndarray:
+    return np.cumsum(counts) - counts
 
 
 class LanguageModel:
@@ -96,11 +127,10 @@ class LanguageModel:
         return self.__dict__ | {"_words": None}
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        features, whole = word_features(words)
-        out = self.weights[features[:, 0]].copy()
-        for column in features.T[1:]:
-            out += self.weights[column]
+        features, counts = word_features(words)
+        out = np.add.reduceat(self.weights[features], _starts(counts))
         if len(self.lexicon):
+            whole = word_hashes(words)
             at = np.minimum(np.searchsorted(self.lexicon, whole), len(self.lexicon) - 1)
             out += np.where((self.lexicon[at] == whole)[:, None], self.lexicon_weights[at], 0)
         return out
@@ -175,14 +205,14 @@ class LanguageModel:
             return cls(labels or [UNDETERMINED], np.zeros((BUCKETS + 1, k), np.float32), np.zeros(0, np.uint64), np.zeros((0, k), np.float32), np.zeros((k, k)))
         number = {w: i for i, w in enumerate(vocabulary)}
         docs = [(np.array([number[w] for w in words]), y) for words, y in docs]
-        features = [word_features(vocabulary[i : i + 50_000]) for i in range(0, len(vocabulary), 50_000)]
-        whole = np.concatenate([h for _, h in features])
-        width = max(f.shape[1] for f, _ in features)
-        features = np.concatenate([np.pad(f, ((0, 0), (0, width - f.shape[1])), constant_values=BUCKETS) for f, _ in features])
+        features, counted = word_features(vocabulary)
+        whole = word_hashes(vocabulary)
         frequent = np.array([counts[w] >= LEXICON_COUNT for w in vocabulary])
         lexicon = np.unique(whole[frequent])
-        entry = np.where(frequent, BUCKETS + 1 + np.minimum(np.searchsorted(lexicon, whole), max(0, len(lexicon) - 1)), BUCKETS)
-        features = np.concatenate([features, entry[:, None].astype(np.int32)], axis=1)
+        # a frequent word's own feature stands behind its others
+        features = np.insert(features, np.cumsum(counted)[frequent], (BUCKETS + 1 + np.searchsorted(lexicon, whole[frequent])).astype(np.int32))
+        counted = counted + frequent
+        starts = _starts(counted)
         weights = np.zeros((BUCKETS + 1 + len(lexicon), k))
         speed = np.full_like(weights, 1e-3)
         transitions, t_speed = np.zeros((k, k)), np.full((k, k), 1e-3)
@@ -199,16 +229,16 @@ class LanguageModel:
                     ids[b, at : at + len(piece)], gold[b, at : at + len(piece)] = piece, y
                     at += len(piece)
             used, where = np.unique(ids, return_inverse=True)
-            e = weights[features[used]].sum(axis=1)
+            many = counted[used]
+            own = features[np.repeat(starts[used] - _starts(many), many) + np.arange(many.sum())]
+            e = np.add.reduceat(weights[own], _starts(many))
             p, pairs = _expected(e[where.reshape(ids.shape)], transitions)
             error = p.copy()
             error[np.arange(batch)[:, None], np.arange(length)[None, :], gold] -= 1
             g = np.stack([np.bincount(where.ravel(), error[:, :, j].ravel(), len(used)) for j in range(k)], axis=1) / batch
-            touched, slot = np.unique(features[used], return_inverse=True)
-            slot = slot.reshape(len(used), -1)
-            gw = np.stack([np.bincount(slot.ravel(), np.repeat(g[:, j], slot.shape[1]), len(touched)) for j in range(k)], axis=1)
+            touched, slot = np.unique(own, return_inverse=True)
+            gw = np.stack([np.bincount(slot, np.repeat(g[:, j], many), len(touched)) for j in range(k)], axis=1)
             gw += 1e-4 * weights[touched]
-            gw[touched == BUCKETS] = 0
             speed[touched] += gw**2
             weights[touched] -= 0.1 * gw / np.sqrt(speed[touched])
             seen = np.zeros((k, k))
@@ -369,13 +399,19 @@ def label_words(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def keep_determined(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with at least this score, or
-    whose words have certain languages, however these are mixed."""
+    whose words have certain languages, however these are mixed.
+
+    Null texts and those without a letter go.  A model that has learned no language, as from a table
+    without any, rejects no text that has letters.
+    """
     there = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
             langs, scores, certain = there.value.predict_certainty(b.column(at).to_pylist())
-            yield b.filter(pa.array([x != UNDETERMINED and (s >= least or c >= LEAST_CERTAINTY) for x, s, c in zip(langs, scores, certain)], pa.bool_()))
+            nothing_learned = there.value.labels == [UNDETERMINED]
+            kept = [c > 0 if nothing_learned else x != UNDETERMINED and (s >= least or c >= LEAST_CERTAINTY) for x, s, c in zip(langs, scores, certain)]
+            yield b.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
