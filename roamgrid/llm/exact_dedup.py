@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from roamgrid.llm.rows import located, semi_join
-from roamgrid.plans.storage import delete_path, new_path, written
+from roamgrid.plans.storage import delete_path, new_path, settings, written
 
 #: Fixed value: characters that don't count when texts are compared.
 BLANKS = " \t\n\x0b\f\r"
 #: The state lives in RocksDB, which must not reserve disk ahead: there is one for each partition.
 STATE_STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark__sql__streaming__stateStore__providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false",
 }
 #: Rows of a group from which it is looked up by a broadcast, at least, and groups that are, at most:
 #: groups of more than ``rows / HOT_GROUPS`` rows are that few.
@@ -74,7 +74,6 @@ class ExactDedup:
     def absorb(self, schema: StructType) -> None:
         """Streams the digest rows of all runs that it hasn't met yet through the state and appends the changed keys."""
         spark = self.spark
-        before = {k: spark.conf.get(k, None) for k in STATE_STORE}
         schema = StructType([*schema.fields, StructField("run", StringType())])
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(f"{self.folder}/digests")
         # the largest of: length, smallest identifier, earliest locator
@@ -84,9 +83,7 @@ class ExactDedup:
         def put(changed: DataFrame, batch: int) -> None:
             changed.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch}")
 
-        try:
-            for k, v in STATE_STORE.items():
-                spark.conf.set(k, v)
+        with settings(spark, **STATE_STORE):
             stream = (
                 state.writeStream.outputMode("update")
                 .foreachBatch(put)
@@ -94,9 +91,6 @@ class ExactDedup:
                 .trigger(availableNow=True)
                 .start()
             )
-        finally:
-            for k, v in before.items():
-                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         stream.awaitTermination()
 
     def groups(self) -> DataFrame:
