@@ -41,7 +41,7 @@ def test_odd_vectors_copies_and_ties(spark):
     rows += [(150, None), (200, []), (250, [nan, 0.0, 0.0]), (300, [inf, 0.0, 0.0]), (350, [None, 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
     rows += [(400, [1.0, 2.0]), (401, [1.0, -2.0]), (450, [5.0])]  # other lengths meet their own
     rows += [(0, [0.0, -0.2, 0.3])]  # a repeated row counts once
-    assert search(spark, rows, data_rows=16, query_rows=2) == brute(list(dict.fromkeys((i, tuple(v) if v is not None else None) for i, v in rows)))
+    assert search(spark, rows, chunk_bytes=64, first_round=1) == brute(list(dict.fromkeys((i, tuple(v) if v is not None else None) for i, v in rows)))
     assert search(spark, []) == set()
     assert search(spark, [(50, [1.0])]) == set()
 
@@ -51,29 +51,55 @@ def test_scores_beyond_a_long_stop_at_its_ends(spark):
     assert search(spark, rows) == brute(rows)
 
 
+def test_ids_with_several_vectors(spark):
+    rows = [(i % 60, [float(i % 7), float(i % 11) - 5, 1.0]) for i in range(200)]
+    best = {}
+    for q, _, i, s in brute(list(dict.fromkeys((i, tuple(v)) for i, v in rows)), k=10**6):
+        best[q, i] = max(s, best.get((q, i), s))
+    want = set()
+    for q in {q for q, _ in best}:
+        ranked = sorted((-s, i) for (p, i), s in best.items() if p == q)[:5]
+        want |= {(q, r, i, -s) for r, (s, i) in enumerate(ranked, 1)}
+    assert search(spark, rows) == want
+
+
+def test_far_vectors_don_t_widen_the_cells(spark):
+    random = np.random.default_rng(3)
+    rows = [(i, random.normal(size=8).tolist()) for i in range(400)] + [(999, [1e9] * 8)]
+    assert search(spark, rows, first_round=1) == brute(rows)
+
+
 @settings(max_examples=60, deadline=None, derandomize=True)
-@given(st.integers(0, 10**6), st.integers(1, 200), st.integers(1, 7))
-def test_a_block_gives_the_exact_best(seed, n, k):
+@given(st.integers(0, 10**6), st.integers(1, 200), st.integers(1, 7), st.integers(1, 60))
+def test_candidates_hold_the_exact_best(seed, n, k, block):
     random = np.random.default_rng(seed)
     x = np.floor(256 * random.normal(size=(n, 8)) * random.choice([0.01, 1, 100], size=(n, 1)))
-    (q, ids, scores), read = vector_search.block_search(np.arange(n), x, np.arange(min(n, 9)), x[:9], k)
-    for i in range(min(n, 9)):
-        exact = sorted((-int(a), j) for j, a in enumerate(x @ x[i]) if j != i)[:k]
-        assert [(-s, j) for s, j in zip(scores[q == i].tolist(), ids[q == i].tolist())] == exact
-    assert read <= n * min(n, 9)
-
-
-def test_few_exact_vectors_are_read():
+    q, ids = x[: min(n, 9)], np.arange(n)
+    marks = vector_search.Marks(x.min(axis=0), x.max(axis=0), x[::3])
+    cells, kept = marks.cells(x), vector_search.Candidates(ids[: len(q)], k)
+    for i in range(0, n, block):
+        kept.add(0, ids[i : i + block], *marks.bounds(q, cells[i : i + block]))
+    at, found, lower, upper = kept.result()
+    for j in range(len(q)):
+        exact = sorted((-int(s), i) for i, s in enumerate(x @ q[j]) if i != j)[:k]
+        assert {i for _, i in exact} <= set(found[at == j].tolist())
+    true = np.einsum("ij,ij->i", q[at], x[found])
+    assert (lower <= true).all() and (true <= upper).all()
+
+
+def test_few_vectors_are_candidates():
     random = np.random.default_rng(0)
     x = np.floor(256 * random.normal(size=(4096, 64)))
-    _, read = vector_search.block_search(np.arange(4096), x, np.arange(50), x[:50], 5)
-    assert read < 0.1 * 50 * 4096
+    marks, kept = vector_search.Marks(x.min(axis=0), x.max(axis=0), x[::4]), vector_search.Candidates(np.arange(50), 5)
+    kept.add(0, np.arange(4096), *marks.bounds(x[:50], marks.cells(x)))
+    assert len(kept.result()[0]) < 0.02 * 50 * 4096
 
 
-@pytest.mark.parametrize("bits", [1, 6, 8])
-def test_bounds_hold(bits):
+@pytest.mark.parametrize("cells", [2, 64, 256])
+def test_bounds_hold(cells):
     random = np.random.default_rng(1)
     x, q = np.floor(random.normal(size=(300, 16)) * 1000), np.floor(random.normal(size=(20, 16)) * 1000)
     x[:, 3] = 7
-    low, high = vector_search.Cells(x, bits).bounds(q)
+    marks = vector_search.Marks(x.min(axis=0), x.max(axis=0), x[:50], cells)
+    low, high = marks.bounds(q, marks.cells(x))
     assert (low <= q @ x.T).all() and (q @ x.T <= high).all()
