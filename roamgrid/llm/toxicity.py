@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hashes of doc_id.
 LABELLED_ROWS = 9_000
+#: Ordinary texts among them that a dictionary is trained on, at most; all of them calibrate.
+ORDINARY_TEXTS = 3_000
 #: Longest window; longer words are cut.
 WINDOW_BYTES = 64
 #: Sizes of the ordinary, the first toxic and the last toxic dictionary, and the trainer's segment
@@ -100,7 +102,7 @@ class _Gains(dict):
 
 def train(ordinary: list[list[bytes]], toxic: list[list[bytes]]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary, from the windows of each training text."""
-    base = _trained([w for text in ordinary for w in text], ORDINARY_BYTES, SEGMENT)
+    base = _trained([w for text in ordinary[:ORDINARY_TEXTS] for w in text], ORDINARY_BYTES, SEGMENT)
     parts = [toxic[i::FOLDS] for i in range(FOLDS)]
     chosen = parts
     for k in range(ROUNDS):
@@ -143,7 +145,10 @@ class ToxicityModel:
         model's own are trained on all.  Without rows of both labels the model scores every text 0.
         """
         rows = list(dict.fromkeys(((t or "").encode(), int(y)) for t, y in zip(texts, labels)))
-        cut = [(windows(t), y) for t, y in rows]
+        del texts, labels
+        one: dict[bytes, bytes] = {}  # equal windows are one object
+        cut = [([one.setdefault(w, w) for w in windows(t)], y) for t, y in rows]
+        del one, rows
         ordinary, toxic = ([t for t, y in cut if y == k] for k in (0, 1))
         if len(ordinary) < 2 or not toxic:
             return cls(None, None)
@@ -152,8 +157,11 @@ class ToxicityModel:
             rest = [[t for i, t in enumerate(some) if i % FOLDS != fold] or some for some in (ordinary, toxic)]
             gains = _Gains(*train(*rest))
             for label, some in enumerate((ordinary, toxic)):
-                found += [np.array([gains[w] for w in t], float) for t in some[fold::FOLDS]]
-                y += [label] * len(some[fold::FOLDS])
+                for t in some[fold::FOLDS]:
+                    found.append(np.fromiter(map(gains.__getitem__, t), np.int16, len(t)))
+                    y.append(label)
+                    if len(gains) > CACHED_WINDOWS:
+                        gains.clear()
         y, best = np.array(y, float), None
         for threshold in WINDOW_THRESHOLDS:
             x = np.array([measures(g, threshold) for g in found])
@@ -216,8 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Toxici
     )
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     found = found.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
-    found = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in found), key=lambda r: (hash(r[0]) * 2654435761 % 2**32, r))
-    return ToxicityModel.fit([r[1] for r in found], [r[2] for r in found])
+    found.sort(key=lambda r: (hash(r["doc_id"]) * 2654435761 % 2**32, r["doc_id"], r["text"], r["toxic"]))
+    texts, labels = [r["text"] for r in found], [r["toxic"] for r in found]
+    del found
+    return ToxicityModel.fit(texts, labels)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
