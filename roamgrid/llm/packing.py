@@ -17,6 +17,8 @@ from roamgrid.plans.storage import shuffle_width, written
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
+#: Rows alike in doc_id and length that one task makes rows again of, at most.
+ALIKE = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -102,12 +104,20 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
     # many cells to a bucket, so that none is large although one bucket may hold a third of all rows
     cells = 8 * max(shuffle_width(docs.sparkSession), rows.count() // 50_000)
     rows = rows.withColumn("bucket_bound", bound.cast("long")).withColumn("cell", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(cells)).cast("int"))
-    sizes = rows.groupBy("bucket_bound", "cell").agg(F.count("*").alias("n"))
+    # rows alike in all that counts are one row with their number, so that none of them are sorted
+    alike = rows.groupBy("bucket_bound", "cell", "doc_id", "n_tokens").agg(F.count("*").alias("n"))
+    sizes = alike.groupBy("bucket_bound", "cell").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("bucket_bound").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("bucket_bound", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("bucket_bound", "cell").orderBy("doc_id", "n_tokens")
-    ranked = rows.withColumn("at", F.row_number().over(inside) - 1).join(starts, ["bucket_bound", "cell"])
-    at, room = F.col("start") + F.col("at"), F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.col("bucket_bound")))
+    inside = Window.partitionBy("bucket_bound", "cell").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = alike.withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["bucket_bound", "cell"])
+    ranked = ranked.withColumn("at", F.col("start") + F.col("at")).drop("start", "cell")
+    # many alike are dealt out again by number before they are rows again
+    many = ranked.where(F.col("n") > ALIKE).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / ALIKE))))
+    many = many.withColumn("at", F.col("at") + F.col("part") * ALIKE).withColumn("n", F.least(F.lit(ALIKE), F.col("n") - F.col("part") * ALIKE))
+    many = many.repartition(shuffle_width(docs.sparkSession), "bucket_bound", "at").drop("part")
+    ranked = ranked.where(F.col("n") <= ALIKE).unionByName(many).withColumn("at", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)))
+    at, room = F.col("at"), F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.col("bucket_bound")))
     return ranked.select(
         "doc_id", "n_tokens", "bucket_bound", F.concat_ws(":", "bucket_bound", F.floor(at / room)).alias("batch_id"), F.pmod(at, room).alias("place")
     )
