@@ -299,8 +299,6 @@ class Codec:
         """Token ids of a text; special tokens' strings become their ids; null counts as empty."""
         if not text:
             return np.zeros(0, np.int32)
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
         if self.special is None or not self.special.search(text):
             return np.frombuffer(self._packed(text), np.int32)
         parts, at = [], 0
@@ -335,6 +333,8 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         packed = array("i", self.automaton.encode(word.encode())).tobytes()
         if len(word) <= 64:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
             self[word] = packed
         return packed
 
