@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from roamgrid.llm.rows import located, semi_join
+from roamgrid.llm.rows import join_groups, located, semi_join
 from roamgrid.plans.storage import delete_path, new_path, settings, written
 
 #: Fixed value: characters that don't count when texts are compared.
@@ -29,9 +29,6 @@ STATE_STORE = {
     "spark__sql__streaming__stateStore__providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false",
 }
-#: Rows of a group from which it is looked up by a broadcast, at least, and groups that are, at most:
-#: groups of more than ``rows / HOT_GROUPS`` rows are that few.
-HOT_ROWS, HOT_GROUPS = 100, 100_000
 STATE = "digest binary, variant int, group_size bigint, keeper struct<n_points: int, not_id: bigint, not_row: bigint, at_file: string>, batch int"
 
 
@@ -132,7 +129,7 @@ class ExactDedup:
         path = f"{self.folder}/digests/run={uuid.uuid4().hex}"
         keyed.write.parquet(path)
         self.absorb(keyed.schema)
-        found = self.looked_up(spark.read.schema(keyed.schema).parquet(path))
+        found = join_groups(spark.read.schema(keyed.schema).parquet(path), written(self.groups(), "groups"), ["digest", "variant"], "group_size")
         same_row = F.col("at_file").eqNullSafe(F.col("keep_file")) & F.col("at_row").eqNullSafe(F.col("keep_row"))
         if self.digest is sha256:
             found = found.withColumn("text_sha256", F.lower(F.hex("digest")))
@@ -141,17 +138,6 @@ class ExactDedup:
             found = found.join(shas, ["at_file", "at_row"])
         return found.select("doc_id", "keep_id", "group_size", same_row.alias("kept"), "text_sha256", "at_file", "at_row")
 
-    def looked_up(self, keyed: DataFrame) -> DataFrame:
-        """Rows with their group's state.
-
-        A large group's rows don't meet in one task: the few large groups are broadcast.
-        """
-        groups = written(self.groups(), "groups")
-        hot = max(HOT_ROWS, keyed.count() // HOT_GROUPS)
-        large, rest = groups.where(F.col("group_size") > hot), groups.where(F.col("group_size") <= hot)
-        keys = ["digest", "variant"]
-        return keyed.join(F.broadcast(large), keys).unionByName(keyed.join(F.broadcast(large.select(keys)), keys, "left_anti").join(rest, keys))
-
     def earlier_contents(self, known: DataFrame) -> DataFrame:
         """``digest``, ``variant`` and ``content`` of earlier keepers, read by their locators."""
         files = [r[0] for r in known.select("keep_file").distinct().collect()]

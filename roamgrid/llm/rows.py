@@ -11,6 +11,9 @@ from roamgrid.plans.storage import new_path
 
 #: Keys up to this number are broadcast when rows are looked up, more are shuffled.
 BROADCAST_KEYS = 1_000_000
+#: Rows of a group from which it is looked up by a broadcast, at least, and groups that are, at most:
+#: groups of more than ``rows / HOT_GROUPS`` rows are that few.
+HOT_ROWS, HOT_GROUPS = 100, 100_000
 #: Bits of a row number that hold the place in its file.
 PLACE_BITS = 40
 
@@ -53,3 +56,15 @@ def semi_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_
     """Rows whose key is in ``keys``; these are broadcast only if they are few."""
     few = keys.count() <= BROADCAST_KEYS
     return rows.join(F.broadcast(keys) if few else keys, on, how)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """Rows with their group's columns, for groups that know how many rows they have (``size``).
+
+    A large group's rows don't meet in one task: the large groups, of which a count bounds the number,
+    are broadcast.  Both tables should be written ones.
+    """
+    hot = max(HOT_ROWS, rows.count() // HOT_GROUPS)
+    large, rest = groups.where(F.col(size) > hot), groups.where(F.col(size) <= hot)
+    others = rows.join(F.broadcast(large.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(large), on).unionByName(others.join(rest, on))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roamgrid.llm.components import connected_components
+from roamgrid.llm.rows import join_groups
 from roamgrid.plans.storage import written
 
 BITS = 64
@@ -248,9 +249,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 2) -> DataFram
     stay repeated; other columns are left out.  An empty table gives an empty table.
     """
     fps = written(fingerprints(docs, words), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct_fingerprints")
     roots = connected_components(links(distinct, reach))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(groups, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(named.join(groups, "root").select("fp", "n", "component_id"), "named_fingerprints")
+    return join_groups(fps, named, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
