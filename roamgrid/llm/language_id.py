@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 #: Documents that a model is fitted on, at most: those with the smallest hashes of doc_id.
 TRAINING_ROWS = 3_000
 BUCKETS = 1 << 18
-#: Letters of words whose features are made together; longer words are taken one by one.
-SHORT = 24
+#: Letters of words whose features are made together, and how many words; longer words are taken one by one.
+SHORT, TOGETHER = 24, 10_000
 #: Times a word must occur in the training documents to be in the lexicon.
 LEXICON_COUNT = 5
 SEGMENT = 64
@@ -99,7 +99,8 @@ def _long_features(word: str) -> np.ndarray:
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all features but the lexicon's, one word after the other, and how many each word has."""
     short = [w for w in words if len(w) <= SHORT]
-    flat, counts = _short_features(short) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    some = [_short_features(short[i : i + TOGETHER]) for i in range(0, len(short), TOGETHER)]
+    flat, counts = (np.concatenate(x) for x in zip(*some)) if some else (np.zeros(0, np.int32), np.zeros(0, np.int64))
     if len(short) == len(words):
         return flat, counts
     parts = iter(np.split(flat, np.cumsum(counts)[:-1]))
@@ -183,8 +184,8 @@ class LanguageModel:
                 grown = np.zeros((max(n, 2 * len(self._scores)), len(self.labels)), np.float32)
                 grown[: len(self._scores)] = self._scores
                 self._scores = grown
-            for i in range(0, len(new), 50_000):
-                some = new[i : i + 50_000]
+            for i in range(0, len(new), TOGETHER):
+                some = new[i : i + TOGETHER]
                 first = n - len(new) + i
                 self._scores[first : first + len(some)] = np.exp(_centred(self.emissions(some)))
             new.clear()
