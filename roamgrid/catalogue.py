@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roamgrid.config import BOUNDS, EXPAND_RATIOS, Rect
-from roamgrid.functions.grid import grid_bounds, grid_id, haversine, in_box, intensity_color, period_of, rect_cells
-from roamgrid.operators import density, od, paths, polyline, regions, road, routing, stats, trajectory, trips, viewport
+from roamgrid.functions.grid import grid_bounds, grid_id, haversine, in_box, intensity_color, period_name, period_of, rect_cells
+from roamgrid.operators import density, display, od, paths, polyline, regions, road, routing, stats, trajectory, trips, viewport
 from roamgrid.plans.storage import written
-from roamgrid.sources.points import from_events, scan, stride_sample, vehicles
+from roamgrid.sources.points import from_events, scan, stride_sample, vehicle_page, vehicles
 from roamgrid.streaming import live
 
 A, B, C, OUT = Rect(116.30, 39.60, 116.45, 39.75), Rect(116.45, 39.65, 116.65, 39.85), Rect(116.40, 39.70, 116.50, 39.76), Rect(115.0, 39.0, 115.5, 39.2)
 RECTS = {"A": A, "B": B, "C": C, "OUT": OUT}
 START, END = 3132, 5960
-VIEW = (116.45, 39.70, 11.0, 1200, 800)
-LINE = [[116.30, 39.60], [116.31, 39.61], [116.33, 39.61], [116.34, 39.64], [116.34, 39.66], [116.36, 39.66]]
+#: Number, centre, zoom, width and height of some map views.
+VIEWS = [(1, 116.45, 39.70, 11.0, 1200, 800), (2, 116.40, 39.75, 9.5, 1200, 800), (3, 116.50, 39.72, 13.5, 800, 600)]
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -64,6 +65,11 @@ def vehicle_list(p):
     return vehicles(p)
 
 
+@_on_points
+def vehicle_page_of_ten(p):
+    return vehicle_page(p, 10)
+
+
 @_on_points
 def vehicle_trajectory(p):
     return trajectory.of_vehicle(p, 3).select("seq", "event_id", "ts", "lon", "lat")
@@ -84,6 +90,11 @@ def period_histogram(p):
     return p.groupBy(period_of(F.col("ts")).alias("period")).agg(F.count("*").alias("n"))
 
 
+@_on_points
+def period_labels(p):
+    return p.select(period_name(period_of(F.col("ts"))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+
 @_on_points
 def grid_id_projection(p):
     return p.select("event_id", grid_id(F.col("lon"), F.col("lat")).alias("gid"))
@@ -226,6 +237,12 @@ def od_arc_styles(m):
     return _rounded(styled, 9, "width", "height").select("start_grid", "end_grid", "period", "direction", "sector", "quadrant", "width", "height", F.array_join("color", "/").alias("color"))
 
 
+@_on_matrix
+def od_path_labels(m):
+    labelled = _rounded(od.with_labels(od.with_centers(od.paths_between(m, A, B))), 9, "source_lon", "source_lat", "target_lon", "target_lat")
+    return labelled.select("start_grid", "end_grid", "source_lon", "source_lat", "target_lon", "target_lat", "count", "period_name", "direction", "label")
+
+
 @_on_matrix
 def od_balance_metrics(m):
     return _rounded(od.balance(od.paths_of_region(m, C)), 9, "dominant_ratio", "imbalance")
@@ -274,11 +291,66 @@ def path_tree_stats(p):
     return paths.tree_stats(written(paths.sequences(p), "sequences"))
 
 
+def _drawn(rows):
+    """Paths and lines as texts."""
+    line = F.array_join(F.transform("coords", lambda c: F.format_string("%.4f %.4f", c[0], c[1])), ",")
+    return rows.withColumns({c: F.array_join("path", ">") for c in rows.columns if c == "path"} | {"coords": line})
+
+
 @_on_points
 def path_exemplars(p):
-    best = paths.exemplars(p, paths.sequences(p))
-    line = F.array_join(F.transform("coords", lambda c: F.format_string("%.3f %.3f", c[0], c[1])), ",")
-    return best.select(F.array_join("path", ">").alias("path"), line.alias("coords"))
+    return _drawn(paths.exemplars(p, paths.sequences(p)))
+
+
+@_on_points
+def path_styles(p):
+    best = paths.top_k(_frequencies(p), 10)
+    order = Window.orderBy(F.desc("vehicles"), F.desc("distance"), "path")  # ten rows
+    return viewport.path_style(best.withColumn("place", F.row_number().over(order) - 1), F.col("place")).select(F.array_join("path", ">").alias("path"), "place", F.round("width", 6).alias("width"), "color")
+
+
+def _asked_paths(p):
+    """The frequent paths between two regions, and pairs of cells that trips lead from A to B between."""
+    frequent = paths.top_k_between(_frequencies(p), A, B, 10).select("path")
+    pairs = od.paths_between(od.matrix(p), A, B).where(F.col("direction") == od.A_TO_B).select(F.array("start_grid", "end_grid").alias("path"))
+    return written(frequent.unionByName(pairs).distinct(), "asked_paths")
+
+
+@_on_points
+def path_vehicle_counts(p):
+    found = paths.vehicles_of(_frequencies(p), _asked_paths(p))
+    return found.select(F.array_join("path", ">").alias("path"), "vehicles")
+
+
+@_on_points
+def trips_crossing_regions(p):
+    return display.crossing_trips(p, A, B)
+
+
+@_on_points
+def region_trip(p):
+    return _drawn(display.region_trip(p, A, B))
+
+
+@_on_points
+def recorded_trips_of_paths(p):
+    return _drawn(display.recorded_trips(_asked_paths(p), display.recorded_lines(p)))
+
+
+def _shown(p):
+    return display.with_lines(_asked_paths(p), paths.exemplars(p, paths.sequences(p)), display.recorded_lines(p), display.region_trip(p, A, B))
+
+
+@_on_points
+def shown_paths(p):
+    return _drawn(_shown(p))
+
+
+@_on_points
+def display_hint(p):
+    grid = display.with_lines(_asked_paths(p), paths.exemplars(p, paths.sequences(p)), display.recorded_lines(p).limit(0))
+    counted = grid.agg(F.count_if(F.col("shown") != display.GRID).alias("hits"), F.count("*").alias("total"))
+    return counted.withColumn("hint", display.hint(F.col("hits"), F.col("total")))
 
 
 @_on_points
@@ -307,7 +379,7 @@ def road_edges_effective(p):
 
 
 def _asked_places(p):
-    return p.where("event_id % 50 = 0").select(F.col("event_id").alias("place"), "lon", "lat").where(in_box(F.col("lon"), F.col("lat"), BOUNDS))
+    return p.select(F.col("event_id").alias("place"), "lon", "lat").where(in_box(F.col("lon"), F.col("lat"), BOUNDS))
 
 
 @_on_points
@@ -328,36 +400,57 @@ def region_edge_grids(spark, sf_dir):
 _queries |= {"nearest_grid_centers_k": nearest_grid_centers_k, "region_edge_grids": region_edge_grids}
 
 
-def _edges(p):
-    return written(road.effective_edges(p), "edges")
+def _road_graph(p):
+    """Nodes and edges, each worked out once."""
+    nodes = written(road.nodes(p), "nodes")
+    return nodes, written(road.effective_edges(p, node_table=nodes), "edges")
 
 
 @_on_points
 def shortest_time_by_period(p):
     asked = p.sparkSession.createDataFrame([(START, END, k) for k in range(3)], "start long, end long, period int")
-    return _rounded(routing.fastest_routes(_edges(p), asked), 4, "seconds").select(F.col("start").alias("start_node"), F.col("end").alias("end_node"), "period", "seconds")
+    return _rounded(routing.fastest_routes(_road_graph(p)[1], asked), 4, "seconds").select(F.col("start").alias("start_node"), F.col("end").alias("end_node"), "period", "seconds")
 
 
 @_on_points
 def shortest_times_from_node(p):
     sources = p.sparkSession.createDataFrame([(START, 2)], "start long, period int")
-    return _rounded(routing.relaxed(_edges(p), sources), 4, "seconds").select("node", "seconds")
+    return _rounded(routing.relaxed(_road_graph(p)[1], sources), 4, "seconds").select("node", "seconds")
 
 
 @_on_points
 def region_shortest_path(p):
-    found = routing.region_route(_edges(p), written(road.nodes(p), "nodes"), A, B, 2)
-    return _rounded(found, 4, "seconds").select("start_grid", "end_grid", "seconds", "searched", F.size("route").alias("nodes"))
+    nodes, edges = _road_graph(p)
+    return _rounded(routing.region_route(edges, nodes, A, B, 2), 4, "seconds").select("start_grid", "end_grid", "seconds", "searched")
+
+
+@_on_points
+def routing_endpoints(p):
+    nodes = written(road.nodes(p), "nodes")
+    asked = {"A": A, "OUT": OUT, "place": (116.42, 39.71), "far": (110.0, 30.0)}
+    parts = [routing.endpoint(nodes, place).select(F.lit(name).alias("asked"), "node", "meters") for name, place in asked.items()]
+    return _rounded(functools.reduce(DataFrame.unionByName, parts), 3, "meters")
+
+
+@_on_points
+def edge_seconds_lookup(p):
+    """Every edge both ways in a period that is there, one that isn't, and a pair that is no edge."""
+    edges = _road_graph(p)[1]
+    pairs = edges.select("src", "dst").distinct()
+    asked = pairs.select("src", "dst", F.explode(F.array(F.lit(0), F.lit(9))).alias("period")).unionByName(pairs.select("src", F.lit(-5).cast("long").alias("dst"), F.lit(1).alias("period")).distinct())
+    return _rounded(routing.edge_seconds(edges, asked), 4, "seconds")
 
 
 @_on_points
 def compare_periods(p):
-    return _rounded(routing.compare_regions(_edges(p), written(road.nodes(p), "nodes"), A, B), 4, "seconds")
+    nodes, edges = _road_graph(p)
+    return _rounded(routing.compare_regions(edges, nodes, A, B), 4, "seconds")
 
 
 @_on_points
 def viewport_lod_points(p):
-    return viewport.thin(p, 11.0, viewport.view_box(*VIEW)).select("event_id", "taxi_id", "vx", "vy")
+    views = p.sparkSession.createDataFrame(VIEWS, "view int, lon double, lat double, zoom double, width int, height int")
+    return viewport.thin(p, views).select("view", "event_id", "taxi_id", "vx", "vy")
 
 
 @_on_points
@@ -365,25 +458,33 @@ def view_state(p):
     return _rounded(viewport.view_state(regions.search(p, C)), 9, "longitude", "latitude")
 
 
-def _line_table(spark):
-    return spark.createDataFrame([(LINE,)], "line array<array<double>>")
+def _shaped(p, shape):
+    """The places of every trip's line after shaping it."""
+    lines = paths.display_coords(p).select("taxi_id", "trip_id", shape(F.col("coords")).alias("line"))
+    places = lines.select("taxi_id", "trip_id", F.posexplode("line").alias("place", "p"))
+    return places.select("taxi_id", "trip_id", "place", F.round(F.col("p")[0], 9).alias("lon"), F.round(F.col("p")[1], 9).alias("lat"))
 
 
-def _line_rows(line):
-    return line.select(F.posexplode("line").alias("place", "p")).select("place", F.round(F.col("p")[0], 9).alias("lon"), F.round(F.col("p")[1], 9).alias("lat"))
+@_on_points
+def smooth_polyline(p):
+    return _shaped(p, polyline.smooth)
 
 
-_queries |= {
-    "smooth_polyline": lambda spark, sf_dir: _line_rows(_line_table(spark).select(polyline.smooth(F.col("line")).alias("line"))),
-    "simplify_collinear": lambda spark, sf_dir: _line_rows(_line_table(spark).select(polyline.simplify(F.col("line")).alias("line"))),
-    "trajectory_like_line": lambda spark, sf_dir: _line_rows(_line_table(spark).select(polyline.trajectory_like(F.col("line")).alias("line"))),
-}
+@_on_points
+def simplify_collinear(p):
+    return _shaped(p, polyline.simplify)
+
+
+@_on_points
+def trajectory_like_line(p):
+    return _shaped(p, polyline.trajectory_like)
 
 
 @_on_points
 def snap_to_road(p):
-    lines = trajectory.lines(trajectory.capped(trajectory.first_vehicles(scan(p), 5), 5, 200))
-    return trajectory.snap_to_road(lines, _edges(p), written(road.nodes(p), "nodes")).select("taxi_id", F.size("coords").alias("places"), "snapped")
+    nodes, edges = _road_graph(p)
+    lines = trajectory.lines(trajectory.capped(trajectory.first_vehicles(scan(p))))
+    return trajectory.snap_to_road(lines, edges, nodes).select("taxi_id", F.size("coords").alias("places"), "snapped")
 
 
 @_on_points
@@ -394,8 +495,14 @@ def system_stats(p):
 @_on_points
 def map_payload(p):
     found = regions.search(p, C)
-    dots = viewport.layer(found.orderBy("event_id").limit(100), "scatter", F.struct("lon", "lat", "taxi_id"), "points")
-    return viewport.payload(viewport.view_state(found), [dots], {"rect": "C"})
+    state = _rounded(viewport.view_state(found), 9, "longitude", "latitude")
+    view = state.select(F.lit(0).alias("view"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat"), "zoom", F.lit(1200).alias("width"), F.lit(800).alias("height"))
+    return viewport.payload(state, [viewport.scatter(viewport.thin(found, written(view, "view")), 16)], {"rect": "C"})
+
+
+@_on_points
+def density_columns(p):
+    return _rounded(viewport.column_rows(density.density(p)), 6, "elevation").select("period", "gx", "gy", "elevation")
 
 
 def _streamed(spark, sf_dir, make):

@@ -55,13 +55,13 @@ EARTH_RADIUS = 6_371_000.0
 NODE_BUCKET = 0.01
 PATH_DEPTH_BETWEEN = 15
 EXEMPLAR_POINTS = 800
-EXEMPLAR_PATHS = 300_000
 ARC_CAP = 300
 REGION_NEAREST = 8
 COMPARE_NEAREST = 5
 SNAP_KEYFRAME, SNAP_SEGMENTS = 10, 100
 DISPLAY_CAP = 120
 DEFAULT_VIEW = (116.51, 39.92, 11.0)
+PATH_COLORS = [(255, 100, 50, 200), (100, 150, 255, 200), (50, 200, 100, 200), (255, 200, 50, 200), (200, 50, 150, 200), (50, 150, 200, 200)]
 PERIODS = {0: "morning peak", 1: "evening peak", 2: "off-peak"}
 PERIOD_PARAMS = {"all": None, "morning": 0, "evening": 1, "offpeak": 2}
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamgrid.config import BOUNDS, EARTH_RADIUS, GRID_SIZE, Rect
+from roamgrid.config import BOUNDS, EARTH_RADIUS, GRID_SIZE, PERIODS, Rect
 
 
 def steps(size: int = GRID_SIZE, box: Rect = BOUNDS) -> tuple[float, float]:
@@ -21,6 +21,12 @@ def period_of(ts: Column) -> Column:
     return F.when(hour.isin(7, 8), 0).when(hour.isin(17, 18), 1).otherwise(2)
 
 
+def period_name(period: Column) -> Column:
+    """The label of a period; ``unknown`` for other numbers and null."""
+    names = F.create_map(*[F.lit(x) for pair in PERIODS.items() for x in pair])
+    return F.coalesce(F.element_at(names, period), F.lit("unknown"))
+
+
 def in_rect(lon: Column, lat: Column, r: Rect) -> Column:
     """Inside or on the edge."""
     return lon.between(r.x_min, r.x_max) & lat.between(r.y_min, r.y_max)

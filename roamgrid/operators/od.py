@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamgrid.config import ARC_CAP, BOUNDS, Rect
-from roamgrid.functions.grid import center_lat, center_lon, direction_part, in_cells
+from roamgrid.functions.grid import center_lat, center_lon, direction_part, in_cells, period_name
 from roamgrid.operators import trips
 
 OUT, IN, A_TO_B, B_TO_A = "departure", "arrival", "A→B", "B→A"
@@ -74,6 +74,12 @@ def with_centers(paths: DataFrame) -> DataFrame:
     return out.withColumn("sector", direction_part(dx, dy, 8)).withColumn("quadrant", direction_part(dx, dy, 4))
 
 
+def with_labels(paths: DataFrame) -> DataFrame:
+    """Adds ``period_name`` and a ``label`` for the reader."""
+    named = paths.withColumn("period_name", period_name(F.col("period")))
+    return named.withColumn("label", F.format_string("%s %s cells %d > %d", "period_name", "direction", "start_grid", "end_grid"))
+
+
 def is_edge_region(r: Rect) -> bool:
     """Whether a rectangle comes near an edge of the bounds."""
     mx, my = (BOUNDS.x_max - BOUNDS.x_min) * EDGE_MARGIN, (BOUNDS.y_max - BOUNDS.y_min) * EDGE_MARGIN

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roamgrid.config import EXEMPLAR_PATHS, EXEMPLAR_POINTS, PATH_DEPTH_BETWEEN, VALID_BOX, Rect
+from roamgrid.config import EXEMPLAR_POINTS, PATH_DEPTH_BETWEEN, VALID_BOX, Rect
 from roamgrid.functions.grid import center_lat, center_lon, grid_id, haversine, in_cells, in_rect
 from roamgrid.operators import trips
 
 VEHICLE_POINTS, TRIP_POINTS, PATH_CELLS = 5, 3, 2
 
 
-def _trips(points: DataFrame) -> DataFrame:
+def long_trips(points: DataFrame) -> DataFrame:
     """Points of trips long enough, of vehicles with enough points, with their cell."""
     enough = F.count("*").over(Window.partitionBy("taxi_id"))
     kept = points.withColumn("of_vehicle", enough).where(F.col("of_vehicle") >= VEHICLE_POINTS).drop("of_vehicle")
@@ -22,7 +22,7 @@ def _trips(points: DataFrame) -> DataFrame:
 def sequences(points: DataFrame) -> DataFrame:
     """``taxi_id``, ``trip_id``, ``path``: cells inside the bounds without consecutive repeats, two at least."""
     order = Window.partitionBy("taxi_id", "trip_id").orderBy("ts", "event_id")
-    inside = _trips(points).where("gid <> -1").withColumn("before", F.lag("gid").over(order))
+    inside = long_trips(points).where("gid <> -1").withColumn("before", F.lag("gid").over(order))
     runs = inside.where("before is null or before <> gid")
     path = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "gid"))), lambda x: x["gid"])
     return runs.groupBy("taxi_id", "trip_id").agg(path.alias("path")).where(F.size("path") >= PATH_CELLS)
@@ -95,7 +95,7 @@ def display_coords(points: DataFrame, most: int = EXEMPLAR_POINTS) -> DataFrame:
     lines are thinned.  With too few points left the trip's or the plausible points' ends are taken.
     """
     at = F.array_sort(F.collect_list(F.struct("ts", "event_id", "gid", "lon", "lat")))
-    rows = _trips(points).groupBy("taxi_id", "trip_id").agg(at.alias("all"))
+    rows = long_trips(points).groupBy("taxi_id", "trip_id").agg(at.alias("all"))
     place = lambda x: F.array(x["lon"], x["lat"])
     rows = rows.withColumn("valid", F.filter("all", lambda x: in_rect(x["lon"], x["lat"], VALID_BOX)))
     rows = rows.withColumn("inside", F.filter("valid", lambda x: x["gid"] != -1))
@@ -110,18 +110,13 @@ def display_coords(points: DataFrame, most: int = EXEMPLAR_POINTS) -> DataFrame:
     return rows.select("taxi_id", "trip_id", coords.alias("coords"))
 
 
-def exemplars(points: DataFrame, paths: DataFrame, most: int = EXEMPLAR_PATHS) -> DataFrame:
-    """``path`` and ``coords`` of its longest line; of equal ones the first vehicle's first trip.
-
-    With more than ``most`` paths those whose first vehicle and trip come first have one.
-    """
+def exemplars(points: DataFrame, paths: DataFrame) -> DataFrame:
+    """``path`` and ``coords`` of its longest line; of equal ones the first vehicle's first trip."""
     lines = paths.join(display_coords(points), ["taxi_id", "trip_id"])
     rank = F.struct(F.size("coords").alias("n"), (-F.col("taxi_id")).alias("v"), (-F.col("trip_id")).alias("t"))
-    best = lines.groupBy("path").agg(F.max_by("coords", rank).alias("coords"), F.min(F.struct("taxi_id", "trip_id")).alias("first"))
-    return best.orderBy("first").limit(most).drop("first")
+    return lines.groupBy("path").agg(F.max_by("coords", rank).alias("coords"))
 
 
-def with_display(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Few rows of paths with the line to draw and whether it is a recorded one (``exemplar`` or ``grid``)."""
-    out = rows.join(known, "path", "left")
-    return out.withColumn("shown", F.when(F.col("coords").isNull(), "grid").otherwise("exemplar")).withColumn("coords", F.coalesce("coords", path_coords(F.col("path"))))
+def vehicles_of(frequencies: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` paths with their ``vehicles``, 0 for a path that no trip begins with."""
+    return asked.join(frequencies.select("path", "vehicles"), "path", "left").withColumn("vehicles", F.coalesce("vehicles", F.lit(0)))

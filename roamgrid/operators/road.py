@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roamgrid.config import BOUNDS, DEFAULT_SPEEDS, GRID_SIZE, NODE_STRIDE, SAMPLE_CAP_SECONDS, SAMPLE_SECONDS, SAMPLES_NEEDED
 from roamgrid.functions.grid import cell_x, cell_y, haversine, in_rect, period_of, steps
 from roamgrid.operators.trips import in_time
+from roamgrid.plans.storage import written
 
 #: Fixed value: the eight neighbours of a cell.
 NEIGHBOURS = [(1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1)]
@@ -71,13 +72,13 @@ def symmetric_medians(medians: DataFrame) -> DataFrame:
     return pairs.agg(F.max_by("seconds", F.struct("first", "u")).alias("seconds"))
 
 
-def effective_edges(points: DataFrame, size: int = GRID_SIZE, semantics: str = "reference") -> DataFrame:
+def effective_edges(points: DataFrame, size: int = GRID_SIZE, semantics: str = "reference", node_table: DataFrame | None = None) -> DataFrame:
     """``src``, ``dst``, ``period``, ``seconds``: default times and what was learned.
 
     With ``semantics="reference"`` a learned time counts where it is the smaller one, with
     ``"corrected"`` wherever there is one.
     """
-    node_table = nodes(points, size)
+    node_table = nodes(points, size) if node_table is None else node_table
     learned = symmetric_medians(edge_medians(travel_samples(points, node_table, size)))
     edges = default_edges(node_table).withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst"))
     joined = edges.join(learned.withColumnRenamed("seconds", "learned"), ["a", "b", "period"], "left")
@@ -87,7 +88,7 @@ def effective_edges(points: DataFrame, size: int = GRID_SIZE, semantics: str = "
 
 def graph_stats(points: DataFrame, size: int = GRID_SIZE) -> DataFrame:
     """One row: ``nodes``, directed ``edges`` and travel ``samples`` between known nodes."""
-    node_table = nodes(points, size)
+    node_table = written(nodes(points, size), "nodes")
     n = node_table.agg(F.count("*").alias("nodes"))
     e = default_edges(node_table).where("period = 2").agg(F.count("*").alias("edges"))
     s = travel_samples(points, node_table, size).agg(F.count("*").alias("samples"))

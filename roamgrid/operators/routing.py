@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roamgrid.config import COMPARE_NEAREST, GRID_SIZE, NODE_BUCKET, REGION_NEAREST, Rect
-from roamgrid.functions.grid import center_lat, center_lon, haversine, in_rect, rect_cells
+from roamgrid.config import BOUNDS, COMPARE_NEAREST, GRID_SIZE, NODE_BUCKET, REGION_NEAREST, Rect
+from roamgrid.functions.grid import cell_range, center_lat, center_lon, grid_id, haversine, in_rect, steps
 from roamgrid.plans.storage import delete_path, new_path
 
 #: Edges up to this number are broadcast: what a grid of 500 cells a side can have, in three periods.
@@ -136,31 +136,34 @@ def nearest_node_in(node_table: DataFrame, rect: Rect, lon: float, lat: float) -
     return inside.select("node", haversine(F.lit(lon), F.lit(lat), F.col("lon"), F.col("lat")).alias("meters")).orderBy("meters", "node").limit(1)
 
 
-def region_cells(spark, rect: Rect, size: int = GRID_SIZE) -> DataFrame:
-    """``gid``, ``lon``, ``lat`` of the cells whose centre is in the closed rectangle."""
-    cells = rect_cells(spark, rect, size).select("gid", center_lon(F.col("gid"), size).alias("lon"), center_lat(F.col("gid"), size).alias("lat"))
-    return cells.where(in_rect(F.col("lon"), F.col("lat"), rect))
-
-
-def edge_cells(spark, rect: Rect, away_from: Rect | None = None, size: int = GRID_SIZE) -> DataFrame:
-    """The cells of ``region_cells`` on the border of their extent.
+def border(rect: Rect, away_from: Rect | None = None, size: int = GRID_SIZE) -> list[int]:
+    """The border of the cells whose centre is in the closed rectangle.
 
     With ``away_from`` the side that faces away from that rectangle along the larger offset of the
     centres is left out, if there are more than four cells and some remain.
     """
-    everything = Window.partitionBy(F.lit(0))  # a region's cells, bounded by the grid
-    x, y = F.col("gid") % size, F.floor(F.col("gid") / size)
-    cells = region_cells(spark, rect, size).withColumn("x", x).withColumn("y", y)
-    for name, col in (("x", "x"), ("y", "y")):
-        cells = cells.withColumn(f"{name}0", F.min(col).over(everything)).withColumn(f"{name}1", F.max(col).over(everything))
-    edge = cells.where("x = x0 or x = x1 or y = y0 or y = y1")
-    if away_from is not None:
-        (cx, cy), (ox, oy) = rect.center, away_from.center
-        dx, dy = ox - cx, oy - cy
-        side = ("x = x0" if dx > 0 else "x = x1") if abs(dx) > abs(dy) else ("y = y0" if dy > 0 else "y = y1")
-        edge = edge.withColumn("n", F.count("*").over(everything)).withColumn("drop", F.expr(side) & (F.col("n") > 4))
-        edge = edge.withColumn("stay", F.sum((~F.col("drop")).cast("int")).over(everything)).where("not drop or stay = 0")
-    return edge.select("gid", "lon", "lat")
+    x0, x1, y0, y1 = cell_range(rect, size)
+    dx, dy = steps(size)
+    middle = lambda low, step, i: ((low + i * step) + (low + (i + 1) * step)) / 2
+    xs = [x for x in range(x0, x1 + 1) if rect.x_min <= middle(BOUNDS.x_min, dx, x) <= rect.x_max]
+    ys = [y for y in range(y0, y1 + 1) if rect.y_min <= middle(BOUNDS.y_min, dy, y) <= rect.y_max]
+    if not xs or not ys:
+        return []
+    edge = {(x, y) for x in (xs[0], xs[-1]) for y in ys} | {(x, y) for x in xs for y in (ys[0], ys[-1])}
+    if away_from is not None and len(edge) > 4:
+        across, up = (o - c for o, c in zip(away_from.center, rect.center))
+        if abs(across) > abs(up):
+            far, at = (xs[0] if across > 0 else xs[-1]), 0
+        else:
+            far, at = (ys[0] if up > 0 else ys[-1]), 1
+        edge = {c for c in edge if c[at] != far} or edge
+    return sorted(y * size + x for x, y in edge)
+
+
+def edge_cells(spark, rect: Rect, away_from: Rect | None = None, size: int = GRID_SIZE) -> DataFrame:
+    """``gid``, ``lon`` and ``lat`` of the cells of ``border``, of which the grid bounds the number."""
+    cells = spark.createDataFrame([(g,) for g in border(rect, away_from, size)], "gid long")
+    return cells.select("gid", center_lon(F.col("gid"), size).alias("lon"), center_lat(F.col("gid"), size).alias("lat"))
 
 
 def nearest_centers(of: DataFrame, among: DataFrame, k: int) -> DataFrame:
@@ -177,7 +180,7 @@ def nearest_centers(of: DataFrame, among: DataFrame, k: int) -> DataFrame:
 def _candidates(spark, a: Rect, b: Rect, k: int, node_table: DataFrame, size: int) -> DataFrame:
     """``start_grid``, ``end_grid``, ``start``, ``end``: the pairs of cells that are tried and their nodes."""
     first, second = edge_cells(spark, a, b, size), edge_cells(spark, b, a, size)
-    n1, n2 = first.count(), second.count()
+    n1, n2 = len(border(a, b, size)), len(border(b, a, size))
     k = min(k, max(n1, n2))
     if n1 <= n2:
         pairs = nearest_centers(first, second, k).select(F.col("gid").alias("start_grid"), F.col("other").alias("end_grid"))
@@ -211,6 +214,32 @@ def compare_regions(edges: DataFrame, node_table: DataFrame, a: Rect, b: Rect, k
     return fastest_routes(edges, asked).where("seconds > 0").groupBy("period").agg(F.min("seconds").alias("seconds"))
 
 
+def endpoint(node_table: DataFrame, place: tuple[float, float] | Rect) -> DataFrame:
+    """One row, ``node`` and ``meters``: the node nearest to a place; for a rectangle the one in it that
+    is nearest to its centre, or, if it holds none, the one nearest to its centre at all."""
+    lon, lat = place.center if isinstance(place, Rect) else place
+    spark = node_table.sparkSession
+    anywhere = nearest_node(spark.createDataFrame([(0, float(lon), float(lat))], "place int, lon double, lat double"), node_table).select("node", "meters", F.lit(1).alias("order"))
+    if not isinstance(place, Rect):
+        return anywhere.drop("order")
+    inside = nearest_node_in(node_table, place, lon, lat).withColumn("order", F.lit(0))
+    return inside.unionByName(anywhere).orderBy("order").limit(1).drop("order")
+
+
+def edge_seconds(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (src, dst, period) with ``seconds``; of a pair without that period those of the off-peak
+    one, infinity for a pair that is no edge."""
+    of = edges.groupBy("src", "dst").agg(F.map_from_entries(F.collect_list(F.struct("period", "seconds"))).alias("times"))
+    out = asked.join(of, ["src", "dst"], "left")
+    return out.withColumn("seconds", F.coalesce(F.element_at("times", F.col("period")), F.element_at("times", F.lit(2)), F.lit(float("inf")))).drop("times")
+
+
+def route_cells(routes: DataFrame, size: int = GRID_SIZE) -> DataFrame:
+    """``routes`` with ``cells``, the cells of their ``coords`` without those outside and without repeats in a row."""
+    cells = F.filter(F.transform("coords", lambda c: grid_id(c[0], c[1], size)), lambda g: g != -1)
+    return routes.withColumn("cells", cells).withColumn("cells", F.filter("cells", lambda g, i: (i == 0) | (F.get("cells", i - 1) != g)))
+
+
 def route_coords(routes: DataFrame, node_table: DataFrame) -> DataFrame:
     """``routes`` with ``coords``, the centres of their nodes in order."""
     steps = routes.select("start", "end", "period", F.posexplode("route").alias("at", "node")).join(node_table.select("node", "lon", "lat"), "node")

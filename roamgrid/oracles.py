@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from roamgrid.catalogue import END, LINE, START, VIEW, A, B, C, RECTS
-from roamgrid.config import BOUNDS, DEFAULT_SPEEDS, EXPAND_RATIOS, Rect
+from roamgrid.catalogue import END, OUT, START, VIEWS, A, B, C, RECTS
+from roamgrid.config import BOUNDS, DEFAULT_SPEEDS, EXPAND_RATIOS, PATH_COLORS, PERIODS, VALID_BOX, Rect
 from roamgrid.functions.grid import cell_range, steps
 from roamgrid.operators import od as od_ops
-from roamgrid.operators.viewport import detail, view_box
+from roamgrid.operators.viewport import DETAILS
 
 
 def d(x: float) -> str:
@@ -162,23 +162,126 @@ def _top(where: str, order: str, score: str) -> str:
 BONUS = "vehicles * (1 + least(1.25::DOUBLE, ln(1 + greatest(0, path_len - 2)) * 0.18::DOUBLE))"
 
 
-def _thin() -> str:
-    import math
+def _thin(views: str, points: str) -> str:
+    """CTEs up to ``thinned``: view, event_id, taxi_id, lon, lat, vx, vy of the points of some views."""
+    most = "CASE " + " ".join(f"WHEN zoom <= {x.upto_zoom} THEN {x.max_points}" for x in DETAILS[:-1]) + f" ELSE {DETAILS[-1].max_points} END"
+    pixel = "(360.0::DOUBLE / 512 / pow(2.0::DOUBLE, zoom))"
+    clamp = lambda x: f"CAST(greatest(4, least(72, floor({x}))) AS BIGINT)"
+    return f"""views(view, lon0, lat0, zoom, width, height) AS ({views}),
+wide AS (SELECT *, {pixel} * width / 2 AS ax, {pixel} * height / 2 / greatest(cos(radians(lat0)), 0.01::DOUBLE) AS ay, {most} AS most FROM views),
+boxes AS (SELECT *, lon0 - ax AS x_min, lat0 - ay AS y_min, lon0 + ax AS x_max, lat0 + ay AS y_max FROM wide),
+shaped AS (SELECT *, {clamp('floor(sqrt(most)) * sqrt((x_max - x_min) / (y_max - y_min))')} AS cols, {clamp('floor(sqrt(most)) / sqrt((x_max - x_min) / (y_max - y_min))')} AS rws FROM boxes),
+seen AS (SELECT s.*, p.*, row_number() OVER (PARTITION BY view ORDER BY event_id) - 1 AS rn, count(*) OVER (PARTITION BY view) AS total FROM {points} p JOIN shaped s ON lon BETWEEN x_min AND x_max AND lat BETWEEN y_min AND y_max),
+pool AS (SELECT *, CAST(least(cols - 1, floor((lon - x_min) / (x_max - x_min) * cols)) AS INTEGER) AS vx, CAST(least(rws - 1, floor((lat - y_min) / (y_max - y_min) * rws)) AS INTEGER) AS vy FROM seen WHERE total <= 12 * most OR rn % greatest(1, total // (12 * most)) = 0),
+thinned AS (SELECT view, min(event_id) AS event_id, arg_min(taxi_id, event_id) AS taxi_id, arg_min(lon, event_id) AS lon, arg_min(lat, event_id) AS lat, vx, vy FROM pool GROUP BY view, vx, vy)"""
+
+
+def _payload() -> str:
+    state = f"""state AS (SELECT round((min(lon) + max(lon)) / 2, 9) AS longitude, round((min(lat) + max(lat)) / 2, 9) AS latitude, CASE WHEN greatest(max(lon) - min(lon), max(lat) - min(lat), 0.01) > 0.15 THEN 11.0::DOUBLE WHEN greatest(max(lon) - min(lon), max(lat) - min(lat), 0.01) > 0.06 THEN 12.0::DOUBLE ELSE 13.0::DOUBLE END AS zoom FROM found)"""
+    dots = """'{"lon":' || lon || ',"lat":' || lat || ',"taxi_id":' || taxi_id || ',"radius":16}'"""
+    return f"""{POINTS}, found AS (SELECT * FROM points WHERE {in_rect(C)}), {state}, {_thin("SELECT 0, longitude, latitude, zoom, 1200, 800 FROM state", "found")}
+SELECT '{{"viewState":{{"longitude":' || longitude || ',"latitude":' || latitude || ',"zoom":' || zoom || '}},"layers":[{{"type":"scatter","id":"points","data":[' || (SELECT string_agg({dots}, ',' ORDER BY event_id) FROM thinned) || ']}}],"meta":{{"rect":"C"}},"lockViewport":false}}' AS payload FROM state"""
+
+
+SHOWN = f"""{SEQ},
+walks AS (SELECT taxi_id, trip_id, list({{'lon': lon, 'lat': lat, 'gid': gid}} ORDER BY ts, event_id) AS every FROM trips WHERE n >= 3 AND of_vehicle >= 5 GROUP BY ALL),
+plausible AS (SELECT *, list_filter(every, lambda x: x.lon BETWEEN {d(VALID_BOX.x_min)} AND {d(VALID_BOX.x_max)} AND x.lat BETWEEN {d(VALID_BOX.y_min)} AND {d(VALID_BOX.y_max)}) AS valid FROM walks),
+gridded AS (SELECT *, list_filter(valid, lambda x: x.gid <> -1) AS inside FROM plausible),
+changed AS (SELECT *, [inside[i] for i in range(1, len(inside) + 1) if i = 1 OR inside[i - 1].gid <> inside[i].gid] AS stops FROM gridded),
+strode AS (SELECT *, [stops[i] for i in range(1, len(stops) + 1) if (i - 1) % greatest(1, len(stops) // 800) = 0] AS picked FROM changed),
+shown AS (SELECT taxi_id, trip_id, list_transform(CASE WHEN len(valid) < 2 THEN [every[1], every[-1]] WHEN len(stops) < 2 THEN [valid[1], valid[-1]] WHEN len(stops) <= 800 THEN stops
+  WHEN picked[-1].lon = valid[-1].lon AND picked[-1].lat = valid[-1].lat THEN picked ELSE list_append(picked, valid[-1]) END, lambda x: [x.lon, x.lat]) AS coords FROM strode)"""
+PLACES = f"""{SHOWN},
+l AS (SELECT taxi_id, trip_id, generate_subscripts(coords, 1) - 1 AS place, unnest(coords) AS c FROM shown),
+places AS (SELECT taxi_id, trip_id, place, c[1] AS lon, c[2] AS lat FROM l)"""
+LINE_TEXT = "array_to_string(list_transform(coords, lambda c: printf('%.4f %.4f', c[1], c[2])), ',')"
+PATH_TEXT = "array_to_string(path, '>')"
+AT = "PARTITION BY taxi_id, trip_id ORDER BY place"
+
+
+def _smooth(src: str, alpha: float) -> str:
+    """Two rounds of smoothing of ``src``, as CTEs up to ``smooth2``."""
+    move = lambda c: f"CASE WHEN lag({c}) OVER w IS NULL OR lead({c}) OVER w IS NULL THEN {c} ELSE {c} * {d(1 - alpha)} + ((lag({c}) OVER w + lead({c}) OVER w) / 2) * {d(alpha)} END AS {c}"
+    step = lambda name, of: f"{name} AS (SELECT taxi_id, trip_id, place, {move('lon')}, {move('lat')} FROM {of} WINDOW w AS ({AT}))"
+    return f"{step('smooth1', src)}, {step('smooth2', 'smooth1')}"
+
+
+def _thinned_line(src: str, name: str, most: int) -> str:
+    """``src`` subsampled, as CTEs up to ``name``."""
+    return f"""{name}_n AS (SELECT *, count(*) OVER (PARTITION BY taxi_id, trip_id) AS n FROM {src}),
+{name}_k AS (SELECT *, greatest(1, (n - 1) // {most - 1}) AS step FROM {name}_n),
+{name} AS (SELECT taxi_id, trip_id, row_number() OVER ({AT}) - 1 AS place, lon, lat FROM {name}_k WHERE n <= {most} OR place % step = 0 OR place = n - 1 QUALIFY row_number() OVER ({AT}) <= {most})"""
+
+
+def _trajectory_like() -> str:
+    between = f"""dense AS (SELECT taxi_id, trip_id, row_number() OVER (PARTITION BY taxi_id, trip_id ORDER BY place, t) - 1 AS place, CASE WHEN t = 0 THEN lon ELSE lon + (lon2 - lon) * (t / 7::DOUBLE) END AS lon, CASE WHEN t = 0 THEN lat ELSE lat + (lat2 - lat) * (t / 7::DOUBLE) END AS lat
+FROM (SELECT *, lead(lon) OVER (PARTITION BY taxi_id, trip_id ORDER BY place) AS lon2, lead(lat) OVER (PARTITION BY taxi_id, trip_id ORDER BY place) AS lat2 FROM few), (SELECT unnest(range(0, 7)) AS t) WHERE t = 0 OR lon2 IS NOT NULL)"""
+    return f"""{PLACES}, {_thinned_line('places', 'few', 120)}, {between}, {_thinned_line('dense', 'many', 360)}, {_smooth('many', 0.24)}
+SELECT taxi_id, trip_id, CAST(place AS INTEGER) AS place, round(lon, 9) AS lon, round(lat, 9) AS lat FROM smooth2"""
+
+
+def _simplify() -> str:
+    body = PLACES.replace("WITH b AS", "WITH RECURSIVE b AS", 1)
+    cross = "abs((p.lon - w.klon) * (q.lat - p.lat) - (p.lat - w.klat) * (q.lon - p.lon)) > 1e-12"
+    return f"""{body}, sized AS (SELECT *, count(*) OVER (PARTITION BY taxi_id, trip_id) AS n FROM places),
+walk AS (SELECT taxi_id, trip_id, place, n, lon AS klon, lat AS klat, true AS keep FROM sized WHERE place = 0
+  UNION ALL
+  SELECT p.taxi_id, p.trip_id, p.place, p.n, CASE WHEN {cross} THEN p.lon ELSE w.klon END, CASE WHEN {cross} THEN p.lat ELSE w.klat END, coalesce({cross}, true) FROM walk w
+  JOIN sized p ON p.taxi_id = w.taxi_id AND p.trip_id = w.trip_id AND p.place = w.place + 1 LEFT JOIN sized q ON q.taxi_id = p.taxi_id AND q.trip_id = p.trip_id AND q.place = p.place + 1)
+SELECT taxi_id, trip_id, CAST(row_number() OVER ({AT}) - 1 AS INTEGER) AS place, round(lon, 9) AS lon, round(lat, 9) AS lat FROM walk JOIN places USING (taxi_id, trip_id, place) WHERE keep"""
+
+
+def _display() -> dict[str, str]:
+    """Paths and the recorded trips that show them."""
+    between = f"SELECT path FROM ranked WHERE {cells(A, 'path[1]')} AND {cells(B, 'path[len(path)]')} AND path_len BETWEEN 2 AND 15 ORDER BY vehicles DESC, distance DESC, ranked.path LIMIT 10"
+    frequent = FREQ.split("FROM k),", 1)[1]
+    seq = SEQ.split("FROM k),", 1)[1]
+    shown = SHOWN.split(seq, 1)[1]
+    ends = ENDS.split(TRIPS, 1)[1]
+    od = OD.split(ENDS, 1)[1]
+    base = f"""{FREQ}{ends}{od}{shown},
+asked AS (SELECT DISTINCT path FROM (SELECT * FROM ({between}) UNION ALL SELECT [start_grid, end_grid] FROM od WHERE {cells(A, 'start_grid')} AND {cells(B, 'end_grid')})),
+lines AS (SELECT taxi_id, trip_id, path, coords FROM seq JOIN shown USING (taxi_id, trip_id) WHERE len(coords) >= 2),
+known AS (SELECT path, arg_max(coords, (len(coords), -taxi_id, -trip_id)) AS coords FROM seq JOIN shown USING (taxi_id, trip_id) GROUP BY path),
+tried AS (SELECT a.path, l.taxi_id, l.trip_id, l.coords, l.path = a.path AS exact, row_number() OVER (PARTITION BY a.path ORDER BY l.path <> a.path, CASE WHEN l.path = a.path THEN 0 ELSE -len(l.coords) END, l.taxi_id, l.trip_id) AS rn FROM asked a JOIN lines l ON l.path[1] = a.path[1] AND l.path[-1] = a.path[-1]),
+recorded AS (SELECT path, taxi_id, trip_id, coords, exact FROM tried WHERE rn = 1),
+turns AS (SELECT taxi_id, trip_id, every[1] AS p, every[-1] AS q FROM walks),
+crossing AS (SELECT * FROM (SELECT taxi_id, trip_id, coalesce({cells(A, 'path[1]')} AND {cells(B, 'path[-1]')}, false) AS by_cells,
+  (p.lon BETWEEN {d(A.x_min)} AND {d(A.x_max)} AND p.lat BETWEEN {d(A.y_min)} AND {d(A.y_max)} AND q.lon BETWEEN {d(B.x_min)} AND {d(B.x_max)} AND q.lat BETWEEN {d(B.y_min)} AND {d(B.y_max)}) AS by_points
+  FROM turns LEFT JOIN seq USING (taxi_id, trip_id)) WHERE by_cells OR by_points),
+region AS (SELECT arg_min(taxi_id, (-len(coords), taxi_id, trip_id)) AS taxi_id, arg_min(trip_id, (-len(coords), taxi_id, trip_id)) AS trip_id, arg_min(coords, (-len(coords), taxi_id, trip_id)) AS coords FROM crossing JOIN shown USING (taxi_id, trip_id))"""
+    centres = f"list_transform(path, lambda g: [{CLON('g')}, {CLAT('g')}])"
+    cascade = lambda r, g: f"""SELECT asked.path AS path, CASE WHEN len(k.coords) >= 2 THEN 'exemplar' WHEN len({r}) >= 2 THEN 'trip' WHEN len({g}) >= 2 THEN 'region' ELSE 'grid' END AS shown,
+  CASE WHEN len(k.coords) >= 2 THEN k.coords WHEN len({r}) >= 2 THEN {r} WHEN len({g}) >= 2 THEN {g} ELSE {centres.replace('path,', 'asked.path,', 1)} END AS coords FROM asked LEFT JOIN known k ON k.path = asked.path LEFT JOIN recorded r ON r.path = asked.path, region g"""
+    none = "NULL::DOUBLE[][]"
+    return {
+        "path_exemplars": f"{base} SELECT {PATH_TEXT} AS path, {LINE_TEXT} AS coords FROM known",
+        "path_vehicle_counts": f"{base} SELECT {PATH_TEXT} AS path, coalesce(vehicles, 0) AS vehicles FROM asked LEFT JOIN freq USING (path)",
+        "trips_crossing_regions": f"{base} SELECT * FROM crossing",
+        "region_trip": f"{base} SELECT taxi_id, trip_id, {LINE_TEXT} AS coords FROM region",
+        "recorded_trips_of_paths": f"{base} SELECT {PATH_TEXT} AS path, taxi_id, trip_id, {LINE_TEXT} AS coords, exact FROM recorded",
+        "shown_paths": f"{base} SELECT {PATH_TEXT} AS path, shown, {LINE_TEXT} AS coords FROM ({cascade('r.coords', 'g.coords')})",
+        "display_hint": f"{base}, c AS (SELECT count(*) FILTER (shown <> 'grid') AS hits, count(*) AS total FROM ({cascade(none, none)})) SELECT hits, total, CASE WHEN total > 0 AND hits = 0 THEN 'no recorded trip was found; lines follow the grid or the roads' WHEN total > 0 AND hits < total THEN printf('%d paths have no recorded trip and are drawn along the grid', total - hits) END AS hint FROM c",
+    }
+
 
-    box, most = view_box(*VIEW), detail(VIEW[2]).max_points
-    w, h = box.x_max - box.x_min, box.y_max - box.y_min
-    side, aspect = int(math.sqrt(most)), w / h
-    cols, rows = (max(4, min(72, int(v))) for v in (side * math.sqrt(aspect), side / math.sqrt(aspect)))
-    return f"""{POINTS}, inside AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS rn, count(*) OVER () AS total FROM points WHERE {in_rect(box)}),
-pool AS (SELECT *, CAST(least({cols - 1}, floor((lon - {d(box.x_min)}) / {d(w)} * {cols})) AS INTEGER) AS vx, CAST(least({rows - 1}, floor((lat - {d(box.y_min)}) / {d(h)} * {rows})) AS INTEGER) AS vy FROM inside
-         WHERE total <= {12 * most} OR rn % greatest(1, total // {12 * most}) = 0)
-SELECT min(event_id) AS event_id, arg_min(taxi_id, event_id) AS taxi_id, vx, vy FROM pool GROUP BY vx, vy"""
+def _region_route() -> str:
+    edge_a, edge_b = edge_cells_sql(A, B), edge_cells_sql(B, A)
+    pairs = f"""SELECT gid AS s, other AS e FROM {near_sql('ea', 'eb', 8)} WHERE (SELECT count(*) FROM ea) <= (SELECT count(*) FROM eb) UNION ALL SELECT other, gid FROM {near_sql('eb', 'ea', 8)} WHERE (SELECT count(*) FROM ea) > (SELECT count(*) FROM eb)"""
+    body = spread("SELECT DISTINCT node AS start, 2 AS period FROM near_a JOIN pair ON place = s").replace(
+        ", sources AS", f", ea AS {edge_a}, eb AS {edge_b}, pair AS ({pairs}), near_a AS {nearest_sql('(SELECT gid AS place, lon, lat FROM ea)')}, near_b AS {nearest_sql('(SELECT gid AS place, lon, lat FROM eb)')}, sources AS", 1
+    )
+    return f"""{body}, met AS (SELECT s, e, seconds FROM pair JOIN near_a ON near_a.place = s JOIN near_b ON near_b.place = e JOIN best ON best.start = near_a.node AND best.node = near_b.node)
+SELECT arg_min(s, (seconds, s, e)) AS start_grid, arg_min(e, (seconds, s, e)) AS end_grid, round(min(seconds), 4) AS seconds, (SELECT count(*) FROM pair) AS searched FROM met HAVING count(*) > 0"""
 
 
-def _smooth() -> str:
-    rows = ", ".join(f"({i}, {d(x)}, {d(y)})" for i, (x, y) in enumerate(LINE))
-    step = lambda src: f"SELECT place, CASE WHEN lag(lon) OVER w IS NULL OR lead(lon) OVER w IS NULL THEN lon ELSE lon * 0.78::DOUBLE + ((lag(lon) OVER w + lead(lon) OVER w) / 2) * 0.22::DOUBLE END AS lon, CASE WHEN lag(lat) OVER w IS NULL OR lead(lat) OVER w IS NULL THEN lat ELSE lat * 0.78::DOUBLE + ((lag(lat) OVER w + lead(lat) OVER w) / 2) * 0.22::DOUBLE END AS lat FROM {src} WINDOW w AS (ORDER BY place)"
-    return f"WITH l(place, lon, lat) AS (VALUES {rows}), a AS ({step('l')}), b AS ({step('a')}) SELECT place, round(lon, 9) AS lon, round(lat, 9) AS lat FROM b"
+def _endpoints() -> str:
+    places = {"A": A.center, "OUT": OUT.center, "place": (116.42, 39.71), "far": (110.0, 30.0)}
+    rows = ", ".join(f"('{n}', {d(x)}, {d(y)})" for n, (x, y) in places.items())
+    near = nearest_sql("(SELECT name AS place, lon, lat FROM asked)")
+    m = meters("a.lon", "a.lat", "n.lon", "n.lat")
+    inside = " UNION ALL ".join(f"(SELECT '{n}' AS place, n.node, {m} AS meters FROM asked a, nodes n WHERE a.name = '{n}' AND {in_rect(r).replace('lon', 'n.lon').replace('lat', 'n.lat')} ORDER BY 3, 2 LIMIT 1)" for n, r in (("A", A), ("OUT", OUT)))
+    return f"{NODES}, asked(name, lon, lat) AS (VALUES {rows}), inside AS ({inside}), anywhere AS {near} SELECT place AS asked, node, round(meters, 3) AS meters FROM (SELECT * FROM inside UNION ALL SELECT * FROM anywhere WHERE place NOT IN (SELECT place FROM inside))"
 
 
 def _quota(cap: int = 40) -> str:
@@ -263,15 +366,29 @@ SELECT taxi_id, CAST(rn AS INTEGER) AS rn, event_id FROM sel WHERE total <= 15 O
         "travel_samples": f"{POINTS},{samples(False)} SELECT u, v, period, seconds, first_id FROM samples",
         "edge_travel_time_median": f"{POINTS},{samples(False)} SELECT u, v, period, samples, seconds FROM medians",
         "road_edges_effective": f"{EDGES} SELECT src, dst, period, round(seconds, 4) AS seconds FROM edges",
-        "nearest_node": f"{NODES} SELECT place, node, round(meters, 3) AS meters FROM {nearest_sql(f'(SELECT event_id AS place, lon, lat FROM points WHERE event_id % 50 = 0 AND {in_box(BOUNDS)})')}",
+        "nearest_node": f"{NODES} SELECT place, node, round(meters, 3) AS meters FROM {nearest_sql(f'(SELECT event_id AS place, lon, lat FROM points WHERE {in_box(BOUNDS)})')}",
         "nearest_grid_centers_k": f"SELECT CAST(gid AS INTEGER) AS gid, CAST(other AS INTEGER) AS other, CAST(rank AS INTEGER) AS rank FROM {near_sql(edge_a, edge_b, 8)}",
         "region_edge_grids": " UNION ALL ".join(f"SELECT '{n}' AS rect, CAST(gid AS INTEGER) AS gid FROM {x}" for n, x in (("A", edge_a), ("B", edge_b), ("C", edge_cells_sql(C)))),
         "shortest_time_by_period": f"{spread(f'SELECT {START}::BIGINT AS start, unnest([0, 1, 2]) AS period')} SELECT start AS start_node, node AS end_node, period, round(seconds, 4) AS seconds FROM best WHERE node = {END}",
         "shortest_times_from_node": f"{spread(f'SELECT {START}::BIGINT AS start, 2 AS period')} SELECT node, round(seconds, 4) AS seconds FROM best",
         "compare_periods": f"{routed(5, '[0, 1, 2]')} SELECT best.period, round(min(seconds), 4) AS seconds FROM pair JOIN near_a ON near_a.place = pair.gid JOIN near_b ON near_b.place = pair.other JOIN best ON best.start = near_a.node AND best.node = near_b.node WHERE seconds > 0 GROUP BY best.period",
-        "viewport_lod_points": _thin(),
+        "viewport_lod_points": f"{POINTS}, {_thin('VALUES ' + ', '.join(map(str, VIEWS)), 'points')} SELECT CAST(view AS INTEGER) AS view, event_id, taxi_id, vx, vy FROM thinned",
+        "map_payload": _payload(),
+        "vehicle_page_of_ten": f"{POINTS} SELECT taxi_id, (SELECT count(DISTINCT taxi_id) FROM points) AS total FROM (SELECT DISTINCT taxi_id FROM points) ORDER BY taxi_id LIMIT 10",
+        "period_labels": f"{POINTS} SELECT CASE {PERIOD} {' '.join(f'WHEN {k} THEN {chr(39)}{v}{chr(39)}' for k, v in PERIODS.items())} END AS name, count(*) AS n FROM points GROUP BY 1",
+        "density_columns": f"{dens} SELECT period, gx, gy, round(n * (10000.0::DOUBLE / max(n) OVER (PARTITION BY period)), 6) AS elevation FROM dens",
+        "od_path_labels": f"""{OD}, either_way AS (SELECT *, '{od_ops.A_TO_B}' AS direction FROM od WHERE {there} UNION ALL SELECT *, '{od_ops.B_TO_A}' FROM od WHERE {back}),
+named AS (SELECT *, {by_period({k: f"'{v}'" for k, v in PERIODS.items()})} AS period_name FROM either_way)
+SELECT start_grid, end_grid, round({CLON(s)}, 9) AS source_lon, round({CLAT(s)}, 9) AS source_lat, round({CLON(e)}, 9) AS target_lon, round({CLAT(e)}, 9) AS target_lat, count, period_name, direction, printf('%s %s cells %d > %d', period_name, direction, start_grid, end_grid) AS label FROM named""",
+        "path_styles": f"{FREQ}, best AS (SELECT * FROM ranked WHERE path_len >= 2 ORDER BY {BONUS} DESC, vehicles DESC, distance DESC, ranked.path LIMIT 10), placed AS (SELECT *, row_number() OVER (ORDER BY vehicles DESC, distance DESC, path) - 1 AS place FROM best) SELECT array_to_string(path, '>') AS path, CAST(place AS INTEGER) AS place, round(2 + least(8.0::DOUBLE, vehicles / 50::DOUBLE), 6) AS width, [{', '.join(repr('/'.join(map(str, c))) for c in PATH_COLORS)}][place % 6 + 1] AS color FROM placed",
+        "routing_endpoints": _endpoints(),
+        "edge_seconds_lookup": f"{EDGES} SELECT src, dst, 0 AS period, round(seconds, 4) AS seconds FROM edges WHERE period = 0 UNION ALL SELECT src, dst, 9, round(seconds, 4) FROM edges WHERE period = 2 UNION ALL SELECT DISTINCT src, -5, 1, CAST('Infinity' AS DOUBLE) FROM edges",
+        "region_shortest_path": _region_route(),
+        "simplify_collinear": _simplify(),
+        "trajectory_like_line": _trajectory_like(),
+        **_display(),
         "view_state": f"{POINTS} SELECT round((min(lon) + max(lon)) / 2, 9) AS longitude, round((min(lat) + max(lat)) / 2, 9) AS latitude, CASE WHEN greatest(max(lon) - min(lon), max(lat) - min(lat), 0.01) > 0.15 THEN 11.0::DOUBLE WHEN greatest(max(lon) - min(lon), max(lat) - min(lat), 0.01) > 0.06 THEN 12.0::DOUBLE ELSE 13.0::DOUBLE END AS zoom FROM points WHERE {in_rect(C)}",
-        "smooth_polyline": _smooth(),
+        "smooth_polyline": f"{PLACES}, {_smooth('places', 0.22)} SELECT taxi_id, trip_id, CAST(place AS INTEGER) AS place, round(lon, 9) AS lon, round(lat, 9) AS lat FROM smooth2",
         "system_stats": f"""{NODES}, edge AS (SELECT count(*) AS n FROM nodes a JOIN nodes b ON abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 AND a.node <> b.node),{samples(True)},
 {SEQ.split("points AS", 1)[1].split("FROM k),", 1)[1]}
 SELECT count(DISTINCT taxi_id) AS vehicle_count, count(*) AS total_points, CAST(sum(CAST({in_box(BOUNDS)} AS BIGINT)) AS BIGINT) AS points_in_bounds, (SELECT count(*) FROM nodes) AS graph_nodes, (SELECT n FROM edge) AS graph_edges, (SELECT count(*) FROM samples) AS graph_samples, (SELECT count(*) FROM seq) AS path_trips FROM points""",

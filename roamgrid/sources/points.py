@@ -73,6 +73,18 @@ def vehicles(points: DataFrame) -> DataFrame:
     return points.groupBy("taxi_id").agg(F.count("*").alias("points"))
 
 
+def vehicle_page(points: DataFrame, limit: int = 50) -> DataFrame:
+    """``taxi_id`` of the ``limit`` vehicles with the lowest ids, and ``total``, how many there are."""
+    ids = points.select("taxi_id").distinct()
+    return ids.orderBy("taxi_id").limit(limit).withColumn("total", F.lit(ids.count()))
+
+
+def sampled_vehicles(points: DataFrame, rate: float, seed: int = 42) -> DataFrame:
+    """Points of about the share ``rate`` of vehicles, the same for one seed whatever the tables' layout."""
+    share = F.pmod(F.xxhash64("taxi_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    return points.where(share < rate)
+
+
 def first_vehicles(points: DataFrame, rate: float) -> DataFrame:
     """Points of the share ``rate`` of vehicles with the lowest ids."""
     ids = points.select("taxi_id").distinct()

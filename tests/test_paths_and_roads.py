@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roamgrid.config import Rect
-from roamgrid.operators import density, od, paths, polyline, road, routing, trajectory, viewport
+from roamgrid.operators import display, density, od, paths, polyline, road, routing, trajectory, viewport
 from roamgrid.sources.points import from_events
 
 SF = "/root/testdata/sf0.001"
@@ -121,11 +121,43 @@ def test_views(spark):
     empty = spark.createDataFrame([], POINTS)
     assert tuple(viewport.view_state(empty).head()) == (116.51, 39.92, 11.0)
     assert [viewport.detail(z).max_points for z in (10, 11.5, 13, 14)] == [1200, 3000, 6000, 10000]
-    box = viewport.view_box(116.5, 39.9, 11)
-    assert box.x_min < 116.5 < box.x_max and viewport.rect_polygon(box)[0] == viewport.rect_polygon(box)[-1]
+    views = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 512, 512), (2, 10.0, 60.0, 1.0, 512, 256), (3, 0.0, 90.0, 3.0, 64, 64)], "view int, lon double, lat double, zoom double, width int, height int")
+    boxes = {r.view: r for r in viewport.with_boxes(views).collect()}
+    assert [boxes[1][c] for c in ("x_min", "y_min", "x_max", "y_max", "max_points")] == [-180.0, -180.0, 180.0, 180.0, 1200]
+    assert abs(boxes[2].y_max - 150.0) < 1e-9 and boxes[2].x_max == 100.0 and boxes[3].y_max - 90.0 == 2.8125 / 0.01
+    box = Rect(1.0, 2.0, 3.0, 4.0)
+    assert viewport.rect_polygon(box)[0] == viewport.rect_polygon(box)[-1]
+    assert viewport.thin(empty, views).count() == 0
 
 
 def test_capped_lines(spark):
     rows = [(i, 1, dt.datetime(2008, 2, 2) + dt.timedelta(seconds=i), 116.5, 39.5) for i in range(100)]
     got = trajectory.capped(spark.createDataFrame(rows, POINTS), 1, 30)
     assert got.count() == 30 and got.agg(F.max("rn")).head()[0] == 87
+
+
+def test_route_cells(spark):
+    routes = spark.createDataFrame([([[116.005, 39.4], [116.006, 39.401], [116.015, 39.4], [0.0, 0.0], [116.005, 39.4]],), ([],)], "coords array<array<double>>")
+    assert [r.cells for r in routing.route_cells(routes).collect()] == [[0, 1, 0], []]
+
+
+def test_a_line_is_led_over_the_roads(spark):
+    """Three nodes in a bent row; the line's key places lie near the first and the last."""
+    nodes = spark.createDataFrame([(1, 116.0, 39.4), (2, 116.1, 39.4), (3, 116.1, 39.5)], "node long, lon double, lat double")
+    edges = spark.createDataFrame([(a, b, 2, 60.0) for a, b in ((1, 2), (2, 1), (2, 3), (3, 2))], "src long, dst long, period int, seconds double")
+    lines = spark.createDataFrame([(7, [[116.001, 39.4], [116.05, 39.45], [116.1, 39.499]]), (8, [[116.0, 39.4], [116.001, 39.4]])], "taxi_id long, coords array<array<double>>")
+    got = {r.taxi_id: r for r in trajectory.snap_to_road(lines, edges, nodes, keyframe=10).collect()}
+    assert got[7].snapped and got[7].coords == [[116.0, 39.4], [116.1, 39.4], [116.1, 39.5]]
+    assert not got[8].snapped and got[8].coords == [[116.0, 39.4], [116.001, 39.4]]
+
+
+def test_shown_lines_on_small_cases(spark):
+    """The first exact trip before a longer one of the same ends; nothing for unknown ends."""
+    lines = spark.createDataFrame([(2, 0, [5, 6, 9], [[0.0, 0.0]] * 9), (1, 3, [5, 7, 9], [[1.0, 1.0]] * 2), (1, 4, [5, 7, 9], [[2.0, 2.0]] * 5)], "taxi_id long, trip_id long, path array<int>, coords array<array<double>>")
+    asked = spark.createDataFrame([([5, 7, 9],), ([5, 9],), ([1, 2],)], "path array<int>")
+    got = {tuple(r.path): r for r in display.recorded_trips(asked, lines).collect()}
+    assert (got[5, 7, 9].trip_id, got[5, 7, 9].exact) == (3, True) and (got[5, 9].taxi_id, got[5, 9].exact) == (2, False) and (1, 2) not in got
+    known = asked.limit(0).select("path", F.lit(None).cast("array<array<double>>").alias("coords"))
+    assert {tuple(r.path): r.shown for r in display.with_lines(asked, known, lines).collect()} == {(5, 7, 9): "trip", (5, 9): "trip", (1, 2): "grid"}
+    notes = spark.range(3).select(display.hint(F.col("id").cast("int"), F.lit(2)).alias("h")).collect()
+    assert notes[0].h.startswith("no recorded") and notes[1].h.startswith("1 paths") and notes[2].h is None
