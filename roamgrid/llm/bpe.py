@@ -342,7 +342,8 @@ class _Words(dict):
 def encode(df: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns ``id_col`` and ``token_ids`` (array of int) for each row; null and empty texts give no ids.
 
-    Other columns of ``df`` are left out, whatever their names.  Repeated rows stay repeated.
+    Other columns of ``df`` are left out, whatever their names.  Repeated rows stay repeated, texts of any
+    length are encoded whole, and an empty table gives an empty table.
     """
     shared = df.sparkSession.sparkContext.broadcast(codec)
 
@@ -358,7 +359,11 @@ def encode(df: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str =
 
 
 def decode(df: DataFrame, codec: Codec, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
-    """Columns ``id_col`` and ``text`` for each row of token ids; a null list gives an empty text."""
+    """Columns ``id_col`` and ``text`` for each row of token ids; a null list gives an empty text.
+
+    Other columns are left out, repeated rows stay repeated, lists of any length are decoded whole, and
+    an empty table gives an empty table.
+    """
     shared = df.sparkSession.sparkContext.broadcast(codec)
 
     def run(batches):

@@ -87,13 +87,15 @@ def queries() -> dict:
 
 
 OP2_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-     s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
-           FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, max(CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT)) AS score
+           FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v) GROUP BY ALL)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
+
+
 def _license_sql() -> str:
     """The scan in DuckDB's SQL: sentences by marks, a table of the known ones, and the rules in turn."""
     known = ", ".join(f"('{sentence}', '{name}')" for name, sentences in licenses.SENTENCES.items() for sentence in sentences)
@@ -106,11 +108,12 @@ def _license_sql() -> str:
     found = ", ".join(f"CASE WHEN {' OR '.join(columns)} THEN '{name}' END" for name, columns in names.items())
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}),
-pieces AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.;:!?](\s|$)', E'\n\\1', 'g'), '[\n\r]+')) AS piece,
-                  generate_subscripts(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.;:!?](\s|$)', E'\n\\1', 'g'), '[\n\r]+'), 1) AS place FROM documents),
-plain AS (SELECT doc_id, place, trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM pieces),
-hits AS (SELECT doc_id, list(id ORDER BY place) AS ids FROM plain JOIN known USING (sentence) GROUP BY doc_id),
-joined AS (SELECT doc_id, coalesce(ids, []) AS ids, coalesce(',' || array_to_string(ids, ',,') || ',', '') AS rest FROM documents LEFT JOIN hits USING (doc_id)){rules}
+numbered AS (SELECT *, row_number() OVER () AS row FROM documents),
+pieces AS (SELECT row, unnest(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.;:!?](\s|$)', E'\n\\1', 'g'), '[\n\r]+')) AS piece,
+                  generate_subscripts(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.;:!?](\s|$)', E'\n\\1', 'g'), '[\n\r]+'), 1) AS place FROM numbered),
+plain AS (SELECT row, place, trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM pieces),
+hits AS (SELECT row, list(id ORDER BY place) AS ids FROM plain JOIN known USING (sentence) GROUP BY row),
+joined AS (SELECT doc_id, coalesce(ids, []) AS ids, coalesce(',' || array_to_string(ids, ',,') || ',', '') AS rest FROM numbered LEFT JOIN hits USING (row)){rules}
 SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, concat_ws(',', {found}) AS licenses,
        CAST(len(list_filter(regexp_split_to_array(rest, '[,|]+'), lambda x: x <> '')) AS BIGINT) AS unmatched
 FROM {last}
@@ -121,11 +124,11 @@ _BITS = "translate(left(md5({}), 16), '0123456789abcdef', 'ghijklmnopqrstuv')"
 for _digit in range(16):
     _BITS = f"replace({_BITS}, '{'ghijklmnopqrstuv'[_digit]}', '{_digit:04b}')"
 OP5_SQL = f"""
-WITH r AS (SELECT doc_id, strlen(coalesce(text, '')) AS bytes,
+WITH r AS (SELECT doc_id, row_number() OVER () AS row, strlen(coalesce(text, '')) AS bytes,
                   {_BITS.format("coalesce(CAST(doc_id AS VARCHAR), '')")} || {_BITS.format("coalesce(text, '')")} AS bits FROM documents),
      d AS (SELECT r.*, depth, left(bits, depth) AS prefix FROM r, (SELECT unnest(range(0, 129)) AS depth)),
      s AS (SELECT *, sum(bytes) OVER (PARTITION BY prefix) AS total FROM d),
-     f AS (SELECT doc_id, bytes, bits, min(depth) AS depth, min_by(total, depth) AS shard_bytes FROM s WHERE total <= {sharding.LIMIT_BYTES} OR depth = 128 GROUP BY ALL)
+     f AS (SELECT row, doc_id, bytes, bits, min(depth) AS depth, min_by(total, depth) AS shard_bytes FROM s WHERE total <= {sharding.LIMIT_BYTES} OR depth = 128 GROUP BY ALL)
 SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '~' ELSE left(bits, depth) END AS shard, CAST(shard_bytes AS BIGINT) AS shard_bytes FROM f
 """
 OP7_SQL = r"""

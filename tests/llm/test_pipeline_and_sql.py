@@ -7,6 +7,7 @@ import pytest
 import corpus_pipeline
 from roamgrid.llm import language_id, registry, toxicity
 from tests.compare import same_rows
+from tests.llm.samples import no_documents, odd_documents
 from tests.llm.test_near_texts import expected
 from tests.llm.test_packing_and_sharding import check_packed
 
@@ -52,6 +53,27 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, whole)) == sorted(map(tuple, packed))
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing names through every stage."""
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "packing":
+            assert docs.columns == corpus_pipeline.COLUMNS
+    # texts without a letter and copies are gone, of which the one with the most code points stays
+    assert sorted(r.doc_id for r in docs.collect()) == [6, 7, 10, 11]
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = no_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.count() == 0, name
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
