@@ -104,7 +104,7 @@ MORE_RULES = [
 #: Fixed value: a text that has none of these words in any case has no known sentence.
 HINT = r"(?i)licen[cs]e|permi|redistribut|warrant|reserved|unencumbered"
 #: What begins a line of a comment, an empty line, a line's end, and a mark before white space or the text's end.
-COMMENT, EMPTY_LINE, LINE_END, MARK = r"(?m)^[ \t]*(?:<!--|/?\*+/?|//+|#+|;+|--+|%+)[ \t]*", r"(?:\r?\n[ \t]*){2,}|\r{2,}", r"[\n\r]+", r"[.;:!?](?=\s|$)"
+COMMENT, EMPTY_LINE, LINE_END, MARK = r"(?m)^[ \t]*(?:<!--|/?\*+/?|//+|#+|;+|--+|%+)[ \t]*", r"\n[ \t]*\r?\n[ \t\r\n]*|\r{2,}", r"[\n\r]+", r"[.;:!?](?=\s|$)"
 
 
 def _known() -> dict[str, str]:

@@ -217,3 +217,10 @@ def test_wrapped_licences(spark):
     for mark in ("", " * ", "# ", "// ", ";; ", "-- "):
         got = scan(spark, *("\r\n".join(mark + line for line in t.split("\n")) for t in texts))
         assert [r[1] for r in got] == want, mark
+
+
+def test_licences_in_hostile_texts(spark):
+    """Long runs of line ends, blanks and marks neither exhaust the stack nor the time."""
+    mit = "Released under the MIT License."
+    texts = [mit + "\n" * 200_000 + "x", "x\n" + " " * 200_000 + "\n\n" + mit, "license. " * 50_000 + "\n" + mit, "*" * 200_000 + "\n" + "/ *" * 50_000 + "\r\r" + mit, "\r\n \t\r\n" * 50_000 + mit]
+    assert [r[1:] for r in scan(spark, *texts)] == [("MIT", 0)] * len(texts)
