@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,10 @@ class Roads:
         if start not in known:
             return {}
         wanted = {known[e] for e in ends if e in known}
-        begins, heads, weights = self.of_period.get(period) or self.of_period[2]
+        graph = self.of_period.get(period) or self.of_period.get(2)
+        if graph is None:
+            return {}
+        begins, heads, weights = graph
         best, before, done, found = {known[start]: 0.0}, {}, set(), {}
         queue = [(0.0, known[start])]
         while queue and len(found) < len(wanted):
@@ -49,9 +53,10 @@ class Roads:
                 while route[-1] in before:
                     route.append(before[route[-1]])
                 found[int(self.names[node])] = seconds, [int(self.names[i]) for i in reversed(route)]
-            for k in range(begins[node], begins[node + 1]):
-                nxt, t = int(heads[k]), seconds + float(weights[k])
-                if t < best.get(nxt, np.inf):
+            legs = slice(begins[node], begins[node + 1])
+            for nxt, leg in zip(heads[legs].tolist(), weights[legs].tolist()):
+                t = seconds + leg
+                if t < best.get(nxt, math.inf):
                     best[nxt], before[nxt] = t, node
                     heapq.heappush(queue, (t, nxt))
         return found
