@@ -24,10 +24,12 @@ from roamgrid.plans.storage import delete_path, new_path, settings, written
 
 #: Fixed value: characters that don't count when texts are compared.
 BLANKS = " \t\n\x0b\f\r"
-#: The state lives in RocksDB, which must not reserve disk ahead: there is one for each partition.
+#: The state lives in RocksDB, one for each partition, which must not reserve disk ahead; all of an executor share some memory.
 STATE_STORE = {
     "spark__sql__streaming__stateStore__providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false",
+    "spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage": "true",
+    "spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB": "128",
 }
 STATE = "digest binary, variant int, group_size bigint, keeper struct<n_points: int, not_id: bigint, not_row: bigint, at_file: string>, batch int"
 

@@ -31,7 +31,7 @@ SHORT, TOGETHER = 24, 10_000
 LEXICON_COUNT = 5
 SEGMENT = 64
 #: Words labelled together, and words whose scores a Python worker keeps.
-BATCH_WORDS, CACHED_WORDS = 200_000, 300_000
+BATCH_WORDS, CACHED_WORDS = 100_000, 150_000
 UNDETERMINED = "und"
 #: Mean probability below which the pipeline takes a text to have no certain language.
 LEAST_SCORE = 0.4

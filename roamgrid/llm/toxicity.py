@@ -43,7 +43,7 @@ FOLDS = 3
 #: Window thresholds, in bytes of gain, among which calibration chooses.
 WINDOW_THRESHOLDS = (1, 2, 3, 4)
 #: Windows of which a worker keeps the gain.
-CACHED_WINDOWS = 300_000
+CACHED_WINDOWS = 150_000
 THRESHOLD = 0.3
 
 #: Marks count as blanks, and capitals of ASCII as small letters.
