@@ -8,6 +8,8 @@ Known sentences that no rule takes are reported as they are.  DataFrame function
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +91,22 @@ MORE_SENTENCES = {
     "Lgpl3Free": [f"this {x} " + _FREE.format("lesser", 3) for x in ("library", "program")],
     "AgplFree": ["this program " + _FREE.format("affero", 3)],
     "UnlicenseFree": ["this is free and unencumbered software released into the public domain"],
+    "BoostUnder": ["distributed under the boost software license version 1 0", "boost software license version 1 0"],
+    "BoostGrant": [
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"
+    ],
+    "ZlibLiable": ["in no event will the authors be held liable for any damages arising from the use of this software"],
+    "ZlibGrant": [
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"
+    ],
+    "Epl2Made": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"],
 }
+# Names of licences that a tag line of a source file may give.
+SPDX = (
+    "Apache-2.0 MIT BSD-2-Clause BSD-3-Clause ISC MPL-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later "
+    "LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later Unlicense BSL-1.0 Zlib EPL-2.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0"
+).split()
+MORE_SENTENCES |= {"Tag" + re.sub("[^A-Za-z0-9]", "", x): ["spdx license identifier " + re.sub("[^a-z0-9]+", " ", x.lower())] for x in SPDX}
 MORE_RULES = [
     ("BSD-3-Clause", ["BsdRedistribution", "BsdSource", "BsdBinary", "BsdEndorse"]),
     ("ISC", ["IscGrant"]),
@@ -100,9 +117,15 @@ MORE_RULES = [
     ("LGPL-3.0-or-later", ["Lgpl3Free"]),
     ("AGPL-3.0-or-later", ["AgplFree"]),
     ("Unlicense", ["UnlicenseFree"]),
+    ("BSL-1.0", ["BoostUnder", "BoostGrant"]),
+    ("BSL-1.0", ["BoostGrant"]),
+    ("BSL-1.0", ["BoostUnder"]),
+    ("Zlib", ["ZlibLiable", "ZlibGrant"]),
+    ("EPL-2.0", ["Epl2Made"]),
+    *((x, ["Tag" + re.sub("[^A-Za-z0-9]", "", x)]) for x in SPDX),
 ]
 #: Fixed value: a text that has none of these words in any case has no known sentence.
-HINT = r"(?i)licen[cs]e|permi|redistribut|warrant|reserved|unencumbered"
+HINT = r"(?i)licen[cs]e|permi|held liable|redistribut|warrant|reserved|unencumbered"
 #: What begins a line of a comment, an empty line, a line's end, and a mark before white space or the text's end.
 COMMENT, EMPTY_LINE, LINE_END, MARK = r"(?m)^[ \t]*(?:<!--|/?\*+/?|//+|#+|;+|--+|%+)[ \t]*", r"\n[ \t]*\r?\n[ \t\r\n]*|\r{2,}", r"[\n\r]+", r"[.;:!?](?=\s|$)"
 

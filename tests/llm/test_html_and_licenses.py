@@ -224,3 +224,15 @@ def test_licences_in_hostile_texts(spark):
     mit = "Released under the MIT License."
     texts = [mit + "\n" * 200_000 + "x", "x\n" + " " * 200_000 + "\n\n" + mit, "license. " * 50_000 + "\n" + mit, "*" * 200_000 + "\n" + "/ *" * 50_000 + "\r\r" + mit, "\r\n \t\r\n" * 50_000 + mit]
     assert [r[1:] for r in scan(spark, *texts)] == [("MIT", 0)] * len(texts)
+
+
+def test_tags_and_more_notices(spark):
+    got = scan(
+        spark,
+        "// SPDX-License-Identifier: GPL-2.0-or-later\nint main() {}",
+        "/* SPDX-License-Identifier: MIT */\n# SPDX-License-Identifier:\n#   BSD-3-Clause",
+        "//    Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file LICENSE_1_0.txt)",
+        "  This software is provided 'as-is', without any express or implied\n  warranty.  In no event will the authors be held liable for any damages\n  arising from the use of this software.\n\n  Permission is granted to anyone to use this software for any purpose,\n  including commercial applications, and to alter it and redistribute it\n  freely, subject to the following restrictions:",
+        " * This program and the accompanying materials are made\n * available under the terms of the Eclipse Public License 2.0\n * which is available at https://www.eclipse.org/legal/epl-2.0/\n",
+    )
+    assert [set(r[1].split(",")) for r in got] == [{"GPL-2.0-or-later"}, {"MIT", "BSD-3-Clause"}, {"BSL-1.0"}, {"Zlib"}, {"EPL-2.0"}]
