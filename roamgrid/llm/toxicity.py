@@ -1,17 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of ordinary texts, one on windows of toxic
-texts.  A window is a word between blanks; it is compressed once with each dictionary, and the bytes
-that the toxic one saves are its gain.  Each window ends in a constant that both dictionaries know, so
-that none is too short for zstandard to compress.
-
-Most windows of a toxic text are ordinary words.  So the toxic dictionary is trained twice over: a
-first one on all windows of some toxic texts tells which windows of other toxic texts it compresses
-better than the ordinary dictionary does; the last one is trained on these windows alone.
-
-A text's largest gains and its gains beyond a window threshold are calibrated to a probability by
-logistic regression on texts that the dictionaries which scored them were not trained on; the window
-threshold is the one of a few under which these texts are most likely.
+Separate zstandard dictionaries are trained on windows of ordinary and of toxic texts.  A window is a
+word between blanks; it is compressed with each dictionary, and the bytes that a toxic one saves beside
+the ordinary one are its gain.  Each window ends in a constant that all dictionaries know, so that none
+is too short for zstandard to compress.
+
+Most windows of a toxic text are ordinary words.  So a toxic dictionary is trained twice over: a first
+one on all windows of some toxic texts tells which windows of other toxic texts it compresses better
+than the ordinary dictionary does; the last one is trained on those of these windows that recur, and
+more often than in ordinary texts.
+
+There is a toxic dictionary for each fold, trained on the other folds' toxic texts.  On the fold itself,
+and on ordinary texts that no dictionary was trained on, a text's largest gains and its gains beyond a
+window threshold are calibrated to a probability by logistic regression; the window threshold is the one
+of a few under which these texts are most likely.  A text's score is the mean over the folds.
 """
 
 from __future__ import annotations
@@ -26,17 +28,17 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hashes of doc_id.
 LABELLED_ROWS = 9_000
-#: Ordinary texts among them that a dictionary is trained on, at most; all of them calibrate.
+#: Ordinary texts among them that a dictionary is trained on, at most, and half of them; the others calibrate.
 ORDINARY_TEXTS = 3_000
 #: Longest window; longer words are cut.
 WINDOW_BYTES = 64
 #: Sizes of the ordinary, the first toxic and the last toxic dictionary, and the trainer's segment
 #: sizes for the first two and for the last; words to a training sample.
-ORDINARY_BYTES, FIRST_BYTES, TOXIC_BYTES = 16_384, 16_384, 640
+ORDINARY_BYTES, FIRST_BYTES, TOXIC_BYTES = 16_384, 16_384, 1_024
 SEGMENT, LAST_SEGMENT, MATCH, SAMPLE_WORDS = 16, 24, 8, 4
-#: Times that windows are chosen by dictionaries of other toxic texts, the gain for it, and the share of
-#: the toxic texts in which it must show.
-ROUNDS, CHOSEN_GAIN, RECURS = 2, 3, 0.02
+#: Times that windows are chosen by dictionaries of other toxic texts, the gain for it, the share of the
+#: toxic texts in which it must show, and how many times the ordinary texts' share that must be.
+ROUNDS, CHOSEN_GAIN, RECURS, OFTENER = 2, 2, 0.01, 3
 #: What ends every window and both dictionaries; of it a frame holds one reference.
 TAIL = b" 0123456789abcdef0123456789"
 FOLDS = 3
@@ -67,42 +69,41 @@ def _trained(words: list[bytes], size: int, segment: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-class _Compressed(dict):
-    """Compressed length of each window; short matches are sought, and frames hold nothing but the content.
+def _compressor(content: bytes):
+    """Compresses with a dictionary; short matches are sought, and frames hold nothing but the content.
 
-    The dictionaries' content is used without their tables of literals, so that two lengths differ by
+    The dictionary's content is used without its tables of literals, so that two lengths differ by
     what is known of the window alone.
     """
-
-    def __init__(self, content: bytes):
-        super().__init__()
-        parameters = zstd.ZstdCompressionParameters.from_level(
-            9, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, strategy=zstd.STRATEGY_LAZY2, window_log=20, format=zstd.FORMAT_ZSTD1_MAGICLESS
-        )
-        trained = zstd.ZstdCompressionDict(content + TAIL, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        self.compress = zstd.ZstdCompressor(dict_data=trained, compression_params=parameters).compress
-
-    def __missing__(self, window: bytes) -> int:
-        self[window] = n = len(self.compress(b"  " + window + b"  " + TAIL))
-        return n
+    parameters = zstd.ZstdCompressionParameters.from_level(
+        9, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, strategy=zstd.STRATEGY_LAZY2, window_log=20, format=zstd.FORMAT_ZSTD1_MAGICLESS
+    )
+    trained = zstd.ZstdCompressionDict(content + TAIL, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    return zstd.ZstdCompressor(dict_data=trained, compression_params=parameters).compress
 
 
 class _Gains(dict):
-    """Bytes that the toxic dictionary saves on a window."""
+    """Bytes that each toxic dictionary saves on a window."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
+    def __init__(self, ordinary: bytes, *toxic: bytes):
         super().__init__()
-        self.ordinary, self.toxic = _Compressed(ordinary), _Compressed(toxic)
+        self.ordinary, self.toxic = _compressor(ordinary), [_compressor(t) for t in toxic]
+
+    def __missing__(self, window: bytes) -> tuple[int, ...]:
+        padded = b"  " + window + b"  " + TAIL
+        n = len(self.ordinary(padded))
+        self[window] = gains = tuple(n - len(t(padded)) for t in self.toxic)
+        return gains
 
-    def __missing__(self, window: bytes) -> int:
-        self[window] = gain = self.ordinary.__missing__(window) - self.toxic.__missing__(window)
-        self.ordinary.clear(), self.toxic.clear()
-        return gain
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """A row of gains for each window."""
+        if len(self) > CACHED_WINDOWS:
+            self.clear()
+        return np.array(list(map(self.__getitem__, words)), np.int16).reshape(-1, len(self.toxic))
 
 
-def train(ordinary: list[list[bytes]], toxic: list[list[bytes]]) -> tuple[bytes, bytes]:
-    """The ordinary and the toxic dictionary, from the windows of each training text."""
-    base = _trained([w for text in ordinary[:ORDINARY_TEXTS] for w in text], ORDINARY_BYTES, SEGMENT)
+def train(base: bytes, ordinary: list[list[bytes]], toxic: list[list[bytes]]) -> bytes:
+    """A toxic dictionary from the windows of toxic texts, beside the ordinary one and its texts."""
     parts = [toxic[i::FOLDS] for i in range(FOLDS)]
     chosen = parts
     for k in range(ROUNDS):
@@ -111,38 +112,39 @@ def train(ordinary: list[list[bytes]], toxic: list[list[bytes]]) -> tuple[bytes,
             others = [w for j in range(FOLDS) if j != i or len(toxic) == 1 for text in chosen[j] for w in text]
             gains = _Gains(base, _trained(others, TOXIC_BYTES if k else FIRST_BYTES, LAST_SEGMENT if k else SEGMENT))
             # a window that a text repeats counts once
-            found.append([[w for w in dict.fromkeys(text) if gains[w] >= CHOSEN_GAIN] for text in parts[i]])
+            found.append([[w for w in dict.fromkeys(text) if gains[w][0] >= CHOSEN_GAIN] for text in parts[i]])
         times = Counter(w for part in found for text in part for w in text)
-        least = RECURS * len(toxic)
-        chosen = [[[w for w in text if times[w] >= least] for text in part] for part in found]
+        usual = Counter(w for text in ordinary for w in set(text) if w in times)
+        share = lambda w: times[w] / len(toxic)
+        telling = {w for w in times if share(w) >= RECURS and share(w) >= OFTENER * usual[w] / len(ordinary)}
+        chosen = [[[w for w in text if w in telling] for text in part] for part in found]
     last = [w for i in range(len(toxic)) for w in chosen[i % FOLDS][i // FOLDS]]
-    return base, _trained(last, TOXIC_BYTES, LAST_SEGMENT)
+    return _trained(last, TOXIC_BYTES, LAST_SEGMENT)
 
 
 def measures(gains: np.ndarray, threshold: int) -> list[float]:
     """The largest gain, the mean of the three largest, and how far the windows' gains are beyond the
     threshold, on average and in all."""
-    over = np.maximum(gains - threshold, 0).sum()
-    top = -np.sort(-gains)[:3] if len(gains) else np.array([-8.0])
+    over = float(np.maximum(gains - threshold, 0).sum(dtype=np.int64))
+    top = -np.sort(-gains.astype(float))[:3] if len(gains) else np.array([-8.0])
     return [top[0], top.mean(), np.log1p(100 * over / max(1, len(gains))), np.log1p(over)]
 
 
 class ToxicityModel:
-    """Dictionaries and calibration; ``None`` dictionaries score everything 0."""
+    """The ordinary dictionary and, for each fold, (toxic dictionary, window threshold, mean, scale, weights)."""
 
-    def __init__(self, ordinary: bytes | None, toxic: bytes | None, threshold=None, mean=None, scale=None, weights=None):
-        self.parts = ordinary, toxic, threshold, mean, scale, weights
+    def __init__(self, ordinary: bytes | None, folds: list[tuple]):
+        self.ordinary, self.folds = ordinary, folds
         self._gains = None
 
     def __getstate__(self):
-        return {"parts": self.parts, "_gains": None}
+        return self.__dict__ | {"_gains": None}
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[int]) -> ToxicityModel:
         """Fits on texts and their labels; repeated texts count once.
 
-        Each text is scored for calibration with dictionaries trained on the other folds' texts; the
-        model's own are trained on all.  Without rows of both labels the model scores every text 0.
+        Without rows of both labels the model scores every text 0.
         """
         rows = list(dict.fromkeys(((t or "").encode(), int(y)) for t, y in zip(texts, labels)))
         del texts, labels
@@ -151,53 +153,56 @@ class ToxicityModel:
         del one, rows
         ordinary, toxic = ([t for t, y in cut if y == k] for k in (0, 1))
         if len(ordinary) < 2 or not toxic:
-            return cls(None, None)
-        found, y = [], []
+            return cls(None, [])
+        own, others = ordinary[::2][:ORDINARY_TEXTS], ordinary[1::2]
+        base = _trained([w for text in own for w in text], ORDINARY_BYTES, SEGMENT)
+        folds = []
         for fold in range(FOLDS):
-            rest = [[t for i, t in enumerate(some) if i % FOLDS != fold] or some for some in (ordinary, toxic)]
-            gains = _Gains(*train(*rest))
-            for label, some in enumerate((ordinary, toxic)):
-                for t in some[fold::FOLDS]:
-                    found.append(np.fromiter(map(gains.__getitem__, t), np.int16, len(t)))
-                    y.append(label)
-                    if len(gains) > CACHED_WINDOWS:
-                        gains.clear()
-        y, best = np.array(y, float), None
-        for threshold in WINDOW_THRESHOLDS:
-            x = np.array([measures(g, threshold) for g in found])
-            mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-            weights = _logistic((x - mean) / scale, y)
-            p = np.clip(_sigmoid(np.c_[(x - mean) / scale, np.ones(len(x))] @ weights), 1e-9, 1 - 1e-9)
-            likely = np.log(np.where(y == 1, p, 1 - p)).sum()
-            if best is None or likely > best[0]:
-                best = likely, (threshold, mean, scale, weights)
-        return cls(*train(ordinary, toxic), *best[1])
-
-    def gains(self, text: bytes) -> np.ndarray:
-        """The gain of each window of a whole text."""
-        if self._gains is None or len(self._gains) > CACHED_WINDOWS:
-            self._gains = _Gains(*self.parts[:2])
-        words = windows(text)
-        return np.fromiter(map(self._gains.__getitem__, words), float, len(words))
+            dictionary = train(base, own, [t for i, t in enumerate(toxic) if i % FOLDS != fold] or toxic)
+            gains = _Gains(base, dictionary)
+            held = [(gains.of(t)[:, 0], k) for k, some in enumerate((others[fold::FOLDS] or others, toxic[fold::FOLDS] or toxic)) for t in some]
+            folds.append((dictionary, *_calibrated([g for g, _ in held], np.array([k for _, k in held], float), len(ordinary) / len(toxic))))
+        return cls(base, folds)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probability of label 1 for each text."""
-        _, _, threshold, mean, scale, weights = self.parts
-        if weights is None:
+        if not self.folds:
             return np.zeros(len(texts))
-        x = np.array([measures(self.gains((t or "").encode()), threshold) for t in texts]).reshape(-1, len(mean))
-        return _sigmoid(np.c_[(x - mean) / scale, np.ones(len(x))] @ weights)
+        if self._gains is None:
+            self._gains = _Gains(self.ordinary, *(f[0] for f in self.folds))
+        gains = [self._gains.of(windows((t or "").encode())) for t in texts]
+        out = np.zeros(len(texts))
+        for i, (_, threshold, mean, scale, weights) in enumerate(self.folds):
+            x = np.array([measures(g[:, i], threshold) for g in gains]).reshape(-1, len(mean))
+            out += _sigmoid(np.c_[(x - mean) / scale, np.ones(len(x))] @ weights)
+        return out / len(self.folds)
+
+
+def _calibrated(gains: list[np.ndarray], y: np.ndarray, ratio: float) -> tuple:
+    """Window threshold, mean, scale and weights for texts that are toxic where ``y`` is 1; ``ratio``:
+    ordinary texts to a toxic one among all."""
+    weight = np.where(y == 1, 1.0, ratio * y.sum() / max(1, (y == 0).sum()))
+    best = None
+    for threshold in WINDOW_THRESHOLDS:
+        x = np.array([measures(g, threshold) for g in gains])
+        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+        weights = _logistic((x - mean) / scale, y, weight)
+        p = np.clip(_sigmoid(np.c_[(x - mean) / scale, np.ones(len(x))] @ weights), 1e-9, 1 - 1e-9)
+        likely = (weight * np.log(np.where(y == 1, p, 1 - p))).sum()
+        if best is None or likely > best[0]:
+            best = likely, (threshold, mean, scale, weights)
+    return best[1]
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(z: np.ndarray, y: np.ndarray, steps: int = 2000, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
+def _logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 2000, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
     z = np.c_[z, np.ones(len(z))]
     w = np.zeros(z.shape[1])
     for _ in range(steps):
-        w -= rate * (z.T @ (_sigmoid(z @ w) - y) / len(y) + decay * w)
+        w -= rate * (z.T @ (weight * (_sigmoid(z @ w) - y)) / weight.sum() + decay * w)
     return w
 
 

@@ -146,25 +146,27 @@ def test_windows_are_the_whole_text():
 
 def test_scores_equal_a_plain_recount(toxicity_model):
     """Every window of whole texts compressed again by two compressors made from the model's dictionaries."""
-    ordinary, toxic, threshold, mean, scale, weights = toxicity_model.parts
     level = zstd.ZstdCompressionParameters.from_level(9, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, strategy=zstd.STRATEGY_LAZY2, window_log=20, format=zstd.FORMAT_ZSTD1_MAGICLESS)
     size = lambda d, w: len(zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(d + toxicity.TAIL, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=level).compress(b"  " + w + b"  " + toxicity.TAIL))
     texts = ["w1y w2z Dreadful, w4y; ghastly " * 30, "w1y", "", "x" * 300 + " dreadful"]
     want = []
     for text in texts:
-        gains = [size(ordinary, w) - size(toxic, w) for w in toxicity.windows(text.encode())]
-        over = sum(max(g - threshold, 0) for g in gains)
-        top = sorted(gains, reverse=True)[:3] or [-8.0]
-        n = len(gains)
-        x = [top[0], sum(top) / len(top), math.log1p(100 * over / max(1, n)), math.log1p(over)]
-        z = sum(w * (v - m) / s for w, v, m, s in zip(weights, x, mean, scale)) + weights[-1]
-        want.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        of_folds = []
+        for toxic, threshold, mean, scale, weights in toxicity_model.folds:
+            gains = [size(toxicity_model.ordinary, w) - size(toxic, w) for w in toxicity.windows(text.encode())]
+            over = sum(max(g - threshold, 0) for g in gains)
+            top = sorted(gains, reverse=True)[:3] or [-8.0]
+            x = [top[0], sum(top) / len(top), math.log1p(100 * over / max(1, len(gains))), math.log1p(over)]
+            z = sum(w * (v - m) / s for w, v, m, s in zip(weights, x, mean, scale)) + weights[-1]
+            of_folds.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        want.append(sum(of_folds) / len(of_folds))
     assert np.allclose(toxicity_model.scores(texts), want, atol=1e-9)
 
 
 def test_the_dictionaries_are_apart(toxicity_model):
-    ordinary, toxic = toxicity_model.parts[:2]
-    assert b"dreadful" in toxic and b"ghastly" in toxic and b"dreadful" not in ordinary and b"w1y" in ordinary
+    ordinary = toxicity_model.ordinary
+    assert b"dreadful" not in ordinary and b"w1y" in ordinary
+    assert all(b"dreadful" in f[0] and b"ghastly" in f[0] for f in toxicity_model.folds)
 
 
 def test_features_are_those_of_whole_words():
