@@ -30,6 +30,8 @@ SHORT, TOGETHER = 24, 10_000
 #: Times a word must occur in the training documents to be in the lexicon.
 LEXICON_COUNT = 5
 SEGMENT = 64
+#: Rows that a filtering task turns into Python's strings at a time.
+ROWS = 500
 #: Words labelled together, and words whose scores a Python worker keeps.
 BATCH_WORDS, CACHED_WORDS = 100_000, 150_000
 UNDETERMINED = "und"
@@ -127,6 +129,10 @@ class LanguageModel:
     def __getstate__(self):
         return self.__dict__ | {"_words": None}
 
+    def forget(self) -> None:
+        """Empties the table of words, so that a worker that goes on to other work doesn't hold it."""
+        self._words = None
+
     def emissions(self, words: list[str]) -> np.ndarray:
         features, counts = word_features(words)
         out = np.add.reduceat(self.weights[features], _starts(counts))
@@ -409,10 +415,11 @@ def keep_determined(docs: DataFrame, model: LanguageModel, least: float = LEAST_
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        nothing_learned = there.value.labels == [UNDETERMINED]
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             langs, scores, certain = there.value.predict_certainty(b.column(at).to_pylist())
-            nothing_learned = there.value.labels == [UNDETERMINED]
             kept = [c > 0 if nothing_learned else x != UNDETERMINED and (s >= least or c >= LEAST_CERTAINTY) for x, s, c in zip(langs, scores, certain)]
             yield b.filter(pa.array(kept, pa.bool_()))
+        there.value.forget()
 
     return docs.mapInArrow(run, docs.schema)

@@ -46,6 +46,8 @@ FOLDS = 3
 WINDOW_THRESHOLDS = (1, 2, 3, 4)
 #: Windows of which a worker keeps the gain.
 CACHED_WINDOWS = 150_000
+#: Rows that a filtering task turns into Python's strings at a time.
+ROWS = 500
 THRESHOLD = 0.3
 
 #: Marks count as blanks, and capitals of ASCII as small letters.
@@ -164,6 +166,10 @@ class ToxicityModel:
             folds.append((dictionary, *_calibrated([g for g, _ in held], np.array([k for _, k in held], float), len(ordinary) / len(toxic))))
         return cls(base, folds)
 
+    def forget(self) -> None:
+        """Empties the table of gains, so that a worker that goes on to other work doesn't hold it."""
+        self._gains = None
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probability of label 1 for each text."""
         if not self.folds:
@@ -259,8 +265,9 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             kept = there.value.scores(b.column(at).to_pylist()) < threshold
             yield b.filter(pa.array(kept))
+        there.value.forget()
 
     return docs.mapInArrow(run, docs.schema)
