@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from roamgrid.llm import bpe, exact_dedup, html_text, language_id, licenses, packing, sharding, simhash, toxicity, vector_search
+from roamgrid.llm import bpe, exact_dedup, fill_middle, html_text, language_id, licenses, packing, sharding, simhash, toxicity, vector_search
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -70,6 +70,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle of all documents and back; see fill_middle.round_trip."""
+    return fill_middle.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
@@ -82,6 +87,7 @@ def queries() -> dict:
         "op8_length_buckets": op8_length_buckets,
         "op9_toxicity": op9_toxicity,
         "op10_language_id": op10_language_id,
+        "op13_fill_middle": op13_fill_middle,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -141,8 +147,20 @@ SELECT doc_id,
        h AS text_sha256
 FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 """
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+     g AS (SELECT *, length(t) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+                  CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+     f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+                  least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM g),
+     p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1, n - b) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_vector_top_k": OP2_SQL, "op3_license_scan": _license_sql(), "op5_extendible_shards": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+    found = {"op2_vector_top_k": OP2_SQL, "op3_license_scan": _license_sql(), "op5_extendible_shards": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op13_fill_middle": OP13_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
