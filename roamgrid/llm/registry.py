@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from roamgrid.llm import bpe, exact_dedup, fill_middle, html_text, language_id, licenses, packing, sharding, simhash, toxicity, vector_search
+from roamgrid.llm import bpe, collocations, exact_dedup, fill_middle, html_text, language_id, licenses, packing, sharding, simhash, toxicity, vector_search
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -70,6 +70,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of each language of all documents; see collocations.collocations."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fill-in-the-middle of all documents and back; see fill_middle.round_trip."""
     return fill_middle.round_trip(table(spark, sf_dir, "documents"))
@@ -87,6 +92,7 @@ def queries() -> dict:
         "op8_length_buckets": op8_length_buckets,
         "op9_toxicity": op9_toxicity,
         "op10_language_id": op10_language_id,
+        "op12_collocations": op12_collocations,
         "op13_fill_middle": op13_fill_middle,
         "pipeline": corpus_pipeline.run,
     }
@@ -147,6 +153,23 @@ SELECT doc_id,
        h AS text_sha256
 FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 """
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents),
+     w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS words FROM p),
+     g AS (SELECT lang, words[i:i + s - 1] AS gram FROM (SELECT lang, words, s, unnest(range(1, len(words) - s + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS s))),
+     c AS (SELECT lang, gram, count(*) AS f FROM g GROUP BY ALL),
+     n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE len(gram) = 1 GROUP BY lang),
+     k AS (SELECT lang, gram, f AS a FROM c WHERE len(gram) > 1 AND f >= 30),
+     cut AS (SELECT lang, gram, a, unnest(range(1, len(gram))) AS cutting FROM k),
+     s AS (SELECT cut.*, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * a) // (x.f + y.f) AS BIGINT) AS score FROM cut
+           JOIN c x ON x.lang = cut.lang AND x.gram = cut.gram[1:cutting] JOIN c y ON y.lang = cut.lang AND y.gram = cut.gram[cutting + 1:len(cut.gram)]),
+     b AS (SELECT lang, gram, a, arg_min(l, (score, cutting)) AS l, arg_min(r, (score, cutting)) AS r, min(score) AS score FROM s GROUP BY ALL),
+     i AS (SELECT lang, gram[i:i + s - 1] AS gram, a AS longer FROM (SELECT lang, gram, a, s, unnest(range(1, len(gram) - s + 2)) AS i FROM k, (SELECT unnest([2, 3]) AS s) WHERE s < len(gram))),
+     h AS (SELECT lang, gram, max(longer) AS longer FROM i GROUP BY ALL),
+     o AS (SELECT b.* FROM b LEFT JOIN h USING (lang, gram) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+     t AS (SELECT lang, array_to_string(gram, ' ') AS phrase, a, l, r, score FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t) JOIN n USING (lang) WHERE rank <= 2000
+"""
 OP13_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
      g AS (SELECT *, length(t) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
@@ -162,5 +185,5 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_vector_top_k": OP2_SQL, "op3_license_scan": _license_sql(), "op5_extendible_shards": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op13_fill_middle": OP13_SQL}
+    found = {"op2_vector_top_k": OP2_SQL, "op3_license_scan": _license_sql(), "op5_extendible_shards": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op12_collocations": OP12_SQL, "op13_fill_middle": OP13_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
