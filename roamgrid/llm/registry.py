@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from roamgrid.llm import bpe, collocations, exact_dedup, fill_middle, html_text, language_id, licenses, packing, sharding, simhash, toxicity, vector_search
+from roamgrid.llm import bpe, collocations, exact_dedup, fill_middle, html_text, language_id, licenses, packing, sharding, simhash, suffix_dedup, toxicity, vector_search
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -70,6 +70,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents removed; see suffix_dedup.remove_repeats."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of each language of all documents; see collocations.collocations."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
@@ -92,6 +97,7 @@ def queries() -> dict:
         "op8_length_buckets": op8_length_buckets,
         "op9_toxicity": op9_toxicity,
         "op10_language_id": op10_language_id,
+        "op11_suffix_dedup": op11_suffix_dedup,
         "op12_collocations": op12_collocations,
         "op13_fill_middle": op13_fill_middle,
         "pipeline": corpus_pipeline.run,
