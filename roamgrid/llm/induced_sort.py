@@ -2,7 +2,7 @@
 
 A suffix is S if it is smaller than the next one, L if it is larger; an LMS suffix is an S behind an L.
 The LMS substrings are sorted by inducing from their first symbols, named, and the string of their names,
-a third of the text or less, is sorted by recursion; the sorted LMS suffixes then induce all L suffixes
+half the text or less, is sorted by recursion, or in memory once it fits there; the sorted LMS suffixes then induce all L suffixes
 in ascending and, from these, all S suffixes in descending order.
 
 What is induced waits in a priority queue of runs sorted by symbol.  Its rows are tuples of a symbol, a place
@@ -27,6 +27,8 @@ from pyspark.shuffle import _get_local_dirs
 MEMORY_BYTES = 64 << 20
 #: Rows of a queue's run that is not merged any more, rows that are looked at together, and symbols at once.
 MOST_OF_RUN, BLOCK, CHUNK = 2_000_000, 262_144, 4_000_000
+#: A string of names up to this length is sorted in memory, which ends the recursion.
+BASE_NAMES = 4_000_000
 FAR = np.iinfo(np.int64).max
 OPEN = np.uint8(255)
 
@@ -60,6 +62,11 @@ class Scratch:
         return out
 
 
+def _stable(keys: np.ndarray) -> np.ndarray:
+    """An order of keys, equal ones as they stand; small keys are sorted by digits."""
+    return np.argsort(keys.astype(np.uint16) if len(keys) and keys.max() < 1 << 16 else keys, kind="stable")
+
+
 class Queue:
     """Rows (symbol, place, common) that leave by symbol, those of one symbol as they came."""
 
@@ -67,7 +74,7 @@ class Queue:
         self.scratch, self.runs = scratch, []
 
     def push(self, symbol: np.ndarray, place: np.ndarray, common: np.ndarray) -> None:
-        order = np.argsort(symbol, kind="stable")
+        order = _stable(symbol)
         self.runs.append([0, symbol[order], place[order], common[order]])
         while len(self.runs) > 1:
             (a, *one), (b, *two) = self.runs[-2:]
@@ -75,7 +82,7 @@ class Queue:
             if left > 2 * right or left + right > MOST_OF_RUN:
                 break
             both = [np.concatenate([x[a:], y[b:]]) for x, y in zip(one, two)]
-            order = np.argsort(both[0], kind="stable")
+            order = _stable(both[0])
             kept = [self.scratch.column(len(order), x.dtype) for x in both]
             for out, x in zip(kept, both):
                 out[:] = x[order]
@@ -97,7 +104,7 @@ class Queue:
         if not parts:
             return [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int16)], True
         rows = [np.concatenate(x) for x in zip(*parts)]
-        order = np.argsort(rows[0], kind="stable")
+        order = _stable(rows[0])
         return [x[order] for x in rows], not cut
 
     def drop(self, run: np.ndarray) -> None:
@@ -243,7 +250,7 @@ class Text:
             s = len(seed_symbol)
             symbol = np.concatenate([rows[0][:q], seed_symbol])
             kind = np.concatenate([np.zeros(q, np.int64), np.ones(s, np.int64)])
-            order = np.argsort(2 * symbol + kind, kind="stable")
+            order = _stable(2 * symbol + kind)
             symbol, kind = symbol[order], kind[order]
             place = np.concatenate([rows[1][:q], some[:s]])[order]
             common = np.concatenate([rows[2][:q], commons[at : at + s]])[order]
@@ -296,7 +303,7 @@ class Text:
         """Rows for the queue with what they share with the row that was pushed for their symbol before."""
         if len(at):
             symbol = pushed[at]
-            order = np.argsort(symbol, kind="stable")
+            order = _stable(symbol)
             symbol, where = symbol[order], at[order]
             first = np.append(True, symbol[1:] != symbol[:-1])
             carried = np.zeros(len(at), np.uint8)
@@ -355,7 +362,7 @@ def sorted_suffixes(scratch: Scratch, symbols: np.ndarray, weight: np.ndarray, b
         yield from _from(text, lms, np.zeros(len(lms), np.uint8))
         return
     n = len(symbols)
-    by_symbol = np.argsort(symbols[lms], kind="stable")
+    by_symbol = _stable(symbols[lms])
     seeds = lms[by_symbol]
     # LMS substrings end with the next LMS symbol: there, equal symbols are all that is known
     commons = np.minimum(weight[symbols[seeds]], limit).astype(np.uint8)
@@ -383,6 +390,9 @@ def sorted_suffixes(scratch: Scratch, symbols: np.ndarray, weight: np.ndarray, b
     if (heavy[often] >= limit).all():  # every name is alone, or all that counts is the same
         commons = np.where(np.append(False, same), limit, np.minimum(shared, limit)).astype(np.uint8)
         seeds = places
+    elif len(lms) <= BASE_NAMES:
+        up, commons = _doubled(names, heavy, limit)
+        seeds = lms[up]
     else:
         down = _kept(scratch, sorted_suffixes(scratch, names, heavy, between, limit), lambda place, induced: place >= 0, len(lms))
         up, commons = _backwards(*down)
@@ -393,6 +403,42 @@ def sorted_suffixes(scratch: Scratch, symbols: np.ndarray, weight: np.ndarray, b
     yield from _from(text, seeds, commons)
 
 
+def _doubled(names: np.ndarray, weight: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a string that fits in memory in ascending order, with bytes that neighbours share at least.
+
+    Ranks by 1, 2, 4 names and so on, until ranks are apart or stand for ``limit`` bytes.
+    """
+    n, size = len(names), 1
+    upto = np.append(0, np.cumsum(np.minimum(weight[names], limit).astype(np.int64)))
+    starts = np.append(0, np.cumsum(np.bincount(names)))
+    ranks = [(1, starts[names])]  # a rank is the number of smaller suffixes
+    while True:
+        rank = ranks[-1][1]
+        at = np.flatnonzero((np.bincount(rank)[rank] > 1) & (upto[np.minimum(np.arange(n) + size, n)] - upto[:n] < limit))
+        if not len(at):
+            break
+        second = np.where(at + size < n, rank[np.minimum(at + size, n - 1)] + 1, 0)
+        key = rank[at] * (n + 2) + second
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        group, new = rank[at[order]], np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        begin = np.flatnonzero(new)
+        inside = begin - first[np.searchsorted(first, begin, "right") - 1]
+        finer = rank.copy()
+        finer[at[order]] = (group[begin] + inside)[np.cumsum(new) - 1]
+        size *= 2
+        ranks.append((size, finer))
+    order = np.argsort(rank, kind="stable")
+    a, b, same = order[:-1], order[1:], np.zeros(n - 1, np.int64)
+    for size, rank in reversed(ranks):
+        p, q = a + same, b + same
+        inside = (p + size <= n) & (q + size <= n)
+        same += size * (inside & (rank[np.minimum(p, n - 1)] == rank[np.minimum(q, n - 1)]))
+    shared = np.minimum(upto[a + same] - upto[a], limit).astype(np.uint8)
+    return order, np.append(OPEN, shared)
+
+
 def _extended(text: Text, places: np.ndarray, commons: np.ndarray) -> np.ndarray:
     """Common bytes of neighbours, where names know too few: one that ends as another goes on with its last symbol."""
     out = np.minimum(commons, text.limit).astype(np.int64)

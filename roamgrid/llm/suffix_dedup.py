@@ -2,7 +2,7 @@
 
 A window is a string of ``WIDTH`` bytes in a text.  Its spot is the place of its least ``GRAM``-byte gram by a
 hash, the first of equal ones, so equal windows have their spot at the same place, and windows one after the
-other mostly share it.  The windows of a spot are one piece of text.  Grams that occur once in the corpus repeat
+other mostly share it; two windows of one spot are never equal.  The windows of a spot are one piece of text.  Grams that occur once in the corpus repeat
 nothing; the pieces of all others go to the shard of their gram, equal pieces as one with its first occurrence.
 A shard's suffixes are sorted with their common prefixes by induced sorting on disk (``induced_sort``), and among
 the windows with ``WIDTH`` bytes in common all but the first in the order of texts are repeats.
@@ -206,29 +206,39 @@ def _sorted_shard(batches):
     """``number``, ``at``, ``size`` of each piece of a shard and ``repeats``, begins and ends of the runs of its
     windows that stand earlier in another piece."""
     with Scratch() as scratch:
-        texts, sizes, ranks = [], [], []
+        parts = []
         for b in batches:
             if not b.num_rows:
                 continue
-            piece = b.column(1)
-            lengths = np.diff(np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1])
-            begin = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset]
-            data = np.frombuffer(piece.buffers()[2], np.uint8)[begin : begin + int(lengths.sum())] if lengths.sum() else np.zeros(0, np.uint8)
-            symbols = scratch.column(len(data) + len(lengths), np.uint16)
-            symbols[:] = 1  # behind each piece
-            here = np.ones(len(symbols), bool)
-            here[np.cumsum(lengths + 1) - 1] = False
-            symbols[here] = data.astype(np.uint16) + 2
-            texts.append(symbols)
-            sizes.append(lengths.astype(np.int64))
+            offsets = np.frombuffer(b.column(1).buffers()[1], np.int32)[b.column(1).offset :][: b.num_rows + 1]
+            data = scratch.column(int(offsets[-1] - offsets[0]), np.uint8)
+            data[:] = np.frombuffer(b.column(1).buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
             doc_id = b.column(4)
-            ranks.append(np.stack([np.asarray(doc_id.is_valid()), doc_id.fill_null(0).to_numpy(), b.column(5).to_numpy(), b.column(6).to_numpy()], 1).astype(np.int64))
-        if not texts:
+            rank = np.stack([np.asarray(doc_id.is_valid()), doc_id.fill_null(0).to_numpy(), b.column(5).to_numpy(), b.column(6).to_numpy()], 1).astype(np.int64)
+            parts.append((data, np.diff(offsets).astype(np.int64), rank, b.column(0).to_numpy()))
+        if not parts:
+            return
+        keys = np.concatenate([x[3] for x in parts])
+        _, which, n = np.unique(keys, return_inverse=True, return_counts=True)
+        shared, texts, at = n[which] > 1, [], 0
+        for data, lengths, _, key in parts:
+            # the only piece of its gram shares no window: in one piece each has the gram elsewhere
+            own = shared[at : at + len(key)]
+            at += len(key)
+            symbols = np.ones(int((lengths[own] + 1).sum()), np.uint16)  # 1 behind each piece
+            here = np.ones(len(symbols), bool)
+            here[np.cumsum(lengths[own] + 1) - 1] = False
+            symbols[here] = data[np.repeat(own, lengths)].astype(np.uint16) + 2
+            texts.append(scratch.column(len(symbols), np.uint16))
+            texts[-1][:] = symbols
+        lengths, ranks = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
+        parts = None
+        yield from _runs(np.zeros(1, bool), np.zeros(int((~shared).sum()), np.int64), lengths[~shared], ranks[~shared])
+        if not shared.any():
             return
         text = scratch.column(sum(map(len, texts)), np.uint16)
         np.concatenate(texts, out=text)
-        texts = None
-        lengths, ranks = np.concatenate(sizes), np.concatenate(ranks)
+        texts, lengths, ranks = None, lengths[shared], ranks[shared]
         starts = np.cumsum(lengths + 1) - (lengths + 1)
         marks = scratch.column(len(text) + 1, bool)
         carried = None

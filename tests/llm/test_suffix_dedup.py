@@ -43,7 +43,9 @@ def texts():
     return rows
 
 
-def test_suffixes_in_order():
+@pytest.mark.parametrize("base", [4_000_000, 0])
+def test_suffixes_in_order(base, monkeypatch):
+    monkeypatch.setattr(induced_sort, "BASE_NAMES", base)
     rng = random.Random(1)
     for _ in range(400):
         k, n = rng.choice([1, 2, 3, 30]), rng.randrange(1, 90)
@@ -57,7 +59,7 @@ def test_suffixes_in_order():
 
 def test_runs_on_disk_and_small_blocks(monkeypatch):
     """Short runs that are never merged, small blocks and chunks, everything in files; groups up to the limit."""
-    for name, value in (("MOST_OF_RUN", 50), ("BLOCK", 64), ("CHUNK", 37)):
+    for name, value in (("MOST_OF_RUN", 50), ("BLOCK", 64), ("CHUNK", 37), ("BASE_NAMES", 20)):
         monkeypatch.setattr(induced_sort, name, value)
     rng = random.Random(2)
     part = [rng.randrange(1, 5) for _ in range(400)]
