@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roamgrid.config import BOUNDS, EXPAND_RATIOS, Rect
-from roamgrid.functions.grid import grid_bounds, grid_id, haversine, in_box, intensity_color, period_name, period_of, rect_cells
-from roamgrid.operators import density, display, od, paths, polyline, regions, road, routing, stats, trajectory, trips, viewport
+from roamgrid.functions.grid import grid_bounds, grid_id, haversine, intensity_color, period_name, period_of
+from roamgrid.operators import cells, density, display, neighbours, od, paths, polyline, regions, road, routing, stats, trajectory, trips, viewport
 from roamgrid.plans.storage import written
 from roamgrid.sources.points import from_events, scan, stride_sample, vehicle_page, vehicles
 from roamgrid.streaming import live
@@ -106,15 +106,33 @@ def grid_bounds_of_cells(p):
     return cells.select("gid", grid_bounds(F.col("gid")).alias("b")).select("gid", "b.x_min", "b.y_min", "b.x_max", "b.y_max")
 
 
-def rect_to_grids(spark, sf_dir):
-    parts = [rect_cells(spark, r).select(F.lit(name).alias("rect"), F.col("gid").cast("int").alias("gid")) for name, r in RECTS.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _trip_rects(p):
+    """Boxes around the points in bounds of every trip."""
+    return cells.trip_boxes(trips.split(scan(p)))
 
 
-_queries["rect_to_grids"] = rect_to_grids
+@_on_points
+def rect_to_grids(p):
+    """The cells of every trip's box, and of some rectangles of which one is out of bounds."""
+    named = p.sparkSession.createDataFrame([(n, *map(float, r)) for n, r in RECTS.items()], "rect string, x_min double, y_min double, x_max double, y_max double")
+    return regions.rect_cells(_trip_rects(p).select(F.col("box").alias("rect"), "x_min", "y_min", "x_max", "y_max").unionByName(named))
+
+
+@_on_points
+def many_boxes(p):
+    """Points and vehicles in the box around every trip."""
+    return cells.count_boxes(p, _trip_rects(p))
+
+
+@_on_points
+def adaptive_density_cells(p):
+    found = cells.adaptive(cells.with_cell_of(p), depth=16)
+    return found.where("leaf").select("level", "cx", "cy", "n")
+
+
+@_on_points
+def quadtree_stats(p):
+    return cells.tree_stats(cells.adaptive(cells.with_cell_of(p), depth=16))
 
 
 @_on_points
@@ -379,7 +397,7 @@ def road_edges_effective(p):
 
 
 def _asked_places(p):
-    return p.select(F.col("event_id").alias("place"), "lon", "lat").where(in_box(F.col("lon"), F.col("lat"), BOUNDS))
+    return p.select(F.col("event_id").alias("place"), "lon", "lat")
 
 
 @_on_points
@@ -387,17 +405,29 @@ def nearest_node(p):
     return _rounded(routing.nearest_node(_asked_places(p), road.nodes(p)), 3, "meters").select("place", "node", "meters")
 
 
-def nearest_grid_centers_k(spark, sf_dir):
-    near = routing.nearest_centers(routing.edge_cells(spark, A, B), routing.edge_cells(spark, B, A), 8)
-    return near.select(F.col("gid").cast("int").alias("gid"), F.col("other").cast("int").alias("other"), "rank")
+@_on_points
+def nearest_nodes_k(p):
+    """The three nearest nodes of all points, those far from any node too."""
+    return _rounded(neighbours.nearest(_asked_places(p), road.nodes(p), 3), 3, "meters")
 
 
-def region_edge_grids(spark, sf_dir):
-    both = [routing.edge_cells(spark, a, b).select(F.lit(name).alias("rect"), F.col("gid").cast("int").alias("gid")) for name, a, b in (("A", A, B), ("B", B, A), ("C", C, None))]
-    return both[0].unionByName(both[1]).unionByName(both[2])
+def _trip_pairs(p):
+    """The boxes of each vehicle's trips, each with that of the next trip."""
+    after = Window.partitionBy("taxi_id").orderBy("trip_id")
+    edges = F.struct("x_min", "y_min", "x_max", "y_max")
+    return _trip_rects(p).select(F.col("box").alias("pair"), edges.alias("a"), F.lead(edges).over(after).alias("b")).where("b is not null")
 
 
-_queries |= {"nearest_grid_centers_k": nearest_grid_centers_k, "region_edge_grids": region_edge_grids}
+@_on_points
+def nearest_grid_centers_k(p):
+    return regions.border_neighbours(_trip_pairs(p), 8)
+
+
+@_on_points
+def region_edge_grids(p):
+    both = regions.with_borders(_trip_pairs(p))
+    of = lambda name: both.select("pair", F.lit(name).alias("rect"), F.explode(f"border_{name}").alias("gid"))
+    return of("a").unionByName(of("b"))
 
 
 def _road_graph(p):

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from roamgrid.config import BOUNDS, COMPARE_NEAREST, GRID_SIZE, NODE_BUCKET, REGION_NEAREST, Rect
 from roamgrid.functions.grid import cell_range, center_lat, center_lon, grid_id, haversine, in_rect, steps
-from roamgrid.plans.storage import delete_path, new_path
+from roamgrid.operators import neighbours
+from roamgrid.plans.storage import delete_path, new_path, written
 
 #: Edges up to this number are broadcast: what a grid of 500 cells a side can have, in three periods.
 BROADCAST_EDGES = 8 * 500 * 500 * 3
@@ -120,19 +121,24 @@ def relaxed(edges: DataFrame, sources: DataFrame, hops: int = 4) -> DataFrame:
 def nearest_node(places: DataFrame, node_table: DataFrame) -> DataFrame:
     """``places`` (with a unique ``place``, lon, lat) and their nearest ``node`` and ``meters``.
 
-    Nodes in the 5 x 5 buckets of a hundredth of a degree around a place are compared; only places
-    with none there are compared with all nodes.  Ties go to the smaller node.
+    Nodes in the 5 x 5 buckets of a hundredth of a degree around a place are compared; places with none there
+    are led to the nearest of all nodes (``neighbours.nearest``).  Ties go to the smaller node.  Each bucket
+    gathers its nodes once, and places of the same coordinates are looked up as one; places without
+    coordinates are left out.
     """
     bucket = lambda c: F.floor(c / NODE_BUCKET)
     around = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in range(-2, 3) for y in range(-2, 3)]
-    held = node_table.select("node", F.col("lon").alias("node_lon"), F.col("lat").alias("node_lat"), bucket(F.col("lon")).alias("bx"), bucket(F.col("lat")).alias("by"))
+    held = node_table.select("node", F.col("lon").alias("node_lon"), F.col("lat").alias("node_lat"), bucket(F.col("lon")).alias("nx"), bucket(F.col("lat")).alias("ny"))
+    spots = places.where("lon is not null and lat is not null").select("lon", "lat").distinct()
+    spots = spots.withColumn("bx", bucket(F.col("lon"))).withColumn("by", bucket(F.col("lat")))
+    reach = spots.select("bx", "by").distinct().withColumn("o", F.explode(F.array(*around)))
+    reach = reach.select("bx", "by", (F.col("bx") + F.col("o.x")).alias("nx"), (F.col("by") + F.col("o.y")).alias("ny")).join(held, ["nx", "ny"])
     metres = haversine(F.col("lon"), F.col("lat"), F.col("node_lon"), F.col("node_lat")).alias("meters")
-    asked = places.withColumn("o", F.explode(F.array(*around))).withColumn("bx", bucket(F.col("lon")) + F.col("o.x")).withColumn("by", bucket(F.col("lat")) + F.col("o.y"))
-    best = F.min(F.struct("meters", "node")).alias("m")
-    near = asked.join(held, ["bx", "by"]).select("place", "node", metres).groupBy("place").agg(best)
-    # the few places far from any node meet the bounded node table
-    far = places.join(near, "place", "left_anti").crossJoin(F.broadcast(held)).select("place", "node", metres).groupBy("place").agg(best)
-    return places.join(near.unionByName(far), "place").select(*places.columns, "m.node", "m.meters")
+    near = spots.join(reach, ["bx", "by"]).select("lon", "lat", "node", metres).groupBy("lon", "lat").agg(F.min(F.struct("meters", "node")).alias("m"))
+    near = written(near.select("lon", "lat", "m.node", "m.meters"), "near")
+    far = spots.join(near, ["lon", "lat"], "left_anti").select(F.struct("lon", "lat").alias("place"), "lon", "lat")
+    found = neighbours.nearest(far, node_table).select("place.lon", "place.lat", "node", "meters")
+    return places.join(near.unionByName(found), ["lon", "lat"]).select(*places.columns, "node", "meters")
 
 
 def nearest_node_in(node_table: DataFrame, rect: Rect, lon: float, lat: float) -> DataFrame:

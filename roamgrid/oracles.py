@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from roamgrid.catalogue import END, OUT, START, VIEWS, A, B, C, RECTS
 from roamgrid.config import BOUNDS, DEFAULT_SPEEDS, EXPAND_RATIOS, PATH_COLORS, PERIODS, VALID_BOX, Rect
-from roamgrid.functions.grid import cell_range, steps
 from roamgrid.operators import od as od_ops
 from roamgrid.operators.viewport import DETAILS
 
@@ -13,6 +14,17 @@ def d(x: float) -> str:
     return f"{x!r}::DOUBLE"
 
 
+def steps(size: int = 100, box: Rect = BOUNDS) -> tuple[float, float]:
+    """Sides of a cell: a part of the box's sides."""
+    return (box.x_max - box.x_min) / size, (box.y_max - box.y_min) / size
+
+
+def cell_range(r: Rect) -> list[int]:
+    """Cells of a rectangle's edges x_min, x_max, y_min, y_max, those outside as the first or the last."""
+    at = [(r.x_min - BOUNDS.x_min) / DX, (r.x_max - BOUNDS.x_min) / DX, (r.y_min - BOUNDS.y_min) / DY, (r.y_max - BOUNDS.y_min) / DY]
+    return [min(99, max(0, math.floor(v))) for v in at]
+
+
 POINTS = """WITH b AS (SELECT event_id, user_id // 3 AS taxi_id, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 60000000) AS BIGINT) AS s FROM events),
 k AS (SELECT *, (s // 240 + 7*(taxi_id % 3)) AS st FROM b),
 points AS (SELECT event_id, taxi_id, TIMESTAMP '2008-02-02 06:30:00' + to_seconds(s) AS ts,
@@ -284,6 +296,31 @@ def _endpoints() -> str:
     return f"{NODES}, asked(name, lon, lat) AS (VALUES {rows}), inside AS ({inside}), anywhere AS {near} SELECT place AS asked, node, round(meters, 3) AS meters FROM (SELECT * FROM inside UNION ALL SELECT * FROM anywhere WHERE place NOT IN (SELECT place FROM inside))"
 
 
+BOXES = f"""{TRIPS.replace("FROM points WINDOW", f"FROM (SELECT * FROM points WHERE {in_box(BOUNDS)}) WINDOW")},
+boxes AS (SELECT taxi_id, trip_id, taxi_id || '/' || trip_id AS box, min(lon) AS x_min, min(lat) AS y_min, max(lon) AS x_max, max(lat) AS y_max FROM trips GROUP BY taxi_id, trip_id)"""
+_AT = lambda edge, low, step: f"CAST(greatest(0, least(99, floor(({edge} - {d(low)}) / {d(step)}))) AS INTEGER)"
+_TOUCHED = f"""unnest(range({_AT('y_min', BOUNDS.y_min, DY)}, {_AT('y_max', BOUNDS.y_min, DY)} + 1)) AS y"""
+_TOUCHED_X = f"""unnest(range({_AT('x_min', BOUNDS.x_min, DX)}, {_AT('x_max', BOUNDS.x_min, DX)} + 1)) AS x"""
+BORDERS = f"""{BOXES},
+pairs AS (SELECT * FROM (SELECT box AS pair, x_min, y_min, x_max, y_max, lead(x_min) OVER w AS bx_min, lead(y_min) OVER w AS by_min, lead(x_max) OVER w AS bx_max, lead(y_max) OVER w AS by_max FROM boxes WINDOW w AS (PARTITION BY taxi_id ORDER BY trip_id)) WHERE bx_min IS NOT NULL),
+sides AS (SELECT pair, 'a' AS rect, x_min, y_min, x_max, y_max, (bx_min + bx_max) / 2 - (x_min + x_max) / 2 AS across, (by_min + by_max) / 2 - (y_min + y_max) / 2 AS up FROM pairs
+  UNION ALL SELECT pair, 'b', bx_min, by_min, bx_max, by_max, (x_min + x_max) / 2 - (bx_min + bx_max) / 2, (y_min + y_max) / 2 - (by_min + by_max) / 2 FROM pairs),
+touched AS (SELECT *, y * 100 + x AS gid FROM (SELECT *, {_TOUCHED_X} FROM (SELECT *, {_TOUCHED} FROM sides))),
+held AS (SELECT *, min(x) OVER s AS x0, max(x) OVER s AS x1, min(y) OVER s AS y0, max(y) OVER s AS y1 FROM touched WHERE {CLON('gid')} BETWEEN x_min AND x_max AND {CLAT('gid')} BETWEEN y_min AND y_max WINDOW s AS (PARTITION BY pair, rect)),
+edged AS (SELECT *, count(*) OVER (PARTITION BY pair, rect) AS n, CASE WHEN abs(across) > abs(up) THEN x = CASE WHEN across > 0 THEN x0 ELSE x1 END ELSE y = CASE WHEN up > 0 THEN y0 ELSE y1 END END AS gone FROM held WHERE x IN (x0, x1) OR y IN (y0, y1)),
+border AS (SELECT pair, rect, gid FROM (SELECT *, sum(CAST(NOT gone AS INTEGER)) OVER (PARTITION BY pair, rect) AS stay FROM edged) WHERE n <= 4 OR NOT gone OR stay = 0)"""
+
+
+def _adaptive(depth: int = 16, capacity: int = 10) -> str:
+    """Points down the tree, level by level, as CTEs up to ``walk``."""
+    part = lambda c, low, high: f"CAST(least(floor(({c} - {d(low)}) / {d((high - low) / 2**depth)}), {2**depth - 1}) AS BIGINT)"
+    cx, cy = f"fx >> ({depth - 1} - level)", f"fy >> ({depth - 1} - level)"
+    return f"""{POINTS.replace("WITH b", "WITH RECURSIVE b", 1)}, placed AS (SELECT {part('lon', BOUNDS.x_min, BOUNDS.x_max)} AS fx, {part('lat', BOUNDS.y_min, BOUNDS.y_max)} AS fy FROM points WHERE {in_box(BOUNDS)}),
+walk(level, cx, cy, fx, fy, n) AS (SELECT 0, 0::BIGINT, 0::BIGINT, fx, fy, count(*) OVER () FROM placed
+  UNION ALL SELECT level + 1, {cx}, {cy}, fx, fy, count(*) OVER (PARTITION BY {cx}, {cy}) FROM walk WHERE n > {capacity} AND level < {depth}),
+cell AS (SELECT DISTINCT level, cx, cy, n, n <= {capacity} OR level = {depth} AS leaf FROM walk)"""
+
+
 def _quota(cap: int = 40) -> str:
     return f"""{OD}, arcs AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY {ARC_ORDER}) AS rank FROM {sectors(REGION_PATHS)}),
 flows AS (SELECT sector, CAST(sum(greatest(1, count)) AS BIGINT) AS flow FROM arcs GROUP BY sector),
@@ -308,8 +345,8 @@ sampled AS (SELECT * FROM inside JOIN offs USING (taxi_id) WHERE rn >= off AND (
     }
     jitter = "((start_grid * 13 + end_grid * 7) % 15) * 0.015::DOUBLE"
     height = f"greatest(0.10::DOUBLE, {by_period({p: d(h) for p, h in od_ops.BASE_HEIGHT.items()})} + ((sector - 3.5::DOUBLE) * 0.06::DOUBLE + (quadrant - 1.5::DOUBLE) * 0.09::DOUBLE + CASE WHEN direction = '{od_ops.OUT}' THEN 0.10::DOUBLE ELSE 0.03::DOUBLE END) + {jitter})"
-    rects = " UNION ALL ".join(f"SELECT '{n}' AS rect, CAST(y * 100 + x AS INTEGER) AS gid FROM (SELECT unnest(range({r[2]}, {r[3] + 1})) AS y), (SELECT unnest(range({r[0]}, {r[1] + 1})) AS x)" for n, r in ((n, cell_range(q)) for n, q in RECTS.items()))
     edge_a, edge_b = edge_cells_sql(A, B), edge_cells_sql(B, A)
+    rects = f"{BOXES}, named AS (SELECT box AS rect, x_min, y_min, x_max, y_max FROM boxes UNION ALL {' UNION ALL '.join(f'SELECT {chr(39)}{n}{chr(39)}, ' + ', '.join(map(d, r)) for n, r in RECTS.items())}) SELECT rect, CAST(y * 100 + x AS INTEGER) AS gid FROM (SELECT *, {_TOUCHED_X} FROM (SELECT *, {_TOUCHED} FROM named))"
     dens = density_sql([0.10])
     day = "SELECT -1 AS period, gx, gy, CAST(sum(n) AS BIGINT) AS n FROM dens GROUP BY gx, gy"
     shades = f"{dens}, v AS (SELECT DISTINCT period, n, round(ln(1 + n) / ln(1 + max(n) OVER (PARTITION BY period)), 9) AS v FROM dens)"
@@ -366,9 +403,13 @@ SELECT taxi_id, CAST(rn AS INTEGER) AS rn, event_id FROM sel WHERE total <= 15 O
         "travel_samples": f"{POINTS},{samples(False)} SELECT u, v, period, seconds, first_id FROM samples",
         "edge_travel_time_median": f"{POINTS},{samples(False)} SELECT u, v, period, samples, seconds FROM medians",
         "road_edges_effective": f"{EDGES} SELECT src, dst, period, round(seconds, 4) AS seconds FROM edges",
-        "nearest_node": f"{NODES} SELECT place, node, round(meters, 3) AS meters FROM {nearest_sql(f'(SELECT event_id AS place, lon, lat FROM points WHERE {in_box(BOUNDS)})')}",
-        "nearest_grid_centers_k": f"SELECT CAST(gid AS INTEGER) AS gid, CAST(other AS INTEGER) AS other, CAST(rank AS INTEGER) AS rank FROM {near_sql(edge_a, edge_b, 8)}",
-        "region_edge_grids": " UNION ALL ".join(f"SELECT '{n}' AS rect, CAST(gid AS INTEGER) AS gid FROM {x}" for n, x in (("A", edge_a), ("B", edge_b), ("C", edge_cells_sql(C)))),
+        "nearest_node": f"{NODES} SELECT place, node, round(meters, 3) AS meters FROM {nearest_sql('(SELECT event_id AS place, lon, lat FROM points)')}",
+        "nearest_nodes_k": f"{NODES} SELECT place, node, round(meters, 3) AS meters, CAST(rank AS INTEGER) AS rank FROM (SELECT p.event_id AS place, n.node, {meters('p.lon', 'p.lat', 'n.lon', 'n.lat')} AS meters, row_number() OVER (PARTITION BY p.event_id ORDER BY {meters('p.lon', 'p.lat', 'n.lon', 'n.lat')}, n.node) AS rank FROM points p, nodes n) WHERE rank <= 3",
+        "many_boxes": f"{BOXES} SELECT box, count(*) AS points, count(DISTINCT p.taxi_id) AS taxis FROM boxes b JOIN points p ON p.lon BETWEEN x_min AND x_max AND p.lat BETWEEN y_min AND y_max GROUP BY box",
+        "adaptive_density_cells": f"{_adaptive()} SELECT level, cx, cy, n FROM cell WHERE leaf",
+        "quadtree_stats": f"{_adaptive()} SELECT 4 * count(*) FILTER (NOT leaf) + 1 AS nodes, 3 * count(*) FILTER (NOT leaf) + 1 AS leaves, CAST(coalesce(sum(n) FILTER (leaf), 0) AS BIGINT) AS points, coalesce(max(level), 0) AS depth FROM cell",
+        "nearest_grid_centers_k": f"{BORDERS} SELECT pair, CAST(gid AS INTEGER) AS gid, CAST(other AS INTEGER) AS other, CAST(rank AS INTEGER) AS rank FROM (SELECT o.pair, o.gid, t.gid AS other, row_number() OVER (PARTITION BY o.pair, o.gid ORDER BY sqrt(({CLON('t.gid')} - ({CLON('o.gid')})) * ({CLON('t.gid')} - ({CLON('o.gid')})) + ({CLAT('t.gid')} - ({CLAT('o.gid')})) * ({CLAT('t.gid')} - ({CLAT('o.gid')}))), t.gid) AS rank FROM border o JOIN border t ON o.pair = t.pair AND o.rect = 'a' AND t.rect = 'b') WHERE rank <= 8",
+        "region_edge_grids": f"{BORDERS} SELECT pair, rect, CAST(gid AS INTEGER) AS gid FROM border",
         "shortest_time_by_period": f"{spread(f'SELECT {START}::BIGINT AS start, unnest([0, 1, 2]) AS period')} SELECT start AS start_node, node AS end_node, period, round(seconds, 4) AS seconds FROM best WHERE node = {END}",
         "shortest_times_from_node": f"{spread(f'SELECT {START}::BIGINT AS start, 2 AS period')} SELECT node, round(seconds, 4) AS seconds FROM best",
         "compare_periods": f"{routed(5, '[0, 1, 2]')} SELECT best.period, round(min(seconds), 4) AS seconds FROM pair JOIN near_a ON near_a.place = pair.gid JOIN near_b ON near_b.place = pair.other JOIN best ON best.start = near_a.node AND best.node = near_b.node WHERE seconds > 0 GROUP BY best.period",
