@@ -448,10 +448,22 @@ def shortest_times_from_node(p):
     return _rounded(routing.relaxed(_road_graph(p)[1], sources), 4, "seconds").select("node", "seconds")
 
 
+@_on_points
+def routes_of_any_size(p):
+    """Routes by relaxation and pointer doubling, in three periods and one without edges."""
+    asked = p.sparkSession.createDataFrame([(START, END, k) for k in (0, 1, 2, 9)] + [(END, START, 2), (START, START, 1), (START, -7, 1), (-7, END, 1)], "start long, end long, period int")
+    found = routing.routes(_road_graph(p)[1], asked)
+    return _rounded(found, 4, "seconds").select(F.col("start").alias("start_node"), F.col("end").alias("end_node"), "period", "seconds", F.array_join("route", ">").alias("route"))
+
+
 @_on_points
 def region_shortest_path(p):
     nodes, edges = _road_graph(p)
-    return _rounded(routing.region_route(edges, nodes, A, B, 2), 4, "seconds").select("start_grid", "end_grid", "seconds", "searched")
+    best = written(routing.region_route(edges, nodes, A, B, 2), "best")
+    line = routing.route_coords(best.select(F.col("start_grid").alias("start"), F.col("end_grid").alias("end"), F.lit(2).alias("period"), "route"), nodes)
+    line = routing.route_cells(line).select(F.col("start").alias("start_grid"), F.col("end").alias("end_grid"), F.array_join("cells", ">").alias("cells"))
+    told = best.join(line, ["start_grid", "end_grid"]).withColumn("time", routing.time_text(F.round("seconds", 4)))
+    return _rounded(told, 4, "seconds").select("start_grid", "end_grid", "seconds", "searched", F.array_join("route", ">").alias("route"), "cells", "time")
 
 
 @_on_points
@@ -530,6 +542,22 @@ def map_payload(p):
     return viewport.payload(state, [viewport.scatter(viewport.thin(found, written(view, "view")), 16)], {"rect": "C"})
 
 
+@_on_points
+def map_layers(p):
+    """Layers of each kind: the most frequent paths, arcs of a region, density as heat, and rectangles."""
+    best = paths.top_k(_frequencies(p), 10)
+    order = Window.orderBy(F.desc("vehicles"), F.desc("distance"), "path")  # ten rows
+    coords = F.transform(paths.path_coords(F.col("path")), lambda c: F.array(F.round(c[0], 6), F.round(c[1], 6)))
+    lines = best.withColumn("place", F.row_number().over(order) - 1).withColumn("coords", coords)
+    arcs = od.arc_style(od.with_centers(od.top_arcs(od.paths_of_region(od.matrix(p), C), 20)), "region", True)
+    arcs = _rounded(arcs, 6, "width", "height", "source_lon", "source_lat", "target_lon", "target_lat")
+    heat = density.density(scan(p), (0.05,), 10).groupBy("gx", "gy").agg(F.sum("n").alias("weight"))
+    heat = heat.select((F.col("gx") + 0.5).alias("lon"), (F.col("gy") + 0.5).alias("lat"), "weight")
+    rects = p.sparkSession.createDataFrame([(n, *map(float, r)) for n, r in RECTS.items()], "rect string, x_min double, y_min double, x_max double, y_max double")
+    made = [viewport.path_layer(viewport.path_style(lines, F.col("place"))), viewport.arc_layer(arcs), viewport.heatmap_layer(heat), viewport.polygon_layer(rects)]
+    return functools.reduce(DataFrame.unionByName, [m.select("layer.type", F.size("layer.data").alias("places"), F.to_json("layer.data").alias("data")) for m in made])
+
+
 @_on_points
 def density_columns(p):
     return _rounded(viewport.column_rows(density.density(p)), 6, "elevation").select("period", "gx", "gy", "elevation")

@@ -115,6 +115,15 @@ best(start, period, node, seconds) USING KEY (start, period, node) AS (
   LEFT JOIN recurring.best r ON r.start = x.start AND r.period = x.period AND r.node = x.node WHERE r.seconds IS NULL OR x.seconds < r.seconds GROUP BY ALL)"""
 
 
+def walked(ends_sql: str) -> str:
+    """Routes to the (start, period, ends) of a query, from the smallest node before each, as CTEs after ``best`` up to ``routes``."""
+    return f""", prev AS (SELECT b.start, b.period, e.dst AS node, min(e.src) AS before FROM best b JOIN edges e ON e.src = b.node AND e.period = b.period
+  JOIN best t ON t.start = b.start AND t.period = b.period AND t.node = e.dst AND t.seconds = b.seconds + e.seconds WHERE e.dst <> b.start GROUP BY ALL),
+walk(start, period, ends, node, route) AS (SELECT start, period, ends, ends, CAST(ends AS VARCHAR) FROM ({ends_sql})
+  UNION ALL SELECT w.start, w.period, w.ends, p.before, p.before || '>' || w.route FROM walk w JOIN prev p ON p.start = w.start AND p.period = w.period AND p.node = w.node),
+routes AS (SELECT w.start, w.period, w.ends, b.seconds, w.route FROM walk w JOIN best b ON b.start = w.start AND b.period = w.period AND b.node = w.ends WHERE w.node = w.start)"""
+
+
 def region_cells_sql(r: Rect) -> str:
     return f"(SELECT gid, {CLON('gid')} AS lon, {CLAT('gid')} AS lat FROM (SELECT unnest(range(0, 10000)) AS gid) WHERE {cells(r, 'gid')} AND {CLON('gid')} BETWEEN {d(r.x_min)} AND {d(r.x_max)} AND {CLAT('gid')} BETWEEN {d(r.y_min)} AND {d(r.y_max)})"
 
@@ -283,8 +292,36 @@ def _region_route() -> str:
     body = spread("SELECT DISTINCT node AS start, 2 AS period FROM near_a JOIN pair ON place = s").replace(
         ", sources AS", f", ea AS {edge_a}, eb AS {edge_b}, pair AS ({pairs}), near_a AS {nearest_sql('(SELECT gid AS place, lon, lat FROM ea)')}, near_b AS {nearest_sql('(SELECT gid AS place, lon, lat FROM eb)')}, sources AS", 1
     )
-    return f"""{body}, met AS (SELECT s, e, seconds FROM pair JOIN near_a ON near_a.place = s JOIN near_b ON near_b.place = e JOIN best ON best.start = near_a.node AND best.node = near_b.node)
-SELECT arg_min(s, (seconds, s, e)) AS start_grid, arg_min(e, (seconds, s, e)) AS end_grid, round(min(seconds), 4) AS seconds, (SELECT count(*) FROM pair) AS searched FROM met HAVING count(*) > 0"""
+    ends = "SELECT start, 2 AS period, ends FROM (SELECT near_a.node AS start, near_b.node AS ends FROM met JOIN near_a ON near_a.place = s JOIN near_b ON near_b.place = e ORDER BY seconds, s, e LIMIT 1)"
+    return f"""{body}, met AS (SELECT s, e, seconds FROM pair JOIN near_a ON near_a.place = s JOIN near_b ON near_b.place = e JOIN best ON best.start = near_a.node AND best.node = near_b.node){walked(ends)}
+SELECT start_grid, end_grid, seconds, searched, route, route AS cells, CASE WHEN seconds > 60 THEN printf('%.1f min', seconds / 60) ELSE printf('%d s', CAST(round_even(seconds, 0) AS BIGINT)) END AS time
+FROM (SELECT arg_min(s, (seconds, s, e)) AS start_grid, arg_min(e, (seconds, s, e)) AS end_grid, round(min(seconds), 4) AS seconds, (SELECT count(*) FROM pair) AS searched FROM met HAVING count(*) > 0), (SELECT route FROM routes)"""
+
+
+def _layers() -> str:
+    """Layers of paths, arcs, heat and rectangles as JSON texts."""
+    box = BOUNDS.expanded(0.05)
+    dx, dy = steps(10, box)
+    point = lambda g: f"'[' || round({CLON(g)}, 6) || ',' || round({CLAT(g)}, 6) || ']'"
+    od = OD.split(TRIPS, 1)[1]
+    jitter = "((start_grid * 13 + end_grid * 7) % 15) * 0.015::DOUBLE"
+    height = f"greatest(0.10::DOUBLE, {by_period({p: d(h) for p, h in od_ops.BASE_HEIGHT.items()})} + ((sector - 3.5::DOUBLE) * 0.06::DOUBLE + (quadrant - 1.5::DOUBLE) * 0.09::DOUBLE + CASE WHEN direction = '{od_ops.OUT}' THEN 0.10::DOUBLE ELSE 0.03::DOUBLE END) + {jitter})"
+    at = lambda x, y: f"'[' || {d(x)} || ',' || {d(y)} || ']'"
+    rings = " UNION ALL ".join(
+        f"SELECT '{n}' AS rect, '{{\"rect\":\"{n}\",\"polygon\":[' || concat_ws(',', {at(r.x_min, r.y_min)}, {at(r.x_max, r.y_min)}, {at(r.x_max, r.y_max)}, {at(r.x_min, r.y_max)}, {at(r.x_min, r.y_min)}) || ']}}' AS data" for n, r in RECTS.items()
+    )
+    return f"""{FREQ}{od}, best AS (SELECT * FROM ranked WHERE path_len >= 2 ORDER BY {BONUS} DESC, vehicles DESC, distance DESC, ranked.path LIMIT 10),
+placed AS (SELECT *, row_number() OVER (ORDER BY vehicles DESC, distance DESC, path) - 1 AS place FROM best),
+lines AS (SELECT place, '{{"path":[' || array_to_string(list_transform(path, lambda g: {point('g')}), ',') || '],"width":' || (2 + least(8.0::DOUBLE, vehicles / 50::DOUBLE)) || ',"color":"' || [{', '.join(repr('/'.join(map(str, c))) for c in PATH_COLORS)}][place % 6 + 1] || '"}}' AS data FROM placed),
+tops AS (SELECT * FROM {REGION_PATHS} ORDER BY {ARC_ORDER} LIMIT 20),
+arcs AS (SELECT row_number() OVER (ORDER BY {ARC_ORDER}) AS place, '{{"source_lon":' || round({CLON('start_grid')}, 6) || ',"source_lat":' || round({CLAT('start_grid')}, 6) || ',"target_lon":' || round({CLON('end_grid')}, 6) || ',"target_lat":' || round({CLAT('end_grid')}, 6)
+  || ',"width":' || round(least(8.0::DOUBLE, 1 + log10(count + 1) * 1.5::DOUBLE), 6) || ',"height":' || round({height}, 6) || ',"color":"' || {_colors()} || '"}}' AS data FROM {sectors('tops')}),
+heat AS (SELECT gy, gx, '{{"lon":' || (gx + 0.5::DOUBLE) || ',"lat":' || (gy + 0.5::DOUBLE) || ',"weight":' || count(*) || '}}' AS data FROM (SELECT {cell('lon', box.x_min, dx, 10)} AS gx, {cell('lat', box.y_min, dy, 10)} AS gy FROM points WHERE {in_box(BOUNDS)}) GROUP BY gx, gy),
+rings AS ({rings})
+SELECT type, CAST(places AS INTEGER) AS places, data FROM (SELECT 'path' AS type, count(*) AS places, '[' || string_agg(data, ',' ORDER BY place) || ']' AS data FROM lines
+UNION ALL SELECT 'arc', count(*), '[' || string_agg(data, ',' ORDER BY place) || ']' FROM arcs
+UNION ALL SELECT 'heatmap', count(*), '[' || string_agg(data, ',' ORDER BY gy, gx) || ']' FROM heat
+UNION ALL SELECT 'polygon', count(*), '[' || string_agg(data, ',' ORDER BY rect) || ']' FROM rings)"""
 
 
 def _endpoints() -> str:
@@ -412,6 +449,9 @@ SELECT taxi_id, CAST(rn AS INTEGER) AS rn, event_id FROM sel WHERE total <= 15 O
         "region_edge_grids": f"{BORDERS} SELECT pair, rect, CAST(gid AS INTEGER) AS gid FROM border",
         "shortest_time_by_period": f"{spread(f'SELECT {START}::BIGINT AS start, unnest([0, 1, 2]) AS period')} SELECT start AS start_node, node AS end_node, period, round(seconds, 4) AS seconds FROM best WHERE node = {END}",
         "shortest_times_from_node": f"{spread(f'SELECT {START}::BIGINT AS start, 2 AS period')} SELECT node, round(seconds, 4) AS seconds FROM best",
+        "map_layers": _layers(),
+        "routes_of_any_size": f"""{spread(f'SELECT * FROM (VALUES ({START}::BIGINT, 0), ({START}, 1), ({START}, 2), ({END}, 2)) AS v(start, period)')}{walked(f'SELECT * FROM (VALUES ({START}::BIGINT, 0, {END}::BIGINT), ({START}, 1, {END}), ({START}, 2, {END}), ({END}, 2, {START}), ({START}, 1, {START})) AS v(start, period, ends)')}
+SELECT start AS start_node, ends AS end_node, CAST(period AS INTEGER) AS period, round(seconds, 4) AS seconds, route FROM (SELECT * FROM routes UNION ALL SELECT start, 9, ends, seconds, route FROM routes WHERE start = {START} AND ends = {END} AND period = 2)""",
         "compare_periods": f"{routed(5, '[0, 1, 2]')} SELECT best.period, round(min(seconds), 4) AS seconds FROM pair JOIN near_a ON near_a.place = pair.gid JOIN near_b ON near_b.place = pair.other JOIN best ON best.start = near_a.node AND best.node = near_b.node WHERE seconds > 0 GROUP BY best.period",
         "viewport_lod_points": f"{POINTS}, {_thin('VALUES ' + ', '.join(map(str, VIEWS)), 'points')} SELECT CAST(view AS INTEGER) AS view, event_id, taxi_id, vx, vy FROM thinned",
         "map_payload": _payload(),
