@@ -103,6 +103,8 @@ class Queue:
         parts = [[r[k][r[0] : r[0] + n] for k in (1, 2, 3)] + [np.full(n, i, np.int16)] for i, (r, n) in enumerate(zip(self.runs, upto)) if n]
         if not parts:
             return [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int16)], True
+        if len(parts) == 1:
+            return parts[0], not cut
         rows = [np.concatenate(x) for x in zip(*parts)]
         order = _stable(rows[0])
         return [x[order] for x in rows], not cut
@@ -216,6 +218,13 @@ class Text:
             repeats += np.where(at == end - begin, int(self.run[end]) if symbols[end - 1] == symbols[end] else 0, 1)
             self.run[begin:end] = np.minimum(repeats, limit)
 
+        # a symbol with its type, looked up together
+        self.code = scratch.column(n, np.int32)
+        for begin in range(0, n, CHUNK):
+            part = slice(begin, begin + CHUNK)
+            self.code[part] = symbols[part].astype(np.int32) * 2 + self.small[part]
+        self.plain = bool((weight == 1).all())
+
     def lms(self) -> np.ndarray:
         n, parts = len(self.symbols), []
         for begin in range(1, n, CHUNK):
@@ -248,15 +257,23 @@ class Text:
             if at + size < len(seeds) and len(some):
                 q = int(np.searchsorted(rows[0], sign(self.symbols[some[-1:]])[0], "right"))
             s = len(seed_symbol)
-            symbol = np.concatenate([rows[0][:q], seed_symbol])
-            kind = np.concatenate([np.zeros(q, np.int64), np.ones(s, np.int64)])
-            order = _stable(2 * symbol + kind)
-            symbol, kind = symbol[order], kind[order]
-            place = np.concatenate([rows[1][:q], some[:s]])[order]
-            common = np.concatenate([rows[2][:q], commons[at : at + s]])[order]
+            if not s:
+                symbol, place, common = (x[:q] for x in rows[:3])
+                kind = np.zeros(q, np.int64)
+            elif not q:
+                symbol, place, common = seed_symbol, some[:s], commons[at : at + s]
+                kind = np.ones(s, np.int64)
+            else:
+                symbol = np.concatenate([rows[0][:q], seed_symbol])
+                kind = np.concatenate([np.zeros(q, np.int64), np.ones(s, np.int64)])
+                order = _stable(2 * symbol + kind)
+                symbol, kind = symbol[order], kind[order]
+                place = np.concatenate([rows[1][:q], some[:s]])[order]
+                common = np.concatenate([rows[2][:q], commons[at : at + s]])[order]
             # what is pushed, and how far rows come before all of it
-            pushes = (place > 0) & (self.small[place - 1] != ascending)
-            pushed = np.where(pushes, sign(self.symbols[place - 1]), FAR // 4)
+            code = self.code[place - 1]
+            pushes = (place > 0) & ((code & 1) != ascending)
+            pushed = np.where(pushes, sign(code >> 1), FAR // 4)
             least = np.minimum.accumulate(2 * pushed)
             late = (2 * symbol + kind)[1:] > least[:-1]
             m = int(np.argmax(late)) + 1 if late.any() else len(symbol)
@@ -275,7 +292,8 @@ class Text:
         k0 = np.concatenate([[before[1] if before else 1], kind[:-1]])
         p0 = np.concatenate([[before[2] if before else place[0]], place[:-1]])
         real = symbol if top is None else top - symbol
-        out = np.where(kind == 0, np.minimum(self.weight[real].astype(np.int64) + own, self.limit), own).astype(np.uint8)
+        weight = 1 if self.plain else self.weight[real].astype(np.int64)
+        out = np.where(kind == 0, np.minimum(weight + own.astype(np.int64), self.limit), own).astype(np.uint8)
         # a last L and a first S of one symbol: they differ behind the shorter run of it
         seam = np.flatnonzero((s0 == symbol) & (k0 == 0) & (kind == 1))
         if cut:
@@ -283,12 +301,14 @@ class Text:
         elif len(seam):
             run = np.minimum(self.run[p0[seam]], self.run[place[seam]]).astype(np.int64)
             same = run * self.weight[real[seam]]
-            short = np.flatnonzero(same < self.limit)
+            short = np.flatnonzero(same < (0 if self.plain else self.limit))
             p, q = p0[seam[short]] + run[short], place[seam[short]] + run[short]
             same[short] += self._beside(self.symbols[p], self.symbols[q])
             out[seam] = np.minimum(same, self.limit)
         new = np.flatnonzero(s0 != symbol)
-        if len(new):
+        if self.plain:
+            out[new] = 0
+        elif len(new):
             out[new] = self._beside(s0[new], symbol[new]) if top is None else self._beside(top - s0[new], real[new])
         if before is None:
             out[0] = 0
@@ -398,7 +418,7 @@ def sorted_suffixes(scratch: Scratch, symbols: np.ndarray, weight: np.ndarray, b
         up, commons = _backwards(*down)
         seeds = np.append(n - 1, lms[up])
         commons = np.append(OPEN, np.append(0, commons[1:]))[: len(seeds)]
-    if (weight == 1).all():
+    if text.plain:
         commons = _extended(text, seeds, commons)
     yield from _from(text, seeds, commons)
 
@@ -457,8 +477,8 @@ def order(text: np.ndarray, limit: int, scratch: Scratch):
 
     ``text``: numbers from 1 on; a 0 that ends it is added.
     """
-    symbols = scratch.column(len(text) + 1, np.int32)
-    symbols[:-1] = text
     top = int(text.max()) if len(text) else 0
+    symbols = scratch.column(len(text) + 1, np.uint16 if top < 1 << 16 else np.int32)
+    symbols[:-1] = text
     for place, common, _ in sorted_suffixes(scratch, symbols, np.ones(top + 1, np.uint8), np.zeros(top + 1, np.uint8), limit):
         yield place, common

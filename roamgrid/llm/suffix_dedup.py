@@ -28,9 +28,11 @@ WIDTH, GRAM = 100, 32
 #: Grams up to this number are broadcast, 8 bytes each; beyond it spots are joined with them.
 BROADCAST_GRAMS = 4_000_000
 #: Different pieces of a gram that a shard takes, and bytes of pieces in a shard.
-MOST_OF_GRAM, SHARD_BYTES = 20_000, 12 << 20
+MOST_OF_GRAM, SHARD_BYTES = 20_000, 6 << 20
 #: Bytes of texts that are looked at together.
 CHUNK_BYTES = 4 << 20
+#: Bytes of texts whose hashes are worked out together: what a processor's cache holds.
+SPOT_BYTES = 128 << 10
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SPOT = "struct<at:long,size:int,gram:int,key:long>"
 
@@ -48,6 +50,17 @@ def _hashed(data: np.ndarray, size: int) -> np.ndarray:
 
 def spots(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Of each spot: the text's number, where its first window begins, how many it has, where in it the gram is, and the gram's hash."""
+    found, begin, size = [], 0, 0
+    for end, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= SPOT_BYTES or end == len(texts):
+            one = _spots(texts[begin:end])
+            found.append((one[0] + begin, *one[1:]))
+            begin, size = end, 0
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else _spots([])
+
+
+def _spots(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < WIDTH:
@@ -138,14 +151,14 @@ def _pieces(rows: DataFrame, known: _Spots) -> DataFrame:
 
     def run(batches):
         for chunk in _chunks(batches):
-            firsts: dict[tuple, tuple] = {}
+            firsts: dict[bytes, tuple] = {}
+            places = [(doc_id is not None, doc_id or 0, number) for number, doc_id, *_ in chunk]
             for text, at, size, gram, key in zip(*(x.tolist() for x in known.of(chunk))):
-                number, doc_id, data = chunk[text][:3]
-                which = key, data[at : at + size + WIDTH - 1]
-                rank = doc_id is not None, doc_id or 0, number, at, gram
-                if which not in firsts or rank < firsts[which]:
-                    firsts[which] = rank
-            yield _piece_rows([(key, piece, gram, gram + GRAM, doc_id if there else None, number, at) for (key, piece), (there, doc_id, number, at, gram) in firsts.items()])
+                piece = chunk[text][2][at : at + size + WIDTH - 1]
+                before = firsts.get(piece)
+                if before is None or (places[text], at) < before[:2]:
+                    firsts[piece] = places[text], at, gram, key
+            yield _piece_rows([(key, piece, gram, gram + GRAM, doc_id if there else None, number, at) for piece, ((there, doc_id, number), at, gram, key) in firsts.items()])
 
     return _first_of(rows.mapInArrow(run, PIECE))
 
@@ -284,26 +297,48 @@ def _runs(marks, starts, lengths, ranks):
         yield pa.RecordBatch.from_arrays([pa.array(ranks[a:z, 2]), pa.array(ranks[a:z, 3]), pa.array((lengths[a:z] - WIDTH + 1).astype(np.int32)), repeats], names=["number", "at", "size", "repeats"])
 
 
-def _removed(data: bytes, own: list[tuple], firsts: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of a text and the removed spans: repeats are all windows of its spots, but for those of
-    pieces that stand first here, of which the shard has told."""
-    windows = np.zeros(max(0, len(data) - WIDTH + 1), bool)
-    for at, size in own:
-        windows[at : at + size] = True
-    for f in firsts:
-        windows[f["at"] : f["at"] + f["size"]] = False
-    for f in firsts:
-        for begin, end in zip(f["repeats"][::2], f["repeats"][1::2]):
-            windows[f["at"] + begin : f["at"] + end] = True
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], windows, [False]])))
-    spans: list[tuple[int, int]] = []
-    for begin, end in zip(edges[::2].tolist(), (edges[1::2] + WIDTH - 1).tolist()):
-        if spans and begin <= spans[-1][1]:
-            spans[-1] = spans[-1][0], end
-        else:
-            spans.append((begin, end))
-    bounds = [0, *(x for s in spans for x in s), len(data)]
-    return b"".join(data[a:z] for a, z in zip(bounds[::2], bounds[1::2])), spans
+def _without_repeats(chunk: list[tuple], own: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """What is left of the texts of a chunk and the removed spans: repeats are all windows of their spots, but for
+    those of pieces that stand first here, of which the shard has told."""
+    lengths = np.array([len(row[2]) for row in chunk], np.int64)
+    base = np.cumsum(lengths) - lengths
+    n = int(lengths.sum())
+    data = np.frombuffer(b"".join(row[2] for row in chunk), np.uint8)
+    steps = np.zeros(n + 1, np.int64)
+
+    def add(begin: np.ndarray, end: np.ndarray, sign: int) -> None:
+        nonlocal steps
+        steps += sign * (np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1))
+
+    text, at, size = own[:3]
+    add(base[text] + at, base[text] + at + size, 1)
+    firsts = [row[-1].values if row[-1].is_valid else () for row in chunk]
+    if told := [x for x in firsts if len(x)]:
+        flat = pa.concat_arrays(told)
+        begin = np.repeat(base, [len(x) for x in firsts]) + np.asarray(flat.field("at"))
+        add(begin, begin + np.asarray(flat.field("size")), -1)
+        runs = flat.field("repeats")
+        bounds = np.asarray(runs.flatten(), np.int64).reshape(-1, 2) + np.repeat(begin, np.asarray(runs.value_lengths(), np.int64) // 2)[:, None]
+        add(bounds[:, 0], bounds[:, 1], 1)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(steps[:-1]) > 0, [False]])))
+    steps[:] = 0
+    add(edges[::2], edges[1::2] + WIDTH - 1, 1)
+    gone = np.cumsum(steps[:-1]) > 0
+    # spans end with their texts
+    first = np.zeros(n + 1, bool)
+    first[base] = True
+    before = np.append(False, gone[:-1]) if n else gone
+    begin = np.flatnonzero(gone & (~before | first[:-1]))
+    end = np.flatnonzero(gone & (~np.append(gone[1:], False) | first[1:])) + 1
+    # a text without bytes has no place of its own, so spans belong to the last text that begins there
+    of = np.searchsorted(base, begin, "right") - 1
+    spans = np.stack([begin - base[of], end - base[of]], 1).ravel()
+    upto = np.append(0, np.cumsum(2 * np.bincount(of, minlength=len(chunk)))).astype(np.int32)
+    left = np.append(0, np.cumsum(~gone))
+    offsets = np.append(left[base], left[n]).astype(np.int32)
+    kept = pa.Array.from_buffers(pa.binary(), len(chunk), [None, pa.py_buffer(offsets), pa.py_buffer(data[~gone].tobytes())])
+    doc_ids = pa.array([row[1] for row in chunk], pa.int64())
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(lengths), kept, pa.ListArray.from_arrays(upto, pa.array(spans))], names=["doc_id", "n_bytes", "kept", "spans"])
 
 
 def remove_repeats(docs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, most_of_gram: int = MOST_OF_GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -334,14 +369,7 @@ def remove_repeats(docs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, most
 
     def run(batches):
         for chunk in _chunks(batches):
-            own: list[list] = [[] for _ in chunk]
-            for i, at, n in zip(*(x.tolist() for x in known.of(chunk)[:3])):
-                own[i].append((at, n))
-            left = [_removed(row[2], mine, row[-1].as_py() or []) for row, mine in zip(chunk, own)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row[1] for row in chunk], pa.int64()), pa.array([len(row[2]) for row in chunk], pa.int64()), pa.array([x[0] for x in left], pa.binary()), pa.array([[p for s in x[1] for p in s] for x in left], pa.list_(pa.int64()))],
-                names=["doc_id", "n_bytes", "kept", "spans"],
-            )
+            yield _without_repeats(chunk, known.of(chunk))
 
     names = ["number", "doc_id", "text", *(["own"] if known.grams is None else []), "firsts"]
     return rows.join(out, "number", "left").select(*names).mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<long>")
