@@ -294,6 +294,24 @@ def frequent_paths_topk(p):
     return _ranked(paths.top_k(_frequencies(p), 10))
 
 
+@_on_points
+def frequent_paths_grown(p):
+    """The same rows, by growing prefixes under a bound."""
+    return _ranked(paths.top_k_grown(written(paths.sequences(p), "sequences"), 10)[0])
+
+
+#: Ranges of hours that one table of bitmaps answers.
+HOURS = {"morning": ("2008-02-02 06:00:00", "2008-02-02 09:00:00"), "daytime": ("2008-02-02 09:00:00", "2008-02-02 17:00:00"), "all": ("2008-02-02 00:00:00", "2008-02-03 00:00:00")}
+
+
+@_on_points
+def path_vehicles_by_hours(p):
+    """Vehicles of every complete sequence in three ranges, from the same bitmaps."""
+    bitmaps = written(paths.vehicle_bitmaps(written(paths.sequences(p, dated=True), "sequences"), "HOUR"), "bitmaps")
+    parts = [paths.vehicles_between(bitmaps, *hours).select(F.lit(name).alias("hours"), F.array_join("path", ">").alias("path"), "vehicles") for name, hours in HOURS.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @_on_points
 def frequent_paths_min_distance(p):
     return _ranked(paths.top_k(_frequencies(p), 10, 2000.0))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamgrid.config import EXEMPLAR_POINTS, PATH_DEPTH_BETWEEN, VALID_BOX, Rect
 from roamgrid.functions.grid import center_lat, center_lon, grid_id, haversine, in_cells, in_rect
 from roamgrid.operators import trips
+from roamgrid.plans.storage import written
 
 VEHICLE_POINTS, TRIP_POINTS, PATH_CELLS = 5, 3, 2
 
@@ -19,17 +22,21 @@ def long_trips(points: DataFrame) -> DataFrame:
     return trips.split(kept, TRIP_POINTS).withColumn("gid", grid_id(F.col("lon"), F.col("lat")))
 
 
-def sequences(points: DataFrame) -> DataFrame:
-    """``taxi_id``, ``trip_id``, ``path``: cells inside the bounds without consecutive repeats, two at least."""
+def sequences(points: DataFrame, dated: bool = False) -> DataFrame:
+    """``taxi_id``, ``trip_id``, ``path``: cells inside the bounds without consecutive repeats, two at least.
+
+    With ``dated`` also ``start_ts``, the time in the first of these cells.
+    """
     order = Window.partitionBy("taxi_id", "trip_id").orderBy("ts", "event_id")
     inside = long_trips(points).where("gid <> -1").withColumn("before", F.lag("gid").over(order))
     runs = inside.where("before is null or before <> gid")
-    path = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "gid"))), lambda x: x["gid"])
-    return runs.groupBy("taxi_id", "trip_id").agg(path.alias("path")).where(F.size("path") >= PATH_CELLS)
+    path = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "gid"))), lambda x: x["gid"]).alias("path")
+    made = runs.groupBy("taxi_id", "trip_id").agg(path, *([F.min("ts").alias("start_ts")] if dated else []))
+    return made.where(F.size("path") >= PATH_CELLS)
 
 
-def prefix_frequency(paths: DataFrame) -> DataFrame:
-    """``path``, ``vehicles``, ``trips`` for every complete sequence: how many begin a trip with it.
+def complete_prefixes(paths: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Rows ``taxi_id``, ``path`` and ``more`` for the prefixes of every sequence that may be complete, and the complete ones.
 
     Only prefixes of lengths that some complete sequence with the same first two cells has are made;
     the others can't be complete.  ``paths`` is read twice, so pass it written or cached.
@@ -37,11 +44,37 @@ def prefix_frequency(paths: DataFrame) -> DataFrame:
     start = [F.col("path")[0].alias("c0"), F.col("path")[1].alias("c1")]
     complete = paths.select(*start, F.size("path").alias("length"), "path").distinct()
     lengths = complete.groupBy("c0", "c1").agg(F.collect_set("length").alias("lengths"))
-    whole = paths.select("taxi_id", "path", *start).join(lengths, ["c0", "c1"])
+    whole = paths.select("taxi_id", "path", *more, *start).join(lengths, ["c0", "c1"])
     wanted = F.filter("lengths", lambda n: n <= F.size("path"))
-    prefixes = whole.select("taxi_id", "path", F.explode(wanted).alias("length")).select("taxi_id", F.slice("path", 1, F.col("length")).alias("path"))
+    prefixes = whole.select("taxi_id", "path", *more, F.explode(wanted).alias("length")).select("taxi_id", F.slice("path", 1, F.col("length")).alias("path"), *more)
+    return prefixes, complete.select("path")
+
+
+def prefix_frequency(paths: DataFrame) -> DataFrame:
+    """``path``, ``vehicles``, ``trips`` for every complete sequence: how many begin a trip with it."""
+    prefixes, complete = complete_prefixes(paths)
     counts = prefixes.groupBy("path", "taxi_id").agg(F.count("*").alias("trips")).groupBy("path").agg(F.count("*").alias("vehicles"), F.sum("trips").alias("trips"))
-    return counts.join(complete.select("path"), "path", "left_semi")
+    return counts.join(complete, "path", "left_semi")
+
+
+def vehicle_bitmaps(paths: DataFrame, unit: str = "DAY") -> DataFrame:
+    """``path``, ``part``, ``bucket``, ``vehicles``: for each complete sequence and part of time the vehicles that
+    begin a trip with it, as bitmaps of 32,768 numbers each.
+
+    ``paths``: dated sequences, written.  Bitmaps of parts are merged by their bits, so counts over any range of
+    parts are exact and no trip is read again.  A bitmap takes 4 KB before compression, whatever it holds.
+    """
+    prefixes, complete = complete_prefixes(paths, "start_ts")
+    part = F.date_trunc(unit, F.col("start_ts")).cast("timestamp_ntz").alias("part")
+    held = prefixes.join(complete, "path", "left_semi").select("path", part, F.bitmap_bucket_number("taxi_id").alias("bucket"), F.bitmap_bit_position("taxi_id").alias("position")).distinct()
+    return held.groupBy("path", "part", "bucket").agg(F.bitmap_construct_agg("position").alias("vehicles"))
+
+
+def vehicles_between(bitmaps: DataFrame, start: str, end: str) -> DataFrame:
+    """``path`` and ``vehicles``, how many different ones in the parts from ``start`` until before ``end``."""
+    inside = bitmaps.where((F.col("part") >= F.lit(start).cast("timestamp_ntz")) & (F.col("part") < F.lit(end).cast("timestamp_ntz")))
+    merged = inside.groupBy("path", "bucket").agg(F.bitmap_or_agg("vehicles").alias("vehicles"))
+    return merged.groupBy("path").agg(F.sum(F.bitmap_count("vehicles")).alias("vehicles"))
 
 
 def path_distance(path: Column) -> Column:
@@ -69,6 +102,35 @@ def top_k(frequencies: DataFrame, k: int = 10, min_distance: float = 0.0, min_le
     return rows.orderBy(F.desc("score"), F.desc("vehicles"), F.desc("distance"), "path").limit(k)
 
 
+def top_k_grown(paths: DataFrame, k: int = 10, min_distance: float = 0.0, min_length: int = PATH_CELLS, long_paths: bool | None = None) -> tuple[DataFrame, int]:
+    """The rows of ``top_k`` over all complete sequences, by growing prefixes cell by cell, and how many prefixes were made.
+
+    No extension of a prefix has more vehicles than it, and the weight of a length has a bound; so once k complete
+    sequences are known, sequences whose prefix can't reach the k-th score go before longer prefixes are made.
+    The k rows and the k-th score are all that the driver sees.
+    """
+    favour = min_distance <= 0 if long_paths is None else long_paths
+    alive = written(paths.select("taxi_id", "path"), "alive")
+    longest = alive.agg(F.max(F.size("path"))).head()[0] or 0
+    weight = 1 + min(1.25, 0.18 * math.log1p(max(0, longest - min_length))) if favour else 1.0
+    found, made = None, 0
+    for length in range(PATH_CELLS, longest + 1):
+        prefix = F.slice("path", 1, length).alias("prefix")
+        made += alive.count()
+        own = alive.groupBy(prefix, "taxi_id").agg(F.count("*").alias("trips"), F.max(F.size("path") == length).alias("complete"))
+        sums = written(own.groupBy("prefix").agg(F.count("*").alias("vehicles"), F.sum("trips").alias("trips"), F.max("complete").alias("complete")), "prefixes")
+        rows = sums.where("complete").select(F.col("prefix").alias("path"), "vehicles", "trips")
+        rows = rows if found is None else rows.unionByName(found.select("path", "vehicles", "trips"))
+        found = written(top_k(rows, k, min_distance, min_length, long_paths), "best")
+        scores = [r.score for r in found.select("score").collect()]  # k rows at most
+        least = min(scores) * (1 - 1e-9) if len(scores) == k else 0.0
+        kept = sums.where(F.col("vehicles") * weight >= least).select("prefix")
+        alive = written(alive.where(F.size("path") > length).withColumn("prefix", prefix).join(kept, "prefix", "left_semi").drop("prefix"), "alive")
+        if alive.isEmpty():
+            break
+    return (top_k(prefix_frequency(paths), k) if found is None else found), made
+
+
 def top_k_between(frequencies: DataFrame, a: Rect, b: Rect, k: int = 10, min_distance: float = 0.0) -> DataFrame:
     """The k most frequent paths of up to fifteen cells that begin in A and end in B."""
     ends = in_cells(F.col("path")[0], a) & in_cells(F.element_at("path", -1), b)

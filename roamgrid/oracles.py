@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from roamgrid.catalogue import END, OUT, START, VIEWS, A, B, C, RECTS
+from roamgrid.catalogue import END, HOURS, OUT, START, VIEWS, A, B, C, RECTS
 from roamgrid.config import BOUNDS, DEFAULT_SPEEDS, EXPAND_RATIOS, PATH_COLORS, PERIODS, VALID_BOX, Rect
 from roamgrid.operators import od as od_ops
 from roamgrid.operators.viewport import DETAILS
@@ -432,6 +432,11 @@ SELECT taxi_id, CAST(rn AS INTEGER) AS rn, event_id FROM sel WHERE total <= 15 O
         "path_sequences": f"{SEQ} SELECT taxi_id, trip_id, array_to_string(path, '>') AS path FROM seq",
         "path_prefix_frequency": f"{FREQ} SELECT array_to_string(path, '>') AS path, vehicles, trips FROM freq",
         "frequent_paths_topk": _top("path_len >= 2", f"{BONUS} DESC, vehicles DESC, distance DESC, ranked.path", BONUS),
+        "frequent_paths_grown": _top("path_len >= 2", f"{BONUS} DESC, vehicles DESC, distance DESC, ranked.path", BONUS),
+        "path_vehicles_by_hours": f"""{SEQ.replace("AS path FROM runs", "AS path, min(ts) AS start_ts FROM runs")},
+pre AS (SELECT taxi_id, start_ts, path[1:i] AS path FROM seq, (SELECT unnest(range(2, 200)) AS i) WHERE i <= len(path)),
+hours(name, low, high) AS (VALUES {', '.join(f"('{n}', TIMESTAMP '{a}', TIMESTAMP '{z}')" for n, (a, z) in HOURS.items())})
+SELECT name AS hours, array_to_string(path, '>') AS path, count(DISTINCT taxi_id) AS vehicles FROM pre JOIN hours ON date_trunc('hour', start_ts) >= low AND date_trunc('hour', start_ts) < high WHERE path IN (SELECT path FROM seq) GROUP BY ALL""",
         "frequent_paths_min_distance": _top("distance >= 2000", "vehicles DESC, distance DESC, ranked.path", "vehicles::DOUBLE"),
         "frequent_paths_between": _top(f"{cells(A, 'path[1]')} AND {cells(B, 'path[len(path)]')} AND path_len BETWEEN 2 AND 15", "vehicles DESC, distance DESC, ranked.path", "vehicles::DOUBLE"),
         "path_tree_stats": f"{SEQ}, p AS (SELECT DISTINCT path[1:i] AS path FROM seq, (SELECT unnest(range(1, 200)) AS i) WHERE i <= len(path)) SELECT (SELECT count(*) FROM p) + 1 AS nodes, (SELECT CAST(max(len(path)) AS INTEGER) FROM p) AS max_depth, (SELECT count(DISTINCT path) FROM seq) AS complete",
