@@ -38,19 +38,23 @@ BROADCAST_CANDIDATES = 1_000_000
 #: Scaled components up to this size are scored in 64-bit integers, larger ones in Python's.
 SMALL = 1 << 26
 LONG = 1 << 63
+LARGEST = float(np.finfo(np.float64).max)
 
 
 def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id`` and ``v`` (floor of 256 times each component, as doubles) of the vectors that take part.
 
     Those that are null, empty or hold null or non-finite components, and rows without an id, don't.
+    A finite component whose 256-fold is no double counts as the largest double of its sign.
     Repeated rows count once.  Other columns are left out.
     """
     v = F.col(vector_col).cast("array<double>")
     usable = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & (F.size(v) > 0)
     # rounded down as a double, as a component need not fit a long; doubles from 2**53 on are whole
     down = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
-    whole = F.transform(v, lambda x: down(x * SCALE))
+    # what is finite but overflows when scaled counts as the largest double of its sign
+    within = lambda y: F.least(F.greatest(y, F.lit(-LARGEST)), F.lit(LARGEST))
+    whole = F.transform(v, lambda x: down(within(x * SCALE)))
     return table.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v")).where("vec_id IS NOT NULL").distinct()
 
 
@@ -72,10 +76,14 @@ class Marks:
         """Lower and upper bound of every query's inner product with every vector, within a long's ends."""
         at = np.arange(cells.shape[1])
         middle, half = self.middle[at, cells], self.half[at, cells]
-        score, room = q @ middle.T, np.abs(q) @ half.T
-        # and room for the rounding of these sums
-        room += 1e-9 * (np.abs(q) @ (np.abs(middle) + half).T) + 1e-6
-        return np.clip(score - room, -float(LONG), float(LONG)), np.clip(score + room, -float(LONG), float(LONG))
+        with np.errstate(over="ignore", invalid="ignore"):
+            score, room = q @ middle.T, np.abs(q) @ half.T
+            # and room for the rounding of these sums
+            room += 1e-9 * (np.abs(q) @ (np.abs(middle) + half).T) + 1e-6
+            low, high = score - room, score + room
+        # sums of infinities say nothing
+        low[np.isnan(low)], high[np.isnan(high)] = -np.inf, np.inf
+        return np.clip(low, -float(LONG), float(LONG)), np.clip(high, -float(LONG), float(LONG))
 
 
 class Candidates:

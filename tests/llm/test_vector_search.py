@@ -11,7 +11,8 @@ VECTORS = "vec_id long, embedding array<double>, v string, copy int"
 
 
 def brute(rows, k=5, asked=lambda i: i % 50 == 0):
-    usable = [(i, [int(np.floor(256.0 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    largest = float(np.finfo(np.float64).max)
+    usable = [(i, [int(np.floor(max(-largest, min(largest, 256.0 * x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
     for q, a in usable:
         if asked(q):
@@ -51,6 +52,14 @@ def test_scores_beyond_a_long_stop_at_its_ends(spark):
     assert search(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("large", [{7: 1e307}, {7: 1e307, 50: -1e307}, {0: 1.7e308, 8: -1.7e308, 9: 1e300}])
+def test_components_that_overflow_when_scaled(spark, large):
+    """Finite components count, whatever their 256-fold is: no row of the others is lost."""
+    rows = [(i, [large.get(i, 0.01 * (i % 7)), 0.3 - 0.01 * i, -0.2]) for i in range(60)]
+    assert search(spark, rows) == brute(rows)
+    assert len(brute(rows)) == 10
+
+
 def test_ids_with_several_vectors(spark):
     rows = [(i % 60, [float(i % 7), float(i % 11) - 5, 1.0]) for i in range(200)]
     best = {}
