@@ -5,7 +5,7 @@
    numbers are generalised.  It also names, by hash, its blocks that stand in no article or main.
 2. Spark counts these votes for each host; a host's winning paths are those that enough of its pages
    name, and its recurring blocks those that stand at one path on most of its different pages.
-3. Every page is extracted again.  Recurring blocks go.  A page whose path other pages of its host
+3. Every page is extracted again.  Recurring blocks go where they frame the article.  A page whose path other pages of its host
    name too is extracted from its own container.  One that stands alone takes the first winning path
    that holds nearly all of its text, or the path that most pages of its host name if that holds
    enough: what only this page has outside counts as beside the article.  Else, and if its host is
@@ -57,6 +57,8 @@ QUALIFIERS = set(
     "section inner outer link links button buttons icon icons item items post posts article articles content global primary secondary "
     "group panel row col column js id the my wp more tag tags print text".split()
 )
+# The last words of names of readers' comments.
+COMMENTS = {"comment", "comments"}
 #: What an opened element closes when it stands directly inside it.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}}
 #: End tags of these don't reach out of what is in SCOPES.
@@ -127,10 +129,11 @@ def tag_end(source: str, at: int, last: dict[str, int], attributes: list) -> int
 
 
 def marks(value: str) -> bool:
-    """Whether a class or id tells of what isn't the article: all words of one of its names do, or say nothing."""
+    """Whether a class or id tells of what isn't the article: all words of one of its names do, or say nothing,
+    or it ends in comments, whosever they are."""
     for name in value.split():
         words = _words.findall(_camel.sub(r"\1 \2", name).lower())
-        if not MARKS.isdisjoint(words) and all(w in MARKS or w in QUALIFIERS for w in words):
+        if not MARKS.isdisjoint(words) and all(w in MARKS or w in QUALIFIERS for w in words) or words and words[-1] in COMMENTS:
             return True
     return False
 
@@ -368,7 +371,7 @@ class Page:
 
         ``named``: the paths that several pages of the host name; ``outvotes``: whether most of its
         pages name the first of ``paths``; ``recurring``: hashes of the host's recurring blocks, as
-        signed 64-bit numbers, which go unless nothing else is left.
+        signed 64-bit numbers, which go where they frame the article (``_without_frame``).
         """
         own = self.container()
         chosen = {own}
@@ -384,9 +387,23 @@ class Page:
         inside = [False] * len(self.tag)
         for i in range(len(self.tag)):
             inside[i] = i in chosen or i > 0 and inside[self.parent[i]]
-        lines = [(text, h) for at, text, h in self.shown() if inside[at]]
-        gone = {h % 2**64 for h in recurring or ()}
-        return "\n".join([text for text, h in lines if h not in gone] or [text for text, _ in lines])
+        return "\n".join(self._without_frame([line for line in self.shown() if inside[line[0]]], {h % 2**64 for h in recurring or ()}))
+
+    def _without_frame(self, lines: list[tuple[int, str, int]], recurring: set[int]) -> list[str]:
+        """The lines without the recurring ones that frame the others: before the first or behind the last of
+        these, and in a container that itself holds no other running line.  What recurs inside an article
+        stays, as do all lines where nothing but such is left."""
+        own = [k for k, (_, _, h) in enumerate(lines) if h not in recurring]
+        if not own:
+            return [text for _, text, _ in lines]
+        homes = {self._home(lines[k][0]) for k in own if self.tag[lines[k][0]] not in HEADINGS}
+        return [text for k, (at, text, h) in enumerate(lines) if h not in recurring or own[0] < k < own[-1] or self._home(at) in homes]
+
+    def _home(self, i: int) -> int:
+        """The container that an element stands in."""
+        while i > 0 and self.tag[i] not in CONTAINERS:
+            i = self.parent[i]
+        return i
 
 
 def path_id(path: str) -> int:

@@ -166,8 +166,12 @@ def brute_force(pages):
                 good = wins[:1]
             chosen = outer[good[0]] if good else chosen
         inside = [(n, t) for n, t in lines if any(x in chosen for x in n.above)]
-        kept = [t for n, t in inside if any(x.tag in h.ARTICLES for x in n.above) or (named(n), t) not in recur]
-        out.append("\n".join(kept or [t for _, t in inside]))
+        again = [not any(x.tag in h.ARTICLES for x in n.above) and (named(n), t) in recur for n, t in inside]
+        home = [next((x for x in n.above if x.tag in h.CONTAINERS), tree) for n, _ in inside]
+        own = [k for k, x in enumerate(again) if not x]
+        shared = [home[k] for k in own if inside[k][0].tag not in h.HEADINGS]
+        kept = [t for k, (_, t) in enumerate(inside) if not own or not again[k] or own[0] < k < own[-1] or any(home[k] is x for x in shared)]
+        out.append("\n".join(kept))
     return out
 
 
@@ -226,6 +230,19 @@ def test_recurring_lines_of_an_article_stay(spark):
     assert got[12] == "One line.\nAnother line."
 
 
+def test_recurring_lines_inside_unmarked_articles_stay(spark):
+    """Recipes: headings and last lines that all pages have, between and beside lines of their own, are no frame."""
+    page = lambda i: f"<body><h1>Recipe {i}</h1><div>Site of many recipes.</div><div class=content><p>Story of number {i}.</p><h2>Ingredients</h2><p>So much of {i}.</p><p>Serve warm.</p></div><p>All rights are kept.</p></body>"
+    rows = [(i, f"http://r.org/{i}", page(i), "") for i in range(8)]
+    got = {x.page_id: x.text for x in h.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[3] == "Recipe 3\nSite of many recipes.\nStory of number 3.\nIngredients\nSo much of 3.\nServe warm."
+
+
+def test_readers_comments_go():
+    source = f"<article><p>{'Words go on here. ' * 9}</p><div class='reader-comments'><p>I do not agree.</p></div><div id='userComment'><p>Me too.</p></div></article>"
+    assert h.parse(source).text() == ("Words go on here. " * 9).strip()
+
+
 @pytest.mark.parametrize("name", ["search-engines", "legal-guide", "code-print", "formula", "header-files", "tag-theory"])
 def test_names_that_only_hold_a_word_are_no_marks(name):
     assert h.parse(f"<div><p>Short.</p><div class='{name}'><p>Kept.</p></div><p>{'Long words go on. ' * 9}</p></div>").text().startswith("Short.\nKept.\n")
