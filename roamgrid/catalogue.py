@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from roamgrid.config import BOUNDS, EXPAND_RATIOS, Rect
 from roamgrid.functions.grid import grid_bounds, grid_id, haversine, intensity_color, period_name, period_of
-from roamgrid.operators import cells, density, display, neighbours, od, paths, polyline, regions, road, routing, stats, trajectory, trips, viewport
-from roamgrid.plans.storage import written
+from roamgrid.operators import cells, density, display, neighbours, od, paths, polyline, regions, road, routing, stats, trajectory, trips, upkeep, viewport
+from roamgrid.plans.storage import new_path, written
 from roamgrid.sources.points import from_events, scan, stride_sample, vehicle_page, vehicles
 from roamgrid.streaming import live
 
@@ -219,6 +219,16 @@ def od_matrix_by_period(p):
     return od.matrix(p)
 
 
+@_on_points
+def od_matrix_refreshed(p):
+    """The matrix made without some points and with others moved, then refreshed with all."""
+    folder = new_path(p.sparkSession, "od_tables")
+    moved = F.when(F.hour("ts") == 12, F.lit(116.5)).otherwise(F.col("lon"))
+    upkeep.refresh(p.where("hour(ts) <> 15").withColumn("lon", moved), folder, "HOUR")
+    upkeep.refresh(p, folder, "HOUR")
+    return upkeep.matrix(p.sparkSession, folder)
+
+
 @_on_matrix
 def od_flow_between_regions(m):
     return od.flow_between(m, A, B)
@@ -583,8 +593,6 @@ def density_columns(p):
 
 def _streamed(spark, sf_dir, make):
     """A stream over the written points, drained, with a last point that lets all windows close."""
-    from roamgrid.plans.storage import new_path
-
     source, out, state = (new_path(spark, n) for n in ("stream_in", "stream_out", "stream_state"))
     end = spark.sql("select -1L event_id, -1L taxi_id, timestamp_ntz'2030-01-01 00:00:00' ts, 116.5D lon, 39.5D lat")
     from_events(spark, sf_dir).write.parquet(source)

@@ -420,6 +420,7 @@ SELECT taxi_id, CAST(rn AS INTEGER) AS rn, event_id FROM sel WHERE total <= 15 O
         "trip_summary": f"{TRIPS} SELECT taxi_id, trip_id, count(*) AS points, min(ts) AS start_ts, max(ts) AS end_ts, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE AS seconds FROM trips GROUP BY ALL",
         "trip_endpoints": f"{ENDS} SELECT * FROM ends",
         "od_matrix_by_period": f"{OD} SELECT * FROM od",
+        "od_matrix_refreshed": f"{OD} SELECT * FROM od",
         "od_flow_between_regions": f"{OD} SELECT *, a_to_b + b_to_a AS total FROM (SELECT period, CAST(sum(CASE WHEN {there} THEN count ELSE 0 END) AS BIGINT) AS a_to_b, CAST(sum(CASE WHEN {back} THEN count ELSE 0 END) AS BIGINT) AS b_to_a FROM od WHERE ({there}) OR ({back}) GROUP BY period)",
         "od_paths_between_regions": f"{OD} SELECT *, '{od_ops.A_TO_B}' AS direction FROM od WHERE {there} UNION ALL SELECT *, '{od_ops.B_TO_A}' FROM od WHERE {back}",
         "od_region_totals": f"{OD} SELECT period, CAST(sum(CASE WHEN {cells(C, s)} THEN count ELSE 0 END) AS BIGINT) AS departures, CAST(sum(CASE WHEN {cells(C, e)} THEN count ELSE 0 END) AS BIGINT) AS arrivals FROM od WHERE {cells(C, s)} OR {cells(C, e)} GROUP BY period",
