@@ -602,7 +602,13 @@ def _streamed(spark, sf_dir, make):
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _moves(trips):
+    return trips.select("taxi_id", F.explode("moves").alias("m")).select("m.u", "m.v", "m.period", "m.seconds", "m.first_id")
+
+
 _queries |= {
+    "stream_trip_ends": lambda spark, sf_dir: _streamed(spark, sf_dir, live.trips).drop("moves"),
+    "stream_travel_samples": lambda spark, sf_dir: _moves(_streamed(spark, sf_dir, live.trips)),
     "stream_density": lambda spark, sf_dir: _streamed(spark, sf_dir, live.density).groupBy("period", "gx", "gy").agg(F.sum("n").alias("n")),
     "stream_trip_sessions": lambda spark, sf_dir: _streamed(spark, sf_dir, live.trip_sessions),
 }

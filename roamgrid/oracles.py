@@ -479,6 +479,8 @@ SELECT start_grid, end_grid, round({CLON(s)}, 9) AS source_lon, round({CLAT(s)},
         "system_stats": f"""{NODES}, edge AS (SELECT count(*) AS n FROM nodes a JOIN nodes b ON abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 AND a.node <> b.node),{samples(True)},
 {SEQ.split("points AS", 1)[1].split("FROM k),", 1)[1]}
 SELECT count(DISTINCT taxi_id) AS vehicle_count, count(*) AS total_points, CAST(sum(CAST({in_box(BOUNDS)} AS BIGINT)) AS BIGINT) AS points_in_bounds, (SELECT count(*) FROM nodes) AS graph_nodes, (SELECT n FROM edge) AS graph_edges, (SELECT count(*) FROM samples) AS graph_samples, (SELECT count(*) FROM seq) AS path_trips FROM points""",
+        "stream_trip_ends": f"{TRIPS} SELECT taxi_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS points, arg_min(gid, (ts, event_id)) AS start_grid, arg_max(gid, (ts, event_id)) AS end_grid, arg_min(period, (ts, event_id)) AS period FROM trips GROUP BY taxi_id, trip_id",
+        "stream_travel_samples": f"{POINTS},{samples(False)} SELECT u, v, period, seconds, first_id FROM samples",
         "stream_density": f"{dens} SELECT period, gx, gy, n FROM dens",
         "stream_trip_sessions": f"{TRIPS} SELECT taxi_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS points FROM trips GROUP BY taxi_id, trip_id",
     }

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from roamgrid.config import BOUNDS, DEFAULT_EXPAND_RATIO, DENSITY_SIZE
-from roamgrid.functions.grid import cell_x, cell_y, in_box, period_of
+from roamgrid.config import BOUNDS, DEFAULT_EXPAND_RATIO, DENSITY_SIZE, GRID_SIZE, SAMPLE_SECONDS, TRIP_GAP_US
+from roamgrid.functions.grid import cell_x, cell_y, grid_id, in_box, in_rect, period_of
+from roamgrid.plans.storage import settings
 
 LATENESS = "10 minutes"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 POINTS = "event_id long, taxi_id long, ts timestamp_ntz, lon double, lat double"
 
 
-def points(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
+def points(spark: SparkSession, folder: str, files_per_batch: int = 100, lateness: str = LATENESS) -> DataFrame:
     """A stream of the Parquet files of a folder; ``time`` is the event time with a watermark."""
     rows = spark.readStream.schema(POINTS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    return rows.withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", LATENESS)
+    return rows.withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", lateness)
 
 
 def density(stream: DataFrame, width: str = "1 hour", ratio: float = DEFAULT_EXPAND_RATIO, size: int = DENSITY_SIZE) -> DataFrame:
@@ -37,6 +40,70 @@ def trip_sessions(stream: DataFrame) -> DataFrame:
 
 def drain(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Runs a stream over what is there, appending final rows to Parquet files in ``out``."""
-    query = df.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with settings(df.sparkSession, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+        query = df.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
     return query
+
+
+class TripState(StatefulProcessor):
+    """A vehicle's points that may still belong to an open trip.
+
+    Points wait in the state, in whatever order they come.  A timer is set for the time from which no point can
+    join the trip of the last one any more; when the watermark has passed it, the trips that are over are told,
+    with the moves between nodes in them, and their points leave the state.
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.points = handle.getListState("points", "event_id long, at long, gid int, node long, period int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for part in rows:
+            held = part[["event_id", "at", "gid", "node", "period"]]
+            self.points.appendList([tuple(None if pd.isna(x) else int(x) for x in r) for r in held.itertuples(index=False)])
+            for at in set((held["at"] // 1_000).tolist()):
+                self.handle.registerTimer(int(at) + TRIP_GAP_US // 1_000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs() * 1_000
+        held = sorted((tuple(p) for p in self.points.get()), key=lambda p: (p[1], p[0]))
+        trips, begin = [], 0
+        for i in range(1, len(held) + 1):
+            if i == len(held) or held[i][1] - held[i - 1][1] > TRIP_GAP_US:
+                trips.append(held[begin:i])
+                begin = i
+        over = [t for t in trips if t[-1][1] + TRIP_GAP_US < now]
+        left = [p for t in trips if t[-1][1] + TRIP_GAP_US >= now for p in t]
+        if over:
+            self.points.put(left) if left else self.points.clear()
+        told = [self._row(key[0], t) for t in over if len(t) > 1]
+        if told:
+            yield pd.DataFrame(told, columns=["taxi_id", "start_us", "end_us", "points", "start_grid", "end_grid", "period", "moves"])
+
+    @staticmethod
+    def _row(taxi, trip):
+        known = [p for p in trip if p[3] is not None]
+        moves = [{"u": a[3], "v": b[3], "period": a[4], "seconds": (b[1] - a[1]) / 1e6, "first_id": a[0]} for a, b in zip(known, known[1:]) if a[3] != b[3] and SAMPLE_SECONDS[0] <= (b[1] - a[1]) / 1e6 <= SAMPLE_SECONDS[1]]
+        return taxi, trip[0][1], trip[-1][1], len(trip), trip[0][2], trip[-1][2], trip[0][4], moves
+
+    def close(self) -> None:
+        pass
+
+
+TRIP = "taxi_id long, start_us long, end_us long, points long, start_grid int, end_grid int, period int, moves array<struct<u:long,v:long,period:int,seconds:double,first_id:long>>"
+
+
+def trips(stream: DataFrame, size: int = GRID_SIZE) -> DataFrame:
+    """``taxi_id``, ``start_ts``, ``end_ts``, ``points``, ``start_grid``, ``end_grid``, ``period``, ``moves`` of trips that are over.
+
+    The trips of ``trips.split`` with their ends and the samples of ``road.travel_samples``, from points in any order;
+    points later than the watermark are left out, trips of one point too.  The state holds a vehicle's open trips only.
+    Needs RocksDB as the state's store.
+    """
+    node = F.when(in_rect(F.col("lon"), F.col("lat"), BOUNDS), (cell_y(F.col("lat"), size) * size + cell_x(F.col("lon"), size)).cast("long"))
+    rows = stream.select("taxi_id", "event_id", "time", F.unix_micros("time").alias("at"), grid_id(F.col("lon"), F.col("lat"), size).alias("gid"), node.alias("node"), period_of(F.col("ts")).alias("period"))
+    found = rows.where("at is not null and taxi_id is not null").groupBy("taxi_id").transformWithStateInPandas(TripState(), TRIP, "Append", "EventTime")
+    time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return found.select("taxi_id", time("start_us").alias("start_ts"), time("end_us").alias("end_ts"), "points", "start_grid", "end_grid", "period", "moves")
