@@ -345,7 +345,7 @@ def _drawn(rows):
 
 @_on_points
 def path_exemplars(p):
-    return _drawn(paths.exemplars(p, paths.sequences(p)))
+    return _drawn(paths.exemplars(display.trip_table(p)))
 
 
 @_on_points
@@ -370,21 +370,22 @@ def path_vehicle_counts(p):
 
 @_on_points
 def trips_crossing_regions(p):
-    return display.crossing_trips(p, A, B)
+    return display.crossing_trips(display.trip_table(p), A, B)
 
 
 @_on_points
 def region_trip(p):
-    return _drawn(display.region_trip(p, A, B))
+    return _drawn(display.region_trip(display.trip_table(p), A, B))
 
 
 @_on_points
 def recorded_trips_of_paths(p):
-    return _drawn(display.recorded_trips(_asked_paths(p), display.recorded_lines(p)))
+    return _drawn(display.recorded_trips(_asked_paths(p), display.recorded_lines(display.trip_table(p))))
 
 
 def _shown(p):
-    return display.with_lines(_asked_paths(p), paths.exemplars(p, paths.sequences(p)), display.recorded_lines(p), display.region_trip(p, A, B))
+    trip_table = display.trip_table(p)
+    return display.with_lines(_asked_paths(p), paths.exemplars(trip_table), display.recorded_lines(trip_table), display.region_trip(trip_table, A, B))
 
 
 @_on_points
@@ -394,7 +395,8 @@ def shown_paths(p):
 
 @_on_points
 def display_hint(p):
-    grid = display.with_lines(_asked_paths(p), paths.exemplars(p, paths.sequences(p)), display.recorded_lines(p).limit(0))
+    trip_table = display.trip_table(p)
+    grid = display.with_lines(_asked_paths(p), paths.exemplars(trip_table), display.recorded_lines(trip_table).limit(0))
     counted = grid.agg(F.count_if(F.col("shown") != display.GRID).alias("hits"), F.count("*").alias("total"))
     return counted.withColumn("hint", display.hint(F.col("hits"), F.col("total")))
 

@@ -8,38 +8,46 @@ from pyspark.sql import functions as F
 from roamgrid.config import Rect
 from roamgrid.functions.grid import in_cells, in_rect
 from roamgrid.operators import paths
+from roamgrid.plans.storage import written
 
-#: Asked paths up to this number are broadcast to the trips.
-BROADCAST_PATHS = 100_000
 #: What a line shown for a path is, best first.
 EXEMPLAR, TRIP, REGION, GRID = "exemplar", "trip", "region", "grid"
 
 
-def recorded_lines(points: DataFrame) -> DataFrame:
-    """``taxi_id``, ``trip_id``, ``path`` and ``coords`` of each trip that has a path and a line."""
-    return paths.sequences(points).join(paths.display_coords(points), ["taxi_id", "trip_id"]).where(F.size("coords") >= 2)
+def trip_table(points: DataFrame) -> DataFrame:
+    """``taxi_id``, ``trip_id``, ``coords``, ``path`` (null for too short ones), ``p`` and ``q``, its ends, of each trip; written.
+
+    What all that shows trips is made from, so that points are cut into trips once.
+    """
+    place, at = F.struct("lon", "lat"), F.struct("ts", "event_id")
+    cut = written(paths.long_trips(points), "long_trips")
+    ends = cut.groupBy("taxi_id", "trip_id").agg(F.min_by(place, at).alias("p"), F.max_by(place, at).alias("q"))
+    lines = paths.display_coords(points, cut=cut).join(paths.sequences(points, cut=cut), ["taxi_id", "trip_id"], "left")
+    return written(lines.join(ends, ["taxi_id", "trip_id"]), "trips")
 
 
-def crossing_trips(points: DataFrame, a: Rect, b: Rect) -> DataFrame:
+def recorded_lines(trips: DataFrame) -> DataFrame:
+    """``taxi_id``, ``trip_id``, ``path`` and ``coords`` of each trip of a ``trip_table`` that has a path and a line."""
+    return trips.where(F.col("path").isNotNull() & (F.size("coords") >= 2)).select("taxi_id", "trip_id", "path", "coords")
+
+
+def crossing_trips(trips: DataFrame, a: Rect, b: Rect) -> DataFrame:
     """``taxi_id``, ``trip_id`` of the trips from A to B, and whether they are so ``by_cells`` and ``by_points``.
 
     By cells: the first and the last cell of its path touch the regions.  By points: its first and last
     point lie in them, edges included.
     """
-    place, at = F.struct("lon", "lat"), F.struct("ts", "event_id")
-    ends = paths.long_trips(points).groupBy("taxi_id", "trip_id").agg(F.min_by(place, at).alias("p"), F.max_by(place, at).alias("q"))
-    both = ends.join(paths.sequences(points), ["taxi_id", "trip_id"], "left")
     by_cells = F.coalesce(in_cells(F.element_at("path", 1), a) & in_cells(F.element_at("path", -1), b), F.lit(False))
     by_points = in_rect(F.col("p.lon"), F.col("p.lat"), a) & in_rect(F.col("q.lon"), F.col("q.lat"), b)
-    return both.select("taxi_id", "trip_id", by_cells.alias("by_cells"), by_points.alias("by_points")).where("by_cells OR by_points")
+    return trips.select("taxi_id", "trip_id", by_cells.alias("by_cells"), by_points.alias("by_points")).where("by_cells OR by_points")
 
 
-def region_trip(points: DataFrame, a: Rect, b: Rect) -> DataFrame:
+def region_trip(trips: DataFrame, a: Rect, b: Rect) -> DataFrame:
     """One row: ``taxi_id``, ``trip_id`` and ``coords`` of the trip from A to B with the longest line, nulls if none.
 
     Of equal ones the first vehicle's first trip.
     """
-    lines = paths.display_coords(points).join(crossing_trips(points, a, b).select("taxi_id", "trip_id"), ["taxi_id", "trip_id"])
+    lines = trips.join(crossing_trips(trips, a, b).select("taxi_id", "trip_id"), ["taxi_id", "trip_id"])
     rank = F.struct((-F.size("coords")).alias("n"), "taxi_id", "trip_id")
     return lines.agg(F.min_by(F.struct("taxi_id", "trip_id", "coords"), rank).alias("m")).select("m.*")
 
@@ -50,14 +58,14 @@ def recorded_trips(asked: DataFrame, lines: DataFrame) -> DataFrame:
     The first vehicle's first trip along exactly this path, else the one of the longest line from its
     first to its last cell.  Paths without either have no row.
     """
-    ends = lambda df: df.withColumn("first", F.element_at("path", 1)).withColumn("last", F.element_at("path", -1))
-    wanted = ends(asked.select("path").distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_PATHS else wanted
-    found = ends(lines.withColumnRenamed("path", "driven").withColumn("path", F.col("driven"))).drop("path").join(wanted, ["first", "last"])
-    exact = F.col("driven") == F.col("path")
-    rank = F.struct((~exact).alias("other"), F.when(exact, 0).otherwise(-F.size("coords")).alias("n"), "taxi_id", "trip_id")
-    best = found.groupBy("path").agg(F.min_by(F.struct("taxi_id", "trip_id", "coords", exact.alias("exact")), rank).alias("m"))
-    return best.select("path", "m.*")
+    # one trip for each path, and one for each pair of ends, before any path is looked up
+    ends = [F.element_at("path", 1).alias("first"), F.element_at("path", -1).alias("last")]
+    trip, number = F.struct("taxi_id", "trip_id", "coords"), F.struct("taxi_id", "trip_id")
+    along = lines.groupBy("path").agg(F.min_by(trip, number).alias("along"))
+    between = lines.groupBy(*ends).agg(F.min_by(trip, F.struct((-F.size("coords")).alias("n"), "taxi_id", "trip_id")).alias("between"))
+    wanted = asked.select("path").distinct().select("path", *ends)
+    found = wanted.join(along, "path", "left").join(between, ["first", "last"], "left").withColumn("m", F.coalesce("along", "between"))
+    return found.where("m IS NOT NULL").select("path", "m.*", F.col("along").isNotNull().alias("exact"))
 
 
 def with_lines(asked: DataFrame, known: DataFrame, lines: DataFrame, region: DataFrame | None = None) -> DataFrame:

@@ -22,13 +22,13 @@ def long_trips(points: DataFrame) -> DataFrame:
     return trips.split(kept, TRIP_POINTS).withColumn("gid", grid_id(F.col("lon"), F.col("lat")))
 
 
-def sequences(points: DataFrame, dated: bool = False) -> DataFrame:
+def sequences(points: DataFrame, dated: bool = False, cut: DataFrame | None = None) -> DataFrame:
     """``taxi_id``, ``trip_id``, ``path``: cells inside the bounds without consecutive repeats, two at least.
 
-    With ``dated`` also ``start_ts``, the time in the first of these cells.
+    With ``dated`` also ``start_ts``, the time in the first of these cells.  ``cut``: ``long_trips`` that were written.
     """
     order = Window.partitionBy("taxi_id", "trip_id").orderBy("ts", "event_id")
-    inside = long_trips(points).where("gid <> -1").withColumn("before", F.lag("gid").over(order))
+    inside = (long_trips(points) if cut is None else cut).where("gid <> -1").withColumn("before", F.lag("gid").over(order))
     runs = inside.where("before is null or before <> gid")
     path = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "gid"))), lambda x: x["gid"]).alias("path")
     made = runs.groupBy("taxi_id", "trip_id").agg(path, *([F.min("ts").alias("start_ts")] if dated else []))
@@ -150,14 +150,14 @@ def tree_stats(paths: DataFrame) -> DataFrame:
     return nodes.crossJoin(ends).select((F.col("n") + 1).alias("nodes"), F.coalesce("d", F.lit(0)).cast("int").alias("max_depth"), "complete")
 
 
-def display_coords(points: DataFrame, most: int = EXEMPLAR_POINTS) -> DataFrame:
+def display_coords(points: DataFrame, most: int = EXEMPLAR_POINTS, cut: DataFrame | None = None) -> DataFrame:
     """``taxi_id``, ``trip_id``, ``coords``: a trip's line on the map.
 
     Points outside the plausible box are left out, the first of each run in one cell stays, and long
     lines are thinned.  With too few points left the trip's or the plausible points' ends are taken.
     """
     at = F.array_sort(F.collect_list(F.struct("ts", "event_id", "gid", "lon", "lat")))
-    rows = long_trips(points).groupBy("taxi_id", "trip_id").agg(at.alias("all"))
+    rows = (long_trips(points) if cut is None else cut).groupBy("taxi_id", "trip_id").agg(at.alias("all"))
     place = lambda x: F.array(x["lon"], x["lat"])
     rows = rows.withColumn("valid", F.filter("all", lambda x: in_rect(x["lon"], x["lat"], VALID_BOX)))
     rows = rows.withColumn("inside", F.filter("valid", lambda x: x["gid"] != -1))
@@ -172,9 +172,12 @@ def display_coords(points: DataFrame, most: int = EXEMPLAR_POINTS) -> DataFrame:
     return rows.select("taxi_id", "trip_id", coords.alias("coords"))
 
 
-def exemplars(points: DataFrame, paths: DataFrame) -> DataFrame:
-    """``path`` and ``coords`` of its longest line; of equal ones the first vehicle's first trip."""
-    lines = paths.join(display_coords(points), ["taxi_id", "trip_id"])
+def exemplars(lines: DataFrame) -> DataFrame:
+    """``path`` and ``coords`` of its longest line; of equal ones the first vehicle's first trip.
+
+    ``lines``: taxi_id, trip_id, path and coords of trips, those without a path left out.
+    """
+    lines = lines.where("path IS NOT NULL")
     rank = F.struct(F.size("coords").alias("n"), (-F.col("taxi_id")).alias("v"), (-F.col("trip_id")).alias("t"))
     return lines.groupBy("path").agg(F.max_by("coords", rank).alias("coords"))
 
