@@ -101,6 +101,22 @@ MORE_SENTENCES = {
     ],
     "Epl2Made": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"],
 }
+_UNDER = "this {} is free software you can redistribute it and or modify it under the terms of the gnu {}general public license"
+MORE_SENTENCES |= {
+    "AsfGranted": ["licensed to the apache software foundation asf under one or more contributor license agreements"],
+    "AsfNotice": ["see the notice file distributed with this work for additional information regarding copyright ownership"],
+    "AsfUnder": ["the asf licenses this file to you under the apache license version 2 0 the license"],
+    "Apache2Title": ["apache license version 2 0 january 2004"],
+    "Gpl2Only": [_UNDER.format("program", "") + x for x in (" version 2 as published by the free software foundation", " as published by the free software foundation version 2 of the license")],
+    "Gpl3Only": [_UNDER.format("program", "") + x for x in (" version 3 as published by the free software foundation", " as published by the free software foundation version 3 of the license")],
+    "Gpl2Title": ["gnu general public license version 2 june 1991"],
+    "Gpl3Title": ["gnu general public license version 3 29 june 2007"],
+    "Lgpl21Title": ["gnu lesser general public license version 2 1 february 1999"],
+    "Lgpl3Title": ["gnu lesser general public license version 3 29 june 2007"],
+    "Mpl2Title": ["mozilla public license version 2 0"],
+    "BsdStyle": [f"use of this source code is governed by a bsd style license that can be found in the license{x}" for x in (" file", "")],
+    "MitStyle": ["use of this source code is governed by an mit style license that can be found in the license file or at https opensource org licenses mit", "use of this source code is governed by an mit style license that can be found in the license file"],
+}
 # Names of licences that a tag line of a source file may give.
 SPDX = (
     "Apache-2.0 MIT BSD-2-Clause BSD-3-Clause ISC MPL-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later "
@@ -108,6 +124,21 @@ SPDX = (
 ).split()
 MORE_SENTENCES |= {"Tag" + re.sub("[^A-Za-z0-9]", "", x): ["spdx license identifier " + re.sub("[^a-z0-9]+", " ", x.lower())] for x in SPDX}
 MORE_RULES = [
+    ("Apache-2.0", ["AsfGranted", "AsfNotice", "AsfUnder", "Apache2Only", "Apache2Copy", "Apache2Basis", "Apache2See"]),
+    ("Apache-2.0", ["AsfUnder", "Apache2Only", "Apache2Copy", "Apache2Basis", "Apache2See"]),
+    ("Apache-2.0", ["AsfUnder"]),
+    ("Apache-2.0", ["Apache2Title"]),
+    ("GPL-2.0-only", ["Gpl2Only", "GplHope", "GplReceived"]),
+    ("GPL-2.0-only", ["Gpl2Only"]),
+    ("GPL-3.0-only", ["Gpl3Only", "GplHope", "GplReceived"]),
+    ("GPL-3.0-only", ["Gpl3Only"]),
+    ("GPL-2.0", ["Gpl2Title"]),
+    ("GPL-3.0", ["Gpl3Title"]),
+    ("LGPL-2.1", ["Lgpl21Title"]),
+    ("LGPL-3.0", ["Lgpl3Title"]),
+    ("MPL-2.0", ["Mpl2Title"]),
+    ("BSD", ["BsdStyle"]),
+    ("MIT", ["MitStyle"]),
     ("BSD-3-Clause", ["BsdRedistribution", "BsdSource", "BsdBinary", "BsdEndorse"]),
     ("ISC", ["IscGrant"]),
     ("MPL-2.0", ["Mpl2Subject"]),
@@ -125,11 +156,20 @@ MORE_RULES = [
     *((x, ["Tag" + re.sub("[^A-Za-z0-9]", "", x)]) for x in SPDX),
 ]
 #: Fixed value: a text that has none of these words in any case has no known sentence.
-HINT = r"(?i)licen[cs]e|permi|held liable|redistribut|warrant|reserved|unencumbered"
+HINT = r"(?i)licen[cs]e|copyright ownership|permi|held liable|redistribut|warrant|reserved|unencumbered"
 #: What begins a line of a comment, an empty line, a line's end, and a mark before white space or the text's end.
 COMMENT, EMPTY_LINE, LINE_END, MARK = r"(?m)^[ \t]*(?:<!--|/?\*+/?|//+|#+|;+|--+|%+)[ \t]*", r"\n[ \t]*\r?\n[ \t\r\n]*|\r{2,}", r"[\n\r]+", r"[.;:!?](?=\s|$)"
 
 
+#: Where a program's name, of up to six words, stands in a sentence, and how a tag line joins names.
+NAMED = [
+    (r"(?<=[|/])(?:[a-z0-9]+[ /]){1,6}?(?=(?:is[ /]free[ /]software[ /]you[ /]can[ /]redistribute|is[ /]distributed[ /]in[ /]the[ /]hope)[ /])", "this program "),
+    (r"(?<=license[ /]along[ /]with)[ /](?:[a-z0-9]+[ /]){0,5}[a-z0-9]+(?=[|/])", " this program"),
+]
+TAG, PLUS = r"(?<=spdx license identifier[ /][a-z0-9 ]{1,300})", r"(spdx-license-identifier:[^\r\n]*?\d)\+"
+JOINED = [(TAG + r" with [a-z0-9 ]+?(?=[|/]| or | and )", ""), (TAG + r" (?:or(?! later)|and) ", "/spdx license identifier ")]
+
+
 def _known() -> dict[str, str]:
     return {sentence: name for some in (SENTENCES, MORE_SENTENCES) for name, sentences in some.items() for sentence in sentences}
 
@@ -138,17 +178,21 @@ def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
     A known sentence begins and ends where a line or a sentence does; inside it may be wrapped or
-    have marks, but no empty line.
+    have marks, but no empty line.  A program's own name stands for "this program" in the sentences of the
+    GNU licences.  Licences that a tag line joins by AND or OR count each, a plus as "or later", and what
+    WITH adds is left out.
     """
     known = _known()
     of = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     # \u0002, then |, ends a paragraph; \u0001, then /, a line or a sentence
-    plain = F.regexp_replace(F.lower(text), COMMENT, "")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), PLUS, "$1 or later"), COMMENT, "")
     plain = F.regexp_replace(F.translate(plain, "\u0001\u0002", "  "), EMPTY_LINE, "\u0002")
     plain = F.regexp_replace(F.regexp_replace(plain, MARK, "\u0001"), LINE_END, "\u0001")
     plain = F.regexp_replace(plain, "[^a-z0-9\u0001\u0002]+", " ")
     plain = F.regexp_replace(F.regexp_replace(plain, " *\u0002[ \u0001\u0002]*| *\u0001[ \u0001]*\u0002[ \u0001\u0002]*", "|"), " *\u0001[ \u0001]*", "/")
     plain = F.concat(F.lit("|"), F.trim(plain), F.lit("|"))
+    for pattern, instead in NAMED + JOINED:
+        plain = F.regexp_replace(plain, pattern, instead)
     any_of = "|".join(s.replace(" ", "[ /]") for s in sorted(known, key=lambda s: (-len(s), s)))
     found = F.regexp_extract_all(plain, F.lit(rf"(?<=[|/])(?:{any_of})(?=[|/])"), F.lit(0))
     return F.transform(found, lambda s: F.element_at(of, F.translate(s, "/", " ")))

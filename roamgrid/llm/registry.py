@@ -116,9 +116,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 def _license_sql() -> str:
     """The scan in DuckDB's SQL: sentences by marks, a table of the known ones, and the rules in turn."""
-    known = ", ".join(f"('{sentence}', '{name}')" for name, sentences in licenses.SENTENCES.items() for sentence in sentences)
+    known = ", ".join(f"('{sentence}', '{name}')" for some in (licenses.SENTENCES, licenses.MORE_SENTENCES) for name, sentences in some.items() for sentence in sentences)
     rules, names, last = "", {}, "joined"
-    for number, (name, sequence) in enumerate(licenses.RULES):
+    for number, (name, sequence) in enumerate(licenses.MORE_RULES + licenses.RULES):
         pattern = "".join(f",{x}," for x in sequence)
         rules += f", s{number} AS (SELECT *, contains(rest, '{pattern}') AS rule_{number} FROM (SELECT * FROM {last})), t{number} AS (SELECT * REPLACE (replace(rest, '{pattern}', '|') AS rest) FROM s{number})"
         names.setdefault(name, []).append(f"rule_{number}")

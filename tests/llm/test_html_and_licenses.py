@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roamgrid.llm import html_text, licenses, registry
-from tests.llm.samples import ODD, no_documents, odd_documents
+from tests.llm.samples import DOCUMENTS, ODD, no_documents, odd_documents
 
 PAGES = "page_id long, url string, html string, host string, paths string, text string"
 BODY = "<p>The first paragraph of the article has a fair number of words in it.</p><p>The second   one\n goes &amp; on, with <b>bold</b> words and a <a href='/x'>link</a>.</p>"
@@ -236,3 +236,54 @@ def test_tags_and_more_notices(spark):
         " * This program and the accompanying materials are made\n * available under the terms of the Eclipse Public License 2.0\n * which is available at https://www.eclipse.org/legal/epl-2.0/\n",
     )
     assert [set(r[1].split(",")) for r in got] == [{"GPL-2.0-or-later"}, {"MIT", "BSD-3-Clause"}, {"BSL-1.0"}, {"Zlib"}, {"EPL-2.0"}]
+
+
+ASF = """/*
+ * Licensed to the Apache Software Foundation (ASF) under one or more
+ * contributor license agreements.  See the NOTICE file distributed with
+ * this work for additional information regarding copyright ownership.
+ * The ASF licenses this file to You under the Apache License, Version 2.0
+ * (the "License"); you may not use this file except in compliance with
+ * the License.  You may obtain a copy of the License at
+ *
+ *    http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+FREE = """# {name} is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License{version}
+#
+# {name} is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+#
+# You should have received a copy of the GNU General Public License
+# along with {name}."""
+LATER = " as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+HEADERS = [
+    (ASF, "Apache-2.0"),
+    (FREE.format(name="Foo", version=LATER), "GPL-3.0-or-later"),
+    (FREE.format(name="The Bar 2 tool box", version=LATER), "GPL-3.0-or-later"),
+    (FREE.format(name="This program", version=" version 2 as\n# published by the Free Software Foundation."), "GPL-2.0-only"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n", "Apache-2.0"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright", "GPL-3.0"),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "GPL-2.0"),
+    ("// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.", "BSD"),
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"),
+    ("# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0-only"),
+    ("# SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0+\nx = 1", "BSD-3-Clause,GPL-2.0-or-later,MIT"),
+    ("/* SPDX-License-Identifier: GPL-2.0-or-later WITH Linux-syscall-note OR MIT */", "GPL-2.0-or-later,MIT"),
+]
+
+
+def test_real_headers(spark):
+    rows = spark.createDataFrame([(i, text, None, None, None) for i, (text, _) in enumerate(HEADERS)], DOCUMENTS)
+    got = {r.doc_id: (",".join(sorted(r.licenses.split(","))), r.unmatched) for r in licenses.scan(rows).collect()}
+    for i, (_, want) in enumerate(HEADERS):
+        assert got[i][0] == want, (i, got[i])
+    # the address below a copy's sentence belongs to none
+    assert all(n == 0 for _, n in got.values())
