@@ -183,8 +183,9 @@ def nearest_node(places: DataFrame, node_table: DataFrame) -> DataFrame:
     near = spots.join(reach, ["bx", "by"]).select("lon", "lat", "node", metres).groupBy("lon", "lat").agg(F.min(F.struct("meters", "node")).alias("m"))
     near = written(near.select("lon", "lat", "m.node", "m.meters"), "near")
     far = spots.join(near, ["lon", "lat"], "left_anti").select(F.struct("lon", "lat").alias("place"), "lon", "lat")
-    found = neighbours.nearest(far, node_table).select("place.lon", "place.lat", "node", "meters")
-    return places.join(near.unionByName(found), ["lon", "lat"]).select(*places.columns, "node", "meters")
+    if not far.isEmpty():
+        near = near.unionByName(neighbours.nearest(far, node_table).select("place.lon", "place.lat", "node", "meters"))
+    return places.join(near, ["lon", "lat"]).select(*places.columns, "node", "meters")
 
 
 def nearest_node_in(node_table: DataFrame, rect: Rect, lon: float, lat: float) -> DataFrame:
