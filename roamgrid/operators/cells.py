@@ -6,6 +6,8 @@ of two rounds nothing.  A cell's parent has half its numbers.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ DEEPEST = 24
 ROOT_WIDTH = 256.0
 #: Points of a cell that is not split, by default, and rows of a table that is broadcast.
 CAPACITY, BROADCAST_CELLS = 10, 100_000
-#: Levels that a box goes down before its open cells are written.
-STEPS = 6
+#: Boxes that meet a part of the vehicles in one task, boxes that are looked up at a time, and bytes of bits in a task.
+PART_BOXES, BOX_BLOCK, MOST_BITS = 250_000, 1_000, 64_000_000
 
 
 def width(level: Column) -> Column:
@@ -62,71 +64,94 @@ def tree_stats(cells: DataFrame) -> DataFrame:
     return sums.select((4 * F.col("s") + 1).alias("nodes"), (3 * F.col("s") + 1).alias("leaves"), F.coalesce("p", F.lit(0)).alias("points"), F.coalesce("d", F.lit(0)).alias("depth"))
 
 
-def count_boxes(points: DataFrame, boxes: DataFrame, capacity: int = 1_000) -> DataFrame:
+def count_boxes(points: DataFrame, boxes: DataFrame, vehicles: int = 4_096) -> DataFrame:
     """``box``, ``points`` and ``taxis``: rows and vehicles in each of many closed boxes.
 
-    ``boxes``: box (unique), x_min, y_min, x_max, y_max.  Cells are split to ``capacity`` points.  All boxes go
-    down the levels together: a cell inside a box answers by its sums, one apart from it is dropped, one that
-    its edge cuts is followed to the cells below, and only the points of cut leaves are compared.  Every join
-    is by the numbers of a cell that holds points, so empty space costs nothing.  A level's cells are
-    broadcast while they are few; below, boxes and points are spread over cells of bounded size.  Points
-    alike in place and vehicle are one row with their number, so a place that is met very often is one row
-    for each vehicle.  Boxes with null or crossed edges, and tables without points, count nothing: 0 and 0.
+    ``boxes``: box (unique), x_min, y_min, x_max, y_max.  Boxes of the same edges are one, and points alike in
+    place and vehicle are one row with their number.  Vehicles are dealt into parts of about ``vehicles``, boxes
+    into parts of ``PART_BOXES``; a part of each meets in one task, where vehicles are bits, so what leaves it is
+    one row for each box, and no pair of a box and a vehicle is ever a row.  A vehicle is in one part only, so
+    the parts' counts add up.  Boxes with null or crossed edges, and tables without points, count nothing: 0 and 0.
     """
-    alike = with_cell(points).groupBy("lon", "lat", "taxi_id", "cx", "cy").agg(F.count("*").alias("n"))
+    alike = with_cell(points).groupBy("lon", "lat", "taxi_id").agg(F.count("*").alias("n"))
     alike = written(alike, "alike")
-    cells = written(adaptive(alike, capacity), "cells")
-    deepest = cells.agg(F.max("level")).head()[0]
-    sums = boxes.select("box")
-    if deepest is None:
-        return sums.select("box", F.lit(0).cast("long").alias("points"), F.lit(0).cast("long").alias("taxis"))
     edges = ["x_min", "y_min", "x_max", "y_max"]
-    corner = F.explode(F.array(*[F.struct(F.lit(x).cast("long").alias("cx"), F.lit(y).cast("long").alias("cy")) for x in (-1, 0) for y in (-1, 0)]))
-    open_ = boxes.where("x_min <= x_max and y_min <= y_max").select("box", *edges, corner.alias("c")).select("box", *edges, "c.*")
-    whole, cut = [], []
-    sizes = {r.level: r.held for r in cells.groupBy("level").agg(F.count("*").alias("held")).collect()}  # one row for each level
-    for level in range(deepest + 1):
-        here = cells.where(F.col("level") == level).select("cx", "cy", "leaf")
-        met = open_.join(F.broadcast(here) if sizes.get(level, 0) <= BROADCAST_CELLS else here, ["cx", "cy"])
-        w = ROOT_WIDTH / 2**level
-        low_x, low_y = F.col("cx") * w, F.col("cy") * w
-        apart = (low_x + w <= F.col("x_min")) | (low_x > F.col("x_max")) | (low_y + w <= F.col("y_min")) | (low_y > F.col("y_max"))
-        inside = (low_x >= F.col("x_min")) & (low_x + w <= F.col("x_max")) & (low_y >= F.col("y_min")) & (low_y + w <= F.col("y_max"))
-        met = met.where(~apart).withColumn("inside", inside)
-        if level % STEPS == STEPS - 1 or level == deepest:
-            met = written(met, "met")
-        whole.append(met.where("inside").select("box", F.lit(level).alias("level"), "cx", "cy"))
-        cut.append(met.where("not inside and leaf").select("box", *edges, F.lit(level).alias("level"), "cx", "cy"))
-        child = F.explode(F.array(*[F.struct((2 * F.col("cx") + x).alias("cx"), (2 * F.col("cy") + y).alias("cy")) for x in (0, 1) for y in (0, 1)]))
-        open_ = met.where("not inside and not leaf").select("box", *edges, child.alias("c")).select("box", *edges, "c.*")
-    return _answers(sums, alike, cells, _union(whole), _union(cut), deepest)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _answers(boxes: DataFrame, alike: DataFrame, cells: DataFrame, whole: DataFrame, cut: DataFrame, deepest: int) -> DataFrame:
-    """Points and vehicles of whole cells, by sums of cells and vehicles, and of cut ones, by their points."""
-    wanted = whole.select("level", "cx", "cy").distinct()
-    up = lambda c: F.expr(f"shiftright({c}, {DEEPEST} - level)")
-    # vehicles of the cells that some box holds whole
-    levels = F.explode(F.sequence(F.lit(0), F.lit(deepest)))
-    of_cells = alike.groupBy("cx", "cy", "taxi_id").agg(F.sum("n").alias("n")).select(levels.alias("level"), "cx", "cy", "taxi_id", "n")
-    of_cells = of_cells.select("level", up("cx").alias("cx"), up("cy").alias("cy"), "taxi_id", "n").join(wanted, ["level", "cx", "cy"], "left_semi")
-    of_cells = of_cells.groupBy("level", "cx", "cy", "taxi_id").agg(F.sum("n").alias("n"))
-    inner = whole.join(of_cells, ["level", "cx", "cy"]).select("box", "taxi_id", "n")
-    leaves = cells.where("leaf").select("level", "cx", "cy")
-    held = alike.select(levels.alias("level"), "lon", "lat", "taxi_id", "n", "cx", "cy")
-    held = held.select("level", up("cx").alias("cx"), up("cy").alias("cy"), "lon", "lat", "taxi_id", "n").join(leaves, ["level", "cx", "cy"], "left_semi")
-    there = F.col("lon").between(F.col("x_min"), F.col("x_max")) & F.col("lat").between(F.col("y_min"), F.col("y_max"))
-    edge = cut.join(held, ["level", "cx", "cy"]).where(there).select("box", "taxi_id", "n")
-    by_taxi = inner.unionByName(edge).groupBy("box", "taxi_id").agg(F.sum("n").alias("n"))
-    answers = by_taxi.groupBy("box").agg(F.sum("n").alias("points"), F.count("taxi_id").alias("taxis"))
-    return boxes.join(answers, "box", "left").select("box", F.coalesce("points", F.lit(0)).alias("points"), F.coalesce("taxis", F.lit(0)).alias("taxis"))
+    # as in a comparison, what is no number lies above all
+    known = boxes.select("box", *(F.nanvl(F.col(c).cast("double"), F.lit(float("inf"))).alias(c) for c in edges)).where("x_min <= x_max and y_min <= y_max")
+    asked = written(known.select(edges).distinct().select(F.monotonically_increasing_id().alias("number"), *edges), "asked_boxes")
+    held = alike.groupBy("taxi_id").agg(F.count("*").alias("rows")).agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).head()
+    places = alike.select("lon", "lat").distinct().count()
+    while vehicles > 1 and min(places, vehicles * held[1] / max(1, held[0])) * vehicles / 4 > MOST_BITS:
+        vehicles //= 2
+    parts, spans = max(1, -(-held[0] // vehicles)), max(1, -(-asked.count() // PART_BOXES))
+    there = alike.withColumn("part", F.pmod(F.xxhash64("taxi_id"), F.lit(parts)).cast("int")).withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(spans - 1))))
+    every = asked.withColumn("span", F.pmod(F.xxhash64("number"), F.lit(spans)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    counted = every.groupBy("part", "span").cogroup(there.groupBy("part", "span")).applyInArrow(_in_boxes, "number long, points long, taxis long")
+    answers = counted.groupBy("number").agg(F.sum("points").alias("points"), F.sum("taxis").alias("taxis")).join(asked, "number")
+    found = known.join(answers, edges).select("box", "points", "taxis")
+    return boxes.select("box").join(found, "box", "left").select("box", F.coalesce("points", F.lit(0)).alias("points"), F.coalesce("taxis", F.lit(0)).alias("taxis"))
+
+
+def _in_boxes(boxes: pa.Table, points: pa.Table) -> pa.Table:
+    """Points and vehicles of one part in the boxes of another.
+
+    Places are halved by longitude and latitude in turn down to single ones; every half has its extent, its
+    points and its vehicles as bits.  A box takes those halves whole that lie in it, and looks into those it cuts.
+    """
+    edges = np.stack([boxes.column(c).to_numpy() for c in ("x_min", "y_min", "x_max", "y_max")], 1).reshape(-1, 4)
+    total, taxis = np.zeros(len(edges), np.int64), np.zeros(len(edges), np.int64)
+    if points.num_rows and len(edges):
+        levels = _halves(points)
+        for at in range(0, len(edges), BOX_BLOCK):
+            total[at : at + BOX_BLOCK], taxis[at : at + BOX_BLOCK] = _counted(edges[at : at + BOX_BLOCK], levels)
+    return pa.table({"number": boxes.column("number"), "points": total, "taxis": taxis})
+
+
+def _halves(points: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Extents (least and largest longitude and latitude), points and vehicles' bits of the halves of each level, the whole first."""
+    at = np.stack([points.column("lon").to_numpy(), points.column("lat").to_numpy()], 1)
+    places, place = np.unique(at, axis=0, return_inverse=True)
+    place = place.reshape(-1)
+    depth = max(0, int(len(places) - 1).bit_length())
+    order = np.arange(len(places))
+    halves = np.zeros(len(places), np.int64)
+    for level in range(depth):  # each half by rank in its own order, as even as can be
+        order = order[np.lexsort((places[order, level % 2], halves[order]))]
+        begins = np.searchsorted(halves[order], halves[order])
+        sizes = np.bincount(halves, minlength=2**level)[halves[order]]
+        halves[order] = 2 * halves[order] + (np.arange(len(order)) - begins >= (sizes + 1) // 2)
+    known = np.asarray(points.column("taxi_id").is_valid())
+    names, vehicle = np.unique(points.column("taxi_id").fill_null(0).to_numpy(), return_inverse=True)
+    extent = np.full((2**depth, 4), [np.inf, np.inf, -np.inf, -np.inf])
+    extent[halves] = places[:, [0, 1, 0, 1]]
+    n = np.zeros(2**depth, np.int64)
+    np.add.at(n, halves[place], points.column("n").to_numpy())
+    bits = np.zeros((2**depth, -(-len(names) // 64)), np.uint64)
+    np.bitwise_or.at(bits, (halves[place[known]], vehicle[known] // 64), np.uint64(1) << (vehicle[known] % 64).astype(np.uint64))
+    levels = [(extent, n, bits)]
+    for _ in range(depth):
+        e, n, bits = levels[-1]
+        e = np.concatenate([np.minimum(e[::2, :2], e[1::2, :2]), np.maximum(e[::2, 2:], e[1::2, 2:])], 1)
+        levels.append((e, n[::2] + n[1::2], bits[::2] | bits[1::2]))
+    return levels[::-1]
+
+
+def _counted(edges: np.ndarray, levels: list) -> tuple[np.ndarray, np.ndarray]:
+    """Points and vehicles in each of some boxes."""
+    total, seen = np.zeros(len(edges), np.int64), np.zeros((len(edges), levels[0][2].shape[1]), np.uint64)
+    box, half = np.arange(len(edges)), np.zeros(len(edges), np.int64)
+    for extent, n, bits in levels:
+        x0, y0, x1, y1 = extent[half].T
+        a0, b0, a1, b1 = edges[box].T
+        inside = (a0 <= x0) & (x1 <= a1) & (b0 <= y0) & (y1 <= b1) & (x0 <= x1)
+        cut = (x0 <= a1) & (a0 <= x1) & (y0 <= b1) & (b0 <= y1) & ~inside
+        own, whole = box[inside], half[inside]
+        np.add.at(total, own, n[whole])
+        turn = np.arange(len(own)) - np.searchsorted(own, own)  # boxes ascend: the k-th half of each is taken at once
+        for some in np.split(np.argsort(turn, kind="stable"), np.cumsum(np.bincount(turn))[:-1]) if len(own) else ():
+            seen[own[some]] |= bits[whole[some]]
+        box, half = np.repeat(box[cut], 2), np.stack([2 * half[cut], 2 * half[cut] + 1], 1).reshape(-1)
+    return total, np.bitwise_count(seen).sum(1, dtype=np.int64)
 
 
 def trip_boxes(trips: DataFrame) -> DataFrame:

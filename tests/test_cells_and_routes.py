@@ -49,6 +49,22 @@ def test_many_boxes(spark, odd_points, capacity, few, monkeypatch):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_no_row_for_each_box_and_vehicle(spark, monkeypatch):
+    """Many vehicles in many boxes, of which most have the same edges: what tasks tell is a row for each box and part."""
+    monkeypatch.setattr(cells, "PART_BOXES", 2)
+    places = [(i, i // 3, 116.0 + i % 7 / 10, 39.5 + i % 4 / 10) for i in range(1_200)]
+    names = [(f"b{i}", 116.0, 39.5, 116.05 + i % 3 / 10, 39.5 + i % 2 / 10) for i in range(200)] + [("nan", 116.3, 39.5, float("nan"), float("nan"))]
+    told = []
+    got = cells.count_boxes(spark.createDataFrame(places, POINT), spark.createDataFrame(names, "box string, x_min double, y_min double, x_max double, y_max double"), 100)
+    for r in got.collect():
+        _, a, b, c, d = next(n for n in names if n[0] == r.box)
+        inside = [t for _, t, x, y in places if a <= x and b <= y and not x > c and not y > d]
+        told.append((r.points, r.taxis) == (len(inside), len(set(inside))))
+    assert told == [True] * 201
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "taxi_id, " not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
 def test_boxes_without_points(spark):
     boxes = spark.createDataFrame([("a", 0.0, 0.0, 1.0, 1.0)], "box string, x_min double, y_min double, x_max double, y_max double")
     assert [tuple(r) for r in cells.count_boxes(spark.createDataFrame([], POINT), boxes).collect()] == [("a", 0, 0)]
