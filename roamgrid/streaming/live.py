@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from roamgrid.plans.storage import settings
 
 LATENESS = "10 minutes"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What the state holds of a point, all longs, and what stands there for null.
+HELD, UNKNOWN = ["event_id", "at", "gid", "node", "period"], -(2**63)
 POINTS = "event_id long, taxi_id long, ts timestamp_ntz, lon double, lat double"
 
 
@@ -49,36 +52,41 @@ def drain(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 class TripState(StatefulProcessor):
     """A vehicle's points that may still belong to an open trip.
 
-    Points wait in the state, in whatever order they come.  A timer is set for the time from which no point can
-    join the trip of the last one any more; when the watermark has passed it, the trips that are over are told,
-    with the moves between nodes in them, and their points leave the state.
+    Points wait in the state, in whatever order they come, those that came together as one value.  One timer is
+    set for the time from which no point can join the earliest trip any more; when the watermark has passed it,
+    the trips that are over are told, with the moves between nodes in them, their points leave the state, and a
+    timer is set for the earliest trip that is left.
     """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.points = handle.getListState("points", "event_id long, at long, gid int, node long, period int")
+        self.points = handle.getListState("points", "block binary")
 
     def handleInputRows(self, key, rows, timerValues):
         for part in rows:
-            held = part[["event_id", "at", "gid", "node", "period"]]
-            self.points.appendList([tuple(None if pd.isna(x) else int(x) for x in r) for r in held.itertuples(index=False)])
-            for at in set((held["at"] // 1_000).tolist()):
-                self.handle.registerTimer(int(at) + TRIP_GAP_US // 1_000 + 1)
+            held = np.stack([part[c].to_numpy(np.int64) for c in HELD], 1)
+            self.points.appendValue((held.tobytes(),))
+            self._wait(np.sort(held[:, 1]))
         return iter(())
 
+    def _wait(self, at):
+        ends = np.flatnonzero(np.diff(at) > TRIP_GAP_US)
+        self.handle.registerTimer(int(at[ends[0] if len(ends) else -1]) // 1_000 + TRIP_GAP_US // 1_000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs() * 1_000
-        held = sorted((tuple(p) for p in self.points.get()), key=lambda p: (p[1], p[0]))
-        trips, begin = [], 0
-        for i in range(1, len(held) + 1):
-            if i == len(held) or held[i][1] - held[i - 1][1] > TRIP_GAP_US:
-                trips.append(held[begin:i])
-                begin = i
-        over = [t for t in trips if t[-1][1] + TRIP_GAP_US < now]
-        left = [p for t in trips if t[-1][1] + TRIP_GAP_US >= now for p in t]
-        if over:
-            self.points.put(left) if left else self.points.clear()
-        told = [self._row(key[0], t) for t in over if len(t) > 1]
+        held = np.frombuffer(b"".join(block for (block,) in self.points.get()), np.int64).reshape(-1, len(HELD))
+        held = held[np.lexsort((held[:, 0], held[:, 1]))]
+        # trips that are over come before those that are not
+        ends = np.append(np.flatnonzero(np.diff(held[:, 1]) > TRIP_GAP_US) + 1, len(held)) if len(held) else np.zeros(0, np.int64)
+        ends = ends[held[ends - 1, 1] + TRIP_GAP_US < now].tolist()
+        left = held[ends[-1] :] if ends else held
+        if ends:
+            self.points.put([(left.tobytes(),)]) if len(left) else self.points.clear()
+        if len(left):
+            self._wait(left[:, 1])
+        rows = [tuple(None if x == UNKNOWN else x for x in r) for r in held.tolist()] if ends else []
+        told = [self._row(key[0], rows[i:j]) for i, j in zip([0, *ends], ends) if j - i > 1]
         if told:
             yield pd.DataFrame(told, columns=["taxi_id", "start_us", "end_us", "points", "start_grid", "end_grid", "period", "moves"])
 
@@ -103,7 +111,9 @@ def trips(stream: DataFrame, size: int = GRID_SIZE) -> DataFrame:
     Needs RocksDB as the state's store.
     """
     node = F.when(in_rect(F.col("lon"), F.col("lat"), BOUNDS), (cell_y(F.col("lat"), size) * size + cell_x(F.col("lon"), size)).cast("long"))
+    known = lambda c: F.coalesce(c.cast("long"), F.lit(UNKNOWN))
     rows = stream.select("taxi_id", "event_id", "time", F.unix_micros("time").alias("at"), grid_id(F.col("lon"), F.col("lat"), size).alias("gid"), node.alias("node"), period_of(F.col("ts")).alias("period"))
-    found = rows.where("at is not null and taxi_id is not null").groupBy("taxi_id").transformWithStateInPandas(TripState(), TRIP, "Append", "EventTime")
+    rows = rows.where("at is not null and taxi_id is not null").withColumns({c: known(F.col(c)) for c in HELD})
+    found = rows.groupBy("taxi_id").transformWithStateInPandas(TripState(), TRIP, "Append", "EventTime")
     time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return found.select("taxi_id", time("start_us").alias("start_ts"), time("end_us").alias("end_ts"), "points", "start_grid", "end_grid", "period", "moves")

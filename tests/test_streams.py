@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from roamgrid.operators import road, trips
@@ -61,3 +62,30 @@ def test_points_later_than_the_watermark_are_left_out(spark, tmp_path):
     assert more(at(5, "12:00:00")) == [("08:00", "08:11", 4)]
     assert more(at(6, "08:12:00"), at(7, "12:04:00")) == [("08:00", "08:11", 4)]  # too late
     assert more(at(8, "20:00:00"), at(9, "23:00:00")) == [("08:00", "08:11", 4), ("12:00", "12:04", 2)]
+
+
+def test_one_timer_waits_for_a_vehicle(monkeypatch):
+    """However many points and trips come together; those left when it expires get the next one."""
+    class Points(list):
+        get = list.copy
+        appendValue = list.append
+        put = lambda self, values: self.__setitem__(slice(None), values)
+
+    class Handle:
+        timers = []
+        registerTimer = timers.append
+        getListState = lambda self, *_: Points()
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 2_000_000
+
+    state = live.TripState()
+    state.init(Handle())
+    minute = 60_000_000
+    at = [m * minute for trip in (0, 20, 40) for m in (trip, trip + 3, trip + 5)]
+    rows = pd.DataFrame({"event_id": range(9), "at": at, "gid": 5, "node": [live.UNKNOWN, *range(8)], "period": 2})
+    list(state.handleInputRows((1,), iter([rows.iloc[::-1]]), Now()))
+    assert Handle.timers == [600_001]
+    told = pd.concat(state.handleExpiredTimer((1,), Now(), None))
+    assert told["start_us"].tolist() == [0, 20 * minute] and told["points"].tolist() == [3, 3]
+    assert [m["u"] for m in told["moves"][0]] == [0] and Handle.timers[1:] == [3_000_001]
