@@ -456,8 +456,8 @@ def nearest_grid_centers_k(p):
 @_on_points
 def region_edge_grids(p):
     both = regions.with_borders(_trip_pairs(p))
-    of = lambda name: both.select("pair", F.lit(name).alias("rect"), F.explode(f"border_{name}").alias("gid"))
-    return of("a").unionByName(of("b"))
+    sides = F.explode(F.array(*[F.struct(F.lit(name).alias("rect"), F.col(f"border_{name}").alias("cells")) for name in "ab"]))
+    return both.select("pair", sides.alias("s")).select("pair", "s.rect", F.explode_outer("s.cells").alias("gid")).where("gid is not null")
 
 
 def _road_graph(p):
@@ -533,7 +533,8 @@ def view_state(p):
 def _shaped(p, shape):
     """The places of every trip's line after shaping it."""
     lines = paths.display_coords(p).select("taxi_id", "trip_id", shape(F.col("coords")).alias("line"))
-    places = lines.select("taxi_id", "trip_id", F.posexplode("line").alias("place", "p"))
+    # an outer one, as for an inner one a line would be worked out once more for a filter on its size
+    places = lines.select("taxi_id", "trip_id", F.posexplode_outer("line").alias("place", "p")).where("place is not null")
     return places.select("taxi_id", "trip_id", "place", F.round(F.col("p")[0], 9).alias("lon"), F.round(F.col("p")[1], 9).alias("lat"))
 
 

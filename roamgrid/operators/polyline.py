@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roamgrid.config import DISPLAY_CAP
 
 
-def _let(value: Column, f) -> Column:
+def let(value: Column, f) -> Column:
     """``f`` of a value that is computed once, however often ``f`` names it."""
     return F.transform(F.array(value), lambda x: f(x))[0]
 
@@ -37,7 +37,7 @@ def smooth(line: Column, alpha: float = 0.22, rounds: int = 2) -> Column:
     """Moves inner places towards the middle of their neighbours, ``rounds`` times."""
     out = line
     for _ in range(rounds):
-        out = _let(out, lambda c: _smoothed(c, alpha))
+        out = let(out, lambda c: _smoothed(c, alpha))
     return F.when(F.size(line) < 3, line).otherwise(out)
 
 
@@ -54,7 +54,7 @@ def trajectory_like(line: Column) -> Column:
     """A coarse line made to look like a drive: subsampled, densified, subsampled again and smoothed."""
     out = line
     for step in (lambda c: subsample(c, DISPLAY_CAP), densify, lambda c: subsample(c, 3 * DISPLAY_CAP), lambda c: smooth(c, 0.24)):
-        out = _let(out, step)
+        out = let(out, step)
     return F.when(F.size(line) < 2, line).otherwise(out)
 
 

@@ -192,3 +192,14 @@ def test_sampled_vehicles_and_times_as_text(spark):
     assert sources.sampled_vehicles(points, 1.0).count() == 4_000 and sources.sampled_vehicles(points, 0.0).isEmpty()
     texts = spark.createDataFrame([(59.5,), (60.0,), (61.0,), (2.5,), (90.0,)], "s double").select(routing.time_text(F.col("s"))).collect()
     assert [t[0] for t in texts] == ["60 s", "60 s", "1.0 min", "2 s", "1.5 min"]
+
+
+@pytest.mark.parametrize("query", ["simplify_collinear", "smooth_polyline", "trajectory_like_line", "region_edge_grids", "nearest_grid_centers_k"])
+def test_shapes_are_worked_out_once(spark, query):
+    """Nothing that a line or a border is made from is worked out for a filter too."""
+    plan = catalogue.queries()[query](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan()
+    filters = []
+    while plan.children().size():
+        filters += [plan.expressions().mkString()] if plan.nodeName() == "Filter" else []
+        plan = plan.children().apply(0)
+    assert not any("lambda" in f for f in filters)
