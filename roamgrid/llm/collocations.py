@@ -152,7 +152,7 @@ def _with_own_words(docs: DataFrame, words: DataFrame) -> DataFrame:
 
 def _rewritten(chunk: list[int], hot: dict[int, int]) -> pa.RecordBatch:
     """Fragments of a chunk of word numbers, 0 for words that end a fragment."""
-    ids = np.zeros(len(chunk) + 2 * REACH, np.int64)
+    ids = np.zeros(len(chunk) + 2 * REACH, np.uint32)
     ids[REACH : REACH + len(chunk)] = chunk
     at = slice(REACH, REACH + len(chunk))
     pivot, columns = ids[at], [None] * (2 * REACH + 1)
@@ -164,11 +164,13 @@ def _rewritten(chunk: list[int], hot: dict[int, int]) -> pa.RecordBatch:
             open_ = open_ & (word > 0) & ((word < pivot) if side < 0 else (word <= pivot))
             columns[REACH + side * far] = np.where(open_, word, 0)
     held = (columns[REACH - 1] > 0) | (columns[REACH + 1] > 0)
-    rows = np.stack([c[held] for c in columns], 1)
+    rows = np.empty((int(held.sum()), len(columns)), np.uint32)
+    for k in range(len(columns)):
+        rows[:, k], columns[k] = columns[k][held], None
     order, first, hashes = _grouped(rows)
     n = np.diff(np.append(first, len(rows)))
     rows, hashes = rows[order[first]], hashes[order[first]]
-    pivot = rows[:, REACH]
+    pivot = rows[:, REACH].astype(np.int64)
     parts = np.ones(len(rows), np.uint64)
     if hot:
         names = np.array(sorted(hot), np.int64)
@@ -190,13 +192,22 @@ def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = (h ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     order = np.argsort(h, kind="stable")
-    differ = (rows[order[1:]] != rows[order[:-1]]).any(1)
+    differ = _changes(rows, order)
     if (differ & (h[order[1:]] == h[order[:-1]])).any():  # different rows of one hash: sorted by themselves
         order = np.lexsort(rows.T)
-        differ = (rows[order[1:]] != rows[order[:-1]]).any(1)
+        differ = _changes(rows, order)
     return order, np.flatnonzero(np.append(True, differ)[: len(rows)]), h
 
 
+def _changes(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it in an order; one column at a time is copied."""
+    differ = np.zeros(max(0, len(rows) - 1), bool)
+    for column in rows.T:
+        column = column[order]
+        differ |= column[1:] != column[:-1]
+    return differ
+
+
 def phrase_counts(found: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     """``gram`` (numbers of 2 to 4 words) and ``f`` of the phrases with ``least`` occurrences.
 
@@ -229,16 +240,16 @@ def phrase_counts(found: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
 
 def _mined(rows: np.ndarray, n: np.ndarray, part: np.ndarray, least: int) -> pa.RecordBatch:
     """Phrases with their fragments' pivot and their counts; rare ones of pivots that are whole here go."""
-    grams, counts, final = [], [], []
-    for size in range(2, LONGEST + 1):
-        for start in range(REACH + 1 - size, REACH + 1):
-            there = (rows[:, start : start + size] > 0).all(1)
-            gram = np.zeros((int(there.sum()), LONGEST), np.int64)
-            gram[:, :size] = rows[there, start : start + size]
-            grams.append(gram)
-            counts.append(n[there])
-            final.append(part[there] < 0)
-    grams, counts, final = np.concatenate(grams), np.concatenate(counts), np.concatenate(final)
+    spans = [(size, start) for size in range(2, LONGEST + 1) for start in range(REACH + 1 - size, REACH + 1)]
+    held = [np.flatnonzero((rows[:, start : start + size] > 0).all(1)).astype(np.int32) for size, start in spans]
+    # a phrase has the numbers of its words, 32 bits each as in a fragment
+    grams, at = np.zeros((sum(map(len, held)), LONGEST), np.uint32), 0
+    for (size, start), there in zip(spans, held):
+        grams[at : at + len(there), :size] = rows[there, start : start + size]
+        at += len(there)
+    there = np.concatenate(held)
+    del held
+    counts, final = n[there], part[there] < 0
     order, first, _ = _grouped(grams)
     totals = np.add.reduceat(counts[order], first) if len(order) else counts
     grams, final = grams[order[first]], final[order[first]]
@@ -246,7 +257,7 @@ def _mined(rows: np.ndarray, n: np.ndarray, part: np.ndarray, least: int) -> pa.
     grams, totals = grams[keep], totals[keep]
     sizes = (grams > 0).sum(1)
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(grams[grams > 0])), pa.array(totals.astype(np.int64))], names=["gram", "f"])
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(grams[grams > 0].astype(np.int64))), pa.array(totals.astype(np.int64))], names=["gram", "f"])
 
 
 def collocations(docs: DataFrame, least: int = LEAST_COUNT, most: int = MOST_OF_LANGUAGE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from roamgrid.llm import collocations
@@ -80,3 +82,18 @@ def test_odd_rows(spark):
     want = plainly([(r.lang, r.text) for r in docs.select("lang", "text").collect()], 30, 2000)
     assert rows_of(collocations.collocations(docs)) == want and want
     assert rows_of(collocations.collocations(no_documents(spark))) == []
+
+
+def test_mining_holds_numbers_of_32_bits():
+    """Phrases and fragments of a chunk are held once, in the width that a fragment has."""
+    rng = np.random.default_rng(3)
+    rows = np.sort(rng.integers(1, 5_000, (50_000, 7)).astype("<u4"), 1)
+    n, part = np.ones(len(rows), np.int64), np.full(len(rows), -1)
+    words = rng.integers(1, 5_000, 200_000).tolist()
+    peaks = []
+    for run in (lambda: collocations._mined(rows, n, part, 2), lambda: collocations._rewritten(words, {})):
+        tracemalloc.start()
+        run()
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert peaks[0] < 45 and peaks[1] < 24, peaks
