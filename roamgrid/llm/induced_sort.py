@@ -203,6 +203,7 @@ class Text:
         self.scratch, self.symbols, self.weight, self.limit = scratch, symbols, weight, limit
         self.beside = Ranges(scratch, beside)
         n = len(symbols)
+        self.kind = np.int32 if n < 1 << 31 else np.int64  # of places
         self.small = scratch.column(n, bool)  # S
         self.run = scratch.column(n, np.uint8)  # how often the symbol stands from here on
         self.small[n - 1], self.run[n - 1] = True, 1
@@ -229,8 +230,8 @@ class Text:
         n, parts = len(self.symbols), []
         for begin in range(1, n, CHUNK):
             end = min(n, begin + CHUNK)
-            parts.append(np.flatnonzero(self.small[begin:end] & ~self.small[begin - 1 : end - 1]) + begin)
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            parts.append((np.flatnonzero(self.small[begin:end] & ~self.small[begin - 1 : end - 1]) + begin).astype(self.kind))
+        return np.concatenate(parts) if parts else np.zeros(0, self.kind)
 
     def induce(self, seeds: np.ndarray, commons: np.ndarray, ascending: bool, cut: bool = False):
         """Yields (places, commons, induced) of seeds and all that they induce, in order.
@@ -340,13 +341,13 @@ class Text:
             tail[name] = rest[where[final] + 1]
             back = np.empty(len(at), np.uint8)
             back[order] = carried
-            queue.push(pushed[at], place[at] - 1, back)
+            queue.push(pushed[at].astype(np.int32), (place[at] - 1).astype(self.kind), back)
         blocks.append(int(common.min()))
 
 
-def _kept(scratch: Scratch, blocks, wanted, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _kept(scratch: Scratch, blocks, wanted, n: int, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
     """Of an order's blocks the wanted places, and what each shares with the one kept before it."""
-    places, commons, size, open_ = scratch.column(n, np.int64), scratch.column(n, np.uint8), 0, OPEN
+    places, commons, size, open_ = scratch.column(n, kind), scratch.column(n, np.uint8), 0, OPEN
     for place, common, induced in blocks:
         at = np.flatnonzero(wanted(place, induced))
         if not len(at):
@@ -370,7 +371,7 @@ def _backwards(places: np.ndarray, commons: np.ndarray) -> tuple[np.ndarray, np.
 def _from(text: Text, seeds: np.ndarray, commons: np.ndarray, cut: bool = False):
     """The whole descending order from the sorted LMS suffixes, as blocks; the last suffix is not among them."""
     n = len(text.symbols)
-    larger = _kept(text.scratch, text.induce(seeds, commons, True, cut), lambda place, induced: induced, n)
+    larger = _kept(text.scratch, text.induce(seeds, commons, True, cut), lambda place, induced: induced, n, text.kind)
     return text.induce(*_backwards(*larger), False)
 
 
@@ -381,48 +382,68 @@ def sorted_suffixes(scratch: Scratch, symbols: np.ndarray, weight: np.ndarray, b
     if len(lms) < 2:  # the last suffix alone, and nothing falls before it but in one slope
         yield from _from(text, lms, np.zeros(len(lms), np.uint8))
         return
-    n = len(symbols)
-    by_symbol = _stable(symbols[lms])
-    seeds = lms[by_symbol]
-    # LMS substrings end with the next LMS symbol: there, equal symbols are all that is known
-    commons = np.minimum(weight[symbols[seeds]], limit).astype(np.uint8)
-    is_lms = scratch.column(n, bool)
-    is_lms[lms] = True
-    places, shared = _backwards(*_kept(scratch, _from(text, seeds, commons, True), lambda place, induced: is_lms[place], len(lms)))
-    places, shared = np.append(n - 1, places), np.append(OPEN, np.append(0, shared[1:]))[: len(places) + 1]
-    bytes_to = np.append(0, np.cumsum(weight[symbols].astype(np.int64)))
-    upto = np.append(lms[1:], n - 1)  # the next LMS place
-    rank_of = scratch.column(n, np.int32)
-    rank_of[lms] = np.arange(len(lms))
-    k = rank_of[places]
-    length = bytes_to[upto[k]] - bytes_to[lms[k]]  # without the last symbol
-    whole = np.minimum(length + weight[symbols[upto[k]]], limit)
-    same = (shared[1:] >= whole[1:]) & (shared[1:] >= whole[:-1]) & ((length[1:] == length[:-1]) | (shared[1:] >= limit))
-    name = np.append(0, np.cumsum(~same))
-    first = np.append(True, ~same)
-    names = scratch.column(len(lms), np.int32)
-    names[k] = name
-    heavy = np.where(whole[first] >= limit, limit, np.minimum(length[first], limit)).astype(np.uint8)
-    heavy[0] = 1
-    between = shared[first].copy()
-    between[0] = 0
-    often = np.bincount(name, minlength=len(heavy)) > 1
-    if (heavy[often] >= limit).all():  # every name is alone, or all that counts is the same
-        commons = np.where(np.append(False, same), limit, np.minimum(shared, limit)).astype(np.uint8)
-        seeds = places
+    names, heavy, between, commons, seeds = _named(text, lms)
+    if names is None:
+        pass
     elif len(lms) <= BASE_NAMES:
         up, commons = _doubled(names, heavy, limit)
         seeds = lms[up]
     else:
         down = _kept(scratch, sorted_suffixes(scratch, names, heavy, between, limit), lambda place, induced: place >= 0, len(lms))
         up, commons = _backwards(*down)
-        seeds = np.append(n - 1, lms[up])
+        seeds = np.append(lms[-1], lms[up])
         commons = np.append(OPEN, np.append(0, commons[1:]))[: len(seeds)]
+    names = lms = None
     if text.plain:
         commons = _extended(text, seeds, commons)
     yield from _from(text, seeds, commons)
 
 
+def _named(text: Text, lms: np.ndarray) -> tuple:
+    """Names of the LMS substrings in the order of the text, with bytes of each name and those that it shares with the
+    one below, and nothing more; or, if no name needs sorting, instead of names the commons and places of the sorted suffixes.
+
+    All other columns of this step are gone when the names are sorted.
+    """
+    scratch, symbols, weight, limit = text.scratch, text.symbols, text.weight, text.limit
+    n = len(symbols)
+    seeds = lms[_stable(symbols[lms])]
+    # LMS substrings end with the next LMS symbol: there, equal symbols are all that is known
+    commons = np.minimum(weight[symbols[seeds]], limit).astype(np.uint8)
+    is_lms = scratch.column(n, bool)
+    is_lms[lms] = True
+    places, shared = _backwards(*_kept(scratch, _from(text, seeds, commons, True), lambda place, induced: is_lms[place], len(lms), text.kind))
+    seeds = commons = is_lms = None
+    places, shared = np.append(lms[-1], places), np.append(OPEN, np.append(0, shared[1:]))[: len(places) + 1]
+    ends = np.append(lms[1:], lms[-1:])  # the next LMS place
+    if text.plain:
+        length, last = ends - lms, 1  # without the last symbol
+    else:
+        bytes_to = np.append(0, np.cumsum(weight[symbols], dtype=np.int64))
+        length, last = bytes_to[ends] - bytes_to[lms], weight[symbols[ends]]
+        bytes_to = None
+    rank_of = scratch.column(n, np.int32)
+    rank_of[lms] = np.arange(len(lms), dtype=np.int32)
+    k, rank_of = rank_of[places], None
+    # beyond the limit nothing is compared, so that a byte more than it stands for all larger lengths
+    whole = np.minimum(length + last, limit).astype(np.uint8)[k]
+    alike = np.minimum(length, 1 << 30).astype(np.int32)[k]
+    ends = length = last = None
+    same = (shared[1:] >= whole[1:]) & (shared[1:] >= whole[:-1]) & ((alike[1:] == alike[:-1]) | (shared[1:] >= limit))
+    first = np.append(True, ~same)
+    name = (np.cumsum(first, dtype=np.int32) - 1).astype(np.int32)
+    heavy = np.where(whole[first] >= limit, limit, np.minimum(alike[first], limit)).astype(np.uint8)
+    heavy[0] = 1
+    often = np.bincount(name, minlength=len(heavy)) > 1
+    if (heavy[often] >= limit).all():  # every name is alone, or all that counts is the same
+        return None, None, None, np.where(~first, limit, np.minimum(shared, limit)).astype(np.uint8), places
+    between = shared[first].copy()
+    between[0] = 0
+    names = scratch.column(len(lms), np.int32)
+    names[k] = name
+    return names, heavy, between, None, None
+
+
 def _doubled(names: np.ndarray, weight: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of a string that fits in memory in ascending order, with bytes that neighbours share at least.
 
@@ -430,15 +451,15 @@ def _doubled(names: np.ndarray, weight: np.ndarray, limit: int) -> tuple[np.ndar
     """
     n, size = len(names), 1
     upto = np.append(0, np.cumsum(np.minimum(weight[names], limit).astype(np.int64)))
-    starts = np.append(0, np.cumsum(np.bincount(names)))
+    upto, starts = upto.astype(np.int32), np.append(0, np.cumsum(np.bincount(names))).astype(np.int32)  # n is BASE_NAMES at most
     ranks = [(1, starts[names])]  # a rank is the number of smaller suffixes
     while True:
         rank = ranks[-1][1]
         at = np.flatnonzero((np.bincount(rank)[rank] > 1) & (upto[np.minimum(np.arange(n) + size, n)] - upto[:n] < limit))
         if not len(at):
             break
-        second = np.where(at + size < n, rank[np.minimum(at + size, n - 1)] + 1, 0)
-        key = rank[at] * (n + 2) + second
+        second = np.where(at + size < n, rank[np.minimum(at + size, n - 1)] + 1, 0).astype(np.int64)
+        key = rank[at].astype(np.int64) * (n + 2) + second
         order = np.argsort(key, kind="stable")
         key = key[order]
         group, new = rank[at[order]], np.append(True, key[1:] != key[:-1])
@@ -461,14 +482,15 @@ def _doubled(names: np.ndarray, weight: np.ndarray, limit: int) -> tuple[np.ndar
 
 def _extended(text: Text, places: np.ndarray, commons: np.ndarray) -> np.ndarray:
     """Common bytes of neighbours, where names know too few: one that ends as another goes on with its last symbol."""
-    out = np.minimum(commons, text.limit).astype(np.int64)
-    at = np.arange(1, len(places))
-    while len(at):
-        at = at[out[at] < text.limit]
-        p, q = places[at - 1] + out[at], places[at] + out[at]
-        like = text.symbols[p] == text.symbols[q]
-        at, p, q = at[like], p[like], q[like]
-        out[at] += np.minimum(text.run[p], text.run[q])
+    out = np.minimum(commons, text.limit).astype(np.int32)
+    for begin in range(1, len(places), BLOCK):
+        at = np.arange(begin, min(len(places), begin + BLOCK))
+        while len(at):
+            at = at[out[at] < text.limit]
+            p, q = places[at - 1] + out[at], places[at] + out[at]
+            like = text.symbols[p] == text.symbols[q]
+            at, p, q = at[like], p[like], q[like]
+            out[at] += np.minimum(text.run[p], text.run[q])
     return np.minimum(out, text.limit).astype(np.uint8)
 
 
@@ -480,5 +502,6 @@ def order(text: np.ndarray, limit: int, scratch: Scratch):
     top = int(text.max()) if len(text) else 0
     symbols = scratch.column(len(text) + 1, np.uint16 if top < 1 << 16 else np.int32)
     symbols[:-1] = text
+    text = None
     for place, common, _ in sorted_suffixes(scratch, symbols, np.ones(top + 1, np.uint8), np.zeros(top + 1, np.uint8), limit):
         yield place, common

@@ -254,8 +254,9 @@ def _sorted_shard(batches):
         texts, lengths, ranks = None, lengths[shared], ranks[shared]
         starts = np.cumsum(lengths + 1) - (lengths + 1)
         marks = scratch.column(len(text) + 1, bool)
-        carried = None
-        for place, common in order(text, WIDTH, scratch):
+        carried, suffixes = None, order(text, WIDTH, scratch)
+        text = None  # the order has its own copy
+        for place, common in suffixes:
             carried = _mark(place, common >= WIDTH, starts, lengths, ranks, marks, carried)
         yield from _runs(marks, starts, lengths, ranks)
 

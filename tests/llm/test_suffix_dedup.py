@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -76,6 +77,20 @@ def test_runs_on_disk_and_small_blocks(monkeypatch):
         assert (commons[i] >= 100) == same
 
 
+def test_memory_for_a_byte_of_text():
+    """What is needed to name substrings isn't held while the names are sorted, and places take 32 bits."""
+    rng = np.random.default_rng(5)
+    words = np.column_stack([rng.integers(2, 28, (3000, 6)), np.full(3000, 30)]).astype(np.uint16)
+    text = words[rng.integers(0, len(words), 150_000)].ravel()
+    with induced_sort.Scratch() as scratch:
+        tracemalloc.start()
+        for _ in induced_sort.order(text, 100, scratch):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert peak < 60 * len(text)
+
+
 @pytest.mark.parametrize("options", [{}, {"broadcast_grams": 0}, {"most_of_gram": 3}, {"shard_bytes": 3_000}])
 def test_random_texts(spark, texts, options):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], DOCUMENTS).repartition(4)
