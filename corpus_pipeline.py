@@ -30,7 +30,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row of the smallest doc_id of each group of texts linked by 0.8 or more of their 5-word shingles."""
+    """Keeps the row of the smallest doc_id of each group of texts linked by 0.8 or more of their 5-word shingles:
+    op6's tree over SimHash fingerprints gives links, prefixes of shingle sets those that it can't, all are verified."""
     return near_texts.drop_similar(docs).select(*COLUMNS)
 
 

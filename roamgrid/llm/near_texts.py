@@ -1,9 +1,10 @@
 """Groups of texts whose word shingles have at least a given Jaccard similarity, exactly.
 
-SimHash fingerprints of 64 bits can't give these: texts of similarity 0.8 were found up to 17 bits
-apart, and at such a reach no tree over Hamming distances excludes anything.  So candidates come from
-prefixes: under any one order of all shingles, two sets of similarity ``s`` share one of their first
-``n - ceil(s * n) + 1`` shingles, and more the larger they are.
+Candidates come from SimHash fingerprints of the same shingles first, by op6's vantage-point tree: texts that
+follow one another among those of linked fingerprints.  Fingerprints of 64 bits can't give all links, though:
+texts of similarity 0.8 were found up to 17 bits apart, and at such a reach no tree over Hamming distances
+excludes anything.  What the tree leaves unlinked comes from prefixes: under any one order of all shingles, two
+sets of similarity ``s`` share one of their first ``n - ceil(s * n) + 1`` shingles, and more the larger they are.
 
 1. Every text becomes the hashes of its distinct shingles; of these only the prefix leaves the task.
    Shingles that are frequent in a sample come last in the order, the others go by hash.  The sample
@@ -26,13 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roamgrid.llm import simhash
 from roamgrid.llm.components import connected_components
-from roamgrid.llm.rows import numbered, semi_join
-from roamgrid.plans.storage import settings, written
+from roamgrid.llm.rows import join_groups, numbered, semi_join
+from roamgrid.plans.storage import settings, shuffle_width, written
 
 WORDS = 5
 #: Least similarity in fifths: 4 stands for 0.8.
 FIFTHS = 4
+#: Bits in which fingerprints that the tree links differ, at most.
+REACH = 2
 #: Texts whose shingles are counted for the order, at most, and the texts of these that make one frequent.
 SAMPLE, FREQUENT = 8_000, 3
 #: Texts in a list from which neighbours in it are tried first, and how often, in another order each time.
@@ -122,11 +126,9 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFram
     return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
-def _open_lists(shared: DataFrame, links: DataFrame | None) -> DataFrame:
+def _open_lists(shared: DataFrame, links: DataFrame) -> DataFrame:
     """``shared`` with each text's ``root`` by the links so far, without the lists of one root."""
     of_token = Window.partitionBy("token")
-    if links is None:
-        return shared.withColumn("root", F.col("number"))
     roots = connected_components(links).withColumnRenamed("node", "number")
     rows = shared.join(roots, "number", "left").withColumn("root", F.coalesce("root", "number"))
     rows = rows.withColumn("low", F.min("root").over(of_token)).withColumn("high", F.max("root").over(of_token))
@@ -144,9 +146,54 @@ def distinct_lists(rows: DataFrame) -> DataFrame:
     return written(rows.drop("many").join(alike.select("token", "times"), "token"), "distinct_lists")
 
 
+def tree_pairs(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """``a``, ``b``: neighbours among the texts whose fingerprints the tree puts into one component.
+
+    They stand in one order of component, fingerprint and number, dealt by ranges, so a text is in few pairs, however
+    many are alike: one with its neighbour on either side, and the two ends of a range with each other.  They aren't verified.
+    """
+    spark = texts.sparkSession
+    fps = written(simhash.fingerprints(texts.select(F.col("number").alias("doc_id"), "text"), words).withColumnRenamed("doc_id", "number"), "text_fingerprints")
+    distinct = written(fps.groupBy("fp").agg(F.count("*").alias("n")), "distinct_text_fingerprints")
+    roots = connected_components(simhash.links(distinct, REACH)).withColumnRenamed("node", "fp")
+    named = distinct.join(roots, "fp", "left").where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "fp"))
+    rows = join_groups(fps, written(named, "fingerprint_groups"), ["fp"], "n").select("root", "fp", "number")
+    rows = rows.repartitionByRange(shuffle_width(spark), "root", "fp", "number").sortWithinPartitions("root", "fp", "number")
+    found = written(rows.mapInArrow(_neighbours, "root long, fp long, a long, b long"), "tree_pairs")
+    onward = Window.partitionBy("root").orderBy("fp", "a")
+    ends = found.where("b IS NULL").select("a", F.lead("a").over(onward).alias("b")).where("a <> b")  # two for each range at most
+    return found.where("b IS NOT NULL").select("a", "b").unionByName(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
+def _neighbours(batches):
+    """Pairs of rows that follow one another and have one root; the first and the last row are paired with null."""
+    roots, fps, numbers = (np.zeros(0, np.int64) for _ in range(3))
+
+    def given(root, fp, a, b, there=True):
+        return pa.RecordBatch.from_arrays([pa.array(root), pa.array(fp), pa.array(a), pa.array(b, mask=np.full(len(b), not there))], names=["root", "fp", "a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        begins = not len(numbers)
+        roots, fps, numbers = (np.append(x[-1:], c.to_numpy(zero_copy_only=False)) for x, c in zip((roots, fps, numbers), batch.columns))
+        if begins:
+            yield given(roots[:1], fps[:1], numbers[:1], numbers[:1], False)
+        like = roots[1:] == roots[:-1]
+        yield given(roots[1:][like], fps[1:][like], np.minimum(numbers[1:], numbers[:-1])[like], np.maximum(numbers[1:], numbers[:-1])[like])
+    if len(numbers):
+        yield given(roots[-1:], fps[-1:], numbers[-1:], numbers[-1:], False)
+
+
+def tree_links(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """The verified of the pairs that the tree gives."""
+    return written(verified(written(tree_pairs(texts, words), "tree_candidates"), texts, words), "links")
+
+
 def links(shared: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(a, b)``: verified pairs that span each group, from the lists of shared prefix shingles."""
-    found = None
+    """``(a, b)``: verified pairs that span each group: those of the tree, then, for texts that it leaves
+    apart, those from the lists of shared prefix shingles."""
+    found = tree_links(texts, words)
     for k in range(ROUNDS):
         rows = _open_lists(shared, found).where(F.col("many") >= LONG_LIST)
         after = Window.partitionBy("token").orderBy(F.xxhash64("number", F.lit(k)), "number")
@@ -156,7 +203,7 @@ def links(shared: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
         # neighbours in half of the lists that they need in common
         pairs = written(pairs.where(_enough(2 * F.col("common"), F.col("n"), F.col("m"))).select("a", "b"), "neighbours")
         new = verified(pairs, texts, words)
-        found = written(new if found is None else found.unionByName(new), "links")
+        found = written(found.unionByName(new), "links")
     rows = written(_open_lists(shared, found), "open_lists")
     lists = distinct_lists(rows)
     x, y = lists.alias("x"), lists.alias("y")
@@ -180,7 +227,8 @@ def similar(texts: DataFrame, words: int = WORDS) -> DataFrame:
     many = F.when(F.col("token").isNotNull(), F.count("*").over(Window.partitionBy("token", alone))).otherwise(0)
     with settings(texts.sparkSession, **SMALL_BATCHES):
         shared = written(prefixes(texts, words).withColumn("many", many).where("many <> 1"), "shared_prefixes")
-        found = written(links(shared.where("token IS NOT NULL"), texts, words), "all_links")
+        worded = semi_join(texts, shared.where("token IS NULL").select("number"), ["number"], "left_anti")
+        found = written(links(shared.where("token IS NOT NULL"), worded, words), "all_links")
     wordless = shared.where("token IS NULL").select("number")
     least = wordless.agg(F.min("number")).head()[0]
     groups = connected_components(found).withColumnRenamed("node", "number")

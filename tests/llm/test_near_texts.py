@@ -1,5 +1,9 @@
 """The pipeline's near-duplicate stage against exact Jaccard similarity of all pairs."""
 
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from roamgrid.llm import near_texts
 from tests.llm.samples import DOCUMENTS, ODD, no_documents, odd_documents
@@ -74,6 +78,20 @@ def test_large_groups_of_near_copies(spark):
     assert stays(spark, rows) == want and len(want) < 9
 
 
+def test_links_of_the_tree(spark):
+    """Copies with another last word are linked by op6's tree alone; a text is in few of its pairs."""
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(i, base + f" x{i}") for i in range(200)] + [(1000 + i, " ".join(f"y{i}-{k}" for k in range(40))) for i in range(20)]
+    texts = spark.createDataFrame(rows, "number long, text string").repartition(3)
+    pairs = [tuple(r) for r in near_texts.tree_pairs(texts).collect()]
+    assert max(Counter(n for pair in pairs for n in pair).values()) <= 4
+    none = near_texts.prefixes(texts).withColumn("many", F.lit(2)).where("false")
+    linked = [tuple(r) for r in near_texts.links(none, texts).collect()]
+    assert set(linked) <= set(pairs) and all(a < b < 1000 for a, b in linked)
+    component = groups(linked, [i for i, _ in rows])
+    assert max(Counter(component.values()).values()) > 100
+
+
 def test_odd_rows(spark):
     assert near_texts.similar_groups(odd_documents(spark)).count() == len(ODD)
     assert near_texts.similar_groups(no_documents(spark)).count() == 0
