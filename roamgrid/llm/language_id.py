@@ -14,7 +14,6 @@ side by side, joins the segments by their transfer matrices, and goes over them
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -203,18 +202,19 @@ class LanguageModel:
         A sequence goes on with a piece of another random document after some words, about twelve.
         """
         labels = sorted(set(langs))
-        docs = [(find_words(t.lower()), labels.index(y)) for t, y in zip(texts, langs)]
-        docs = [d for d in docs if d[0]]
+        number, docs = _Numbers(), []
+        for t, y in zip(texts, langs):  # of a text only the numbers of its words are held
+            words = find_words(t.lower())
+            if words:
+                docs.append((np.fromiter(map(number.__getitem__, words), np.int32, len(words)), labels.index(y)))
         k = max(1, len(labels))
-        counts = Counter(w for words, _ in docs for w in words)
-        vocabulary = list(counts)
         if not docs or k < 2:
             return cls(labels or [UNDETERMINED], np.zeros((BUCKETS + 1, k), np.float32), np.zeros(0, np.uint64), np.zeros((0, k), np.float32), np.zeros((k, k)))
-        number = {w: i for i, w in enumerate(vocabulary)}
-        docs = [(np.array([number[w] for w in words]), y) for words, y in docs]
+        vocabulary, counts = number.new, np.bincount(np.concatenate([words for words, _ in docs]), minlength=len(number))
+        del number
         features, counted = word_features(vocabulary)
         whole = word_hashes(vocabulary)
-        frequent = np.array([counts[w] >= LEXICON_COUNT for w in vocabulary])
+        frequent = counts >= LEXICON_COUNT
         lexicon = np.unique(whole[frequent])
         # a frequent word's own feature stands behind its others
         features = np.insert(features, np.cumsum(counted)[frequent], (BUCKETS + 1 + np.searchsorted(lexicon, whole[frequent])).astype(np.int32))
@@ -367,8 +367,10 @@ def fit(docs: DataFrame, rows: int = TRAINING_ROWS) -> LanguageModel:
     chosen = usable.select("doc_id").distinct().orderBy(*order).limit(rows)
     found = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
     found = found.distinct().orderBy(*order, "lang", "text").limit(rows).collect()
-    found = sorted((r["doc_id"], r["text"], r["lang"]) for r in found)
-    return LanguageModel.fit([r[1] for r in found], [r[2] for r in found])
+    found.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"]))
+    texts, langs = [r["text"] for r in found], [r["lang"] for r in found]
+    del found
+    return LanguageModel.fit(texts, langs)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

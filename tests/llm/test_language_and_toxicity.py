@@ -4,6 +4,7 @@ import itertools
 import math
 import pickle
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -215,3 +216,13 @@ def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (5, 1), (5, 0)], "doc_id long, toxic int")
     model = toxicity.fit(odd_documents(spark), labels)
     assert {r.score for r in toxicity.score(odd_documents(spark), model).collect()} == {0.0}
+
+
+def test_fit_holds_numbers_not_words():
+    """A word of the training texts costs the driver its number, not a string."""
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + k % 26)}wort" for k in range(2000)) for i in range(400)]
+    tracemalloc.start()
+    language_id.LanguageModel.fit(texts, ["de", "en"] * 200, steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * 2000 * len(texts)
