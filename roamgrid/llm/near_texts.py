@@ -12,9 +12,14 @@ sets of similarity ``s`` share one of their first ``n - ceil(s * n) + 1`` shingl
 2. A prefix shingle's list is its texts.  In long lists neighbours in one order of all texts are
    tried first, those that are neighbours in enough lists; so large groups of copies are joined by
    about one pair for each text, and their lists have nothing left to compare.
-3. Of texts that share a list and aren't in one group yet, those are compared that have enough prefix
-   shingles in common.  Lists of the same texts, as copies have many, are one list that counts as often.
-4. Every link is verified on the two whole texts.  Components over the links are the groups.
+3. Of texts that share a list and aren't in one group yet, those are compared whose first common shingle
+   stands early enough in both for the rest to be similar.  Lists of the same texts, as copies have many, are one.
+4. A sample can't tell how frequent most shingles are, so lists may still be long.  The texts of such lists are
+   ordered once more, by how many of them have a shingle, exactly: what a text alone has comes first and
+   makes no list, and two texts of such lists meet in this order only.
+5. Pairs are first compared by parities: a bit for each set of shingles with one remainder, telling whether a text
+   has an odd number of them.  Two texts differ in no more bits than shingles, so no link is lost.
+6. Every link is verified on the two whole texts.  Components over the links are the groups.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ REACH = 2
 SAMPLE, FREQUENT = 8_000, 3
 #: Texts in a list from which neighbours in it are tried first, and how often, in another order each time.
 LONG_LIST, ROUNDS = 6, 2
+#: Texts in a list from which these are ordered by exact counts.
+CROWDED = 64
 #: Texts that a Python worker holds at a time.
 SMALL_BATCHES = {"spark__sql__execution__arrow__maxRecordsPerBatch": "200"}
 
@@ -70,14 +77,14 @@ def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndar
 
 
 def prefixes(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """``token``, ``number`` and ``n`` for each shingle of each text's prefix; one row without a token for
-    a text without words."""
+    """``token``, ``number``, ``n`` and ``place`` in the order for each shingle of each text's prefix; one row
+    without a token for a text without words."""
     there = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, words))
 
     def run(batches):
         frequent, times = there.value
         for b in batches:
-            tokens, at, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            tokens, at, sizes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
             wordless = []
             for i, text in enumerate(b.column(1)):  # one text at a time is a Python string
                 s = shingles(text.as_py(), words)
@@ -90,11 +97,33 @@ def prefixes(texts: DataFrame, words: int = WORDS) -> DataFrame:
                 tokens.append(s[np.argsort(np.where(frequent[k] == s, times[k], 0), kind="stable")[:first]])
                 at.append(np.full(first, i))
                 sizes.append(np.full(first, n, np.int32))
+                places.append(np.arange(first, dtype=np.int32))
             token = pa.array(np.concatenate([*tokens, np.zeros(len(wordless), np.uint64)]).view(np.int64), mask=np.repeat([False, True], [sum(map(len, tokens)), len(wordless)]))
-            columns = [token, b.column(0).take(pa.array(np.concatenate([*at, np.array(wordless, np.int64)]))), pa.array(np.concatenate([*sizes, np.zeros(len(wordless), np.int32)]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "number", "n"])
+            none = np.zeros(len(wordless), np.int32)
+            columns = [token, b.column(0).take(pa.array(np.concatenate([*at, np.array(wordless, np.int64)]))), *(pa.array(np.concatenate([*x, none])) for x in (sizes, places))]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "number", "n", "place"])
 
-    return texts.select("number", "text").mapInArrow(run, "token long, number long, n int")
+    return texts.select("number", "text").mapInArrow(run, "token long, number long, n int, place int")
+
+
+def exact_prefixes(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """As ``prefixes``, but shingles that few of ``texts`` have come first, by exact counts, and those that one text
+    alone has are left out; they count in ``place``."""
+
+    def run(batches):
+        for b in batches:
+            found = [shingles(t.as_py(), words) for t in b.column(1)]
+            sizes = np.array([len(s) for s in found], np.int32)
+            at = np.repeat(np.arange(len(found)), sizes)
+            token = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token), b.column(0).take(pa.array(at)), pa.array(sizes[at])], names=["token", "number", "n"])
+
+    every = written(texts.select("number", "text").mapInArrow(run, "token long, number long, n int"), "crowded_shingles")
+    times = written(every.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "crowded_counts")
+    own = Window.partitionBy("number")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("times", "token")) - 1
+    rows = every.join(times, "token").withColumn("place", place.cast("int"))
+    return rows.where(5 * (F.col("n") - F.col("place")) >= FIFTHS * F.col("n")).select("token", "number", "n", "place")
 
 
 def _like_size(a: Column, b: Column) -> Column:
@@ -126,24 +155,82 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFram
     return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Bits of a set of hashes, two to four for each: whether an odd number of hashes has this remainder."""
+    bits = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """How many hashes two sets of these parities have not in common, at least; the longer one is folded."""
+    x, y = sorted((np.frombuffer(v, np.uint64) for v in (a, b)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def promising(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """The pairs ``a``, ``b`` of numbers whose texts' parities don't differ too much for them to be similar."""
+
+    def bits(batches):
+        for b in batches:
+            found = [shingles(t.as_py(), words) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array(map(parities, found), pa.binary())], names=["number", "n", "bits"])
+
+    def run(batches):
+        for b in batches:
+            n, m = (b.column(i).to_numpy() for i in (2, 3))
+            apart = np.array([least_difference(x.as_py(), y.as_py()) for x, y in zip(b.column(4), b.column(5))], np.int64)
+            yield b.select(["a", "b"]).filter(pa.array((5 + FIFTHS) * apart <= (5 - FIFTHS) * (n.astype(np.int64) + m)))
+
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct(), "promising_texts")
+    some = written(semi_join(texts.select("number", "text"), needed, ["number"]).mapInArrow(bits, "number long, n int, bits binary"), "parities")
+    both = pairs.join(some.toDF("a", "n", "of_a"), "a").join(some.toDF("b", "m", "of_b"), "b")
+    return written(both.select("a", "b", "n", "m", "of_a", "of_b").mapInArrow(run, "a long, b long"), "promising")
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "number", "left").withColumn("root", F.coalesce("root", "number"))
+
+
 def _open_lists(shared: DataFrame, links: DataFrame) -> DataFrame:
     """``shared`` with each text's ``root`` by the links so far, without the lists of one root."""
     of_token = Window.partitionBy("token")
-    roots = connected_components(links).withColumnRenamed("node", "number")
-    rows = shared.join(roots, "number", "left").withColumn("root", F.coalesce("root", "number"))
+    rows = _with_roots(shared, connected_components(links).withColumnRenamed("node", "number"))
     rows = rows.withColumn("low", F.min("root").over(of_token)).withColumn("high", F.max("root").over(of_token))
     return rows.where("low <> high").drop("low", "high")
 
 
 def distinct_lists(rows: DataFrame) -> DataFrame:
-    """The rows of one list of all those that hold the same texts, and how many these are (``times``).
+    """The rows of one list of all those that hold the same texts, with the first ``place`` of these lists in each
+    text and how many texts they hold (``many``).
 
     Lists are told apart by two hashes of their texts, as shingles are by one.
     """
     marks = [F.bit_xor(F.xxhash64("number", F.lit(k))).alias(f"mark_{k}") for k in (1, 2)]
     lists = rows.groupBy("token").agg(F.count("*").alias("many"), *marks)
-    alike = lists.groupBy("many", "mark_1", "mark_2").agg(F.min("token").alias("token"), F.count("*").alias("times"))
-    return written(rows.drop("many").join(alike.select("token", "times"), "token"), "distinct_lists")
+    of_text = rows.drop("many").join(lists, "token").groupBy("many", "mark_1", "mark_2", "number", "n", "root")
+    return written(of_text.agg(F.min("token").alias("token"), F.min("place").alias("place")).drop("mark_1", "mark_2"), "distinct_lists")
+
+
+def _meeting(lists: DataFrame, other: Column) -> DataFrame:
+    """``a``, ``b``: texts ``x`` and ``y`` of one list and different roots that can be similar if no shingle before it is common."""
+    x, y = lists.alias("x"), lists.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    early = [(5 + FIFTHS) * (size - F.col(place)) >= FIFTHS * (n + m) for size, place in ((n, "x.place"), (m, "y.place"))]
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.number") < F.col("y.number")) & (F.col("x.root") != F.col("y.root"))
+    return x.join(y, apart & early[0] & early[1] & other).select(F.col("x.number").alias("a"), F.col("y.number").alias("b")).distinct()
+
+
+def left_pairs(rows: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """``a``, ``b``: texts of open lists and different roots that may be similar; all that are, are among them."""
+    lists = distinct_lists(rows)
+    crowded = written(lists.where(F.col("many") >= CROWDED).select("number", "root").distinct(), "crowded_texts")
+    short = lists.where(F.col("many") < CROWDED).join(crowded.select("number", F.lit(True).alias("crowded")), "number", "left")
+    short = written(short.withColumn("crowded", F.coalesce("crowded", F.lit(False))), "short_lists")
+    pairs = _meeting(short, ~(F.col("x.crowded") & F.col("y.crowded")))
+    again = exact_prefixes(semi_join(texts, crowded.select("number"), ["number"]), words)
+    again = written(_with_roots(again, crowded), "crowded_prefixes")
+    return written(pairs.unionByName(_meeting(again, F.lit(True))), "left_pairs")
 
 
 def tree_pairs(texts: DataFrame, words: int = WORDS) -> DataFrame:
@@ -205,14 +292,8 @@ def links(shared: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
         new = verified(pairs, texts, words)
         found = written(found.unionByName(new), "links")
     rows = written(_open_lists(shared, found), "open_lists")
-    lists = distinct_lists(rows)
-    x, y = lists.alias("x"), lists.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
-    other = (F.col("x.token") == F.col("y.token")) & (F.col("x.number") < F.col("y.number")) & (F.col("x.root") != F.col("y.root"))
-    left = x.join(y, other & _like_size(n, m))
-    left = left.groupBy(F.col("x.number").alias("a"), F.col("y.number").alias("b"), n.alias("n"), m.alias("m")).agg(F.sum("x.times").alias("common"))
-    left = written(left.where(_enough(F.col("common"), F.col("n"), F.col("m"))).select("a", "b"), "left_pairs")
-    return found.unionByName(verified(left, texts, words))
+    left = left_pairs(rows, texts, words)
+    return found.unionByName(verified(promising(left, texts, words), texts, words))
 
 
 def similar(texts: DataFrame, words: int = WORDS) -> DataFrame:

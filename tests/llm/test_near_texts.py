@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -78,6 +80,45 @@ def test_large_groups_of_near_copies(spark):
     assert stays(spark, rows) == want and len(want) < 9
 
 
+def edited_texts(many, edits, size=300):
+    """Texts that each differ from one base in places of their own; most pairs are just below 0.8."""
+    rows = []
+    for i in range(many):
+        text = [f"w{k}" for k in range(size)]
+        for k in range(edits + i % 3):
+            text[(i * 37 + k * 41) % size] = f"x{i}-{k}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_few_pairs_of_a_crowd_that_is_apart(spark, monkeypatch):
+    """Texts that one base has in common but that aren't similar: none are paired, in place of nearly all."""
+    monkeypatch.setattr(near_texts, "FREQUENT", 10**6)  # as in a table whose sample doesn't show the group
+    rows = edited_texts(120, 9)
+    assert expected(rows) == [i for i, _ in rows]
+    texts = spark.createDataFrame(rows, "number long, text string")
+    shared = near_texts.prefixes(texts).withColumn("many", F.count("*").over(Window.partitionBy("token"))).where("many > 1").withColumn("root", F.col("number"))
+    left = near_texts.left_pairs(shared, texts)
+    assert left.count() < len(rows)
+    assert stays(spark, rows) == expected(rows)
+
+
+def test_crowds_of_any_size_equal_all_pairs(spark, monkeypatch):
+    rows = edited_texts(60, 4) + [(1000 + i, t.replace("w", "v")) for i, t in edited_texts(40, 3, 120)]
+    for crowded in (2, 9, 1000):
+        monkeypatch.setattr(near_texts, "CROWDED", crowded)
+        assert stays(spark, rows) == expected(rows)
+
+
+def test_parities_never_exceed_the_difference():
+    random = np.random.default_rng(3)
+    for n, own, other in ((1, 0, 0), (1, 1, 1), (40, 3, 0), (300, 20, 35), (300, 0, 400), (5000, 600, 700)):
+        x = random.integers(0, 2**64, n, np.uint64)
+        a, b = (np.append(x, random.integers(0, 2**64, k, np.uint64)) for k in (own, other))
+        apart = near_texts.least_difference(near_texts.parities(a), near_texts.parities(b))
+        assert own + other >= apart and (apart + own + other) % 2 == 0 and apart > (own + other) // 2 - 1
+
+
 def test_links_of_the_tree(spark):
     """Copies with another last word are linked by op6's tree alone; a text is in few of its pairs."""
     base = " ".join(f"w{i}" for i in range(300))
