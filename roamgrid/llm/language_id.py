@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roamgrid.llm.rows import fitted
+
 #: Documents that a model is fitted on, at most: those with the smallest hashes of doc_id.
 TRAINING_ROWS = 3_000
 BUCKETS = 1 << 18
@@ -359,17 +361,20 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, rows: int = TRAINING_ROWS) -> LanguageModel:
     """Fits on at most ``rows`` documents with a language that are not held out.
 
-    The documents are chosen by their identifiers alone; only their texts come to the driver, and of
+    The documents are chosen by their identifiers alone; only their texts come to the task that fits, and of
     identifiers with several texts or languages no more than ``rows`` in all.
     """
     usable = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = usable.select("doc_id").distinct().orderBy(*order).limit(rows)
     found = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
-    found = found.distinct().orderBy(*order, "lang", "text").limit(rows).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"]))
-    texts, langs = [r["text"] for r in found], [r["lang"] for r in found]
-    del found
+    return fitted(found.distinct().orderBy(*order, "lang", "text").limit(rows), _fit_rows)
+
+
+def _fit_rows(rows: list[dict]) -> LanguageModel:
+    rows.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"]))
+    texts, langs = [r["text"] for r in rows], [r["lang"] for r in rows]
+    rows.clear()
     return LanguageModel.fit(texts, langs)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,18 @@ def semi_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_
     return rows.join(F.broadcast(keys) if few else keys, on, how)
 
 
+def fitted(sample: DataFrame, fit):
+    """What ``fit`` makes of the rows of a bounded sample, given as dictionaries; it works in a task, and only what it
+    returns comes to the driver."""
+
+    def run(batches):
+        rows = [r for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    made = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else fit([])
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
     """Rows with their group's columns, for groups that know how many rows they have (``size``).
 

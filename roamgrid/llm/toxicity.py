@@ -26,6 +26,8 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roamgrid.llm.rows import fitted
+
 #: Labelled rows that a model is fitted on, at most: those with the smallest hashes of doc_id.
 LABELLED_ROWS = 9_000
 #: Ordinary texts among them that a dictionary is trained on, at most, and half of them; the others calibrate.
@@ -219,7 +221,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> ToxicityModel:
     """Fits on at most ``rows`` labelled documents that are not held out.
 
-    Only the chosen documents' texts come to the driver, and of identifiers with several texts no
+    Only the chosen documents' texts come to the task that fits, and of identifiers with several texts no
     more than ``rows`` in all.  Labels that are null or differ for one
     document are left out, as are labels without a document.
     """
@@ -234,10 +236,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Toxici
         .select("doc_id", "toxic")
     )
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = found.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
-    found.sort(key=lambda r: (hash(r["doc_id"]) * 2654435761 % 2**32, r["doc_id"], r["text"], r["toxic"]))
-    texts, labels = [r["text"] for r in found], [r["toxic"] for r in found]
-    del found
+    return fitted(found.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows), _fit_rows)
+
+
+def _fit_rows(rows: list[dict]) -> ToxicityModel:
+    rows.sort(key=lambda r: (hash(r["doc_id"]) * 2654435761 % 2**32, r["doc_id"], r["text"], r["toxic"]))
+    texts, labels = [r["text"] for r in rows], [r["toxic"] for r in rows]
+    rows.clear()
     return ToxicityModel.fit(texts, labels)
 
 

@@ -1,5 +1,7 @@
 """The trained models: exact inference, held-out accuracy, odd rows."""
 
+import os
+
 import itertools
 import math
 import pickle
@@ -12,6 +14,7 @@ import pytest
 import zstandard as zstd
 
 from roamgrid.llm import language_id, registry, toxicity
+from roamgrid.llm.rows import fitted
 from tests.llm.samples import DOCUMENTS, ODD, no_documents, odd_documents
 
 SF = "/root/testdata/sf0.01"
@@ -226,3 +229,11 @@ def test_fit_holds_numbers_not_words():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40 * 2000 * len(texts)
+
+
+def test_samples_do_not_come_to_the_driver(spark):
+    """The task that fits has the texts; the driver gets what it returns."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string").repartition(5)
+    driver = os.getpid()
+    assert fitted(docs, lambda rows: (len(rows), sorted(r["doc_id"] for r in rows)[-1], os.getpid() != driver)) == (50, 49, True)
+    assert fitted(docs.limit(0), len) == 0
