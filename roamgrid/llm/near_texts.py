@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamgrid.llm import simhash
-from roamgrid.llm.components import connected_components
+from roamgrid.llm.components import FEW_EDGES, connected_components
 from roamgrid.llm.rows import join_groups, numbered, semi_join
 from roamgrid.plans.storage import settings, shuffle_width, written
 
@@ -195,7 +195,7 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def _open_lists(shared: DataFrame, links: DataFrame) -> DataFrame:
     """``shared`` with each text's ``root`` by the links so far, without the lists of one root."""
     of_token = Window.partitionBy("token")
-    rows = _with_roots(shared, connected_components(links).withColumnRenamed("node", "number"))
+    rows = _with_roots(shared, connected_components(links, FEW_EDGES).withColumnRenamed("node", "number"))
     rows = rows.withColumn("low", F.min("root").over(of_token)).withColumn("high", F.max("root").over(of_token))
     return rows.where("low <> high").drop("low", "high")
 
@@ -242,7 +242,7 @@ def tree_pairs(texts: DataFrame, words: int = WORDS) -> DataFrame:
     spark = texts.sparkSession
     fps = written(simhash.fingerprints(texts.select(F.col("number").alias("doc_id"), "text"), words).withColumnRenamed("doc_id", "number"), "text_fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.count("*").alias("n")), "distinct_text_fingerprints")
-    roots = connected_components(simhash.links(distinct, REACH)).withColumnRenamed("node", "fp")
+    roots = connected_components(simhash.links(distinct, REACH), FEW_EDGES).withColumnRenamed("node", "fp")
     named = distinct.join(roots, "fp", "left").where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "fp"))
     rows = join_groups(fps, written(named, "fingerprint_groups"), ["fp"], "n").select("root", "fp", "number")
     rows = rows.repartitionByRange(shuffle_width(spark), "root", "fp", "number").sortWithinPartitions("root", "fp", "number")
@@ -312,7 +312,7 @@ def similar(texts: DataFrame, words: int = WORDS) -> DataFrame:
         found = written(links(shared.where("token IS NOT NULL"), worded, words), "all_links")
     wordless = shared.where("token IS NULL").select("number")
     least = wordless.agg(F.min("number")).head()[0]
-    groups = connected_components(found).withColumnRenamed("node", "number")
+    groups = connected_components(found, FEW_EDGES).withColumnRenamed("node", "number")
     return groups.unionByName(wordless.withColumn("root", F.lit(least).cast("long")))
 
 

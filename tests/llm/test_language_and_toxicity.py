@@ -1,9 +1,8 @@
 """The trained models: exact inference, held-out accuracy, odd rows."""
 
-import os
-
 import itertools
 import math
+import os
 import pickle
 import re
 import tracemalloc

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from roamgrid.llm import near_texts
+from roamgrid.llm.components import connected_components
 from tests.llm.samples import DOCUMENTS, ODD, no_documents, odd_documents
 from tests.llm.test_simhash import groups
 
@@ -110,6 +111,16 @@ def test_crowds_of_any_size_equal_all_pairs(spark, monkeypatch):
         assert stays(spark, rows) == expected(rows)
 
 
+def test_few_edges_are_joined_in_one_task(spark):
+    random = np.random.default_rng(5)
+    pairs = [tuple(map(int, p)) for p in random.integers(-300, 300, (260, 2))] + [(i, i + 1) for i in range(1000, 1400)] + [(7, 7)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    few, rounds = (sorted(map(tuple, connected_components(edges, n).collect())) for n in (10_000, 0))
+    assert few == rounds and connected_components(edges.limit(0), 10_000).count() == 0
+    component = groups([p for p in pairs if p[0] != p[1]], sorted({n for p in pairs for n in p}))
+    assert all(component[node] == root for node, root in few)
+
+
 def test_parities_never_exceed_the_difference():
     random = np.random.default_rng(3)
     for n, own, other in ((1, 0, 0), (1, 1, 1), (40, 3, 0), (300, 20, 35), (300, 0, 400), (5000, 600, 700)):
