@@ -14,12 +14,12 @@ sets of similarity ``s`` share one of their first ``n - ceil(s * n) + 1`` shingl
    about one pair for each text, and their lists have nothing left to compare.
 3. Of texts that share a list and aren't in one group yet, those are compared whose first common shingle
    stands early enough in both for the rest to be similar.  Lists of the same texts, as copies have many, are one.
-4. A sample can't tell how frequent most shingles are, so lists may still be long.  The texts of such lists are
-   ordered once more, by how many of them have a shingle, exactly: what a text alone has comes first and
-   makes no list, and two texts of such lists meet in this order only.
-5. Pairs are first compared by parities: a bit for each set of shingles with one remainder, telling whether a text
-   has an odd number of them.  Two texts differ in no more bits than shingles, so no link is lost.
-6. Every link is verified on the two whole texts.  Components over the links are the groups.
+4. A sample can't tell how frequent most shingles are, so lists may still be long, and texts of one base that aren't
+   similar meet in many.  So pairs aren't rows: a list comes to a task, a very long one to several in parts, with
+   each text's parities: a bit for each set of shingles with one remainder, telling whether a text has an odd number
+   of them.  Two texts differ in no more bits than shingles, so no link is lost; a pair leaves the task if its bits
+   allow for a link, which few do but links.
+5. Every link is verified on the two whole texts.  Components over the links are the groups.
 """
 
 from __future__ import annotations
@@ -46,8 +46,10 @@ REACH = 2
 SAMPLE, FREQUENT = 8_000, 3
 #: Texts in a list from which neighbours in it are tried first, and how often, in another order each time.
 LONG_LIST, ROUNDS = 6, 2
-#: Texts in a list from which these are ordered by exact counts.
-CROWDED = 64
+#: Texts of a list that a task compares with each other, or with as many others of it.
+CROWDED = 1_024
+#: Texts compared with all of a task's list at a time, bytes of parities compared at a time and pairs given at a time.
+BLOCK, BLOCK_BYTES, GIVEN = 256, 1 << 22, 10_000
 #: Texts that a Python worker holds at a time.
 SMALL_BATCHES = {"spark__sql__execution__arrow__maxRecordsPerBatch": "200"}
 
@@ -106,26 +108,6 @@ def prefixes(texts: DataFrame, words: int = WORDS) -> DataFrame:
     return texts.select("number", "text").mapInArrow(run, "token long, number long, n int, place int")
 
 
-def exact_prefixes(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """As ``prefixes``, but shingles that few of ``texts`` have come first, by exact counts, and those that one text
-    alone has are left out; they count in ``place``."""
-
-    def run(batches):
-        for b in batches:
-            found = [shingles(t.as_py(), words) for t in b.column(1)]
-            sizes = np.array([len(s) for s in found], np.int32)
-            at = np.repeat(np.arange(len(found)), sizes)
-            token = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(token), b.column(0).take(pa.array(at)), pa.array(sizes[at])], names=["token", "number", "n"])
-
-    every = written(texts.select("number", "text").mapInArrow(run, "token long, number long, n int"), "crowded_shingles")
-    times = written(every.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "crowded_counts")
-    own = Window.partitionBy("number")
-    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("times", "token")) - 1
-    rows = every.join(times, "token").withColumn("place", place.cast("int"))
-    return rows.where(5 * (F.col("n") - F.col("place")) >= FIFTHS * F.col("n")).select("token", "number", "n", "place")
-
-
 def _like_size(a: Column, b: Column) -> Column:
     return 5 * F.least(a, b) >= FIFTHS * F.greatest(a, b)
 
@@ -162,30 +144,26 @@ def parities(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def least_difference(a: bytes, b: bytes) -> int:
-    """How many hashes two sets of these parities have not in common, at least; the longer one is folded."""
-    x, y = sorted((np.frombuffer(v, np.uint64) for v in (a, b)), key=len)
-    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+def least_differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many hashes the sets of two rows of parities, in words, have not in common, at least; the longer rows are folded."""
+    x, y = sorted((x, y), key=lambda v: v.shape[1])
+    return np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(len(y), -1, x.shape[1]), axis=1)).sum(axis=1, dtype=np.int64)
 
 
-def promising(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """The pairs ``a``, ``b`` of numbers whose texts' parities don't differ too much for them to be similar."""
+def least_difference(a: bytes, b: bytes) -> int:
+    """``least_differences`` of two texts."""
+    return int(least_differences(*(np.frombuffer(v, np.uint64)[None] for v in (a, b)))[0])
 
-    def bits(batches):
-        for b in batches:
-            found = [shingles(t.as_py(), words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array(map(parities, found), pa.binary())], names=["number", "n", "bits"])
+
+def with_parities(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """``number`` and ``bits``, its parities, of each text."""
 
     def run(batches):
         for b in batches:
-            n, m = (b.column(i).to_numpy() for i in (2, 3))
-            apart = np.array([least_difference(x.as_py(), y.as_py()) for x, y in zip(b.column(4), b.column(5))], np.int64)
-            yield b.select(["a", "b"]).filter(pa.array((5 + FIFTHS) * apart <= (5 - FIFTHS) * (n.astype(np.int64) + m)))
+            found = [parities(shingles(t.as_py(), words)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["number", "bits"])
 
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct(), "promising_texts")
-    some = written(semi_join(texts.select("number", "text"), needed, ["number"]).mapInArrow(bits, "number long, n int, bits binary"), "parities")
-    both = pairs.join(some.toDF("a", "n", "of_a"), "a").join(some.toDF("b", "m", "of_b"), "b")
-    return written(both.select("a", "b", "n", "m", "of_a", "of_b").mapInArrow(run, "a long, b long"), "promising")
+    return texts.select("number", "text").mapInArrow(run, "number long, bits binary")
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -212,25 +190,84 @@ def distinct_lists(rows: DataFrame) -> DataFrame:
     return written(of_text.agg(F.min("token").alias("token"), F.min("place").alias("place")).drop("mark_1", "mark_2"), "distinct_lists")
 
 
-def _meeting(lists: DataFrame, other: Column) -> DataFrame:
-    """``a``, ``b``: texts ``x`` and ``y`` of one list and different roots that can be similar if no shingle before it is common."""
-    x, y = lists.alias("x"), lists.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
-    early = [(5 + FIFTHS) * (size - F.col(place)) >= FIFTHS * (n + m) for size, place in ((n, "x.place"), (m, "y.place"))]
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.number") < F.col("y.number")) & (F.col("x.root") != F.col("y.root"))
-    return x.join(y, apart & early[0] & early[1] & other).select(F.col("x.number").alias("a"), F.col("y.number").alias("b")).distinct()
+def _promising(x: np.ndarray, y: np.ndarray, n: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Which of the pairs of places ``x``, ``y`` have parities that allow for a link."""
+    sizes, fits = np.array([len(v) for v in bits]), np.zeros(len(x), bool)
+    rows = {k: np.frombuffer(b"".join(v for v in bits if len(v) == k), np.uint64).reshape(-1, k // 8) for k in set(sizes.tolist())}
+    at = np.zeros(len(bits), np.int64)
+    for k in rows:
+        at[sizes == k] = np.arange(len(rows[k]))
+    for k in rows:
+        for m in rows:
+            pairs = np.flatnonzero((sizes[x] == k) & (sizes[y] == m))
+            step = max(1, BLOCK_BYTES // max(k, m))
+            for some in (pairs[i : i + step] for i in range(0, len(pairs), step)):
+                apart = least_differences(rows[k][at[x[some]]], rows[m][at[y[some]]])
+                fits[some] = (5 + FIFTHS) * apart <= (5 - FIFTHS) * (n[x[some]] + n[y[some]])
+    return fits
+
+
+def _pairs_of_list(rows: pa.Table) -> np.ndarray:
+    """Pairs of numbers, the smaller first, of one list or of two parts of it: of different roots, similar if no shingle
+    before the list's is common and if parities differ so little."""
+    number, n, place, root, part = (rows.column(c).to_numpy().astype(np.int64) for c in ("number", "n", "place", "root", "part"))
+    bits, found = rows.column("bits").to_pylist(), []
+    whole, most = rows.column("low")[0] == rows.column("high")[0], (5 + FIFTHS) * (n - place)
+    for i in range(0, len(number), BLOCK):
+        own = slice(i, i + BLOCK)
+        need = FIFTHS * (n[own, None] + n)
+        meet = (number[own, None] < number) & (root[own, None] != root) & (most[own, None] >= need) & (most >= need)
+        if not whole:
+            meet &= part[own, None] != part
+        x, y = np.nonzero(meet)
+        if len(x):
+            fits = _promising(x + i, y, n, bits)
+            found.append(np.stack([number[x[fits] + i], number[y[fits]]], axis=1))
+    return np.concatenate([np.zeros((0, 2), np.int64), *found])
+
+
+def _pairs_of_lists(batches):
+    """``a``, ``b`` of rows in order of (token, low, high)."""
+    key, rows, found = None, [], []
+
+    def given(pairs):
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        token, low, high = (batch.column(c).to_numpy() for c in ("token", "low", "high"))
+        ends = np.flatnonzero((np.diff(token) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
+        for i, j in zip([0, *ends], [*ends, batch.num_rows]):
+            if i == j:
+                continue
+            if rows and key != (token[i], low[i], high[i]):
+                found.append(_pairs_of_list(pa.Table.from_batches(rows)))
+                rows = []
+            key = (token[i], low[i], high[i])
+            rows.append(batch.slice(i, j - i))
+        if sum(map(len, found)) >= GIVEN:
+            yield given(found)
+            found = []
+    if rows:
+        found.append(_pairs_of_list(pa.Table.from_batches(rows)))
+    yield given(found)
 
 
 def left_pairs(rows: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """``a``, ``b``: texts of open lists and different roots that may be similar; all that are, are among them."""
+    """``a``, ``b``: texts of open lists and different roots that may be similar; all that are, are among them.
+
+    A list is dealt by parts of ``CROWDED`` texts or so, each two of which meet in a task; most have one part.
+    """
     lists = distinct_lists(rows)
-    crowded = written(lists.where(F.col("many") >= CROWDED).select("number", "root").distinct(), "crowded_texts")
-    short = lists.where(F.col("many") < CROWDED).join(crowded.select("number", F.lit(True).alias("crowded")), "number", "left")
-    short = written(short.withColumn("crowded", F.coalesce("crowded", F.lit(False))), "short_lists")
-    pairs = _meeting(short, ~(F.col("x.crowded") & F.col("y.crowded")))
-    again = exact_prefixes(semi_join(texts, crowded.select("number"), ["number"]), words)
-    again = written(_with_roots(again, crowded), "crowded_prefixes")
-    return written(pairs.unionByName(_meeting(again, F.lit(True))), "left_pairs")
+    bits = with_parities(semi_join(texts, written(lists.select("number").distinct(), "listed_texts"), ["number"]), words)
+    parts = F.ceil(F.col("many") / CROWDED).cast("int")
+    one = lists.where(F.col("many") <= CROWDED).withColumns({c: F.lit(0) for c in ("part", "low", "high")})
+    several = lists.where(F.col("many") > CROWDED).withColumn("part", F.pmod(F.xxhash64("number"), parts).cast("int"))
+    several = several.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    several = several.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("other")
+    dealt = one.unionByName(several).drop("many").join(written(bits, "parities"), "number")
+    dealt = dealt.repartition(shuffle_width(rows.sparkSession), "token", "low", "high").sortWithinPartitions("token", "low", "high", "number")
+    return written(dealt.mapInArrow(_pairs_of_lists, "a long, b long").distinct(), "left_pairs")
 
 
 def tree_pairs(texts: DataFrame, words: int = WORDS) -> DataFrame:
@@ -292,8 +329,7 @@ def links(shared: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
         new = verified(pairs, texts, words)
         found = written(found.unionByName(new), "links")
     rows = written(_open_lists(shared, found), "open_lists")
-    left = left_pairs(rows, texts, words)
-    return found.unionByName(verified(promising(left, texts, words), texts, words))
+    return found.unionByName(verified(left_pairs(rows, texts, words), texts, words))
 
 
 def similar(texts: DataFrame, words: int = WORDS) -> DataFrame:

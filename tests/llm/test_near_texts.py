@@ -104,6 +104,16 @@ def test_few_pairs_of_a_crowd_that_is_apart(spark, monkeypatch):
     assert stays(spark, rows) == expected(rows)
 
 
+def test_no_pairs_of_a_base_with_few_words_of_their_own(spark, monkeypatch):
+    """Own shingles of less than a ninth exclude nothing, so each of these met each; texts below 0.8 aren't paired."""
+    monkeypatch.setattr(near_texts, "FREQUENT", 10**6)
+    rows = [(i, t) for i, t in edited_texts(90, 5) if i % 3 == 0] + [(500 + i, t.replace("w", "v")) for i, t in edited_texts(75, 9)]
+    assert len(rows) - 9 < len(expected(rows))
+    texts = spark.createDataFrame(rows, "number long, text string")
+    shared = near_texts.prefixes(texts).withColumn("many", F.count("*").over(Window.partitionBy("token"))).where("many > 1").withColumn("root", F.col("number"))
+    assert near_texts.left_pairs(shared, texts).count() < len(rows)
+
+
 def test_crowds_of_any_size_equal_all_pairs(spark, monkeypatch):
     rows = edited_texts(60, 4) + [(1000 + i, t.replace("w", "v")) for i, t in edited_texts(40, 3, 120)]
     for crowded in (2, 9, 1000):
